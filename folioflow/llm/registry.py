@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, topk
+from folioflow.llm import bpe, decontaminate, topk, warc
 
 _QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op7_warc": warc.op7_warc,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_exact_top_k": topk.op9_exact_top_k,
 }
 _SQL = {
+    "op7_warc": warc.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
 }
 
