@@ -78,7 +78,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
     Words are those of words_of(); a window is `size` consecutive words of an
     item. Null and empty texts have no words and hit nothing; items without
-    words have no window; items with equal windows all count; repeated document
+    words have no window; items with equal windows all count; an item
+    without item_id is looked for but not named; repeated document
     rows each get the same row; null doc_ids are kept; other columns are not
     read. An empty documents table gives an empty result, an empty items table hits nothing.
     """

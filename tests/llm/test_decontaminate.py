@@ -19,7 +19,7 @@ def brute(docs, items, size=10):
                 for at in range(len(w) - n + 1):
                     if w[at : at + n] == v[s : s + n]:
                         hit |= set(range(at, at + n))
-                        of.add(item)
+                        of |= {item} - {None}
         out.append((i, len(w), len(hit), len(of), bool(hit)))
     return sorted(out, key=str)
 
