@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, decontaminate, quality, topk, warc
+from folioflow.llm import bpe, decontaminate, neardup, quality, topk, warc
 
 _QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality": quality.op5_quality,
+    "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_exact_top_k": topk.op9_exact_top_k,
