@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, decontaminate, neardup, quality, topk, warc
+from folioflow.llm import bpe, decontaminate, licenses, neardup, quality, topk, urlfilter, warc
 
 _QUERIES = {
+    "op3_url_filter": urlfilter.op3_url_filter,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_quality": quality.op5_quality,
     "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_exact_top_k": topk.op9_exact_top_k,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 _SQL = {
+    "op3_url_filter": urlfilter.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
+    "op10_license_scan": licenses.ORACLE,
 }
 
 
