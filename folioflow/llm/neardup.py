@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.nearsets import near_classes, word_shingles
+from folioflow.llm.nearsets import Scheme, near_classes, word_shingles
 from folioflow.session import table
 
 
@@ -21,7 +21,7 @@ def near_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     and are all kept if they bear its id; a null doc_id is kept only when
     nothing else is reached. Other columns are not read.
     """
-    found = near_classes(docs.select(F.col("doc_id").alias("id"), "text"), partial(word_shingles, size=size), num, den)
+    found = near_classes(docs.select(F.col("doc_id").alias("id"), "text"), Scheme(partial(word_shingles, size=size), num=num, den=den))
     kept = F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull())
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 

@@ -15,13 +15,14 @@ together. The candidate components that follow are confirmed on the full sets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, shuffle_partitions, written
+from folioflow.llm.common import components, shuffle_partitions, small, written
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
@@ -35,6 +36,8 @@ LEAST_ESTIMATE, LEAST_FOR_ESTIMATE = 0.55, 64
 #: Rows of a bucket, and sets of a candidate component, that one task takes together.
 BUCKET, CELL = 20_000, 4_096
 DEALS = 3
+#: In so small a component every pair is compared in full.
+FEW = 6
 
 U = np.uint64
 _rng = np.random.default_rng(7)
@@ -141,22 +144,36 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (same / n - chance) / (1 - chance))
 
 
-def sketch(hashes: np.ndarray) -> tuple[list[int], list[int], tuple[int, int, int, int]]:
-    """(bands, their keys, the lowest bits of both kinds of registers); the bands of large sets are numbered from BANDS on."""
-    bands: list[int] = []
-    keys: list[int] = []
-    bits = [0, 0, 0, 0]
+SKETCHES = "array<struct<keys: array<long>, x: long, y: long>>"
+SIGNED = f"id long, n long, k1 long, k2 long, sketches {SKETCHES}"
+LISTS = pa.list_(pa.struct([("keys", pa.list_(pa.int64())), ("x", pa.int64()), ("y", pa.int64())]))
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become sets and sketches, and when sets are linked.
+
+    shingles: a text to its sorted distinct hashes; most_bits: the most sketch
+    bits in which linked sets may differ; num, den: the least Jaccard similarity.
+    """
+
+    shingles: Callable[[str | None], np.ndarray]
+    most_bits: int = MOST_BITS
+    num: int = 80
+    den: int = 100
+
+
+def sketches(hashes: np.ndarray) -> list[dict]:
+    """A sketch for each kind of registers that the set's size calls for: the keys of its bands, and the registers' lowest bits."""
+    out = []
     for large in (False, True):
         if len(hashes) and (len(hashes) >= SPLIT_LOW if large else len(hashes) < SPLIT_HIGH):
             reg = registers(hashes, large)
-            key = mixed((reg.reshape(BANDS, ROWS).astype(np.uint64) * STEPS[:ROWS]).sum(axis=1, dtype=np.uint64) + U(large))
-            bands += range(BANDS * large, BANDS * (large + 1))
-            keys += key.view(np.int64).tolist()
-            bits[2 * large : 2 * large + 2] = np.packbits(reg & 1).view(np.int64).tolist()
-    return bands, keys, tuple(bits)
-
-
-SIGNED = "id long, n long, k1 long, k2 long, bands array<int>, keys array<long>, bits array<long>"
+            place = np.arange(BANDS, dtype=np.uint64) + U(BANDS * large)
+            keys = mixed((reg.reshape(BANDS, ROWS).astype(np.uint64) * STEPS[:ROWS]).sum(axis=1, dtype=np.uint64) + place * STEPS[ROWS])
+            x, y = np.packbits(reg & 1).view(np.int64).tolist()
+            out.append({"keys": keys.view(np.int64).tolist(), "x": x, "y": y})
+    return out
 
 
 def signed(rows: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
@@ -164,24 +181,28 @@ def signed(rows: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> Dat
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(4)]
             for text in batch.column(1).to_pylist():
                 h = shingles(text)
-                bands, keys, bits = sketch(h)
                 one, two = h.sum(dtype=np.uint64), mixed(h ^ U(BASE)).sum(dtype=np.uint64)
-                for to, x in zip(out, (len(h), int(one.view(np.int64)), int(two.view(np.int64)), bands, keys, bits), strict=True):
+                for to, x in zip(out, (len(h), int(one.view(np.int64)), int(two.view(np.int64)), sketches(h)), strict=True):
                     to.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            cols = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n", "k1", "k2", "bands", "keys", "bits"])
+            cols = [pa.array(x, kind) for x, kind in zip(out, [pa.int64(), pa.int64(), pa.int64(), LISTS], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n", "k1", "k2", "sketches"])
 
     return written(rows.select(F.col("id").cast("long"), "text").mapInArrow(run, SIGNED), "signed")
 
 
-def groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with equal first `keys` columns, from batches sorted by them."""
+def groups(it: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Runs of two or more rows with equal first `keys` columns, from batches sorted by them; a run over `most` rows comes in pieces, marked so."""
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
+    cut = False
+
+    def flush() -> Iterator[tuple[pa.Table, bool]]:
+        if sum(b.num_rows for b in held) > 1 or cut:
+            yield pa.Table.from_batches(held), cut
+
     for batch in it:
         if not batch.num_rows:
             continue
@@ -189,71 +210,85 @@ def groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         new = np.zeros(batch.num_rows, dtype=bool)
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            if lo == hi:
-                continue
+        starts = np.concatenate([[0], np.flatnonzero(new), [batch.num_rows]])
+        sizes = np.diff(starts)
+        # Lone rows are passed over, but for the first and the last run of a batch, which may go on.
+        runs = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) % max(1, len(sizes) - 1) == 0))
+        for r in runs.tolist():
+            lo, hi = int(starts[r]), int(starts[r + 1])
             key = tuple(c[lo] for c in cols)
             if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
+                yield from flush()
+                held, cut = [], False
+            elif not held:
+                cut = cut and key == last
             last = key
-            held.append(batch.slice(lo, hi - lo))
+            while lo < hi:
+                room = most - sum(b.num_rows for b in held)
+                held.append(batch.slice(lo, min(room, hi - lo)))
+                lo += min(room, hi - lo)
+                if lo < hi or (room <= 0):
+                    cut = True
+                    yield from flush()
+                    held = []
     if held:
-        yield pa.Table.from_batches(held)
+        yield from flush()
 
 
-def related(bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Connected groups of sketches that differ in at most MOST_BITS bits, as (first row, the other rows)."""
+def related(bits: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Connected groups of sketches that differ in at most `most_bits` bits, as (first row, the other rows)."""
     rest = np.arange(len(bits))
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         first, found = front[0], []
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1) <= MOST_BITS
-            found.append(rest[near])
-            front += rest[near].tolist()
-            rest = rest[~near]
-        if found and (members := np.concatenate(found)).size:
-            yield first, members
+            near = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1) <= most_bits
+            if near.any():
+                found.append(rest[near])
+                front += rest[near].tolist()
+                rest = rest[~near]
+        if found:
+            yield first, np.concatenate(found)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the groups of related sketches of each bucket; classes: (id, bands, keys, bits).
+def candidates(sketched: DataFrame, most_bits: int) -> DataFrame:
+    """Edges (a, b) that span the groups of related sketches of each bucket; sketched: (id, sketches).
 
-    A bucket over BUCKET rows is cut into parts and every pair of parts meets in
-    a task of its own, so no task holds it whole and no pair is left out.
+    A task takes up to BUCKET rows of a bucket together. The buckets that go
+    beyond it are cut into parts, and every pair of parts meets in a task of its
+    own, so no task holds them whole and no pair is left out.
     """
-    spark = classes.sparkSession
-    zipped = F.explode(F.arrays_zip("bands", "keys"))
-    rows = classes.select("id", "bits", zipped.alias("z")).select(
-        F.col("z.bands").alias("band"), F.col("z.keys").alias("key"), "id", F.when(F.col("z.bands") < BANDS, F.col("bits")[0]).otherwise(F.col("bits")[2]).alias("x"), F.when(F.col("z.bands") < BANDS, F.col("bits")[1]).otherwise(F.col("bits")[3]).alias("y")
-    )
-    big = written(rows.groupBy("band", "key").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET), "buckets")
-    if big.limit(1).count():
-        parts = F.ceil(F.col("c") / BUCKET).cast("int")
-        rows = rows.join(big, ["band", "key"], "left").withColumn("p", F.pmod(F.xxhash64("id"), F.coalesce(parts, F.lit(1))).cast("int"))
-        others = F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))
-        rows = rows.withColumn("q", others).select("band", "key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "id", "x", "y")
-    else:
-        rows = rows.select("band", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), "id", "x", "y")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(it, 4):
-            if t.num_rows > 1:
-                ids = np.asarray(t["id"])
-                bits = np.stack([np.asarray(t["x"]), np.asarray(t["y"])], axis=1).view(np.uint64)
-                a, b = [], []
-                for first, others in related(bits):
-                    a += [ids[first]] * len(others)
-                    b += ids[others].tolist()
-                if a:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    n = shuffle_partitions(spark)
-    dealt = rows.repartition(n, "band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q")
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    rows = sketched.select("id", F.explode("sketches").alias("s")).select(F.explode("s.keys").alias("key"), "id", "s.x", "s.y")
+
+    def run(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+        for t, cut in groups(it, keys, BUCKET if keys == 1 else 1 << 40):
+            ids = np.asarray(t["id"])
+            bits = np.stack([np.asarray(t["x"]), np.asarray(t["y"])], axis=1).view(np.uint64)
+            a, b = [], []
+            for first, others in related(bits, most_bits):
+                a += [ids[first]] * len(others)
+                b += ids[others].tolist()
+            if cut:
+                a.append(t["key"][0].as_py())
+                b.append(None)
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    n = shuffle_partitions(sketched.sparkSession)
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
+    edges = written(dealt.mapInArrow(lambda it: run(it, 1), "a long, b long"), "edges")
+    over = written(edges.where("b is null").groupBy("a").agg(F.count("*").alias("pieces")), "over")
+    count = over.count()
+    edges = edges.where("a <> b")
+    if count:
+        again = rows.join(small(over, count), F.col("key") == F.col("a"))
+        again = again.withColumn("w", (F.col("pieces") + 1).cast("int")).withColumn("p", F.pmod(F.xxhash64("id"), F.col("w")).cast("int"))
+        again = again.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+        again = again.select("key", (F.least("p", "q") * F.col("w") + F.greatest("p", "q")).alias("pair"), "id", "x", "y")
+        met = again.repartition(n, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lambda it: run(it, 2), "a long, b long")
+        edges = edges.union(written(met, "edges").where("a <> b"))
+    return edges.distinct()
 
 
 def confirmed(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -263,18 +298,12 @@ def confirmed(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | Non
     """
     g = len(sets)
     sizes = np.array([len(s) for s in sets])
+    if g <= FEW:
+        return spanning(sets, sizes, num, den, lambda i, js: np.ones(len(js)), left)
     large = np.array([n >= LEAST_FOR_ESTIMATE for n in sizes])
     regs = np.stack([registers(s, True) if n >= SPLIT_LOW else registers(s, False) for s, n in zip(sets, sizes, strict=True)])
     other = {i: registers(sets[i], False) for i in np.flatnonzero((sizes >= SPLIT_LOW) & (sizes < SPLIT_HIGH))}
     kind = sizes >= SPLIT_LOW
-    root = np.arange(g)
-    found: list[tuple[int, int]] = []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
     def near(i: int, js: np.ndarray) -> np.ndarray:
         est = np.ones(len(js))
@@ -289,6 +318,21 @@ def confirmed(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | Non
                     est[at] = estimate(regs[i], other[js[at]])
         return est
 
+    return spanning(sets, sizes, num, den, near, left)
+
+
+def spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, near: Callable[[int, np.ndarray], np.ndarray], left: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that span the components: pairs whose estimate near(i, js) allows it are compared in full unless they are joined already."""
+    g = len(sets)
+    root = np.arange(g)
+    found: list[tuple[int, int]] = []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     for i in range(g - 1):
         js = np.arange(i + 1, g)
         fit = den * np.minimum(sizes[i], sizes[js]) >= num * np.maximum(sizes[i], sizes[js])
@@ -312,46 +356,47 @@ def confirmed(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | Non
     return found
 
 
-def links(cells: DataFrame, shingles: Callable[[str | None], np.ndarray], num: int, den: int) -> DataFrame:
+def links(cells: DataFrame, scheme: Scheme) -> DataFrame:
     """Confirmed links (a, b) that span the components inside each cell; cells: (cell, part, id, text, mark)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(it, 2):
-            if t.num_rows > 1:
-                ids, marks = np.asarray(t["id"]), np.asarray(t["mark"])
-                got = confirmed([shingles(x.as_py()) for x in t["text"]], num, den, None if marks.all() else marks)
-                if got:
-                    at = np.array(got)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
+        for t, _ in groups(it, 2, 1 << 40):
+            ids, marks = np.asarray(t["id"]), np.asarray(t["mark"])
+            got = confirmed([scheme.shingles(x) for x in t["text"].to_pylist()], scheme.num, scheme.den, None if marks.all() else marks)
+            if got:
+                at = np.array(got)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
 
     n = shuffle_partitions(cells.sparkSession)
     dealt = cells.select("cell", "part", "id", "text", "mark").repartition(n, "cell", "part").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_components(classes: DataFrame, texts: DataFrame, shingles: Callable[[str | None], np.ndarray], num: int = 80, den: int = 100) -> DataFrame:
-    """(node, component) of the classes that have a confirmed link; classes: SIGNED rows with different sets, texts: (id, text).
+def near_components(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
+    """(node, component) of the ids that have a confirmed link, out of candidate edges (a, b).
+
+    texts adds the column text to a table with the column id.
 
     Candidate components of up to CELL sets are confirmed in one task. Larger
     ones are dealt into cells DEALS times by other hashes, which joins what is
     dense; what is then outside the largest part of its candidate component is
     compared with all of it, in blocks.
     """
-    cand = written(components(candidates(classes)).withColumnRenamed("node", "id"), "cand")
+    cand = written(components(edges).withColumnRenamed("node", "id"), "cand")
     # The smallest member is a node of its own component.
     cand = written(cand.union(cand.select("component", "component").distinct()).toDF("id", "comp"), "cand")
     sizes = cand.groupBy("comp").agg(F.count("*").alias("c"))
     members = written(cand.join(sizes, "comp"), "members")
-    with_text = members.join(texts, "id")
+    with_text = texts(members)
     plain = with_text.where(F.col("c") <= CELL).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
-    edges = written(links(plain, shingles, num, den), "links")
+    edges = written(links(plain, scheme), "links")
     big = members.where(F.col("c") > CELL)
     if big.limit(1).count():
         parts = F.ceil(F.col("c") / (CELL // 2)).cast("int")
         texts_big = written(with_text.where(F.col("c") > CELL).select("comp", "c", "id", "text"), "big")
         for deal in range(DEALS):
             cells = texts_big.select(F.col("comp").alias("cell"), F.pmod(F.xxhash64("id", F.lit(deal)), parts).cast("int").alias("part"), "id", "text", F.lit(True).alias("mark"))
-            edges = edges.union(written(links(cells, shingles, num, den), "links"))
+            edges = edges.union(written(links(cells, scheme), "links"))
         so_far = components(edges.distinct())
         placed = texts_big.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = written(placed, "placed")
@@ -368,21 +413,22 @@ def near_components(classes: DataFrame, texts: DataFrame, shingles: Callable[[st
         base = every.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where(~F.col("mark") | (F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")) != F.col("b")))
         out = every.where("mark").withColumn("b", F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
         both = base.select("comp", cell(F.col("b"), F.col("p")), "id", "text", F.lit(False).alias("mark")).union(out.select("comp", cell(F.col("b"), F.col("p")), "id", "text", F.lit(True).alias("mark")))
-        edges = edges.union(written(links(both.withColumnRenamed("comp", "cell"), shingles, num, den), "links"))
+        edges = edges.union(written(links(both.withColumnRenamed("comp", "cell"), scheme), "links"))
     return components(edges.distinct())
 
 
-def near_classes(rows: DataFrame, shingles: Callable[[str | None], np.ndarray], num: int = 80, den: int = 100) -> DataFrame:
+def near_classes(rows: DataFrame, scheme: Scheme) -> DataFrame:
     """(id, n, component) for every row of (id, text): the size of its set and the smallest id that links reach.
 
     Equal sets are one class before anything is compared, so copies cost one
     row. Empty sets link with nothing. Where one id has several texts each row
     follows its own text; a null id never names a component but follows one.
     """
-    told = signed(rows, shingles)
-    named = told.where("n > 0 and id is not null").select("k1", "k2", F.struct("id", "n", "bands", "keys", "bits").alias("s"))
+    told = signed(rows, scheme.shingles)
+    named = told.where("n > 0 and id is not null").select("k1", "k2", F.struct("id", "sketches").alias("s"))
     classes = written(named.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("k1", "k2", "s.*"), "classes")
-    joined = near_components(classes, rows.select(F.col("id").cast("long").alias("id"), "text"), shingles, num, den)
+    source = rows.select(F.col("id").cast("long").alias("id"), "text")
+    joined = near_components(candidates(classes, scheme.most_bits), lambda members: members.join(source, "id"), scheme)
     reach = classes.select("k1", "k2", "id").join(joined, F.col("id") == F.col("node"), "left").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.coalesce("component", "id").alias("reached"))
     reach = written(reach, "reach")
     out = told.select("id", "n", "k1", "k2").join(reach, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("n") > 0), "left")
