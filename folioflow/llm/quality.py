@@ -168,7 +168,7 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
     share = min(1.0, most / max(1, marks.count()))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = stats.join(chosen, "doc_id").select("doc_id", "stats", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"))
-    train = written(rows.repartition(SUMS, "doc_id"), "train").repartition(SUMS, "doc_id")
+    train = written(rows, "train").coalesce(SUMS)
 
     moments = summed(train, lambda s, y, f: (np.array([len(y), y.sum()]), s.sum(axis=0), (s * s).sum(axis=0)))
     if not moments:
