@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, decontaminate, licenses, linededup, neardup, quality, topk, urlfilter, warc
+from folioflow.llm import bpe, decontaminate, licenses, linededup, neardup, quality, suffixdedup, topk, urlfilter, warc
 
 _QUERIES = {
+    "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_url_filter": urlfilter.op3_url_filter,
     "op4_byte_bpe": bpe.op4_byte_bpe,
