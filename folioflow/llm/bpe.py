@@ -126,6 +126,14 @@ def decoded_rows(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, le
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tree.decode(i or []) for i in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
 
+def digest_rows(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, leaf: int) -> Iterator[pa.RecordBatch]:
+    _, pieces = load(ranks_path, pattern)
+    tree = Tree(lambda t: [], pieces, leaf)
+    for batch in it:
+        sha = [hashlib.sha256(tree.decode(i or [])).hexdigest() for i in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha, pa.string())], ["doc_id", "ids", "decoded_sha256"])
+
+
 def vocabulary() -> tuple[str, str]:
     """The rank file and the split pattern of the multilingual public vocabulary."""
     import public_tokenizers
@@ -143,6 +151,11 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -
     return tokens.select("doc_id", "ids").mapInArrow(lambda it: decoded_rows(it, ranks_path, pattern, leaf), "doc_id long, bytes binary")
 
 
+def decoded_digests(tokens: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, ids) with decoded_sha256, the digest of the decoded bytes."""
+    return tokens.select("doc_id", "ids").mapInArrow(lambda it: digest_rows(it, ranks_path, pattern, leaf), "doc_id long, ids array<int>, decoded_sha256 string")
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """Encodes every whole text, decodes the ids again and returns the digests of both.
 

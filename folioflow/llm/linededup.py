@@ -32,16 +32,10 @@ MOST_BITS = 20
 #: Line numbers within a document; an id is doc_id * LINES + line number.
 LINES = 1 << 24
 #: Bytes of text that are sketched together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 V40 = U((1 << 40) - 1)
 
 
-def quick(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(29))
-    x *= U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> U(32))
-
-
 def compressed(low: np.ndarray) -> np.ndarray:
     """Leading zeros and ten mantissa bits of 64-bit minima."""
     frac, exp = np.frexp(np.maximum(low, U(1)).astype(np.float64))
@@ -63,39 +57,50 @@ def keyed(regs: np.ndarray, tier: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """n, k1, k2 of every line (raw[ends[i]:ends[i+1]]) and, for each tier, (lines, keys, bits)."""
     size = np.diff(ends)
-    count = np.where(size > 0, np.maximum(size - SHINGLE + 1, 1), 0)
-    line = np.repeat(np.arange(len(size)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + ends[:-1][line]
-    width = np.minimum(size, SHINGLE)[line]
+    down = powers(len(raw) + 1)[1]
     total = sums(raw)
-    h = mixed((total[at + width] - total[at]) * powers(len(raw) + 1)[1][at] + width.astype(np.uint64))
     # k1 and k2 tell lines apart by all their bytes.
-    whole = (total[ends[1:]] - total[ends[:-1]]) * powers(len(raw) + 1)[1][ends[:-1]]
+    whole = (total[ends[1:]] - total[ends[:-1]]) * down[ends[:-1]]
     k1 = mixed(whole + size.astype(np.uint64) * STEPS[41])
-    k2 = np.zeros(len(size), dtype=np.uint64)
-    np.add.at(k2, line, mixed(h + (at - ends[:-1][line]).astype(np.uint64) * STEPS[42]))
-    key = np.unique((line.astype(np.uint64) << U(40)) | (h >> U(24)))
-    line, value = (key >> U(40)).astype(np.int64), key & V40
+    every = mixed((total[SHINGLE:] - total[:-SHINGLE]) * down[: max(0, len(raw) - SHINGLE + 1)]) if len(raw) >= SHINGLE else np.zeros(0, dtype=np.uint64)
+    line = np.repeat(np.arange(len(size), dtype=np.int32), size)[: len(every)]
+    place = np.arange(len(every), dtype=np.int32)
+    inside = place + np.int32(SHINGLE) <= ends[1:].astype(np.int32)[line]
+    line, h = line[inside], every[inside]
+    # Lines shorter than a shingle are one shingle.
+    short = np.flatnonzero((size > 0) & (size < SHINGLE))
+    count = np.maximum(size - SHINGLE + 1, 0)
+    k2 = k1 ^ STEPS[43]
+    full = np.flatnonzero(count > 0)
+    if len(full):
+        first = (np.cumsum(count) - count)[full]
+        turn = (np.arange(len(h), dtype=np.int64) - np.repeat(first, count[full])).astype(np.uint64)
+        k2[full] = np.add.reduceat(h * (turn * U(2) + U(1)), first)
+    key = np.sort(np.concatenate([(line.astype(np.uint64) << U(40)) | (h >> U(24)), (short.astype(np.uint64) << U(40)) | (mixed(whole[short]) >> U(24))]))
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    line, value = (key >> U(40)).astype(np.int32), key & V40
     n = np.bincount(line, minlength=len(size))
     tiers = []
-    small = np.flatnonzero((n > 0) & (n < HIGH))
-    if len(small):
-        mine = np.isin(line, small, kind="table")
-        v, starts = value[mine] + U(BASE), np.concatenate([[0], np.cumsum(n[small])[:-1]])
-        low = np.stack([np.minimum.reduceat(quick(v * SEEDS[f]), starts) for f in range(REGS)], axis=1)
-        tiers.append((small, *keyed(compressed(low).reshape(-1, BANDS, ROWS), 0)))
-    large = np.flatnonzero(n >= LOW)
-    if len(large):
-        mine = np.isin(line, large, kind="table")
-        v, owner = value[mine], np.searchsorted(large, line[mine])
-        slot = owner * BANDS + ((v * U(BANDS)) >> U(40)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(slot, prepend=-1))
-        low = np.full((ROWS, len(large) * BANDS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    small = (n > 0) & (n < HIGH)
+    if small.any():
+        own = np.flatnonzero(small)
+        v, starts = value[small[line]] + U(BASE), np.concatenate([[0], np.cumsum(n[own])[:-1]])
+        low = np.stack([np.minimum.reduceat(v * SEEDS[f], starts) for f in range(REGS)], axis=1)
+        tiers.append((own, *keyed(compressed(low).reshape(-1, BANDS, ROWS), 0)))
+    large = n >= LOW
+    if large.any():
+        own, mine = np.flatnonzero(large), large[line]
+        v = value[mine]
+        slot = (np.cumsum(large) - 1).astype(np.int32)[line[mine]] * np.int32(BANDS) + ((v * U(BANDS)) >> U(40)).astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        low = np.full((ROWS, len(own) * BANDS), np.iinfo(np.uint64).max, dtype=np.uint64)
+        v += U(BASE)
         for f in range(ROWS):
-            low[f, slot[starts]] = np.minimum.reduceat(quick((v + U(BASE)) * SEEDS[REGS + f]), starts)
-        regs = compressed(low).reshape(ROWS, len(large), BANDS)
+            low[f, slot[starts]] = np.minimum.reduceat(v * SEEDS[REGS + f], starts)
+        regs = compressed(low).reshape(ROWS, len(own), BANDS)
         picked = np.stack([regs[f][:, _BUCKET[:, f]] for f in range(ROWS)], axis=2)
-        tiers.append((large, *keyed(picked, 1)))
+        tiers.append((own, *keyed(picked, 1)))
     return n, k1.view(np.int64), k2.view(np.int64), tiers
 
 
@@ -129,9 +134,9 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
             raise ValueError("a document has more lines than an id can tell apart")
         n, k1, k2, tiers = sketch_lines(raw, ends)
         name = np.repeat(np.array(ids, dtype=np.int64), counts) * LINES + np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        pairs = np.stack([k1, k2], axis=1)
         wanted = np.zeros(len(flat), dtype=bool)
-        wanted[np.unique(pairs, axis=0, return_index=True)[1]] = True
+        by = np.lexsort((k2, k1))
+        wanted[by] = np.concatenate([[True], (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])])
         return pa.RecordBatch.from_arrays([pa.array(name), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), sketch_column(len(flat), tiers, wanted)], ["id", "n", "k1", "k2", "sketches"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +164,19 @@ def doc_of(idcol: str):
     return F.floor(F.col(idcol) / LINES).cast("long")
 
 
+def line_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, comp, c, text) of the lines that each document's list names; a document is split once."""
+    for batch in it:
+        rows: list[list] = [[], [], [], []]
+        for text, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            lines = text.split("\n")
+            for id_, comp, c in zip(*(x.to_pylist() for x in own.values.flatten()), strict=True):
+                if id_ % LINES < len(lines):  # else another text under the same doc_id
+                    for to, x in zip(rows, (id_, comp, c, lines[id_ % LINES]), strict=True):
+                        to.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "comp", "c", "text"])
+
+
 def removed_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document that go; documents that lose nothing have no row.
 
@@ -179,9 +197,9 @@ def removed_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100
     found = written(found.where("a <> b").distinct(), "edges")
 
     def with_text(members: DataFrame) -> DataFrame:
-        own = members.withColumn("doc_id", doc_of("id"))
-        text = F.element_at(F.split("text", "\n", -1), (F.pmod(F.col("id"), F.lit(LINES)) + 1).cast("int"))
-        return own.join(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id").withColumn("text", text).drop("doc_id")
+        lists = members.groupBy(doc_of("id").alias("doc_id")).agg(F.collect_list(F.struct("id", "comp", "c")).alias("own"))
+        joined = docs.select(F.col("doc_id").cast("long"), "text").join(lists, "doc_id")
+        return joined.select("text", "own").mapInArrow(line_texts, "id long, comp long, c long, text string")
 
     joined = near_components(found, with_text, Scheme(partial(byte_shingles, size=SHINGLE), MOST_BITS, num, den))
     joined = written(joined, "joined")
@@ -197,13 +215,24 @@ def dedup_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100)
     where there is such a column, follows the new text.
     """
     gone = written(removed_lines(docs, least, num, den), "gone").withColumnsRenamed({"doc_id": "gone_id", "lines": "gone_lines"})
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i))
-    text = F.when(F.col("gone_id").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").where(F.col("gone_id").isNull() | (F.size(left) > 0))
-    out = out.withColumn("text", text).select(docs.columns)
+    out = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*docs.columns, "gone_lines")
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def strip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = batch.column(at).to_pylist()
+            keep = np.ones(len(texts), dtype=bool)
+            for i, own in enumerate(batch.column(len(schema)).to_pylist()):
+                if own:
+                    drop = set(own)
+                    left = [x for n, x in enumerate(texts[i].split("\n")) if n not in drop]
+                    texts[i], keep[i] = "\n".join(left), bool(left)
+            cols = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(schema))]
+            yield pa.RecordBatch.from_arrays(cols, schema.names).filter(pa.array(keep))
+
+    out = out.mapInArrow(strip, schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(docs.columns)
     return out
 
 

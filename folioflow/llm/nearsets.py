@@ -66,6 +66,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats; np.unique hashes and is far slower on 64-bit values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -96,7 +102,7 @@ def word_shingles(text: str | None, size: int) -> np.ndarray:
     out = np.full(n, k, dtype=np.uint64)
     for j in range(k):
         out += words[j : j + n] * STEPS[j]
-    return np.unique(mixed(out))
+    return distinct(mixed(out))
 
 
 def byte_shingles(text: str | None, size: int) -> np.ndarray:
@@ -110,7 +116,7 @@ def byte_shingles(text: str | None, size: int) -> np.ndarray:
     letters = LETTERS[raw]
     for j in range(k):
         out += letters[j : j + n] * STEPS[j]
-    return np.unique(mixed(out))
+    return distinct(mixed(out))
 
 
 def registers(hashes: np.ndarray, large: bool) -> np.ndarray:
@@ -193,16 +199,10 @@ def signed(rows: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> Dat
     return written(rows.select(F.col("id").cast("long"), "text").mapInArrow(run, SIGNED), "signed")
 
 
-def groups(it: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Runs of two or more rows with equal first `keys` columns, from batches sorted by them; a run over `most` rows comes in pieces, marked so."""
+def groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of two or more rows with equal first `keys` columns, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
     last: tuple | None = None
-    cut = False
-
-    def flush() -> Iterator[tuple[pa.Table, bool]]:
-        if sum(b.num_rows for b in held) > 1 or cut:
-            yield pa.Table.from_batches(held), cut
-
     for batch in it:
         if not batch.num_rows:
             continue
@@ -211,28 +211,16 @@ def groups(it: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
         starts = np.concatenate([[0], np.flatnonzero(new), [batch.num_rows]])
-        sizes = np.diff(starts)
-        # Lone rows are passed over, but for the first and the last run of a batch, which may go on.
-        runs = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) % max(1, len(sizes) - 1) == 0))
-        for r in runs.tolist():
-            lo, hi = int(starts[r]), int(starts[r + 1])
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             key = tuple(c[lo] for c in cols)
             if held and key != last:
-                yield from flush()
-                held, cut = [], False
-            elif not held:
-                cut = cut and key == last
+                if sum(b.num_rows for b in held) > 1:
+                    yield pa.Table.from_batches(held)
+                held = []
             last = key
-            while lo < hi:
-                room = most - sum(b.num_rows for b in held)
-                held.append(batch.slice(lo, min(room, hi - lo)))
-                lo += min(room, hi - lo)
-                if lo < hi or (room <= 0):
-                    cut = True
-                    yield from flush()
-                    held = []
-    if held:
-        yield from flush()
+            held.append(batch.slice(lo, hi - lo))
+    if sum(b.num_rows for b in held) > 1:
+        yield pa.Table.from_batches(held)
 
 
 def related(bits: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -252,6 +240,76 @@ def related(bits: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]
             yield first, np.concatenate(found)
 
 
+def run_edges(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the related groups of each run of rows; runs begin at `starts`.
+
+    Rows near the first of their run are found for all runs at once; only runs
+    with others besides are taken one by one.
+    """
+    sizes = np.diff(np.append(starts, len(ids)))
+    first = np.repeat(starts, sizes)
+    near = np.bitwise_count(bits ^ bits[first]).sum(axis=1) <= most_bits
+    near[starts] = False
+    a, b = [ids[first[near]]], [ids[near]]
+    far = np.add.reduceat(near, starts, dtype=np.int64) + 1 < sizes
+    for lo, size in zip(starts[far & (sizes > 2)].tolist(), sizes[far & (sizes > 2)].tolist(), strict=True):
+        own = ids[lo : lo + size]
+        for head, others in related(bits[lo : lo + size], most_bits):
+            a.append(np.full(len(others), own[head]))
+            b.append(own[others])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def bucket_edges(it: Iterator[pa.RecordBatch], keys: int, most_bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    """run_edges() of the buckets in batches sorted by the first `keys` columns; a bucket over `most` rows comes in pieces, each with a row (key, null)."""
+
+    def edges(cols: list[np.ndarray], cut: bool) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(cols[0]), dtype=bool)
+        for c in cols[:keys]:
+            new[1:] &= c[1:] == c[:-1]
+        new[0] = False
+        starts = np.flatnonzero(~new)
+        sizes = np.diff(np.append(starts, len(new)))
+        keep = np.repeat(sizes > 1, sizes)
+        ids, bits = cols[keys][keep], np.stack([cols[keys + 1][keep], cols[keys + 2][keep]], axis=1).view(np.uint64)
+        own = sizes[sizes > 1]
+        a, b = run_edges(ids, bits, np.cumsum(own) - own, most_bits) if len(ids) else (ids, ids)
+        a, b = pa.array(a, pa.int64()), pa.array(b, pa.int64())
+        if cut:
+            a, b = pa.concat_arrays([a, pa.array([int(cols[0][0])], pa.int64())]), pa.concat_arrays([b, pa.nulls(1, pa.int64())])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    held: list[np.ndarray] = []
+    cut = None  # the key of a bucket that has been cut
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(i)) for i in range(keys + 3)]
+        held = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)] if held else cols
+        last = np.ones(len(held[0]), dtype=bool)
+        for c in held[:keys]:
+            last &= c == c[-1]
+        open_at = len(last) - int(last.sum())
+        key = tuple(c[-1] for c in held[:keys])
+        done, rest = [c[:open_at] for c in held], [c[open_at:] for c in held]
+        if open_at:
+            if cut is not None and cut == tuple(c[0] for c in held[:keys]):
+                size = int(np.logical_and.reduce([c == c[0] for c in done[:keys]]).sum())
+                yield from edges([c[:size] for c in done], True)
+                done = [c[size:] for c in done]
+            if len(done[0]):
+                yield from edges(done, False)
+            cut = None
+        while len(rest[0]) >= most:
+            cut = key
+            yield from edges([c[:most] for c in rest], True)
+            rest = [c[most:] for c in rest]
+        held = rest if len(rest[0]) else []
+    if held:
+        yield from edges(held, cut is not None)
+
+
 def candidates(sketched: DataFrame, most_bits: int) -> DataFrame:
     """Edges (a, b) that span the groups of related sketches of each bucket; sketched: (id, sketches).
 
@@ -262,18 +320,7 @@ def candidates(sketched: DataFrame, most_bits: int) -> DataFrame:
     rows = sketched.select("id", F.explode("sketches").alias("s")).select(F.explode("s.keys").alias("key"), "id", "s.x", "s.y")
 
     def run(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-        for t, cut in groups(it, keys, BUCKET if keys == 1 else 1 << 40):
-            ids = np.asarray(t["id"])
-            bits = np.stack([np.asarray(t["x"]), np.asarray(t["y"])], axis=1).view(np.uint64)
-            a, b = [], []
-            for first, others in related(bits, most_bits):
-                a += [ids[first]] * len(others)
-                b += ids[others].tolist()
-            if cut:
-                a.append(t["key"][0].as_py())
-                b.append(None)
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return bucket_edges(it, keys, most_bits, BUCKET if keys == 1 else 1 << 40)
 
     n = shuffle_partitions(sketched.sparkSession)
     dealt = rows.repartition(n, "key").sortWithinPartitions("key")
@@ -360,7 +407,7 @@ def links(cells: DataFrame, scheme: Scheme) -> DataFrame:
     """Confirmed links (a, b) that span the components inside each cell; cells: (cell, part, id, text, mark)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in groups(it, 2, 1 << 40):
+        for t in groups(it, 2):
             ids, marks = np.asarray(t["id"]), np.asarray(t["mark"])
             got = confirmed([scheme.shingles(x) for x in t["text"].to_pylist()], scheme.num, scheme.den, None if marks.all() else marks)
             if got:
