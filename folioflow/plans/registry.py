@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from folioflow.operators import catalog
 from folioflow.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +28,10 @@ def register(name: str, sql: str | None = None):
 @register(
     "catalog_search",
     """SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part
-       WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'steel') AND p_size <= 25""",
+       WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'gear') AND p_type = 'ECONOMY'""",
 )
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return (
-        part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-        .where(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).contains("steel") & (F.col("p_size") <= 25))
-        .orderBy("p_size", "p_name", "p_partkey")
-    )
+    """Faceted search and natural sort: both filters reach the scan, only the found rows are sorted."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    found = catalog.facet_search(part, ["p_name", "p_brand", "p_type"], " Gear ", {"p_type": "ECONOMY"})
+    return catalog.sort_catalog(found, "p_size", descending=True, title="p_name", ordinal="p_partkey", numeric=True)
