@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.operators.fold import fold_sorted
+
 
 def greedy(heights: list[float], headings: list[bool], breaks: list[bool], available: float) -> list[int]:
     """The page (from 0) of each unit.
@@ -36,33 +36,15 @@ def greedy(heights: list[float], headings: list[bool], breaks: list[bool], avail
 
 
 def paginate(units: DataFrame, keys: list[str], order: list[str], height: str, heading: str, hard_break: str, available: float) -> DataFrame:
-    """Adds `page` to the units of each book. One shuffle brings books together; a task folds its books one after the other."""
-    schema = T.StructType([*units.schema.fields, T.StructField("page", T.IntegerType())])
-
-    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def placed(rows: pd.DataFrame) -> pd.DataFrame:
-            starts = np.flatnonzero((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy())
-            h = rows[height].fillna(1.0).to_numpy(dtype=float).tolist()
-            hd, br = (rows[c].fillna(False).astype(bool).tolist() for c in (heading, hard_break))
-            pages: list[int] = []
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-                pages += greedy(h[lo:hi], hd[lo:hi], br[lo:hi], available)
-            return rows.assign(page=np.array(pages, dtype=np.int32))
+    """Adds `page` to the units of each book; units without a book go."""
 
-        held: pd.DataFrame | None = None
-        for batch in it:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1)
-            open_at = int(len(rows) - last.sum())
-            if open_at:
-                yield placed(rows.iloc[:open_at].reset_index(drop=True))
-            held = rows.iloc[open_at:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield placed(held)
+    def fold(rows: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        h = rows[height].fillna(1.0).to_numpy(dtype=float).tolist()
+        hd, br = (rows[c].fillna(False).astype(bool).tolist() for c in (heading, hard_break))
+        pages = [p for lo, hi in bounds for p in greedy(h[lo:hi], hd[lo:hi], br[lo:hi], available)]
+        return rows.assign(page=np.array(pages, dtype=np.int32))
 
-    return units.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, schema)
+    return fold_sorted(units, keys, order, [T.StructField("page", T.IntegerType())], fold)
 
 
 def overflow_pages(placed: DataFrame, keys: list[str], height: str, available: float, tolerance: float = 1.0) -> DataFrame:

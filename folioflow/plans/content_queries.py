@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.functions import mathexpr, text as X
-from folioflow.operators import paginate, sequence, setops
+from folioflow.functions import mathexpr, richtext
+from folioflow.functions import text as X
+from folioflow.operators import identity, paginate, sequence, setops
 from folioflow.plans.catalog_queries import ITEMS, LINES, doc_lines, items
 from folioflow.plans.registry import register
 from folioflow.session import table
@@ -372,3 +373,26 @@ def style_inherit(spark, sf_dir):
     styles = table(spark, sf_dir, "part").where("p_partkey < 1000").select(k.cast("string").alias("style_id"), F.floor(k / 2).cast("string").alias("based_on"), props.alias("props"))
     out = setops.resolve_styles(styles)
     return out.select(F.col("style_id").cast("long"), F.col("props")["font"].alias("font"), F.col("props")["size"].alias("size"))
+
+
+@register(
+    "unique_ids",
+    f"""WITH {ITEMS}, n AS (SELECT l_orderkey, ord, 'i' || l_returnflag AS base, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY ord) AS n FROM items)
+       SELECT l_orderkey, ord, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS unique_id FROM n""",
+)
+def unique_ids(spark, sf_dir):
+    rows = items(spark, sf_dir).select("l_orderkey", "ord", F.concat(F.lit("i"), F.col("l_returnflag")).alias("id"))
+    return identity.ensure_unique(rows, ["l_orderkey"], ["ord"], "id").drop("id")
+
+
+@register("rich_plain", "SELECT p_partkey, p_name || ' ' || p_brand AS plain, '<strong>' || p_name || '</strong> ' || p_brand AS html FROM part")
+def rich_plain(spark, sf_dir):
+    src = F.concat(F.lit("<b>"), F.col("p_name"), F.lit("</b> "), F.col("p_brand"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", richtext.from_html(src).alias("n"))
+    return rows.select("p_partkey", richtext.plain_text(F.col("n")).alias("plain"), richtext.to_html(F.col("n")).alias("html"))
+
+
+@register("clean_html")
+def clean_html(spark, sf_dir):
+    """Pages without active content; a parser's work, held against hand-made cases in the tests."""
+    return table(spark, sf_dir, "pages").select("page_id", richtext.clean_html(F.col("html")).alias("cleaned"))

@@ -74,3 +74,24 @@ def test_math():
 def test_math_udf(spark):
     df = spark.createDataFrame([("x^2",), ("{",), (None,)], "s string").select(m.parse_math(F.col("s")).alias("p"))
     assert [r.p.ok for r in df.collect()] == [True, False, True]
+
+
+def test_rich_text(spark):
+    from folioflow.functions import richtext as R
+
+    df = spark.createDataFrame([("<p><b>ab  cd</b> e<br>f <a href='u'>l <i>x</i></a></p><br>",), (None,)], "h string").select(R.from_html(F.col("h")).alias("n"))
+    nodes = df.first().n
+    assert [(r.type, r.text, r.bold, r.italic, r.href) for r in nodes] == [("text_run", "ab cd", True, None, None), ("text_run", " e", None, None, None), ("line_break", None, None, None, None), ("text_run", "f ", None, None, None), ("text_run", "l ", None, None, "u"), ("text_run", "x", None, True, "u")]
+    first, rest = R.split_runs(F.col("n"), 2)
+    got = df.select(R.plain_text(F.col("n")), R.to_html(F.col("n")), R.plain_text(first), R.plain_text(rest), F.size(R.collapse_runs(R.explode_runs(F.col("n"))))).first()
+    assert tuple(got) == ("ab cd e\nf l x", '<strong>ab cd</strong> e<br>f <a href="u">l </a><a href="u"><em>x</em></a>', "ab cd", "e\nf l x", 6)
+    assert R.cleaned("<p onclick='x' style='color:red;position:fixed'>a<script>b</script><a href='javascript:x'>c</a></p>") == '<p style="color:red">a<a>c</a></p>'
+
+
+def test_unique_ids(spark):
+    from folioflow.operators.identity import ensure_unique, unique_ids
+
+    assert unique_ids(["a", "a", "a"]) == ["a", "a-2", "a-3"]
+    assert unique_ids(["x-2", "x", "x", None, ""]) == ["x-2", "x", "x-3", "id", "id-2"]
+    df = spark.createDataFrame([(b, i, "k") for b in (1, 2) for i in range(3)], "b int, o int, id string")
+    assert sorted(r.unique_id for r in ensure_unique(df, ["b"], ["o"], "id", suffix="_{n}").collect()) == ["k", "k", "k_2", "k_2", "k_3", "k_3"]
