@@ -128,3 +128,32 @@ def test_catalog_scan_and_sinks(spark, tmp_path):
     assert spark.read.parquet(target).count() == 5 and spark.read.parquet(kept).count() == 3 and kept.endswith("book_20240102T030405Z")
     with pytest.raises(Exception, match="exists"):
         sinks.save_new(spark.range(1).toDF("x"), target)
+
+
+def test_presets(spark):
+    from folioflow.operators import presets as P
+
+    labs = spark.createDataFrame([("b", 1, "http://h:1/x"), ("a", 0, "http://h:1/y"), ("c", 2, "https://k")], "lab_id string, lab_ord int, base_url string")
+    scenes = spark.createDataFrame([(0, "T", "http://h:1/s?b=2&a=1#z"), (1, "", "http://h:1/s?a=1&b=2"), (2, None, "https://k/q"), (3, "n", ""), (4, "o", "http://other/")], "ord int, title string, src string")
+    got = {r.ord: (r.lab_id, r.title, r.query) for r in P.discover(scenes, labs).collect()}
+    assert got == {0: ("a", "T", {"a": "1", "b": "2"}), 2: ("c", "https://k/q", {})}
+    df = spark.createDataFrame([("l", "p", "One", "d", "ready", {"k": "v"}, None, None), ("l", "q", "Two", "d", "archived", {}, None, "planned")], "lab_id string, preset_id string, title string, description string, status string, query map<string,string>, url string, previous_status string")
+    assert rows(P.visible(df, F.col("status")), "preset_id") == [("p",)]
+    assert rows(P.visible(df, F.col("status"), '"K":"V"'), "preset_id") == [("p",)]
+    there = P.archive(df, F.col("preset_id") == "p")
+    assert rows(there, "preset_id", "status", "previous_status") == [("p", "archived", "ready"), ("q", "archived", "planned")]
+    assert rows(P.restore(there, F.lit(True)), "preset_id", "status") == [("p", "ready"), ("q", "planned")]
+
+
+def test_insertion(spark):
+    from folioflow.operators import insertion as I
+    from folioflow.sources.html_blocks import block_rows
+
+    page = spark.createDataFrame([(1, "u", "<article><h2>T</h2><p>one two</p><p>three</p></article>")], "page_id long, url string, html string")
+    blocks = block_rows(page, "page_id")
+    assert [r.label for r in I.entry_keys(blocks, "page_id").orderBy("block_ord").collect()] == ["H2 · T", "paragraph · one two", "paragraph · three"]
+    new = I.blocks_to_items(blocks, ["page_id"], "block_ord")
+    old = new.where("item_ord < 2").withColumn("id", F.concat(F.lit("old-"), "item_ord"))
+    draft, evidence = I.insertion_draft(old, new, ["page_id"], "item_ord", 0, ["type", "text"], "i1")
+    assert [r.id for r in draft.orderBy("item_ord").collect()] == ["old-0", "import-1-0", "import-1-1", "import-1-2", "old-1"]
+    assert tuple(evidence.select("n", "hits", "duplicate").first()) == (3, 1, False)
