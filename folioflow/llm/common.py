@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +24,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
+KEPT = "kept-"
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
+
+    dropped() deletes such tables, but not those that are written to keep.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{KEPT if keep else ''}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more; the shared folder holds only what is still needed."""
+    root = None
+    for df in tables:
+        spark = df.sparkSession
+        root = root or shared_dir(spark).split(":", 1)[-1].lstrip("/")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root in path and not path.rsplit("/", 1)[-1].startswith(KEPT):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+
+
+def slices(it: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of a few rows, so that few texts at a time become Python objects."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -38,20 +67,51 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Up to so many edges are joined by one task; beyond it every step is an aggregation over all executors.
+FEW_EDGES = 500_000
+
+
+def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of an edge list, by hooking to smaller labels and pointer jumping."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def joined_by_one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in it if b.num_rows]
+    if parts:
+        node, label = labels(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        other = node != label
+        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(label[other])], ["node", "component"])
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of an undirected edge list by distributed union-find.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until no
+    Up to FEW_EDGES edges go to one task. Above that it alternates large-star and small-star steps (Kiveris et al., 2014) until no
     label changes; each step is one aggregation and its table is written to the
     shared folder. Returns (node, component) with the smallest node of each
     component, for nodes that have an edge to another node.
     Null ends and self loops are ignored; an empty list gives an empty table.
     """
-    spark = edges.sparkSession
-    kind = edges.schema[src].dataType
-    cur = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
+    cur = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     cur = written(cur.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     n, before = cur.count(), None
+    if 0 < n <= FEW_EDGES:
+        out = written(cur.coalesce(1).mapInArrow(joined_by_one, "node long, component long"), "cc")
+        dropped(cur)
+        return out
     while n:
         # Large star: every larger neighbour of u points at the smallest of u and its neighbours.
         both = cur.union(cur.select("v", "u")).toDF("u", "v")
@@ -62,8 +122,9 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         nxt = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         nxt = written(nxt.where("u <> v").distinct(), "cc")
         state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        dropped(cur)
         cur, n = nxt, state[0]
         if tuple(state) == before:
             break
         before = tuple(state)
-    return cur.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("component"))
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

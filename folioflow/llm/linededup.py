@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import dropped, slices, written
 from folioflow.llm.nearsets import BASE, LISTS, SEEDS, SKETCHES, STEPS, Scheme, U, byte_shingles, candidates, mixed, near_components, powers, sums
 from folioflow.session import table
 
@@ -32,7 +32,7 @@ MOST_BITS = 20
 #: Line numbers within a document; an id is doc_id * LINES + line number.
 LINES = 1 << 24
 #: Bytes of text that are sketched together.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 V40 = U((1 << 40) - 1)
 
 
@@ -73,9 +73,7 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     k2 = k1 ^ STEPS[43]
     full = np.flatnonzero(count > 0)
     if len(full):
-        first = (np.cumsum(count) - count)[full]
-        turn = (np.arange(len(h), dtype=np.int64) - np.repeat(first, count[full])).astype(np.uint64)
-        k2[full] = np.add.reduceat(h * (turn * U(2) + U(1)), first)
+        k2[full] = np.add.reduceat(h, (np.cumsum(count) - count)[full]) ^ STEPS[43]
     key = np.sort(np.concatenate([(line.astype(np.uint64) << U(40)) | (h >> U(24)), (short.astype(np.uint64) << U(40)) | (mixed(whole[short]) >> U(24))]))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -124,39 +122,45 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
     has sketches, so a line that many documents share is sketched a few times.
     """
 
-    def chunk(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        lines = [t.split(b"\n") for t in texts]
-        counts = np.array([len(x) for x in lines])
-        flat = [x for own in lines for x in own]
-        raw = np.frombuffer(b"".join(flat), dtype=np.uint8)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64)
-        if counts.max() > LINES:
+    def chunk(ids: np.ndarray, seg: np.ndarray, doc_end: np.ndarray) -> pa.RecordBatch:
+        size = np.diff(doc_end, prepend=0)
+        breaks = np.flatnonzero(seg == 10)
+        # A document's end comes before a line break at the start of the next one.
+        full = np.flatnonzero(size > 0)
+        ends = np.concatenate([doc_end[full], breaks])
+        by = np.argsort(ends, kind="stable")
+        at_break = by >= len(full)
+        doc = np.concatenate([full, np.searchsorted(doc_end, breaks, side="right")])[by]
+        ends = ends[by]
+        sizes = np.diff(ends, prepend=0)
+        sizes[1:] -= at_break[:-1]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        turn = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+        if len(turn) and turn.max() >= LINES:
             raise ValueError("a document has more lines than an id can tell apart")
-        n, k1, k2, tiers = sketch_lines(raw, ends)
-        name = np.repeat(np.array(ids, dtype=np.int64), counts) * LINES + np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        wanted = np.zeros(len(flat), dtype=bool)
-        by = np.lexsort((k2, k1))
+        n, k1, k2, tiers = sketch_lines(seg[seg != 10], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+        name = ids[doc] * LINES + turn
+        wanted = np.zeros(len(sizes), dtype=bool)
+        by = np.lexsort((name, k2, k1))
         wanted[by] = np.concatenate([[True], (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), sketch_column(len(flat), tiers, wanted)], ["id", "n", "k1", "k2", "sketches"])
+        cols = [pa.array(name), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), sketch_column(len(sizes), tiers, wanted)]
+        return pa.RecordBatch.from_arrays(cols, ["id", "n", "k1", "k2", "sketches"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids: list[int] = []
-            texts: list[bytes] = []
-            held = 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                ids.append(i)
-                texts.append(text.encode())
-                held += len(texts[-1])
-                if held >= CHUNK:
-                    yield chunk(ids, texts)
-                    ids, texts, held = [], [], 0
-            if texts:
-                yield chunk(ids, texts)
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+            if not batch.num_rows:
+                continue
+            ids, text = np.asarray(batch.column(0)), batch.column(1).cast(pa.large_string())
+            offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
+            lo = 0
+            while lo < len(ids):
+                hi = min(len(ids), max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK))))
+                if offsets[hi] > offsets[lo]:
+                    yield chunk(ids[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo])
+                lo = hi
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     return written(rows.mapInArrow(run, f"id long, n long, k1 long, k2 long, sketches {SKETCHES}"), "lines")
 
 
@@ -166,15 +170,17 @@ def doc_of(idcol: str):
 
 def line_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, comp, c, text) of the lines that each document's list names; a document is split once."""
-    for batch in it:
-        rows: list[list] = [[], [], [], []]
-        for text, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            lines = text.split("\n")
-            for id_, comp, c in zip(*(x.to_pylist() for x in own.values.flatten()), strict=True):
-                if id_ % LINES < len(lines):  # else another text under the same doc_id
-                    for to, x in zip(rows, (id_, comp, c, lines[id_ % LINES]), strict=True):
-                        to.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "comp", "c", "text"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    for whole in it:
+        for at in range(0, whole.num_rows, 256):
+            batch, rows = whole.slice(at, 256), [[], [], [], []]
+            for text, own in zip(batch.column(0), batch.column(1), strict=True):
+                lines = text.as_py().split("\n")
+                for id_, comp, c in zip(*(x.to_pylist() for x in own.values.flatten()), strict=True):
+                    if id_ % LINES < len(lines):  # else another text under the same doc_id
+                        for to, x in zip(rows, (id_, comp, c, lines[id_ % LINES]), strict=True):
+                            to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["id", "comp", "c", "text"])
 
 
 def removed_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100) -> DataFrame:
@@ -189,20 +195,18 @@ def removed_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100
     rows = told.select("id", "n", "k1", "k2").where(F.col("n") >= least)
     classes = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     named = written(rows.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep"), "named")
-    found = candidates(told.where((F.size("sketches") > 0) & (F.col("n") >= least)), MOST_BITS)
-    # Candidate edges between representatives of classes of equal lines.
-    name = named.where("id <> rep")
-    for end in ("a", "b"):
-        found = found.join(name.select(F.col("id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
-    found = written(found.where("a <> b").distinct(), "edges")
+    # The smallest line of a class is the smallest of its chunk, and so has sketches.
+    first = named.where("id = rep").select("id")
+    found = written(candidates(told.where(F.size("sketches") > 0).join(first, "id", "left_semi"), MOST_BITS), "candidates")
+    dropped(told)
 
     def with_text(members: DataFrame) -> DataFrame:
         lists = members.groupBy(doc_of("id").alias("doc_id")).agg(F.collect_list(F.struct("id", "comp", "c")).alias("own"))
-        joined = docs.select(F.col("doc_id").cast("long"), "text").join(lists, "doc_id")
+        joined = docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(lists, "doc_id")
         return joined.select("text", "own").mapInArrow(line_texts, "id long, comp long, c long, text string")
 
     joined = near_components(found, with_text, Scheme(partial(byte_shingles, size=SHINGLE), MOST_BITS, num, den))
-    joined = written(joined, "joined")
+    dropped(found)
     gone = named.join(joined, F.col("rep") == F.col("node"), "left").where("id <> rep or node is not null").withColumn("stays", F.coalesce("component", "rep")).where("id <> stays")
     return gone.groupBy(doc_of("id").alias("doc_id")).agg(F.array_sort(F.collect_list((F.pmod(F.col("id"), F.lit(LINES))).cast("int"))).alias("lines"))
 
@@ -214,12 +218,14 @@ def dedup_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100)
     taken to be unique; rows that repeat one lose the same line numbers. n_chars,
     where there is such a column, follows the new text.
     """
-    gone = written(removed_lines(docs, least, num, den), "gone").withColumnsRenamed({"doc_id": "gone_id", "lines": "gone_lines"})
-    out = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*docs.columns, "gone_lines")
+    runs = removed_lines(docs, least, num, den)
+    gone = written(runs, "gone").withColumnsRenamed({"doc_id": "gone_id", "lines": "gone_lines"})
+    dropped(runs)
+    out = docs.hint("merge").join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*docs.columns, "gone_lines")
     at, schema = docs.columns.index("text"), docs.schema
 
     def strip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             texts = batch.column(at).to_pylist()
             keep = np.ones(len(texts), dtype=bool)
             for i, own in enumerate(batch.column(len(schema)).to_pylist()):

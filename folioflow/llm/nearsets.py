@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, shuffle_partitions, small, written
+from folioflow.llm.common import components, dropped, shuffle_partitions, slices, small, written
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
@@ -186,7 +186,7 @@ def signed(rows: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> Dat
     """(id, text) to SIGNED, written to the shared folder; k1 and k2 are equal for equal sets."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             out: list[list] = [[] for _ in range(4)]
             for text in batch.column(1).to_pylist():
                 h = shingles(text)
@@ -371,38 +371,36 @@ def confirmed(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | Non
 def spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, near: Callable[[int, np.ndarray], np.ndarray], left: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that span the components: pairs whose estimate near(i, js) allows it are compared in full unless they are joined already."""
     g = len(sets)
-    root = np.arange(g)
+    part = np.arange(g)
     found: list[tuple[int, int]] = []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     for i in range(g - 1):
         js = np.arange(i + 1, g)
-        fit = den * np.minimum(sizes[i], sizes[js]) >= num * np.maximum(sizes[i], sizes[js])
+        fit = (part[i + 1 :] != part[i]) & (den * np.minimum(sizes[i], sizes[i + 1 :]) >= num * np.maximum(sizes[i], sizes[i + 1 :]))
         if left is not None:
-            fit &= left[i] | left[js]
+            fit &= left[i] | left[i + 1 :]
         js = js[fit]
         if not len(js):
             continue
-        here = top(i)
-        js = js[np.fromiter((top(j) != here for j in js), dtype=bool, count=len(js))]
         est = near(i, js)
         order = np.argsort(-est, kind="stable")
         for at in order[est[order] >= LEAST_ESTIMATE].tolist():
             j = int(js[at])
-            if top(j) == top(i):
+            if part[j] == part[i]:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            both = common_size(sets[i], sets[j])
             if den * both >= num * (sizes[i] + sizes[j] - both):
-                root[top(j)] = top(i)
+                part[part == part[j]] = part[i]
                 found.append((i, j))
     return found
 
 
+def common_size(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def links(cells: DataFrame, scheme: Scheme) -> DataFrame:
     """Confirmed links (a, b) that span the components inside each cell; cells: (cell, part, id, text, mark)."""
 
@@ -429,11 +427,12 @@ def near_components(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], s
     dense; what is then outside the largest part of its candidate component is
     compared with all of it, in blocks.
     """
-    cand = written(components(edges).withColumnRenamed("node", "id"), "cand")
+    found = components(edges)
     # The smallest member is a node of its own component.
-    cand = written(cand.union(cand.select("component", "component").distinct()).toDF("id", "comp"), "cand")
+    cand = written(found.union(found.select("component", "component").distinct()).toDF("id", "comp"), "cand")
     sizes = cand.groupBy("comp").agg(F.count("*").alias("c"))
     members = written(cand.join(sizes, "comp"), "members")
+    dropped(found, cand)
     with_text = texts(members)
     plain = with_text.where(F.col("c") <= CELL).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
     edges = written(links(plain, scheme), "links")
@@ -461,7 +460,9 @@ def near_components(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], s
         out = every.where("mark").withColumn("b", F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
         both = base.select("comp", cell(F.col("b"), F.col("p")), "id", "text", F.lit(False).alias("mark")).union(out.select("comp", cell(F.col("b"), F.col("p")), "id", "text", F.lit(True).alias("mark")))
         edges = edges.union(written(links(both.withColumnRenamed("comp", "cell"), scheme), "links"))
-    return components(edges.distinct())
+    out = components(edges.distinct())
+    dropped(members, edges)
+    return out
 
 
 def near_classes(rows: DataFrame, scheme: Scheme) -> DataFrame:
@@ -475,8 +476,10 @@ def near_classes(rows: DataFrame, scheme: Scheme) -> DataFrame:
     named = told.where("n > 0 and id is not null").select("k1", "k2", F.struct("id", "sketches").alias("s"))
     classes = written(named.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("k1", "k2", "s.*"), "classes")
     source = rows.select(F.col("id").cast("long").alias("id"), "text")
-    joined = near_components(candidates(classes, scheme.most_bits), lambda members: members.join(source, "id"), scheme)
+    edges = written(candidates(classes, scheme.most_bits), "candidates")
+    joined = near_components(edges, lambda members: source.hint("merge").join(members, "id"), scheme)
     reach = classes.select("k1", "k2", "id").join(joined, F.col("id") == F.col("node"), "left").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.coalesce("component", "id").alias("reached"))
     reach = written(reach, "reach")
+    dropped(edges, classes, joined)
     out = told.select("id", "n", "k1", "k2").join(reach, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("n") > 0), "left")
     return out.select("id", "n", F.coalesce("reached", "id").alias("component"))
