@@ -95,3 +95,22 @@ def test_unique_ids(spark):
     assert unique_ids(["x-2", "x", "x", None, ""]) == ["x-2", "x", "x-3", "id", "id-2"]
     df = spark.createDataFrame([(b, i, "k") for b in (1, 2) for i in range(3)], "b int, o int, id string")
     assert sorted(r.unique_id for r in ensure_unique(df, ["b"], ["o"], "id", suffix="_{n}").collect()) == ["k", "k", "k_2", "k_2", "k_3", "k_3"]
+
+
+def test_items(spark):
+    from folioflow.functions import items as I
+
+    df = spark.createDataFrame([("l", "list", ["a", "b", "c", "d", "e"], 5, True, 0), ("t", "table", ["h", "1", "2", "3"], 1, False, 1), ("s", "list", ["a"], 1, False, 0)], "id string, type string, rows array<string>, start int, ordered boolean, header_rows int")
+    got = {(r.id, r.split_part): (r.rows, r.start) for r in I.split_rows(df, F.lit(3)).collect()}
+    assert got == {("l", 1): (["a", "b", "c"], 5), ("l--cont-2", 2): (["d", "e"], 8), ("t", 1): (["h", "1", "2"], 1), ("t--cont-2", 2): (["h", "3"], 1), ("s", 1): (["a"], 1)}
+    one = spark.createDataFrame([(["↳ • x", "↳ ↳ y", "  ", "- z", None],)], "v array<string>").select(I.bullets(F.col("v")).alias("b"), I.bullets_text(I.bullets(F.col("v"))).alias("t")).first()
+    assert [tuple(e) for e in one.b] == [(1, "x"), (2, "y"), (0, "z")] and one.t == "↳ x\n↳ ↳ y\nz"
+    v = spark.createDataFrame([(["a", "b", "c"], '{"a":[{"b":7}]}')], "v array<string>, j string")
+    row = v.select(I.set_at(F.col("v"), 1, F.lit("x")), I.remove_at(F.col("v"), 0), I.insert_at(F.col("v"), 1, F.lit("n")), I.move_at(F.col("v"), 0, 1), I.move_at(F.col("v"), 2, -9), I.value_at(F.col("j"), "$.a[0].b", "int"), I.value_at(F.col("j"), "$.z")).first()
+    assert tuple(row) == (["a", "x", "c"], ["b", "c"], ["a", "n", "b", "c"], ["b", "a", "c"], ["c", "a", "b"], 7, None)
+    calls = spark.createDataFrame([("k", "T", "L", [("S", ""), (None, "M")])], "id string, title string, label string, steps array<struct<title:string,label:string>>")
+    assert sorted(tuple(r) for r in I.step_callouts(calls, [], ["title", "label"]).collect()) == [("k-step-1", 0, "S", "L"), ("k-step-2", 1, "T", "M")]
+    a = spark.createDataFrame([("x y", "paragraph", "p", 0, 0, "t"), (None, "figure", None, 1, 2, "My Fig"), (None, "paragraph", "p", 0, 0, "t")], "id string, type string, page_id string, page_ord int, item_ord int, title string")
+    assert [r.a for r in a.select(I.anchor_id(*[F.col(c) for c in a.columns]).alias("a")).collect()] == ["x-y", "page-2-3-my-fig", ""]
+    t = spark.createDataFrame([("paragraph", None, "a b c", None), ("side_note", "float", "a b", None), ("table", None, None, ["r"]), ("hero", None, "a", None)], "y string, p string, t string, r array<string>")
+    assert [r.u for r in t.select(I.splittable_units(*[F.col(c) for c in t.columns]).alias("u")).collect()] == [3, 0, 1, 0]
