@@ -47,6 +47,75 @@ def paginate(units: DataFrame, keys: list[str], order: list[str], height: str, h
     return fold_sorted(units, keys, order, [T.StructField("page", T.IntegerType())], fold)
 
 
+def most_that_fit(parts: list[float], room: float) -> int:
+    """How many leading parts fit, by binary search over their running sums."""
+    ends = np.cumsum(parts)
+    return int(np.searchsorted(ends, room + 1e-9, side="right"))
+
+
+def repaired(parts: list[list[float]], headings: list[bool], available: float, least: int = 3) -> list[tuple[int, int, int, int]]:
+    """(unit, page, first part, last part + 1): units that do not fit are split where most of their parts fit.
+
+    A split leaves at least `least` parts on either side, else the unit moves whole; a unit
+    that is higher than a page and cannot be split stands alone; a heading last on
+    its page moves on with what follows.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    page, room = 0, available
+
+    def turn() -> None:
+        nonlocal page, room
+        page, room = page + 1, available
+
+    for u, own in enumerate(parts):
+        at = 0
+        while at < len(own):
+            rest = own[at:]
+            if sum(rest) <= room:
+                n = len(rest)
+            else:
+                n = most_that_fit(rest, room)
+                n = min(n, len(rest) - least)
+                if n < least:
+                    if room < available:
+                        move = out and out[-1][1] == page and headings[out[-1][0]] and sum(1 for x in out if x[1] == page) > 1
+                        turn()
+                        if move:
+                            unit, _, a, b = out.pop()
+                            out.append((unit, page, a, b))
+                            room -= sum(parts[unit][a:b])
+                            if room >= sum(rest):
+                                continue
+                        if sum(rest) <= room or most_that_fit(rest, room) >= least:
+                            continue
+                    n = len(rest)
+            out.append((u, page, at, at + n))
+            room -= sum(rest[:n])
+            at += n
+            if at < len(own):
+                turn()
+        if room <= 0 and u + 1 < len(parts):
+            turn()
+    return out
+
+
+def paginate_split(units: DataFrame, keys: list[str], order: list[str], part_heights: str, heading: str, available: float, least: int = 3) -> DataFrame:
+    """Places units by the heights of their parts (array<double>), splitting those that do not fit.
+
+    Adds page, from_part and to_part (exclusive); a split unit has a row for each page.
+    """
+
+    def fold(rows: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        heads = rows[heading].fillna(False).astype(bool).tolist()
+        parts = [[max(0.0, float(h or 0)) for h in x] if x is not None and len(x) else [1.0] for x in rows[part_heights]]
+        placed = [(lo + u, p, a, b) for lo, hi in bounds for u, p, a, b in repaired(parts[lo:hi], heads[lo:hi], available, least)]
+        at, page, first, last = (np.array(c, dtype=np.int32) for c in zip(*placed, strict=True))
+        return rows.iloc[at].reset_index(drop=True).assign(page=page, from_part=first, to_part=last)
+
+    fields = [T.StructField(n, T.IntegerType()) for n in ("page", "from_part", "to_part")]
+    return fold_sorted(units, keys, order, fields, fold)
+
+
 def overflow_pages(placed: DataFrame, keys: list[str], height: str, available: float, tolerance: float = 1.0) -> DataFrame:
     """Pages whose units are higher than what is available, by how much."""
     used = placed.groupBy(*keys, "page").agg(F.sum(F.greatest(F.lit(1.0), F.coalesce(height, F.lit(1.0)))).alias("used"))

@@ -157,3 +157,18 @@ def test_insertion(spark):
     draft, evidence = I.insertion_draft(old, new, ["page_id"], "item_ord", 0, ["type", "text"], "i1")
     assert [r.id for r in draft.orderBy("item_ord").collect()] == ["old-0", "import-1-0", "import-1-1", "import-1-2", "old-1"]
     assert tuple(evidence.select("n", "hits", "duplicate").first()) == (3, 1, False)
+
+
+def test_split_pagination(spark):
+    r = paginate.repaired
+    assert r([[1.0] * 4, [1.0] * 10], [False, False], 10) == [(0, 0, 0, 4), (1, 0, 0, 6), (1, 1, 6, 10)]
+    assert r([[1.0] * 9, [1.0] * 4], [False, False], 10) == [(0, 0, 0, 9), (1, 1, 0, 4)]
+    assert r([[5.0], [1.0], [9.0]], [False, True, False], 10) == [(0, 0, 0, 1), (1, 1, 0, 1), (2, 1, 0, 1)]
+    assert r([[25.0], [1.0]], [False, False], 10) == [(0, 0, 0, 1), (1, 1, 0, 1)]
+    assert r([[1.0] * 25], [False], 10) == [(0, 0, 0, 10), (0, 1, 10, 20), (0, 2, 20, 25)]
+    for heights in ([[2.0] * n for n in (3, 9, 1, 30, 2)], [[float(i % 4 + 1)] * (i % 7 + 1) for i in range(30)]):
+        got = r(heights, [False] * len(heights), 12.0)
+        assert [x for u, _, a, b in got for x in [(u, i) for i in range(a, b)]] == [(u, i) for u, h in enumerate(heights) for i in range(len(h))]
+        assert [p for _, p, _, _ in got] == sorted(p for _, p, _, _ in got)
+    df = spark.createDataFrame([(1, 0, [1.0] * 25, False), (2, 0, None, True)], "b int, o int, h array<double>, hd boolean")
+    assert rows(paginate.paginate_split(df, ["b"], ["o"], "h", "hd", 10.0), "b", "page", "from_part", "to_part") == [(1, 0, 0, 10), (1, 1, 10, 20), (1, 2, 20, 25), (2, 0, 0, 1)]
