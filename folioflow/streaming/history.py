@@ -1,0 +1,24 @@
+"""Extension (the reference has no streams): the append-only command log as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COMMANDS = "seq long, book string, label string, at timestamp"
+
+
+def command_log(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
+    """A stream of JSON command rows that are appended as files to a folder; rows more than `late` behind may be dropped."""
+    return spark.readStream.schema(COMMANDS).json(path).withWatermark("at", late)
+
+
+def edits_by_window(commands: DataFrame, window: str = "10 minutes") -> DataFrame:
+    """Commands and distinct labels of each book and tumbling window."""
+    out = commands.groupBy(F.window("at", window).alias("w"), "book").agg(F.count("*").alias("commands"), F.approx_count_distinct("label").alias("labels"))
+    return out.select("book", F.col("w.start").alias("window_start"), "commands", "labels")
+
+
+def once_each(commands: DataFrame) -> DataFrame:
+    """Commands without repeats of (book, seq) within the watermark."""
+    return commands.dropDuplicatesWithinWatermark(["book", "seq"])

@@ -1,0 +1,14 @@
+from folioflow.streaming import history
+
+
+def test_edits_by_window(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = ['{"seq":%d,"book":"b","label":"l%d","at":"2024-01-01T00:0%d:00Z"}' % (i, i % 2, i) for i in range(5)]
+    (src / "a.json").write_text("\n".join([*lines, lines[0]]))
+    log = history.once_each(history.command_log(spark, str(src)))
+    q = history.edits_by_window(log).writeStream.format("memory").queryName("edits").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c"))
+    later = '{"seq":99,"book":"z","label":"x","at":"2024-01-02T00:00:00Z"}'
+    (src / "b.json").write_text(later)
+    q.start().awaitTermination(120)
+    assert [(r.book, r.commands, r.labels) for r in spark.table("edits").where("book = 'b'").collect()] == [("b", 5, 2)]
