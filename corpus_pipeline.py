@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, decontaminate, linededup, neardup, quality
-from folioflow.llm.common import small, written
+from folioflow.llm.common import dropped, written
 from folioflow.session import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.3 or more), learnt from the labels of these documents."""
-    model = quality.fit(quality.statistics_table(docs), table(spark, sf_dir, "labels"))
+    stats = quality.statistics_table(docs)
+    model = quality.fit(stats, table(spark, sf_dir, "labels"))
+    dropped(stats)
     return quality.accepted(docs, model)
 
 
@@ -23,16 +25,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
-    told = written(neardup.near_documents(docs, size=5), "near")
-    gone = told.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    told = neardup.near_documents(docs, size=5)
+    gone = written(told.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    dropped(told)
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of ten words of a benchmark item occurs."""
     told = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = written(told.where("contaminated").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    dropped(told)
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return docs

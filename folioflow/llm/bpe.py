@@ -23,6 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import slices
 from folioflow.session import table
 
 #: Characters of a leaf of the tree.
@@ -101,7 +102,7 @@ def digests(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, leaf: i
     tree = Tree(enc.encode_ordinary, pieces, leaf)
     names = [str(i) for i in range(len(pieces))]
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    for batch in it:
+    for batch in slices(it):
         n, of_ids, of_bytes = [], [], []
         for text in batch.column(1).to_pylist():
             ids = tree.encode(text or "")
@@ -114,7 +115,7 @@ def digests(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, leaf: i
 def token_rows(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, leaf: int) -> Iterator[pa.RecordBatch]:
     enc, pieces = load(ranks_path, pattern)
     tree = Tree(enc.encode_ordinary, pieces, leaf)
-    for batch in it:
+    for batch in slices(it):
         ids = [tree.encode(t or "") for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -122,14 +123,14 @@ def token_rows(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, leaf
 def decoded_rows(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, leaf: int) -> Iterator[pa.RecordBatch]:
     _, pieces = load(ranks_path, pattern)
     tree = Tree(lambda t: [], pieces, leaf)
-    for batch in it:
+    for batch in slices(it):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tree.decode(i or []) for i in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
 
 def digest_rows(it: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, leaf: int) -> Iterator[pa.RecordBatch]:
     _, pieces = load(ranks_path, pattern)
     tree = Tree(lambda t: [], pieces, leaf)
-    for batch in it:
+    for batch in slices(it):
         sha = [hashlib.sha256(tree.decode(i or [])).hexdigest() for i in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha, pa.string())], ["doc_id", "ids", "decoded_sha256"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import dropped, slices, written
 from folioflow.session import table
 
 #: Labelled rows that are learnt from at most; above it a hash of doc_id picks the same share everywhere.
@@ -86,7 +86,7 @@ def statistics_table(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) of every row, written to the shared folder: texts are read once, for learning and scoring."""
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             stats = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), stats], ["doc_id", "stats"])
 
@@ -193,6 +193,7 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(f == 0, x @ by[0], x @ by[1])), batch.column(1)], ["x", "y"])
 
     pairs = train.select("stats", "label", "fold").mapInArrow(crossed, "x double, y double").toPandas()  # at most about `most` rows
+    dropped(marks, train)
     return Model(mean, scale, both, isotonic(pairs["x"].to_numpy(), pairs["y"].to_numpy()))
 
 
@@ -216,7 +217,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             stats = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, N_STATS)
             yield batch.filter(pa.array(model.score(stats) >= least))
 
