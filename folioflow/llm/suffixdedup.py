@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import shuffle_partitions, written
+from folioflow.llm.common import dropped, shuffle_partitions, slices, written
 from folioflow.llm.nearsets import U, mixed, powers, sums
 from folioflow.session import table
 
@@ -69,7 +69,12 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, block, doc_id, start) of every block; the low byte of `block` is its count of windows, the rest a hash of its bytes."""
+    """(anchor, block, doc_id, start) of every block; the low byte of `block` is its count of windows, the rest a hash of its bytes.
+
+    A block that an equal one of the same chunk precedes is covered already: its
+    start is given as -1 - start and its anchor is any number, so that copies of
+    one text do not meet in one task.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -78,12 +83,20 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             piece, start, count, anchor, block = anchors(raw, ends, length)
             ids, base = np.array([p[0] for p in pieces], dtype=np.int64), np.array([p[1] for p in pieces], dtype=np.int64)
             mark = ((block >> U(8)) << U(8)) | count.astype(np.uint64)
-            cols = [anchor.view(np.int64), mark.view(np.int64), ids[piece], (base[piece] + start).astype(np.int64)]
+            doc, start = ids[piece], (base[piece] + start).astype(np.int64)
+            by = np.lexsort((start, doc, mark, anchor))
+            new = np.ones(len(by), dtype=bool)
+            new[1:] = (anchor[by][1:] != anchor[by][:-1]) | (mark[by][1:] != mark[by][:-1])
+            first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+            later = by[(doc[by] > doc[first]) | ((doc[by] == doc[first]) & (start[by] > start[first]))]
+            anchor[later] = mixed(anchor[later] + start[later].astype(np.uint64) * U(3) + doc[later].astype(np.uint64))
+            start[later] = -1 - start[later]
+            cols = [anchor.view(np.int64), mark.view(np.int64), doc, start]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "block", "doc_id", "start"])
 
         pieces: list[tuple[int, int, bytes]] = []
         held = 0
-        for batch in it:
+        for batch in slices(it):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
                 # Long texts go in parts that overlap by all but one byte of a window.
@@ -120,6 +133,12 @@ def told_apart(blocks: DataFrame, length: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, d, s = (np.asarray(batch.column(i)) for i in range(4))
+            known = s < 0
+            if known.any():
+                yield out(d[known], -1 - s[known], b[known] & 0xFF, None, False)
+                a, b, d, s = (x[~known] for x in (a, b, d, s))
+                if not len(a):
+                    continue
             # The first place of the block that the last batch ended in goes before this batch.
             if len(open_[0]):
                 a, b, d, s = (np.concatenate([x[-1:], y]) for x, y in zip(open_, (a, b, d, s), strict=True))
@@ -164,7 +183,7 @@ def block_texts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["key", "doc_id", "start", "text"])
 
         rows: list[list] = [[], [], [], []]
-        for batch in it:
+        for batch in slices(it):
             docs_, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             for i, doc in enumerate(docs_):
                 data = texts[i].as_py().encode()
@@ -398,7 +417,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     lists = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs")).withColumnRenamed("doc_id", "d")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             out: list[list] = [[], [], [], [], []]
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text or "").encode()
