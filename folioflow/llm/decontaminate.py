@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from folioflow.llm.common import small, written
+from folioflow.llm.common import dropped, small, written
 from folioflow.session import table
 
 WINDOW = 10
@@ -51,22 +51,24 @@ def phrase_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def occurrences(forward: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, h, wid, start, len): every exact occurrence of a window, by intersecting shifted posting lists."""
     phrases = written(windows.select("wid", "len", F.posexplode("win").alias("off", "term")).distinct(), "phrases")
-    terms = phrases.select("term").distinct()
-    n_rows = phrases.count()
-    counts = written(postings(forward, terms, n_rows).groupBy("term").agg(F.count("*").alias("n")), "counts")
+    terms = written(phrases.select("term").distinct(), "terms")
+    n_rows, n_terms = phrases.count(), terms.count()
+    counts = written(postings(forward, terms, n_terms).groupBy("term").agg(F.count("*").alias("n")), "counts")
     # Rarest terms first; a window with a term that no document has cannot occur.
-    ranked = phrases.join(small(counts, n_rows), "term", "left").select(
+    ranked = phrases.join(small(counts, n_terms), "term", "left").select(
         "*", F.row_number().over(W.partitionBy("wid").orderBy("n", "off")).alias("r"), F.count("n").over(W.partitionBy("wid")).alias("known")
     )
     rare = written(ranked.where((F.col("r") <= 2) & (F.col("known") == F.col("len"))).select("term", "wid", "off", "len"), "rare")
-    stored = written(postings(forward, rare.select("term").distinct(), n_rows), "postings")
-    shifted = stored.join(small(rare, n_rows), "term").select(*DOC, "wid", "len", "off", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    n_rare = rare.count()
+    stored = written(postings(forward, rare.select("term").distinct(), n_terms), "postings")
+    shifted = stored.join(small(rare, n_rare), "term").select(*DOC, "wid", "len", "off", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
     left = shifted.groupBy(*DOC, "wid", "len", "start").agg(F.size(F.collect_set("off")).alias("n")).where(F.col("n") == F.least(F.lit(2), "len"))
     left = written(left.drop("n"), "places")
+    dropped(counts, rare, stored)
     # The places that both rarest lists allow are confirmed on the lists of all their terms.
     where = left.select(*DOC).distinct()
     some = forward.join(small(where, where.count()).withColumnsRenamed({"doc_id": "d", "h": "g"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi")
-    found = postings(some, terms, n_rows).withColumnsRenamed({"doc_id": "d", "h": "g", "pos": "p", "term": "t"})
+    found = postings(some, terms, n_terms).withColumnsRenamed({"doc_id": "d", "h": "g", "pos": "p", "term": "t"})
     needed = left.join(small(phrases.drop("len"), n_rows), "wid").withColumn("at", F.col("start") + F.col("off"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("at") == F.col("p")) & (F.col("term") == F.col("t"))
     met = needed.join(found.distinct(), same).groupBy(*DOC, "wid", "len", "start").agg(F.count("*").alias("n"))
@@ -92,6 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     names = hits.select(*DOC, "wid").distinct().join(small(of, of.count()), "wid").groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = n_hit.alias("a").join(names.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.h = b.h")).select(F.col("a.doc_id").alias("d"), F.col("a.h").alias("g"), "n_hit", "items")
     found = written(found, "found")
+    dropped(hits, windows)
     out = forward.select(*DOC, "n_words").join(small(found, found.count()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
