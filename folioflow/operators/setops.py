@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,18 +104,25 @@ def parameter_keys(rows: DataFrame, keys: list[str], order: list[str], params: s
     return seen.groupBy(*keys, "param").agg(F.min(F.struct(*order, "_p")).alias("first")).select(*keys, "param", "first")
 
 
-def resolve_styles(styles: DataFrame, depth: int = 16) -> DataFrame:
-    """Style inheritance along based_on: the nearest ancestor's value of each property wins; cycles end at `depth`.
+def resolve_styles(styles: DataFrame) -> DataFrame:
+    """Style inheritance along based_on: the nearest ancestor's value of each property wins, at any depth.
 
-    styles: (style_id, based_on, props map). Each round doubles the length of the chains that are followed.
+    styles: (style_id, based_on, props map). Each round doubles the length of the chains that are followed and is
+    checkpointed. A style that is based on itself has no parent. Once a round closes no chain, those left run into cycles;
+    they hold no more ids than there are such rows, so after as many steps an id would repeat.
     """
-    cur = styles.select("style_id", F.col("based_on").alias("up"), string_map(F.col("props")).alias("props"))
-    steps = 1
-    while steps < depth:
+    sc = styles.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioflow-"))
+    up = F.when(F.col("based_on") != F.col("style_id"), F.col("based_on"))
+    cur = styles.select("style_id", up.alias("up"), string_map(F.col("props")).alias("props")).checkpoint()
+    steps, before, left = 1, None, cur.where("up is not null").count()
+    while left and not (left == before and steps >= left):
         parent = cur.select(F.col("style_id").alias("up"), F.col("up").alias("_next"), F.col("props").alias("_props"))
-        joined = cur.join(parent, "up", "left")
+        joined = cur.where("up is not null").join(parent, "up", "left")
         own = F.coalesce("_props", F.create_map().cast("map<string,string>"))
         rest = F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys("props"), k))
-        cur = joined.select("style_id", F.col("_next").alias("up"), F.map_concat("props", rest).alias("props"))
-        steps *= 2
+        grown = joined.select("style_id", F.col("_next").alias("up"), F.map_concat("props", rest).alias("props"))
+        cur = cur.where("up is null").union(grown).checkpoint()
+        steps, before, left = steps * 2, left, cur.where("up is not null").count()
     return cur.select("style_id", "props")

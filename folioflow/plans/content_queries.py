@@ -368,13 +368,28 @@ def overflow_pages(spark, sf_dir):
        SELECT id AS style_id, max(font) AS font, max(size) AS size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY up) AS n FROM r) WHERE n = 1 GROUP BY id""",
 )
 def style_inherit(spark, sf_dir):
+    return inherited_styles(table(spark, sf_dir, "part").where("p_partkey < 1000"))
+
+
+def inherited_styles(part):
     k = F.col("p_partkey")
     props = F.create_map(F.lit("font"), F.when(k % 3 == 0, F.col("p_brand")), F.lit("size"), F.when(k % 5 == 0, F.col("p_type")))
-    styles = table(spark, sf_dir, "part").where("p_partkey < 1000").select(k.cast("string").alias("style_id"), F.floor(k / 2).cast("string").alias("based_on"), props.alias("props"))
+    styles = part.select(k.cast("string").alias("style_id"), F.floor(k / 2).cast("string").alias("based_on"), props.alias("props"))
     out = setops.resolve_styles(styles)
     return out.select(F.col("style_id").cast("long"), F.col("props")["font"].alias("font"), F.col("props")["size"].alias("size"))
 
 
+@register(
+    "style_inherit_all",
+    """WITH RECURSIVE s AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN -1 ELSE p_partkey // 2 END AS up, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS font, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS size FROM part),
+       r AS (SELECT id, up, font, size FROM s UNION ALL SELECT r.id, s.up, coalesce(r.font, s.font), coalesce(r.size, s.size) FROM r JOIN s ON s.id = r.up WHERE r.up >= 0)
+       SELECT id AS style_id, max(font) AS font, max(size) AS size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY up) AS n FROM r) WHERE n = 1 GROUP BY id""",
+)
+def style_inherit_all(spark, sf_dir):
+    """Every part; style_inherit and its SQL state those below 1000."""
+    return inherited_styles(table(spark, sf_dir, "part"))
+
+
 @register(
     "unique_ids",
     f"""WITH {ITEMS}, n AS (SELECT l_orderkey, ord, 'i' || l_returnflag AS base, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY ord) AS n FROM items)
