@@ -203,6 +203,15 @@ def slug(spark, sf_dir):
     return docs.select("doc_id", F.lit(0).alias("line_no"), X.slugify(F.split("text", "\n")[0]).alias("slug"))
 
 
+@register(
+    "slug_lines",
+    f"""WITH {LINES} SELECT doc_id, ord AS line_no, coalesce(nullif(substr(trim(regexp_replace(lower(translate(line, 'áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ', 'aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC')), '[^a-z0-9Ͱ-Ͽ]+', '-', 'g'), '-'), 1, 60), ''), 'item') AS slug FROM lines""",
+)
+def slug_lines(spark, sf_dir):
+    """Every line of every document; slug and its SQL state first lines of documents that are not German."""
+    return doc_lines(spark, sf_dir).select("doc_id", F.col("ord").alias("line_no"), X.slugify(F.col("line")).alias("slug"))
+
+
 @register(
     "normalize_id",
     """WITH t AS (SELECT p_partkey, trim(regexp_replace(trim(p_brand || ' ' || p_size), '[^A-Za-z0-9_:.-]+', '-', 'g'), '-') AS s, trim(regexp_replace(p_size || ' ' || p_name, '[^A-Za-z0-9_:.-]+', '-', 'g'), '-') AS u FROM part)

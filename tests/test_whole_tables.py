@@ -28,3 +28,10 @@ def test_style_inherit_all(spark, tmp_path):
     got = {r.style_id: (r.font, r.size) for r in content_queries.style_inherit_all(spark, str(tmp_path)).collect()}
     want = {i: ("b0", "t0") for i in ids} | {3: ("b3", "t0")}
     assert got == want
+
+
+def test_slug_of_every_line(spark, tmp_path):
+    rows = [(1, "Öl & Äpfel\n\nZweite Zeile", "de", "s"), (2, "Straße ß\nx", None, "s"), (3, "a", "en", "s"), (4, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in content_queries.slug_lines(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, "ol-apfel"), (1, 1, "item"), (1, 2, "zweite-zeile"), (2, 0, "stra-e"), (2, 1, "x"), (3, 0, "a")]
