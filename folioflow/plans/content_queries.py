@@ -274,6 +274,19 @@ def dialogue_parse(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.dialogue_row(line).alias("d")).select("conv_id", "turn", "d.*")
 
 
+@register(
+    "dialogue_lines",
+    """WITH l AS (SELECT conv_id, turn, role, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT *, string_split_regex(text, '\\r?\\n') AS a FROM conversations)),
+       p AS (SELECT conv_id, turn, line_no, string_split_regex(trim(concat_ws(' | ', role, line)), '\\s+\\|\\s+') AS a FROM l WHERE regexp_matches(line, '\\S'))
+       SELECT conv_id, turn, line_no, CASE WHEN len(a) >= 2 THEN a[1] ELSE '' END AS speaker, CASE WHEN len(a) >= 3 THEN array_to_string(a[2:len(a) - 1], ' | ') WHEN len(a) = 2 THEN a[2] ELSE a[1] END AS "left", CASE WHEN len(a) >= 3 THEN a[-1] ELSE '' END AS "right" FROM p""",
+)
+def dialogue_lines(spark, sf_dir):
+    """Every line of every turn that is not blank, as the reference parses them; dialogue_parse and its SQL state first lines."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    parsed = lines.where(F.col("line").rlike(r"\S")).select("conv_id", "turn", "line_no", X.dialogue_row(F.concat_ws(" | ", "role", "line")).alias("d"))
+    return parsed.select("conv_id", "turn", "line_no", "d.*")
+
+
 @register("atoms", f"WITH {LINES} SELECT doc_id, ord, len(regexp_extract_all(line, '\\S+\\s*|\\s+')) AS n_atoms, regexp_extract(line, '\\S+\\s*|\\s+') AS first_atom FROM lines WHERE line <> ''")
 def atoms(spark, sf_dir):
     found = doc_lines(spark, sf_dir).where("line <> ''").select("doc_id", "ord", X.atoms(F.col("line")).alias("a"))

@@ -35,3 +35,10 @@ def test_slug_of_every_line(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in content_queries.slug_lines(spark, str(tmp_path)).collect())
     assert got == [(1, 0, "ol-apfel"), (1, 1, "item"), (1, 2, "zweite-zeile"), (2, 0, "stra-e"), (2, 1, "x"), (3, 0, "a")]
+
+
+def test_dialogue_of_every_line(spark, tmp_path):
+    rows = [("c", 0, "Ann", "hi | ho\r\n  \n\nlast"), ("c", 1, None, "x"), ("c", 2, "Bob", None)]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in content_queries.dialogue_lines(spark, str(tmp_path)).collect())
+    assert got == [("c", 0, 0, "Ann", "hi", "ho"), ("c", 0, 3, "Ann", "last", ""), ("c", 1, 0, "", "x", "")]
