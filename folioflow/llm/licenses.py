@@ -1,12 +1,15 @@
 """Licence scan: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Notices are the lines of a whole file that carry a
-cue; equal notices are compared once. Terms are weighted by their document
-frequency over all notices of the corpus.
+DataFrame functions only. A file is seen in several views: its lines that carry
+a cue, its header block, the whole text of a licence file, windows as long as a
+template around each cue, and its SPDX tags. Equal views are compared once.
+Terms are weighted by their document frequency over all notice lines.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +30,53 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+#: Names of licences; as all templates of few terms, they are met in windows word by word.
+NAMES = [
+    ("MIT", "MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License v. 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+]
+#: Texts of licences, or the notice that a long licence has put into files.
+TEXTS = [
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+]
+#: Templates of up to so many terms are met in windows word by word: one other word can be another licence.
+FEW_TERMS = 12
+#: A template of more distinct terms than this is a text: half of them must occur, or the words of any prose would do where few notices are known.
+TEXT_TERMS = 30
 #: What makes a line a notice, in lower case.
 CUES = ("licens", "licenc", "copyright", "spdx")
+#: Phrases of licence texts that can stand without a cue, and the terms around which windows are laid.
+PHRASES = ("permission is hereby granted", "redistribution and use in source")
+ANCHOR = r"^(licens|licenc|copyright|spdx|hereby$|redistribution$)"
+LICENSE_FILE = r"(?i)^(licen[sc]e|copying)(\..*)?$"
 LEAST_COSINE = 0.6
 
 
@@ -48,32 +96,78 @@ def has_cue(text: Column) -> Column:
 def notice_matches(lines: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """(notice, license, cosine): the best template of every distinct notice that reaches `least`.
 
-    lines: (notice, n) with distinct token strings and how often each occurs;
-    templates: (license, text). Ties go to the smaller licence id.
+    lines: (notice, n, terms) with a key, how many notice lines have it (0 for other
+    views) and the token string; templates: (license, text). Ties go to the smaller licence id.
+    A licence may have several templates.
     """
-    counts = lines.select("notice", "n", F.explode(F.split("notice", " ")).alias("term")).groupBy("notice", "n", "term").agg(F.count("*").alias("tf"))
+    counts = lines.select("notice", "n", F.explode(F.split("terms", " ")).alias("term")).groupBy("notice", "n", "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.sum("n").alias("df"))
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     idf = F.log((F.lit(1.0) + F.lit(total)) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0
-    marked = written(templates.select("license", F.explode(tokens(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf")), "templates")
+    marked = written(templates.select("license", F.md5("text").alias("t"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("license", "t", "term").agg(F.count("*").alias("tf")), "templates")
     n_marks = marked.count()
     known = marked.select("term").distinct().join(df, "term", "left")
     known = written(known.select("term", idf.alias("idf")), "idf")
-    weight = marked.join(small(known, n_marks), "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weight.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    weight = weight.join(norm, "license")
+    weight = marked.join(small(known, n_marks), "term").select("license", "t", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weight.groupBy("license", "t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"), F.count("*").alias("t_terms"))
+    weight = weight.join(norm, ["license", "t"])
     own = counts.join(df, "term").select("notice", "term", (F.col("tf") * idf).alias("x"))
     norms = own.groupBy("notice").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = own.join(small(weight, n_marks), "term").groupBy("notice", "license", "t_norm").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = own.join(small(weight, n_marks), "term").groupBy("notice", "license", "t", "t_norm", "t_terms").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.count("*").alias("shared"))
+    dots = dots.where((F.col("t_terms") <= TEXT_TERMS) | (2 * F.col("shared") >= F.col("t_terms")))
     scored = dots.join(norms, "notice").select("notice", "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("cosine"))
     best = scored.where(F.col("cosine") >= least).groupBy("notice").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     return best.select("notice", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
-def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+def shapes(templates: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """(terms before the first anchor, terms in all) of every template that has an anchor."""
+    found = set()
+    for _, text in templates:
+        terms = re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", text.lower())
+        at = [i for i, x in enumerate(terms) if re.search(ANCHOR, x)]
+        found |= {(at[0], len(terms))} if at else set()
+    return sorted(found)
+
+
+def wide_views(rows: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """(doc_id, path, h, few, terms): header blocks, whole licence files and windows around anchors, of files with a cue or phrase.
+
+    few marks windows of short templates. Every licence text has a cue or phrase, so other files have no view.
+    """
+    low = F.lower("text")
+    cued = has_cue(F.col("text"))
+    for phrase in PHRASES:
+        cued = cued | low.contains(phrase)
+    whole = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE)
+    head = F.split("text", r"\n[ \t\r]*\n", 2)[0]
+    seen = rows.where(cued).select("doc_id", "path", "h", whole.alias("whole"), tokens(F.col("text")).alias("t"), tokens(head).alias("head"))
+    spots = F.filter(F.transform("t", lambda x, i: F.when(x.rlike(ANCHOR), i + 1)), lambda i: i.isNotNull())
+    seen = seen.withColumn("spots", spots)
+    view = lambda few, terms: F.struct(F.lit(few).alias("few"), F.array_join(terms, " ").alias("terms"))
+    around = [lambda p, c=c, n=n: view(n <= FEW_TERMS, F.slice("t", F.greatest(p - c, F.lit(1)), F.lit(n))) for c, n in shapes(templates)]
+    windows = F.flatten(F.transform("spots", lambda p: F.array(*[w(p) for w in around])))
+    blocks = F.filter(F.array(view(False, F.col("head")), F.when(F.col("whole"), view(False, F.col("t")))), lambda v: v.isNotNull())
+    out = seen.select("doc_id", "path", "h", F.explode(F.concat(blocks, windows) if around else blocks).alias("v"))
+    return out.select("doc_id", "path", "h", "v.few", "v.terms").where("terms <> ''")
+
+
+def spdx_matches(rows: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """(doc_id, path, h, license, cosine): known licences named by SPDX tags, each term of an expression by itself."""
+    tags = F.regexp_extract_all(F.lower("text"), F.lit(r"spdx-license-identifier:[ \t]*([^\r\n]*)"), 1)
+    ids = rows.where(F.lower("text").contains("spdx-license-identifier")).select("doc_id", "path", "h", F.explode(tags).alias("tag"))
+    ids = ids.select("doc_id", "path", "h", F.explode(F.split("tag", r"[^a-z0-9.+-]+")).alias("id"))
+    ids = ids.withColumn("id", F.regexp_replace("id", r"(-only|-or-later|\+)$", ""))
+    known = sorted({x for x, _ in templates})
+    name = F.create_map(*[F.lit(y) for x in known for y in (x.lower(), x)]) if known else F.lit(None).cast("map<string,string>")
+    return ids.select("doc_id", "path", "h", F.try_element_at(name, F.col("id")).alias("license"), F.lit(1.0).alias("cosine")).where("license is not null")
+
+
+def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE, names: list[tuple[str, str]] = ()) -> DataFrame:
     """(doc_id, path, license, cosine, origin) for every row of files: (doc_id, path, text).
 
-    origin is "own" where a notice of the file itself matches, else "inherited"
+    origin is "own" where a view of the file itself matches (names are further short
+    templates, for windows only), else "inherited"
     where the nearest directory at or above it holds a licence file (LICENSE,
     LICENCE or COPYING, any ending) whose notice matches, else "none". Among
     several notices or licence files the highest cosine wins, then the smaller
@@ -81,16 +175,24 @@ def scan(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) ->
     nothing; repeated rows each get a row; other columns are not read.
     """
     rows = files.select("doc_id", "path", F.xxhash64("doc_id", "path", "text").alias("h"), "text")
+    given = [(r.license, r.text) for r in templates.collect()]
     noted = rows.where(has_cue(F.col("text"))).select("doc_id", "path", "h", F.explode(F.split("text", "\n")).alias("line")).where(has_cue(F.col("line")))
-    noted = written(noted.select("doc_id", "path", "h", F.array_join(tokens(F.col("line")), " ").alias("notice")), "notices")
-    lines = written(noted.groupBy("notice").agg(F.count("*").alias("n")), "distinct")
+    noted = noted.select("doc_id", "path", "h", F.lit(1).alias("n"), F.array_join(tokens(F.col("line")), " ").alias("terms"))
+    wide = written(wide_views(rows, [*given, *names]), "views")
+    noted = noted.union(wide.where("not few").select("doc_id", "path", "h", F.lit(0).alias("n"), "terms"))
+    noted = written(noted.withColumn("notice", F.md5("terms")), "notices")
+    lines = written(noted.groupBy("notice").agg(F.sum("n").alias("n"), F.first("terms").alias("terms")), "distinct")
     matches = written(notice_matches(lines, templates, least), "matches")
-    hit = noted.join(small(matches, matches.count()), "notice")
+    found = noted.select("doc_id", "path", "h", "notice").distinct().join(small(matches, matches.count()), "notice").select("doc_id", "path", "h", "license", "cosine")
+    marks = rows.sparkSession.createDataFrame([*given, *names], "license string, text string")
+    marks = marks.select(F.col("license"), F.array_join(tokens(F.col("text")), " ").alias("terms")).distinct()
+    exact = wide.where("few").join(F.broadcast(marks), "terms").select("doc_id", "path", "h", "license", F.lit(1.0).alias("cosine"))
+    hit = found.union(exact).union(spdx_matches(rows, [*given, *names]))
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "license"))
     own = hit.groupBy("doc_id", "path", "h").agg(best.alias("b")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("path").alias("p"), F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
     own = written(own, "own")
     parent = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
-    listing = own.where(F.regexp_extract("p", r"([^/]*)$", 1).rlike(r"(?i)^(licen[sc]e|copying)(\..*)?$"))
+    listing = own.where(F.regexp_extract("p", r"([^/]*)$", 1).rlike(LICENSE_FILE))
     dirs = listing.select(parent(F.col("p")).alias("dir"), "cosine", "license").groupBy("dir").agg(best.alias("b")).select("dir", F.col("b.license").alias("dir_license"), (-F.col("b.c")).alias("dir_cosine"))
     dirs = written(dirs, "dirs")
     # Ancestors of each distinct directory, so a directory with many files is one row of the path join.
@@ -112,7 +214,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     tens = F.floor(F.col("doc_id") / 10).cast("string")
     path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 1000).cast("string"), F.when(F.col("doc_id") % 3 == 0, tens), name)
     files = docs.select("doc_id", path.alias("path"), "text")
-    return scan(files, spark.createDataFrame(TEMPLATES, "license string, text string"))
+    return scan(files, spark.createDataFrame(TEMPLATES + TEXTS, "license string, text string"), names=NAMES)
 
 
 ORACLE = (

@@ -22,3 +22,28 @@ def test_own_inherited_none(spark):
     assert got == sorted(want, key=str)
     assert li.scan(files.limit(0), t).count() == 0
     assert {r.origin for r in li.scan(files, t.limit(0)).collect()} == {"none"}
+
+
+def test_tags_headers_bodies_and_windows(spark):
+    apache, mit, bsd = (dict((a, t) for a, t in li.TEXTS)[k] for k in ("Apache-2.0", "MIT", "BSD-3-Clause"))
+    wrapped = lambda t: "\n".join(" * " + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    cases = [
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("// SPDX-License-Identifier: (GPL-2.0-or-later OR Foo-1.0)\ncode", "GPL-2.0"),
+        ("SPDX-License-Identifier: MIT-0", None),
+        ("SPDX-License-Identifier: Unknown-1.0", None),
+        ("Copyright (c) 2024 Ann Example. Released under the MIT License. See the file for details of it", "MIT"),
+        ("many words of a paragraph go before it. Licensed under the Apache License, Version 2.0. And many more words come after it here", "Apache-2.0"),
+        ("BSD 3-Clause License", "BSD-3-Clause"),
+        ("Mozilla Public License Version 2.0", "MPL-2.0"),
+        ("Another Public License Version 2.0", None),
+        (wrapped(apache) + "\n\ncode " * 300, "Apache-2.0"),
+        ("word " * 500 + "\n" + wrapped(bsd) + "\n" + "word " * 500, "BSD-3-Clause"),
+        ("plain prose about nothing", None),
+    ]
+    rows = [(i, f"d{i}/f.txt", t) for i, (t, _) in enumerate(cases)] + [(90, "m/LICENSE", mit.split("THE SOFTWARE IS")[0]), (91, "m/x/f.txt", "z"), (92, "e/LICENSE", "nothing of the kind")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    t = spark.createDataFrame(li.TEMPLATES + li.TEXTS, "license string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in li.scan(files, t, names=li.NAMES).collect()}
+    want = {i: (x, "own" if x else "none") for i, (_, x) in enumerate(cases)} | {90: ("MIT", "own"), 91: ("MIT", "inherited"), 92: (None, "none")}
+    assert got == want
