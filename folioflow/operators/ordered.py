@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -152,3 +154,22 @@ def first_per_key(rows: DataFrame, keys: list[str], value: str, order: list[str]
 def distinct_in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def positions(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Place of every row, from 1, in a total order: ranges are counted, and each numbers its rows on from those before it.
+
+    The ranges are checkpointed, since another run would sample other bounds.
+    """
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioflow-"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    begins, n = [], 0
+    for r in dealt.groupBy("_part").count().orderBy("_part").collect():
+        begins.append((r["_part"], n))
+        n += r["count"]
+    begun = rows.sparkSession.createDataFrame(begins, "_part int, _begun long")
+    own = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    return own.join(F.broadcast(begun), "_part").withColumn(out, F.col("_begun") + F.col("_n")).drop("_part", "_begun", "_n")

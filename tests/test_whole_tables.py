@@ -1,7 +1,9 @@
 """Queries over whole tables, on rows that a filter or a fixed bound would lose."""
 
-from folioflow.operators import setops
-from folioflow.plans import content_queries
+from pyspark.sql import functions as F
+
+from folioflow.operators import ordered, setops
+from folioflow.plans import catalog_queries, content_queries
 
 
 def test_styles_of_any_depth_and_cycle(spark):
@@ -42,3 +44,12 @@ def test_dialogue_of_every_line(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(tuple(r) for r in content_queries.dialogue_lines(spark, str(tmp_path)).collect())
     assert got == [("c", 0, 0, "Ann", "hi", "ho"), ("c", 0, 3, "Ann", "last", ""), ("c", 1, 0, "", "x", "")]
+
+
+def test_positions_of_every_part(spark, tmp_path):
+    rows = [(k, f"item {k * 7 % 300}", "b", k * 37 % 51) for k in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = [r.p_partkey for r in catalog_queries.catalog_sort_all(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (-r[3], -(r[0] * 7 % 300), r[0]))]
+    few = ordered.positions(spark.range(3), [F.desc("id")], "pos")
+    assert sorted(map(tuple, few.collect())) == [(0, 3), (1, 2), (2, 1)] and ordered.positions(spark.range(0), [F.asc("id")], "pos").count() == 0
