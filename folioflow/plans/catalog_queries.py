@@ -342,6 +342,18 @@ def dup_evidence(spark, sf_dir):
     return audit.duplicate_evidence(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"), ["doc_id"], ["line"])
 
 
+@register(
+    "dup_evidence_all",
+    f"""WITH {LINES}, k AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT doc_id) > 1), e AS (SELECT doc_id, count(*) AS n, count(k.line) AS hits FROM lines LEFT JOIN k USING (line) GROUP BY doc_id)
+       SELECT *, hits >= greatest(2, ceil(n * 0.7)) AS duplicate FROM e""",
+)
+def dup_evidence_all(spark, sf_dir):
+    """Every document against the lines of all others; dup_evidence and its SQL state odd ids against even ones."""
+    rows = doc_lines(spark, sf_dir).select("doc_id", "line")
+    shared = rows.groupBy("line").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return audit.duplicate_evidence(rows, shared, ["doc_id"], ["line"])
+
+
 @register("import_metrics", f"WITH {LINES} SELECT lang, count(*) AS paragraphs, count(*) FILTER (WHERE contains(line, ' | ')) AS tables, count(*) FILTER (WHERE trim(line) = '') AS blanks, count(DISTINCT doc_id) AS docs FROM lines GROUP BY lang")
 def import_metrics(spark, sf_dir):
     x = doc_lines(spark, sf_dir)

@@ -53,3 +53,10 @@ def test_positions_of_every_part(spark, tmp_path):
     assert got == [r[0] for r in sorted(rows, key=lambda r: (-r[3], -(r[0] * 7 % 300), r[0]))]
     few = ordered.positions(spark.range(3), [F.desc("id")], "pos")
     assert sorted(map(tuple, few.collect())) == [(0, 3), (1, 2), (2, 1)] and ordered.positions(spark.range(0), [F.asc("id")], "pos").count() == 0
+
+
+def test_evidence_among_all_documents(spark, tmp_path):
+    rows = [(1, "a\nb\nc", "en", "s"), (3, "a\nb\nx", "en", "s"), (2, "d\nd", "en", "s"), (4, "e\nf", "en", "s"), (6, "e\nf\ng", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog_queries.dup_evidence_all(spark, str(tmp_path)).select("doc_id", "n", "hits", "duplicate").collect())
+    assert got == [(1, 3, 2, False), (2, 2, 0, False), (3, 3, 2, False), (4, 2, 2, True), (6, 3, 2, False)]
