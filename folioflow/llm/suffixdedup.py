@@ -3,15 +3,19 @@
 Every window of LENGTH bytes belongs to the anchor it contains: the leftmost of
 its K-byte grams with the smallest hash. Equal windows have equal anchors, so
 anchors deal the windows to tasks that never need each other. The windows of one
-anchor occurrence form a block of text; equal blocks are told apart by place
-before any text moves, and only anchors with different blocks go on.
+anchor occurrence form a block of text. Copies of a block (one anchor and one
+BLAKE2b digest of 120 bits of its bytes) are one string with many places and
+are counted before any text moves; anchors with different blocks go on.
 
 In a task the blocks are cut into shards. Each shard's suffixes are sorted by
-themselves, which gives its transform over SYMBOL-byte letters. The transforms
-are merged by iterative interleave refinement (Holt and McMillan, 2014): a stable
-deal of the merged order by preceding letters sorts it one letter deeper, and a
-boundary between neighbours appears in the step that follows their common
-prefix. What no boundary divides after LENGTH bytes are the repeated intervals.
+themselves once, which gives its transform over SYMBOL-byte letters: the letter
+before each suffix, in sorted order. From there on only transforms are read. An
+interleave vector says from which shard each merged place comes; every step
+reads the transforms through it, shard by shard in their own order, and deals
+the vector by the letters read (Holt and McMillan, 2014), which sorts it one
+letter deeper. A boundary that appears between neighbours in step h + 1 says
+that their common prefix is h letters long (Egidi and Manzini, 2017). Places
+that no boundary divides after LENGTH bytes are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import dropped, shuffle_partitions, slices, written
+from folioflow.llm.common import shuffle_partitions, slices, written
 from folioflow.llm.nearsets import U, mixed, powers, sums
 from folioflow.session import table
 
@@ -34,16 +38,18 @@ CHUNK, MERGE = 1 << 20, 60_000
 #: Different blocks of one anchor that a task merges together; an anchor with more is dealt out by window.
 BLOCKS = 8_000
 SHARDS = 4
+#: Tasks that first meet the equal windows of a hot anchor, each a share of them.
+SALTS = 32
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(piece, start, count, anchor hash, block hash) of every block of the pieces raw[ends[i]:ends[i+1]].
+    """(piece, start in raw, count, anchor hash) of every block of the pieces raw[ends[i]:ends[i+1]].
 
     A block owns `count` windows from `start` on; it is `count + length - 1` bytes long.
     """
     n, reach = len(raw) - K + 1, length - K + 1
     if len(raw) < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
     total, inverse = sums(raw), powers(len(raw) + 1)[1]
     h = mixed((total[K:] - total[:-K]) * inverse[:n])
     bits = U(int(n).bit_length())
@@ -62,14 +68,37 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     new = np.ones(len(window), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])
     first = np.flatnonzero(new)
-    start, count, piece = window[first], np.diff(np.append(first, len(window))), piece[first]
-    end = start + count + length - 1
-    block = mixed((total[end] - total[start]) * inverse[start] + count.astype(np.uint64))
-    return piece, start - ends[:-1][piece], count, h[at[first]], block
+    return piece[first], window[first], np.diff(np.append(first, len(window))), h[at[first]]
+
+
+def block_digests(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two numbers for each block: 128 bits of BLAKE2b over its bytes."""
+    of = hashlib.blake2b
+    found = b"".join([of(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
+    return np.frombuffer(found, dtype=np.uint64).reshape(-1, 2)
+
+
+#: A block by name: its anchor, its digest (the low byte of b1 is its count of windows), and its place.
+PLACES = "anchor long, b1 long, b2 long, doc_id long, h long, start long"
+NAMES = [f.split()[0] for f in PLACES.split(", ")]
+
+
+def runs_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Marks the rows that differ from the row before in one of the columns."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def after(place: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Whether place comes after other, both (doc_id, h, start)."""
+    (d, h, s), (d2, h2, s2) = place, other
+    return (d > d2) | ((d == d2) & ((h > h2) | ((h == h2) & (s > s2))))
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, block, doc_id, start) of every block; the low byte of `block` is its count of windows, the rest a hash of its bytes.
+    """PLACES of every block; docs: (doc_id, h, text).
 
     A block that an equal one of the same chunk precedes is covered already: its
     start is given as -1 - start and its anchor is any number, so that copies of
@@ -78,134 +107,154 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join([p[2] for p in pieces]), dtype=np.uint8)
-            ends = np.concatenate([[0], np.cumsum([len(p[2]) for p in pieces])])
-            piece, start, count, anchor, block = anchors(raw, ends, length)
-            ids, base = np.array([p[0] for p in pieces], dtype=np.int64), np.array([p[1] for p in pieces], dtype=np.int64)
-            mark = ((block >> U(8)) << U(8)) | count.astype(np.uint64)
-            doc, start = ids[piece], (base[piece] + start).astype(np.int64)
-            by = np.lexsort((start, doc, mark, anchor))
-            new = np.ones(len(by), dtype=bool)
-            new[1:] = (anchor[by][1:] != anchor[by][:-1]) | (mark[by][1:] != mark[by][:-1])
-            first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
-            later = by[(doc[by] > doc[first]) | ((doc[by] == doc[first]) & (start[by] > start[first]))]
-            anchor[later] = mixed(anchor[later] + start[later].astype(np.uint64) * U(3) + doc[later].astype(np.uint64))
-            start[later] = -1 - start[later]
-            cols = [anchor.view(np.int64), mark.view(np.int64), doc, start]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "block", "doc_id", "start"])
-
-        pieces: list[tuple[int, int, bytes]] = []
+            data = b"".join([p[3] for p in pieces])
+            ends = np.concatenate([[0], np.cumsum([len(p[3]) for p in pieces])])
+            piece, at, count, anchor = anchors(np.frombuffer(data, dtype=np.uint8), ends, length)
+            digest = block_digests(data, at, count + length - 1)
+            one, two = ((digest[:, 0] >> U(8)) << U(8)) | count.astype(np.uint64), digest[:, 1]
+            ids, hs, base = (np.array([p[i] for p in pieces], dtype=np.int64)[piece] for i in range(3))
+            place = [ids, hs, base + at - ends[:-1][piece]]
+            by = np.lexsort((place[2], place[1], place[0], two, one, anchor))
+            if len(by):
+                new = runs_of([anchor[by], one[by], two[by]])
+                first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+                later = by[after([c[by] for c in place], [c[first] for c in place])]
+                anchor[later] = mixed(anchor[later] + place[2][later].astype(np.uint64) * U(3) + place[0][later].astype(np.uint64))
+                place[2][later] = -1 - place[2][later]
+            cols = [anchor.view(np.int64), one.view(np.int64), two.view(np.int64), *place]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], NAMES)
+
+        pieces: list[tuple[int, int, int, bytes]] = []
         held = 0
         for batch in slices(it):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = (text or "").encode()
+            for doc, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = text.encode()
                 # Long texts go in parts that overlap by all but one byte of a window.
                 for base in range(0, len(data) - length + 1, CHUNK):
-                    pieces.append((doc, base, data[base : base + CHUNK + length - 1]))
-                    held += len(pieces[-1][2])
+                    pieces.append((doc, h, base, data[base : base + CHUNK + length - 1]))
+                    held += len(pieces[-1][3])
                     if held >= CHUNK:
                         yield flush()
                         pieces, held = [], 0
         if pieces:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "anchor long, block long, doc_id long, start long")
+    return docs.mapInArrow(run, PLACES)
+
 
+APART = "doc_id long, h long, start long, count int, anchor long, hot boolean"
 
-def told_apart(blocks: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, count, anchor, hot): blocks that an equal earlier block covers (anchor is null), and blocks whose anchor has others.
+
+def told_apart(blocks: DataFrame) -> DataFrame:
+    """APART rows: blocks that an equal earlier block covers (anchor is null), and blocks whose anchor has others.
 
     blocks: anchor_rows(), sorted by all columns within partitions by anchor.
     An anchor without a second block is passed over. hot marks those with more than BLOCKS different ones.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(doc, start, count, anchor, hot) -> pa.RecordBatch:
-            n = len(doc)
-            name = pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(count.astype(np.int32)), name, pa.array(np.broadcast_to(hot, n).astype(bool))], ["doc_id", "start", "count", "anchor", "hot"])
+        def out(cols: list[np.ndarray], named: bool, hot: np.ndarray | bool) -> pa.RecordBatch:
+            a, b, _, d, h, s = cols
+            name = pa.array(a) if named else pa.nulls(len(a), pa.int64())
+            arrays = [pa.array(d), pa.array(h), pa.array(s), pa.array((b & 0xFF).astype(np.int32)), name, pa.array(np.broadcast_to(hot, len(a)).astype(bool))]
+            return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in APART.split(", ")])
 
-        none = np.zeros(0, dtype=np.int64)
-        open_ = [none] * 4  # the first rows of each block of the last anchor
+        open_ = [np.zeros(0, dtype=np.int64)] * 6  # the first rows of each block of the last anchor
         hot_anchor = None
         for batch in it:
-            if not batch.num_rows:
-                continue
-            a, b, d, s = (np.asarray(batch.column(i)) for i in range(4))
-            known = s < 0
+            cols = [np.asarray(batch.column(i)) for i in range(6)]
+            known = cols[5] < 0
             if known.any():
-                yield out(d[known], -1 - s[known], b[known] & 0xFF, None, False)
-                a, b, d, s = (x[~known] for x in (a, b, d, s))
-                if not len(a):
-                    continue
+                yield out([c[known] for c in cols[:5]] + [-1 - cols[5][known]], False, False)
+                cols = [c[~known] for c in cols]
+            if not len(cols[0]):
+                continue
             # The first place of the block that the last batch ended in goes before this batch.
+            carried = open_
             if len(open_[0]):
-                a, b, d, s = (np.concatenate([x[-1:], y]) for x, y in zip(open_, (a, b, d, s), strict=True))
+                cols = [np.concatenate([x[-1:], y]) for x, y in zip(open_, cols, strict=True)]
                 carried = [x[:-1] for x in open_]
-            else:
-                carried = open_
-            new = np.ones(len(a), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-            later = (d > d[first]) | ((d == d[first]) & (s > s[first]))
+            new = runs_of(cols[:3])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            later = after(cols[3:], [c[first] for c in cols[3:]])
             if later.any():
-                yield out(d[later], s[later], b[later] & 0xFF, None, False)
-            a, b, d, s = (np.concatenate([x, y[new]]) for x, y in zip(carried, (a, b, d, s), strict=True))
-            last = a == a[-1]
-            done = ~last
+                yield out([c[later] for c in cols], False, False)
+            cols = [np.concatenate([x, y[new]]) for x, y in zip(carried, cols, strict=True)]
+            a = cols[0]
+            done = a != a[-1]
             if done.any():
-                starts = np.flatnonzero(np.diff(a[done], prepend=a[0] - 1 if a[0] > np.iinfo(np.int64).min else 1))
-                sizes = np.diff(np.append(starts, done.sum()))
+                own = a[done]
+                starts = np.flatnonzero(runs_of([own]))
+                sizes = np.diff(np.append(starts, len(own)))
                 size = np.repeat(sizes, sizes)
-                hot = (size > BLOCKS) | (a[done] == hot_anchor if hot_anchor is not None else np.zeros(done.sum(), dtype=bool))
+                hot = size > BLOCKS
+                if hot_anchor is not None:
+                    hot |= own == hot_anchor
                 keep = (size > 1) | hot
                 if keep.any():
-                    yield out(d[done][keep], s[done][keep], b[done][keep] & 0xFF, a[done][keep], hot[keep])
-            open_ = [x[last] for x in (a, b, d, s)]
+                    yield out([c[done][keep] for c in cols], True, hot[keep])
+            open_ = [c[~done] for c in cols]
             if len(open_[0]) > 2 * BLOCKS:
                 hot_anchor = int(open_[0][0])
-                yield out(open_[2][:-1], open_[3][:-1], open_[1][:-1] & 0xFF, open_[0][:-1], True)
-                open_ = [x[-1:] for x in open_]
-        a, b, d, s = open_
-        if len(a) > 1 or (len(a) and int(a[0]) == hot_anchor):
-            yield out(d, s, b & 0xFF, a, len(a) > BLOCKS or int(a[0]) == hot_anchor)
+                yield out([c[:-1] for c in open_], True, True)
+                open_ = [c[-1:] for c in open_]
+        n = len(open_[0])
+        hot = n > 0 and int(open_[0][0]) == hot_anchor
+        if n > 1 or hot:
+            yield out(open_, True, hot or n > BLOCKS)
+
+    return blocks.mapInArrow(run, APART)
 
-    return blocks.mapInArrow(run, "doc_id long, start long, count int, anchor long, hot boolean")
+
+TEXTS = "key long, doc_id long, h long, start long, text binary, hot boolean"
 
 
 def block_texts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(key, doc_id, start, text): the bytes of wanted blocks; hot ones window by window, keyed by the window's own hash."""
+    """TEXTS: the bytes of wanted blocks; hot ones window by window, keyed by the window's own hash. docs: (doc_id, h, text)."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    names = [f.split()[0] for f in TEXTS.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["key", "doc_id", "start", "text"])
-
-        rows: list[list] = [[], [], [], []]
+        rows: list[tuple] = []
         for batch in slices(it):
-            docs_, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            for i, doc in enumerate(docs_):
+            texts, lists = batch.column(2), batch.column(3)
+            for i, (doc, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 data = texts[i].as_py().encode()
-                own = lists[i].values.flatten()
-                for start, count, anchor, hot in zip(*(c.to_pylist() for c in own), strict=True):
-                    if start + count + length - 1 > len(data):
-                        continue  # another text under the same doc_id
-                    for j in range(start, start + count) if hot else (start,):
-                        text = data[j : j + length] if hot else data[j : j + count + length - 1]
-                        rows[0].append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True) if hot else anchor)
-                        rows[1].append(doc)
-                        rows[2].append(j)
-                        rows[3].append(text)
-                if len(rows[0]) >= 4096:
-                    yield flush()
-                    rows = [[], [], [], []]
-        if rows[0]:
-            yield flush()
+                for start, count, anchor, hot in zip(*(c.to_pylist() for c in lists[i].values.flatten()), strict=True):
+                    if not hot:
+                        rows.append((anchor, doc, h, start, data[start : start + count + length - 1], False))
+                        continue
+                    for j in range(start, start + count):
+                        text = data[j : j + length]
+                        rows.append((int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True), doc, h, j, text, True))
+                if len(rows) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    lists = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "count", "anchor", "hot")).alias("blocks"))
+    return docs.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "blocks").mapInArrow(run, TEXTS)
+
+
+def first_windows(texts: DataFrame) -> DataFrame:
+    """TEXTS of hot anchors without the windows that equal an earlier one of their share, whose start becomes -1 - start.
+
+    Rows are sorted by (key, text, doc_id, h, start) within partitions by (key, share); a task holds one row.
+    """
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "anchor", "hot")).alias("blocks"))
-    joined = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null").join(lists, "doc_id")
-    return joined.select("doc_id", "text", "blocks").mapInArrow(run, "key long, doc_id long, start long, text binary")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text, place = None, None, (0, 0, 0)
+        for batch in it:
+            keys, docs, hs, starts = (batch.column(i).to_pylist() for i in range(4))
+            for i, value in enumerate(batch.column(4).to_pylist()):
+                if keys[i] != key or value != text:
+                    key, text, place = keys[i], value, (docs[i], hs[i], starts[i])
+                elif (docs[i], hs[i], starts[i]) > place:
+                    starts[i] = -1 - starts[i]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(starts, pa.int64()), batch.column(4), batch.column(5)], batch.schema.names)
+
+    return texts.mapInArrow(run, TEXTS)
 
 
 def dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -240,11 +289,9 @@ def letters(data: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def sorted_shard(letter: np.ndarray, depth: int) -> np.ndarray:
-    """The places of a shard in the order of their first `depth` letters, by doubling; a missing letter is greater than all and unique."""
+    """The places of a shard in the order of their first `depth` letters, by doubling; a missing letter is smaller than all and unique."""
     n = len(letter)
-    top = int(letter.max(initial=0)) + 1
-    rank = np.where(letter >= 0, letter, top + np.arange(n))
-    rank = dense(rank, np.zeros(n, dtype=np.int64))
+    rank = dense(np.where(letter >= 0, letter + n, np.arange(n)), np.zeros(n, dtype=np.int64))
     have, ranks = 1, {1: rank}
 
     def ahead(r: np.ndarray, by: int) -> np.ndarray:
@@ -263,10 +310,59 @@ def sorted_shard(letter: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def shard_transform(letter: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, transform, ends) of a shard: its sorted places, the letter before each of them, and how many are ends of blocks.
+
+    letter: the letter at each place; first: where the place's block begins. The
+    transform has -1 for a place without a letter before it. Ends come first in the order.
+    """
+    order = sorted_shard(letter, depth)
+    back = order - SYMBOL
+    return order, np.where(back >= first[order], letter[back], -1), int((letter < 0).sum())
+
+
+def merged_transforms(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(interleave, common): the shard of every merged place, and the letters (up to `depth`) it shares with the place before.
+
+    The transforms are all that is read. Step h turns the order by h - 1 letters
+    into that by h: the interleave picks each shard's letters in the shard's own
+    order, and dealing it by them, stably, puts the places before where they
+    belong. Refinement ends at `depth` letters or when every place is told apart.
+    """
+    sizes = [len(t) for t in transforms]
+    n, n_ends = sum(sizes), sum(ends)
+    flat = np.concatenate(transforms) if n else np.zeros(0, dtype=np.int64)
+    kind = np.uint16 if n and int(flat.max(initial=0)) < 1 << 16 else np.int64
+    shard = np.uint8 if len(sizes) < 256 else np.int64
+    # Ends of blocks stand first; from one letter on each is by itself.
+    interleave = np.concatenate([np.repeat(np.arange(len(sizes)), ends), np.repeat(np.arange(len(sizes)), np.subtract(sizes, ends))]).astype(shard)
+    common = np.full(n, depth, dtype=np.int64)
+    common[: n_ends + 1] = 0
+    new = common == 0
+    read = np.empty(n, dtype=np.int64)
+    for h in range(depth):
+        group = np.cumsum(new) if h else np.zeros(n, dtype=np.int64)
+        read[np.argsort(interleave, kind="stable")] = flat
+        has = np.flatnonzero(read >= 0)
+        letter = read[has].astype(kind)
+        deal = np.argsort(letter, kind="stable")
+        at = has[deal]
+        letter, group = letter[deal], group[at]
+        interleave[n_ends:] = interleave[at]
+        edge = np.ones(len(at), dtype=bool)
+        edge[1:] = (letter[1:] != letter[:-1]) | (group[1:] != group[:-1])
+        edge &= ~new[n_ends:]
+        if h and not edge.any():  # nothing was told apart, nor will it be
+            break
+        common[n_ends:][edge] = h
+        new[n_ends:] |= edge
+    return interleave, common
+
+
 def repeated_intervals(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, interval) of all places that share their next `length` bytes with another place of these blocks.
 
-    Blocks are data[ends[i]:ends[i+1]]. Shards of blocks are sorted alone and their transforms merged.
+    Blocks are data[ends[i]:ends[i+1]], none shorter than SYMBOL - 1 bytes. Shards of blocks are sorted alone and their transforms merged.
     """
     depth = length // SYMBOL
     # One place more for each block: the empty suffix, from which its last window is reached.
@@ -278,124 +374,113 @@ def repeated_intervals(data: np.ndarray, ends: np.ndarray, length: int) -> tuple
     block = np.repeat(np.arange(len(sizes)), sizes)
     letter = letters(padded, ends[1:][block] - 1 - np.arange(len(padded)))
     cuts = ends[np.unique(np.linspace(0, len(sizes), min(SHARDS, len(sizes)) + 1).astype(np.int64))]
-    order = np.concatenate([lo + sorted_shard(letter[lo:hi], depth) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
-    slot = np.empty(len(order), dtype=np.int64)
-    slot[order] = np.arange(len(order))
-    # Each shard's transform: the letter before each suffix in sorted order, and the slot of the suffix that starts with it.
-    back = order - SYMBOL
-    inside = back >= ends[:-1][block[order]]
-    before = np.where(inside, letter[back], -1)
-    to = np.where(inside, slot[back], -1)
-    narrow = int(before.max(initial=0)) < 1 << 16
-    now, group = np.arange(len(order)), np.zeros(len(order), dtype=np.int64)
-    for _ in range(depth):
-        has = before[now] >= 0
-        now, group = now[has], group[has]
-        c = before[now]
-        deal = np.argsort(c.astype(np.uint16) if narrow else c, kind="stable")
-        c, group, now = c[deal], group[deal], to[now[deal]]
-        if not len(now):
-            break
-        edge = np.ones(len(now) + 1, dtype=bool)
-        edge[1:-1] = (c[1:] != c[:-1]) | (group[1:] != group[:-1])
-        # A suffix alone in its interval has no repeated prefix of this depth, nor have the suffixes that lead to it.
-        shared = ~(edge[1:] & edge[:-1])
-        group = (np.cumsum(edge[:-1]) - 1)[shared]
-        now = now[shared]
-    return order[now] - block[order[now]], group
-
-
-def covered_windows(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, window start) of the windows in these blocks that also start earlier in them; rows are sorted by (key, doc_id, start)."""
-    place, group = repeated_intervals(data, ends, length)
-    if not len(place):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    by = np.lexsort((place, group))
-    place, group = place[by], group[by]
-    own = np.searchsorted(ends, place, side="right") - 1
-    doc, start = docs[own], starts[own] + place - ends[own]
-    first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) != 0, np.arange(len(group)), 0))
-    later = (doc > doc[first]) | ((doc == doc[first]) & (start > start[first]))
-    return doc[later], start[later]
-
-
-def spans_of(docs: np.ndarray, starts: np.ndarray, length: int) -> pa.RecordBatch:
-    """Windows as (doc_id, start, count) runs."""
-    by = np.lexsort((starts, docs))
-    docs, starts = docs[by], starts[by]
-    new = np.ones(len(docs), dtype=bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + 1)
+    shards = [shard_transform(letter[lo:hi], ends[:-1][block[lo:hi]] - lo, depth) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    interleave, common = merged_transforms([t for _, t, _ in shards], [n for _, _, n in shards], depth)
+    merged = np.empty(len(interleave), dtype=np.int64)
+    merged[np.argsort(interleave, kind="stable")] = np.concatenate([lo + order for lo, (order, _, _) in zip(cuts[:-1], shards, strict=True)])
+    inside = common >= depth  # shares all letters with the place before
+    shared = inside.copy()
+    shared[:-1] |= inside[1:]
+    group = np.cumsum(~inside)[shared]
+    place = merged[shared]
+    return place - block[place], group
+
+
+def covered_windows(place: list[np.ndarray], data: np.ndarray, ends: np.ndarray, length: int) -> list[np.ndarray]:
+    """(doc_id, h, start) of the windows in these blocks that also start earlier in them; place: those of the blocks."""
+    at, group = repeated_intervals(data, ends, length)
+    own = np.searchsorted(ends, at, side="right") - 1
+    found = [place[0][own], place[1][own], place[2][own] + at - ends[own]]
+    by = np.lexsort((found[2], found[1], found[0], group))
+    found, group = [c[by] for c in found], group[by]
+    first = np.maximum.accumulate(np.where(runs_of([group]), np.arange(len(group)), 0))
+    later = after(found, [c[first] for c in found])
+    return [c[later] for c in found]
+
+
+RUNS = "doc_id long, h long, start long, count int"
+
+
+def spans_of(place: list[np.ndarray]) -> pa.RecordBatch:
+    """Windows (doc_id, h, start) as RUNS."""
+    by = np.lexsort(place[::-1])
+    docs, hs, starts = (c[by] for c in place)
+    new = runs_of([docs, hs])
+    new[1:] |= starts[1:] > starts[:-1] + 1
     at = np.flatnonzero(new)
-    ends = np.append(at[1:], len(docs)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(starts[at]), pa.array((starts[ends] - starts[at] + 1).astype(np.int32))], ["doc_id", "start", "count"])
+    last = np.append(at[1:], len(docs)) - 1
+    arrays = [pa.array(docs[at]), pa.array(hs[at]), pa.array(starts[at]), pa.array((starts[last] - starts[at] + 1).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in RUNS.split(", ")])
 
 
 def merged_blocks(texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, count) runs of windows that also start earlier, out of block_texts()."""
+    """RUNS of windows that also start earlier, out of TEXTS sorted by key; a negative start is a window known to be one."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def merge(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            keys, docs, starts = (np.concatenate([h[i] for h in held]) for i in range(3))
-            data = np.concatenate([h[3] for h in held])
-            ends = np.concatenate([[0], np.cumsum(np.concatenate([h[4] for h in held]))])
-            edge = np.append(np.flatnonzero(np.diff(keys, prepend=keys[0])), len(keys)) if len(keys) else np.zeros(1, dtype=np.int64)
-            edge = np.unique(np.concatenate([[0], edge]))
+            keys, *place = (np.concatenate([h[i] for h in held]) for i in range(4))
+            data = np.concatenate([h[4] for h in held])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([h[5] for h in held]))])
+            stops = np.append(np.flatnonzero(runs_of([keys]))[1:], len(keys))
             lo = 0
-            stops = edge[1:] if final else edge[1:-1]
-            while lo < len(keys) and len(stops[stops > lo]):
-                left = stops[stops > lo]
-                fit = left[ends[left] - ends[lo] <= MERGE]
-                hi = int(fit[-1] if len(fit) else left[0])
-                got = covered_windows(keys[lo:hi], docs[lo:hi], starts[lo:hi], data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], length)
+            if not final:
+                stops = stops[:-1]  # the last key may go on
+            while len(stops):
+                fit = stops[ends[stops] - ends[lo] <= MERGE]
+                hi = int(fit[-1] if len(fit) else stops[0])
+                got = covered_windows([c[lo:hi] for c in place], data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], length)
                 if len(got[0]):
-                    yield spans_of(*got, length)
-                lo = hi
-            held = [(keys[lo:], docs[lo:], starts[lo:], data[ends[lo] :], np.diff(ends[lo:]))] if lo < len(keys) else []
+                    yield spans_of(got)
+                lo, stops = hi, stops[stops > hi]
+            held = [(keys[lo:], *(c[lo:] for c in place), data[ends[lo] :], np.diff(ends[lo:]))] if lo < len(keys) else []
 
-        first: tuple | None = None  # key, text and place of the first of a run of equal windows of a hot anchor
         for batch in it:
+            cols = [np.asarray(batch.column(i)) for i in range(4)]
+            known = cols[3] < 0
+            if known.any():
+                yield spans_of([cols[1][known], cols[2][known], -1 - cols[3][known]])
+                batch = batch.filter(pa.array(~known))
+                cols = [c[~known] for c in cols]
             if not batch.num_rows:
                 continue
-            keys, docs, starts = (np.asarray(batch.column(i)) for i in range(3))
-            text = batch.column(3)
+            text = batch.column(4)
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2], dtype=np.uint8)
-            sizes = np.diff(offsets)
-            keep = np.ones(len(keys), dtype=bool)
-            for i in np.flatnonzero(sizes == length):  # single windows: hot ones come in runs of equals
-                value = data[offsets[i] : offsets[i + 1]].tobytes()
-                if first is not None and first[0] == keys[i] and first[1] == value:
-                    if (docs[i], starts[i]) > first[2]:
-                        keep[i] = False
-                else:
-                    first = (keys[i], value, (docs[i], starts[i]))
-            if not keep.all():
-                yield spans_of(docs[~keep], starts[~keep], length)
-            rows = np.flatnonzero(keep)
-            if len(rows):
-                part = data[offsets[0] : offsets[-1]][np.repeat(keep, sizes)]
-                held.append((keys[rows], docs[rows], starts[rows], part, sizes[rows]))
-            if sum(len(h[3]) for h in held) > 4 * MERGE:
+            data = np.frombuffer(text.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+            held.append((*cols, data, np.diff(offsets)))
+            if sum(len(h[4]) for h in held) > 4 * MERGE:
                 yield from merge(False)
         if held:
             yield from merge(True)
 
-    return texts.mapInArrow(run, "doc_id long, start long, count int")
+    return texts.mapInArrow(run, RUNS)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text) of rows with an id and a text; h tells apart the texts of one doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    return rows.where("doc_id is not null and text is not null")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, count): runs of windows of `length` bytes that also start earlier, by smaller doc_id or earlier in the document."""
+    """RUNS of windows of `length` bytes that also start earlier: by smaller (doc_id, h), or earlier in the same document."""
     if length % SYMBOL or not K <= length - 9 or length > 250:
         raise ValueError(f"length must be a multiple of {SYMBOL}, from {K + 9} to 250")
     n = shuffle_partitions(docs.sparkSession)
-    dealt = anchor_rows(docs, length).repartition(n, "anchor").sortWithinPartitions("anchor", "block", "doc_id", "start")
-    apart = written(told_apart(dealt, length), "blocks")
-    texts = block_texts(apart.where("anchor is not null"), docs, length)
-    runs = merged_blocks(texts.repartition(n, "key").sortWithinPartitions("key", "doc_id", "start"), length)
-    return apart.where("anchor is null").select("doc_id", "start", "count").union(written(runs, "runs"))
+    rows = numbered(docs)
+    apart = written(told_apart(anchor_rows(rows, length).repartition(n, "anchor").sortWithinPartitions(*NAMES)), "blocks")
+    texts = block_texts(apart.where("anchor is not null and not hot"), rows, length)
+    hot = apart.where("anchor is not null and hot")
+    if hot.limit(1).count():
+        # Equal windows of a hot anchor meet in shares first, so that the merge gets a few of each.
+        share = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS))
+        dealt = block_texts(hot, rows, length).withColumn("share", share).repartition(n, "key", "share")
+        dealt = dealt.sortWithinPartitions("key", "share", "text", "doc_id", "h", "start").drop("share")
+        texts = texts.union(first_windows(dealt))
+    runs = merged_blocks(texts.repartition(n, "key").sortWithinPartitions("key", "doc_id", "h", "start"), length)
+    return apart.where("anchor is null").select("doc_id", "h", "start", "count").union(written(runs, "runs"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -408,13 +493,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
     that also starts earlier: in a document with a smaller doc_id or earlier in
     the same one; strings are judged on the input. n_spans counts maximal
     removed runs. Null texts are empty. Rows without doc_id have no place in the
-    order: they lose nothing and take nothing. doc_id is taken to be unique;
-    rows that repeat one with the same text count as one document, and with
-    different texts are judged as if their places were one document's. Other
-    columns are not read.
+    order: they lose nothing and take nothing. Rows that repeat a doc_id with the
+    same text count as one document; with different texts they are documents of
+    their own, ordered by a hash of the text. Other columns are not read. An empty table gives no rows.
     """
     runs = repeated_runs(docs, length)
-    lists = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs")).withColumnRenamed("doc_id", "d")
+    lists = runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "count")).alias("runs")).withColumnsRenamed({"doc_id": "d", "h": "g"})
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
@@ -438,7 +522,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [f.split()[0] for f in RESULT.split(", ")])
 
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(lists, F.col("doc_id") == F.col("d"), "left")
+    joined = docs.select(F.col("doc_id").cast("long"), "text").join(lists, (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("g")), "left")
     out = joined.select("doc_id", "text", "runs").mapInArrow(run, RESULT)
     return out if keep_bytes else out.drop("kept")
 

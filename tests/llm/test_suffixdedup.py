@@ -57,17 +57,19 @@ def test_small_pieces_and_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(sd, "CHUNK", 150)
     monkeypatch.setattr(sd, "BLOCKS", 2)
     monkeypatch.setattr(sd, "MERGE", 300)
+    monkeypatch.setattr(sd, "SALTS", 3)
     check(spark, corpus(2, 40) + EDGES)
 
 
-@pytest.mark.parametrize("shards", [1, 2, 7])
-def test_intervals(monkeypatch, shards):
-    monkeypatch.setattr(sd, "SHARDS", shards)
-    rng = random.Random(shards)
+def blocks_of(seed):
+    rng = random.Random(seed)
     base = [bytes(rng.choice(b"ab") for _ in range(150)) for _ in range(3)]
-    blocks = [b[i : i + 120] for b in base for i in (0, 5, 30)] + [b"a" * 130, b"a" * 101]
-    data = np.frombuffer(b"".join(blocks), dtype=np.uint8)
-    ends = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+    blocks = [b[i : i + 120] for b in base for i in (0, 5, 30)] + [b"a" * 130, b"a" * 101, b"ba" * 60]
+    rng.shuffle(blocks)
+    return blocks, np.frombuffer(b"".join(blocks), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+
+
+def intervals(blocks, data, ends):
     place, group = sd.repeated_intervals(data, ends, 100)
     got = {}
     for p, g in zip(place.tolist(), group.tolist(), strict=True):
@@ -76,7 +78,66 @@ def test_intervals(monkeypatch, shards):
     for b, lo in zip(blocks, ends.tolist(), strict=False):
         for i in range(len(b) - 99):
             want.setdefault(b[i : i + 100], set()).add(lo + i)
-    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    return sorted(map(sorted, got.values())), sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7])
+def test_intervals(monkeypatch, shards):
+    monkeypatch.setattr(sd, "SHARDS", shards)
+    for seed in range(5):
+        got, want = intervals(*blocks_of(seed))
+        assert got == want
+
+
+def test_intervals_of_one_letter():
+    blocks = [b"a" * 130, b"a" * 101]
+    got, want = intervals(blocks, np.frombuffer(b"".join(blocks), dtype=np.uint8), np.array([0, 130, 231]))
+    assert got == want
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_the_merge_needs_sorted_shards(monkeypatch, shards):
+    """The interleave is read against each shard's own order: in another order the same steps give other intervals."""
+    monkeypatch.setattr(sd, "SHARDS", shards)
+    rng = np.random.default_rng(3)
+
+    def ends_first(letter, depth):
+        order = rng.permutation(len(letter))
+        return np.concatenate([order[letter[order] < 0], order[letter[order] >= 0]])
+
+    blocks = blocks_of(1)
+    assert intervals(*blocks)[0] == intervals(*blocks)[1]
+    monkeypatch.setattr(sd, "sorted_shard", ends_first)
+    got, want = intervals(*blocks)
+    assert got != want
+
+
+def test_common_prefixes_of_the_merge():
+    """common is the longest common prefix, in letters, of neighbours in the merged order."""
+    blocks, data, ends = blocks_of(2)
+    depth, parts = 10, []
+    padded = [np.append(np.frombuffer(b, dtype=np.uint8), 0) for b in blocks]
+    edge = np.concatenate([[0], np.cumsum([len(x) for x in padded])])
+    flat = np.concatenate(padded)
+    block = np.repeat(np.arange(len(blocks)), np.diff(edge))
+    letter = sd.letters(flat, edge[1:][block] - 1 - np.arange(len(flat)))
+    for lo, hi in ((0, edge[4]), (edge[4], edge[-1])):
+        parts.append((lo, sd.shard_transform(letter[lo:hi], edge[:-1][block[lo:hi]] - lo, depth)))
+    interleave, common = sd.merged_transforms([t for _, (_, t, _) in parts], [n for _, (_, _, n) in parts], depth)
+    turn = [iter((lo + order).tolist()) for lo, (order, _, _) in parts]
+    places = [next(turn[s]) for s in interleave]
+
+    def word(p):
+        out = []
+        while letter[p] >= 0 and len(out) < depth:
+            out.append(letter[p])
+            p += 10
+        return tuple(out)
+
+    words = [word(p) for p in places]
+    for a, b, c in zip(words, words[1:], common[1:].tolist(), strict=False):
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert c == same
 
 
 def test_empty(spark):
@@ -88,3 +149,18 @@ def test_repeated_rows_count_as_one_document(spark):
     t = "".join(rng.choice("abcdef") for _ in range(300))
     docs = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in sd.remove_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 300)]
+
+
+def test_other_texts_under_one_id_are_other_documents(spark):
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("abcdef") for _ in range(400)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in sd.remove_repeats(docs).collect())
+    assert got == [(1, 0), (2, 0), (2, 400), (3, 400)]
+
+
+def test_ids_of_any_size(spark):
+    rng = random.Random(6)
+    a = "".join(rng.choice("abcdef") for _ in range(250))
+    docs = spark.createDataFrame([(2**62, a), (-(2**62), a), (0, "z" + a)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in sd.remove_repeats(docs).collect()} == {-(2**62): 0, 0: 250, 2**62: 250}
