@@ -15,13 +15,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of our own in local mode (tests).
+
+    A cluster without the setting is refused, since its machines share no temporary folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or own_dir(spark.sparkContext.master, spark.sparkContext.applicationId)).rstrip("/")
+
+
+def own_dir(master: str, app: str) -> str:
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="folioflow-")
+    return _own[app]
 
 
 KEPT = "kept-"
@@ -67,8 +78,20 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-#: Up to so many edges are joined by one task; beyond it every step is an aggregation over all executors.
-FEW_EDGES = 500_000
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left-joined with groups: (keys, copies, ...), of which `copies` says how many rows have the key.
+
+    Keys that hold more than a thousandth of all copies are at most a thousand;
+    they are broadcast, so no task gets all rows of a hot key.
+    """
+    total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.col("copies") * 1000 > max(total, 1_000_000)
+    heavy, light = F.broadcast(groups.where(hot).drop("copies")), groups.where(~hot).drop("copies")
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, "left"))
+
+
+#: Edges that a partition contracts together.
+CONTRACT = 2_000_000
 
 
 def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,30 +111,37 @@ def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def joined_by_one(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in it if b.num_rows]
-    if parts:
-        node, label = labels(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+def contracted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: each node with the smallest one that the partition's edges reach."""
+
+    def star() -> pa.RecordBatch:
+        node, label = labels(*(np.concatenate([h[i] for h in held]) for i in range(2)))
         other = node != label
-        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(label[other])], ["node", "component"])
+        return pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(label[other])], ["u", "v"])
 
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in it:
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        if sum(len(h[0]) for h in held) > CONTRACT:
+            yield star()
+            held = []
+    if held:
+        yield star()
 
-def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list by distributed union-find.
 
-    Up to FEW_EDGES edges go to one task. Above that it alternates large-star and small-star steps (Kiveris et al., 2014) until no
-    label changes; each step is one aggregation and its table is written to the
-    shared folder. Returns (node, component) with the smallest node of each
-    component, for nodes that have an edge to another node.
-    Null ends and self loops are ignored; an empty list gives an empty table.
+def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+    """Connected components of an undirected edge list by distributed union-find, at every size the same way.
+
+    Each partition first joins its own edges into stars. Then large-star and
+    small-star steps (Kiveris et al., 2014) alternate until no label changes;
+    each step is an aggregation whose table is written to the shared folder.
+    Returns (node, component) with the smallest node of each component, for
+    nodes that have an edge to another, smaller node in reach. Null ends and self
+    loops are ignored; an empty list gives an empty table.
     """
     cur = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    cur = written(cur.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    cur = written(cur.mapInArrow(contracted, "u long, v long"), "cc")
     n, before = cur.count(), None
-    if 0 < n <= FEW_EDGES:
-        out = written(cur.coalesce(1).mapInArrow(joined_by_one, "node long, component long"), "cc")
-        dropped(cur)
-        return out
     while n:
         # Large star: every larger neighbour of u points at the smallest of u and its neighbours.
         both = cur.union(cur.select("v", "u")).toDF("u", "v")

@@ -16,21 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import dropped, slices, written
-from folioflow.llm.nearsets import BASE, LISTS, SEEDS, SKETCHES, STEPS, Scheme, U, byte_shingles, candidates, mixed, near_components, powers, sums
+from folioflow.llm.common import dropped, slices, spread_join, written
+from folioflow.llm.nearsets import BASE, LISTS, SEEDS, SKETCHES, STEPS, U, candidates, char_shingles, least_bits, mixed, near_components, powers, reached, sums
 from folioflow.session import table
 
-#: Bytes of a shingle; chance similarity of unrelated lines of one language is then about 0.0001.
+#: Characters of a shingle; chance similarity of unrelated lines of one language is then about 0.0001.
 SHINGLE = 10
 #: Ten bands of three registers: a pair with similarity 0.8 is missed with probability 0.0008, one with 0.9 with 0.000002.
 BANDS, ROWS = 10, 3
 REGS = BANDS * ROWS
 #: Lines of fewer distinct shingles use a hash function for each register, lines of LOW or more ROWS functions over BANDS buckets.
 LOW, HIGH = 64, 80
-#: Two bits of each register: linked lines differ in 6 of 60 bits on average, standard deviation 2.8; unrelated ones in 30.
-MOST_BITS = 20
-#: Line numbers within a document; an id is doc_id * LINES + line number.
-LINES = 1 << 24
+#: Two bits of each register, and the least estimate of linked lines: five standard deviations under their similarity.
+BITS = 2 * REGS
+LEAST_BITS = least_bits(REGS, 2, 5)
 #: Bytes of text that are sketched together.
 CHUNK = 1 << 18
 V40 = U((1 << 40) - 1)
@@ -62,14 +61,18 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     # k1 and k2 tell lines apart by all their bytes.
     whole = (total[ends[1:]] - total[ends[:-1]]) * down[ends[:-1]]
     k1 = mixed(whole + size.astype(np.uint64) * STEPS[41])
-    every = mixed((total[SHINGLE:] - total[:-SHINGLE]) * down[: max(0, len(raw) - SHINGLE + 1)]) if len(raw) >= SHINGLE else np.zeros(0, dtype=np.uint64)
-    line = np.repeat(np.arange(len(size), dtype=np.int32), size)[: len(every)]
-    place = np.arange(len(every), dtype=np.int32)
-    inside = place + np.int32(SHINGLE) <= ends[1:].astype(np.int32)[line]
+    # Where characters begin: a shingle is the bytes of SHINGLE characters.
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    stops = np.searchsorted(at, ends)
+    chars = np.diff(stops)
+    lo, hi = at[:-SHINGLE], at[SHINGLE:]
+    every = mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * STEPS[42])
+    line = np.repeat(np.arange(len(size), dtype=np.int32), chars)[: len(every)]
+    inside = np.arange(len(every), dtype=np.int32) + np.int32(SHINGLE) <= stops[1:].astype(np.int32)[line]
     line, h = line[inside], every[inside]
     # Lines shorter than a shingle are one shingle.
-    short = np.flatnonzero((size > 0) & (size < SHINGLE))
-    count = np.maximum(size - SHINGLE + 1, 0)
+    short = np.flatnonzero((size > 0) & (chars < SHINGLE))
+    count = np.maximum(chars - SHINGLE + 1, 0)
     k2 = k1 ^ STEPS[43]
     full = np.flatnonzero(count > 0)
     if len(full):
@@ -116,13 +119,13 @@ def sketch_column(n: int, tiers: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def sketched_lines(docs: DataFrame) -> DataFrame:
-    """(id, n, k1, k2, size, sketches) of every line of every document, written to the shared folder.
+    """(doc_id, h, line, n, k1, k2, sketches) of every line of every document, written to the shared folder.
 
-    id is doc_id * LINES + line number. Of equal lines in a chunk only the first
+    h tells apart the texts of one doc_id. Of equal lines in a chunk only the first
     has sketches, so a line that many documents share is sketched a few times.
     """
 
-    def chunk(ids: np.ndarray, seg: np.ndarray, doc_end: np.ndarray) -> pa.RecordBatch:
+    def chunk(ids: np.ndarray, hs: np.ndarray, seg: np.ndarray, doc_end: np.ndarray) -> pa.RecordBatch:
         size = np.diff(doc_end, prepend=0)
         breaks = np.flatnonzero(seg == 10)
         # A document's end comes before a line break at the start of the next one.
@@ -136,93 +139,104 @@ def sketched_lines(docs: DataFrame) -> DataFrame:
         sizes[1:] -= at_break[:-1]
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         turn = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-        if len(turn) and turn.max() >= LINES:
-            raise ValueError("a document has more lines than an id can tell apart")
         n, k1, k2, tiers = sketch_lines(seg[seg != 10], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-        name = ids[doc] * LINES + turn
+        place = (ids[doc], hs[doc], turn)
         wanted = np.zeros(len(sizes), dtype=bool)
-        by = np.lexsort((name, k2, k1))
+        by = np.lexsort((*place[::-1], k2, k1))
         wanted[by] = np.concatenate([[True], (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])])
-        cols = [pa.array(name), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), sketch_column(len(sizes), tiers, wanted)]
-        return pa.RecordBatch.from_arrays(cols, ["id", "n", "k1", "k2", "sketches"])
+        cols = [*map(pa.array, place), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), sketch_column(len(sizes), tiers, wanted)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "line", "n", "k1", "k2", "sketches"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if not batch.num_rows:
                 continue
-            ids, text = np.asarray(batch.column(0)), batch.column(1).cast(pa.large_string())
+            ids, hs, text = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).cast(pa.large_string())
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
             lo = 0
             while lo < len(ids):
                 hi = min(len(ids), max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK))))
                 if offsets[hi] > offsets[lo]:
-                    yield chunk(ids[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo])
+                    yield chunk(ids[lo:hi], hs[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo])
                 lo = hi
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return written(rows.mapInArrow(run, f"id long, n long, k1 long, k2 long, sketches {SKETCHES}"), "lines")
+    return written(numbered(docs).mapInArrow(run, f"doc_id long, h long, line long, n long, k1 long, k2 long, sketches {SKETCHES}"), "lines")
 
 
-def doc_of(idcol: str):
-    return F.floor(F.col(idcol) / LINES).cast("long")
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text) of rows with an id and a text."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").where("doc_id is not null and text is not null")
+
+
+MEMBERS = ["id", "comp", "n", "c", "w"]
 
 
 def line_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, comp, c, text) of the lines that each document's list names; a document is split once."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    """MEMBERS and text of the lines that each document's list names; a document is split once."""
+    kinds = (*[pa.int64()] * len(MEMBERS), pa.string())
     for whole in it:
         for at in range(0, whole.num_rows, 256):
-            batch, rows = whole.slice(at, 256), [[], [], [], []]
+            batch, rows = whole.slice(at, 256), [[] for _ in kinds]
             for text, own in zip(batch.column(0), batch.column(1), strict=True):
                 lines = text.as_py().split("\n")
-                for id_, comp, c in zip(*(x.to_pylist() for x in own.values.flatten()), strict=True):
-                    if id_ % LINES < len(lines):  # else another text under the same doc_id
-                        for to, x in zip(rows, (id_, comp, c, lines[id_ % LINES]), strict=True):
-                            to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["id", "comp", "c", "text"])
+                for line, *member in zip(*(x.to_pylist() for x in own.values.flatten()), strict=True):
+                    for to, x in zip(rows, (*member, lines[line]), strict=True):
+                        to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], [*MEMBERS, "text"])
+
 
+PLACE = ["doc_id", "h", "line"]
 
-def removed_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines of each document that go; documents that lose nothing have no row.
 
-    Lines with a Jaccard similarity of num/den or more over their distinct
-    SHINGLE-byte shingles are linked; a line shorter than that is one shingle.
-    Of every component the line with the smallest (doc_id, line number) stays.
-    Lines of fewer than `least` bytes' shingles, empty ones among them, always stay.
+def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, h, lines): the numbers of the lines of each document that go; documents that lose nothing have no row.
+
+    h is xxhash64(text) and tells apart the texts of one doc_id. Lines with a
+    Jaccard similarity of 0.8 or more over their distinct shingles of SHINGLE
+    characters are linked; a line shorter than that is one shingle. Of every
+    component the line with the smallest (doc_id, h, line number) stays; equal
+    rows of docs are one document. Lines of fewer than `least` shingles, empty ones among them, always stay.
     """
     told = sketched_lines(docs)
-    rows = told.select("id", "n", "k1", "k2").where(F.col("n") >= least)
-    classes = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    named = written(rows.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "rep"), "named")
-    # The smallest line of a class is the smallest of its chunk, and so has sketches.
-    first = named.where("id = rep").select("id")
-    found = written(candidates(told.where(F.size("sketches") > 0).join(first, "id", "left_semi"), MOST_BITS), "candidates")
-    dropped(told)
+    rows = told.select(*PLACE, "n", "k1", "k2").where(F.col("n") >= least)
+    made = rows.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "n")).alias("p"), F.count("*").alias("copies"))
+    # A class is a node with a number of its own; its first line is the first of its chunk too, and so has sketches.
+    classes = written(made.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "copies", "p.n", F.struct(*[f"p.{c}" for c in PLACE]).alias("place")), "classes")
+    first = classes.select("node", *[F.col(f"place.{c}") for c in PLACE])
+    drawn = told.where(F.size("sketches") > 0).select(*PLACE, "sketches").join(first, PLACE).select(F.col("node").alias("id"), "sketches")
+    found = written(candidates(drawn, BITS, LEAST_BITS), "candidates")
 
     def with_text(members: DataFrame) -> DataFrame:
-        lists = members.groupBy(doc_of("id").alias("doc_id")).agg(F.collect_list(F.struct("id", "comp", "c")).alias("own"))
-        joined = docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(lists, "doc_id")
-        return joined.select("text", "own").mapInArrow(line_texts, "id long, comp long, c long, text string")
-
-    joined = near_components(found, with_text, Scheme(partial(byte_shingles, size=SHINGLE), MOST_BITS, num, den))
-    dropped(found)
-    gone = named.join(joined, F.col("rep") == F.col("node"), "left").where("id <> rep or node is not null").withColumn("stays", F.coalesce("component", "rep")).where("id <> stays")
-    return gone.groupBy(doc_of("id").alias("doc_id")).agg(F.array_sort(F.collect_list((F.pmod(F.col("id"), F.lit(LINES))).cast("int"))).alias("lines"))
+        placed = members.join(first, F.col("id") == F.col("node"))
+        lists = placed.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", *MEMBERS)).alias("own"))
+        joined = numbered(docs).hint("merge").join(lists, ["doc_id", "h"])
+        return joined.select("text", "own").mapInArrow(line_texts, "id long, comp long, n long, c long, w long, text string")
+
+    joined = near_components(found, classes, with_text, partial(char_shingles, size=SHINGLE))
+    reach = reached(joined, classes, "place")
+    fate = classes.join(reach, "node", "left").where("copies > 1 or reached is not null")
+    fate = written(fate.select("k1", "k2", "copies", F.coalesce("reached", "place").alias("stays")), "fate")
+    dropped(found, joined, reach, classes)
+    gone = spread_join(rows, fate, ["k1", "k2"]).where(F.struct(*PLACE) != F.col("stays"))
+    out = written(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("lines")), "gone")
+    dropped(told, fate)
+    return out
 
 
-def dedup_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     """docs, with all columns, without the lines that removed_lines() names; a document that loses every line goes.
 
-    Null and empty texts and rows without doc_id stay as they are. doc_id is
-    taken to be unique; rows that repeat one lose the same line numbers. n_chars,
-    where there is such a column, follows the new text.
+    Null and empty texts and rows without doc_id stay as they are. Other texts
+    under one doc_id are documents of their own; equal rows lose the same lines.
+    n_chars, where there is such a column, follows the new text. Columns may have any names.
     """
-    runs = removed_lines(docs, least, num, den)
-    gone = written(runs, "gone").withColumnsRenamed({"doc_id": "gone_id", "lines": "gone_lines"})
-    dropped(runs)
-    out = docs.hint("merge").join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(*docs.columns, "gone_lines")
+    gone = removed_lines(docs, least).toDF("gone_id", "gone_h", "gone_lines")
     at, schema = docs.columns.index("text"), docs.schema
+    # Columns go by place, so that none of them can be taken for one of the join's.
+    own = docs.toDF(*[f"c{i}" for i in range(len(schema))])
+    doc, text = F.col(f"c{docs.columns.index('doc_id')}").cast("long"), F.col(f"c{at}")
+    out = own.hint("merge").join(gone, (doc == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h")), "left").select(*own.columns, "gone_lines")
 
     def strip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
@@ -234,19 +248,24 @@ def dedup_lines(docs: DataFrame, least: int = 1, num: int = 80, den: int = 100)
                     left = [x for n, x in enumerate(texts[i].split("\n")) if n not in drop]
                     texts[i], keep[i] = "\n".join(left), bool(left)
             cols = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(len(schema))]
-            yield pa.RecordBatch.from_arrays(cols, schema.names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(cols, own_names).filter(pa.array(keep))
 
-    out = out.mapInArrow(strip, schema)
+    own_names = own.columns
+    out = out.mapInArrow(strip, own.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(docs.columns)
-    return out
+        n_chars = f"c{docs.columns.index('n_chars')}"
+        out = out.withColumn(n_chars, F.length(text).cast(schema["n_chars"].dataType)).select(own_names)
+    return out.toDF(*docs.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed_lines (their numbers, from 0) of every document; a null or empty text has no lines."""
+    """doc_id, n_lines, n_removed and removed_lines (their numbers, from 0) of every document; a null or empty text has no lines.
+
+    The report of what goes; dedup_lines() is the operator that takes the lines away.
+    """
     docs = table(spark, sf_dir, "documents")
     gone = removed_lines(docs)
     n = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.size(F.split("text", "\n", -1))).otherwise(0)
-    out = docs.select("doc_id", n.alias("n_lines")).join(gone, "doc_id", "left")
+    out = docs.select("doc_id", F.xxhash64("text").alias("h"), n.alias("n_lines")).join(gone, ["doc_id", "h"], "left")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.size(F.coalesce("lines", none)).alias("n_removed"), F.coalesce("lines", none).alias("removed_lines"))

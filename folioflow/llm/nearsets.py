@@ -6,38 +6,54 @@ bucket: the count of leading zeros and MANTISSA bits after them. Large sets deal
 their hashes to the buckets by one hash; small sets, which would leave buckets
 empty, use a hash function for each register.
 
-Bands of ROWS registers deal the sketches into buckets. Inside a bucket the
-lowest mantissa bits of all registers give an estimate of the Jaccard similarity
-that is corrected for chance collisions; only sets that the estimate relates stay
-together. The candidate components that follow are confirmed on the full sets.
+Bands of ROWS registers deal the sketches into buckets. There the lowest bits of
+all registers give a first estimate of the Jaccard similarity, corrected for the
+half of the bits that agree by chance; what it relates becomes a candidate
+component. Inside a component every pair is estimated from whole registers,
+corrected for their collisions, and what that allows is compared in full.
+Bands and cuts below are those of the one similarity that links here, NUM / DEN.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, dropped, shuffle_partitions, slices, small, written
+from folioflow.llm.common import components, dropped, shuffle_partitions, slices, spread_join, written
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
-#: Sets of fewer hashes are sketched by a function for each register, sets of SPLIT_LOW or more by one function.
-#: A pair with similarity 0.8 is always in one of the two together.
+#: The least Jaccard similarity of a link.
+NUM, DEN = 80, 100
+#: Sets of fewer than SPLIT_HIGH hashes are sketched by a function for each register, sets of SPLIT_LOW or more by one function.
+#: Linked sets are always both in one of the two, since SPLIT_LOW / SPLIT_HIGH is no more than NUM / DEN.
 SPLIT_LOW, SPLIT_HIGH = 512, 640
-#: Most of the 128 sketch bits in which sets with similarity 0.8 may differ: six standard deviations above the mean.
-MOST_BITS = 34
-#: A register estimate below this is taken for certain to be no link; for sets that fill the registers.
-LEAST_ESTIMATE, LEAST_FOR_ESTIMATE = 0.55, 64
-#: Rows of a bucket, and sets of a candidate component, that one task takes together.
-BUCKET, CELL = 20_000, 4_096
+#: A register estimate below this, seven standard deviations under NUM / DEN, is taken for certain to be no link.
+LEAST_ESTIMATE = NUM / DEN - 7 * math.sqrt(NUM / DEN * (1 - NUM / DEN) / REGISTERS)
+#: Rows of a bucket that are compared together; sets and shingles of a candidate component that one task takes together.
+BUCKET, CELL, WEIGHT = 20_000, 512, 4_000_000
 DEALS = 3
-#: In so small a component every pair is compared in full.
-FEW = 6
+
+
+def least_bits(registers: int, bits: int, sds: float) -> float:
+    """The least bit_estimate() of a pair with similarity NUM / DEN, `sds` standard deviations under it."""
+    q = 1 - NUM / DEN
+    var = registers * (q * (bits + bits * bits) / 4 - (bits * q / 2) ** 2)
+    return 1 - 2 * (registers * bits * q / 2 + sds * math.sqrt(var)) / (registers * bits)
+
+
+def bit_estimate(differ: np.ndarray, bits: int) -> np.ndarray:
+    """The Jaccard estimate of sketches of which `differ` of `bits` bits differ; half the bits of unrelated registers agree by chance."""
+    return 1 - 2 * differ / bits
+
+
+#: The sketch of a set in a bucket: one bit of each register.
+LEAST_BITS = least_bits(REGISTERS, 1, 6)
 
 U = np.uint64
 _rng = np.random.default_rng(7)
@@ -105,18 +121,16 @@ def word_shingles(text: str | None, size: int) -> np.ndarray:
     return distinct(mixed(out))
 
 
-def byte_shingles(text: str | None, size: int) -> np.ndarray:
-    """The sorted distinct hashes of `size` consecutive bytes of the UTF-8 text; a shorter text is one shingle, an empty one none."""
+def char_shingles(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of `size` consecutive characters; a shorter text is one shingle, an empty one none."""
     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
     if not len(raw):
         return np.zeros(0, dtype=np.uint64)
-    k = min(size, len(raw))
-    n = len(raw) - k + 1
-    out = np.full(n, k, dtype=np.uint64)
-    letters = LETTERS[raw]
-    for j in range(k):
-        out += letters[j : j + n] * STEPS[j]
-    return distinct(mixed(out))
+    edge = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    k = min(size, len(edge) - 1)
+    lo, hi = edge[:-k], edge[k:]
+    total = sums(raw)
+    return distinct(mixed((total[hi] - total[lo]) * powers(len(raw) + 1)[1][lo] + (hi - lo).astype(np.uint64) * STEPS[40]))
 
 
 def registers(hashes: np.ndarray, large: bool) -> np.ndarray:
@@ -151,24 +165,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 SKETCHES = "array<struct<keys: array<long>, x: long, y: long>>"
-SIGNED = f"id long, n long, k1 long, k2 long, sketches {SKETCHES}"
+SIGNED = f"id long, h long, n long, k1 long, k2 long, sketches {SKETCHES}"
 LISTS = pa.list_(pa.struct([("keys", pa.list_(pa.int64())), ("x", pa.int64()), ("y", pa.int64())]))
 
 
-@dataclass(frozen=True)
-class Scheme:
-    """How texts become sets and sketches, and when sets are linked.
-
-    shingles: a text to its sorted distinct hashes; most_bits: the most sketch
-    bits in which linked sets may differ; num, den: the least Jaccard similarity.
-    """
-
-    shingles: Callable[[str | None], np.ndarray]
-    most_bits: int = MOST_BITS
-    num: int = 80
-    den: int = 100
-
-
 def sketches(hashes: np.ndarray) -> list[dict]:
     """A sketch for each kind of registers that the set's size calls for: the keys of its bands, and the registers' lowest bits."""
     out = []
@@ -183,20 +183,20 @@ def sketches(hashes: np.ndarray) -> list[dict]:
 
 
 def signed(rows: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
-    """(id, text) to SIGNED, written to the shared folder; k1 and k2 are equal for equal sets."""
+    """(id, text) to SIGNED, written to the shared folder; h is the text's hash, k1 and k2 are equal for equal sets."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(it):
             out: list[list] = [[] for _ in range(4)]
-            for text in batch.column(1).to_pylist():
-                h = shingles(text)
-                one, two = h.sum(dtype=np.uint64), mixed(h ^ U(BASE)).sum(dtype=np.uint64)
-                for to, x in zip(out, (len(h), int(one.view(np.int64)), int(two.view(np.int64)), sketches(h)), strict=True):
-                    to.append(x)
+            for text in batch.column(2).to_pylist():
+                x = shingles(text)
+                one, two = x.sum(dtype=np.uint64), mixed(x ^ U(BASE)).sum(dtype=np.uint64)
+                for to, value in zip(out, (len(x), int(one.view(np.int64)), int(two.view(np.int64)), sketches(x)), strict=True):
+                    to.append(value)
             cols = [pa.array(x, kind) for x, kind in zip(out, [pa.int64(), pa.int64(), pa.int64(), LISTS], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n", "k1", "k2", "sketches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "h", "n", "k1", "k2", "sketches"])
 
-    return written(rows.select(F.col("id").cast("long"), "text").mapInArrow(run, SIGNED), "signed")
+    return written(rows.select(F.col("id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, SIGNED), "signed")
 
 
 def groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -223,15 +223,15 @@ def groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def related(bits: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Connected groups of sketches that differ in at most `most_bits` bits, as (first row, the other rows)."""
+def related(bits: np.ndarray, size: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Connected groups of sketches of `size` bits whose estimate is at least `least`, as (first row, the other rows)."""
     rest = np.arange(len(bits))
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         first, found = front[0], []
         while front and len(rest):
             at = front.pop()
-            near = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1) <= most_bits
+            near = bit_estimate(np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1), size) >= least
             if near.any():
                 found.append(rest[near])
                 front += rest[near].tolist()
@@ -240,7 +240,7 @@ def related(bits: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]
             yield first, np.concatenate(found)
 
 
-def run_edges(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def run_edges(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, size: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span the related groups of each run of rows; runs begin at `starts`.
 
     Rows near the first of their run are found for all runs at once; only runs
@@ -248,147 +248,102 @@ def run_edges(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, most_bits:
     """
     sizes = np.diff(np.append(starts, len(ids)))
     first = np.repeat(starts, sizes)
-    near = np.bitwise_count(bits ^ bits[first]).sum(axis=1) <= most_bits
+    near = bit_estimate(np.bitwise_count(bits ^ bits[first]).sum(axis=1), size) >= least
     near[starts] = False
     a, b = [ids[first[near]]], [ids[near]]
     far = np.add.reduceat(near, starts, dtype=np.int64) + 1 < sizes
-    for lo, size in zip(starts[far & (sizes > 2)].tolist(), sizes[far & (sizes > 2)].tolist(), strict=True):
-        own = ids[lo : lo + size]
-        for head, others in related(bits[lo : lo + size], most_bits):
+    for lo, own_size in zip(starts[far & (sizes > 2)].tolist(), sizes[far & (sizes > 2)].tolist(), strict=True):
+        own = ids[lo : lo + own_size]
+        for head, others in related(bits[lo : lo + own_size], size, least):
             a.append(np.full(len(others), own[head]))
             b.append(own[others])
     return np.concatenate(a), np.concatenate(b)
 
 
-def bucket_edges(it: Iterator[pa.RecordBatch], keys: int, most_bits: int, most: int) -> Iterator[pa.RecordBatch]:
-    """run_edges() of the buckets in batches sorted by the first `keys` columns; a bucket over `most` rows comes in pieces, each with a row (key, null)."""
+def bucket_edges(it: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
+    """run_edges() of the buckets in batches (key, id, x, y) sorted by key; a bucket over BUCKET rows is one group without estimates."""
+
+    def batch_of(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def edges(cols: list[np.ndarray], cut: bool) -> Iterator[pa.RecordBatch]:
-        new = np.ones(len(cols[0]), dtype=bool)
-        for c in cols[:keys]:
-            new[1:] &= c[1:] == c[:-1]
-        new[0] = False
-        starts = np.flatnonzero(~new)
-        sizes = np.diff(np.append(starts, len(new)))
+    def edges(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        sizes = np.diff(np.append(starts, len(cols[0])))
         keep = np.repeat(sizes > 1, sizes)
-        ids, bits = cols[keys][keep], np.stack([cols[keys + 1][keep], cols[keys + 2][keep]], axis=1).view(np.uint64)
+        ids, bits = cols[1][keep], np.stack([cols[2][keep], cols[3][keep]], axis=1).view(np.uint64)
         own = sizes[sizes > 1]
-        a, b = run_edges(ids, bits, np.cumsum(own) - own, most_bits) if len(ids) else (ids, ids)
-        a, b = pa.array(a, pa.int64()), pa.array(b, pa.int64())
-        if cut:
-            a, b = pa.concat_arrays([a, pa.array([int(cols[0][0])], pa.int64())]), pa.concat_arrays([b, pa.nulls(1, pa.int64())])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+        if len(ids):
+            yield from batch_of(*run_edges(ids, bits, np.cumsum(own) - own, size, least))
 
     held: list[np.ndarray] = []
-    cut = None  # the key of a bucket that has been cut
+    whole: tuple[int, int] | None = None  # key and first id of a bucket that goes on beyond BUCKET rows
     for batch in it:
         if not batch.num_rows:
             continue
-        cols = [np.asarray(batch.column(i)) for i in range(keys + 3)]
+        cols = [np.asarray(batch.column(i)) for i in range(4)]
+        if whole is not None:
+            n = int(np.searchsorted(cols[0], whole[0], side="right"))
+            yield from batch_of(np.full(n, whole[1]), cols[1][:n])
+            cols = [c[n:] for c in cols]
+            if not len(cols[0]):
+                continue
+            whole = None
         held = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)] if held else cols
-        last = np.ones(len(held[0]), dtype=bool)
-        for c in held[:keys]:
-            last &= c == c[-1]
-        open_at = len(last) - int(last.sum())
-        key = tuple(c[-1] for c in held[:keys])
-        done, rest = [c[:open_at] for c in held], [c[open_at:] for c in held]
+        open_at = int(np.searchsorted(held[0], held[0][-1], side="left"))
         if open_at:
-            if cut is not None and cut == tuple(c[0] for c in held[:keys]):
-                size = int(np.logical_and.reduce([c == c[0] for c in done[:keys]]).sum())
-                yield from edges([c[:size] for c in done], True)
-                done = [c[size:] for c in done]
-            if len(done[0]):
-                yield from edges(done, False)
-            cut = None
-        while len(rest[0]) >= most:
-            cut = key
-            yield from edges([c[:most] for c in rest], True)
-            rest = [c[most:] for c in rest]
-        held = rest if len(rest[0]) else []
+            yield from edges([c[:open_at] for c in held])
+        held = [c[open_at:] for c in held]
+        if len(held[0]) > BUCKET:
+            whole = int(held[0][0]), int(held[1][0])
+            yield from batch_of(np.full(len(held[0]), whole[1]), held[1])
+            held = []
     if held:
-        yield from edges(held, cut is not None)
+        yield from edges(held)
 
 
-def candidates(sketched: DataFrame, most_bits: int) -> DataFrame:
-    """Edges (a, b) that span the groups of related sketches of each bucket; sketched: (id, sketches).
+def candidates(sketched: DataFrame, size: int, least: float) -> DataFrame:
+    """Edges (a, b) that span the groups of related sketches of each bucket; sketched: (id, sketches), each of `size` bits.
 
-    A task takes up to BUCKET rows of a bucket together. The buckets that go
-    beyond it are cut into parts, and every pair of parts meets in a task of its
-    own, so no task holds them whole and no pair is left out.
+    A bucket streams through one task, which holds up to BUCKET rows of it.
+    One that goes beyond it, a hot group of near copies, is a candidate component
+    as it is: more is compared in full then, and nothing is left out.
     """
     rows = sketched.select("id", F.explode("sketches").alias("s")).select(F.explode("s.keys").alias("key"), "id", "s.x", "s.y")
-
-    def run(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-        return bucket_edges(it, keys, most_bits, BUCKET if keys == 1 else 1 << 40)
-
-    n = shuffle_partitions(sketched.sparkSession)
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
-    edges = written(dealt.mapInArrow(lambda it: run(it, 1), "a long, b long"), "edges")
-    over = written(edges.where("b is null").groupBy("a").agg(F.count("*").alias("pieces")), "over")
-    count = over.count()
-    edges = edges.where("a <> b")
-    if count:
-        again = rows.join(small(over, count), F.col("key") == F.col("a"))
-        again = again.withColumn("w", (F.col("pieces") + 1).cast("int")).withColumn("p", F.pmod(F.xxhash64("id"), F.col("w")).cast("int"))
-        again = again.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-        again = again.select("key", (F.least("p", "q") * F.col("w") + F.greatest("p", "q")).alias("pair"), "id", "x", "y")
-        met = again.repartition(n, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(lambda it: run(it, 2), "a long, b long")
-        edges = edges.union(written(met, "edges").where("a <> b"))
-    return edges.distinct()
+    dealt = rows.repartition(shuffle_partitions(sketched.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda it: bucket_edges(it, size, least), "a long, b long").where("a <> b").distinct()
 
 
-def confirmed(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links den * |A and B| >= num * |A or B| that span the components of these sets; estimates come before full comparisons.
+def confirmed(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links DEN * |A and B| >= NUM * |A or B| that span the components of these sets; an estimate goes before every full comparison.
 
     With `left`, only pairs in which at least one set is marked are compared.
     """
     g = len(sets)
     sizes = np.array([len(s) for s in sets])
-    if g <= FEW:
-        return spanning(sets, sizes, num, den, lambda i, js: np.ones(len(js)), left)
-    large = np.array([n >= LEAST_FOR_ESTIMATE for n in sizes])
-    regs = np.stack([registers(s, True) if n >= SPLIT_LOW else registers(s, False) for s, n in zip(sets, sizes, strict=True)])
-    other = {i: registers(sets[i], False) for i in np.flatnonzero((sizes >= SPLIT_LOW) & (sizes < SPLIT_HIGH))}
-    kind = sizes >= SPLIT_LOW
-
-    def near(i: int, js: np.ndarray) -> np.ndarray:
-        est = np.ones(len(js))
-        same = large[js] & large[i] & (kind[js] == kind[i])
-        est[same] = estimate(regs[i], regs[js[same]])
-        if i in other:
-            small = large[js] & ~kind[js]
-            est[small] = estimate(other[i], regs[js[small]])
-        elif not kind[i]:
-            for at in np.flatnonzero(kind[js]):
-                if js[at] in other and large[i]:
-                    est[at] = estimate(regs[i], other[js[at]])
-        return est
-
-    return spanning(sets, sizes, num, den, near, left)
-
-
-def spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, near: Callable[[int, np.ndarray], np.ndarray], left: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that span the components: pairs whose estimate near(i, js) allows it are compared in full unless they are joined already."""
-    g = len(sets)
+    few, many = np.flatnonzero(sizes < SPLIT_HIGH), np.flatnonzero(sizes >= SPLIT_LOW)
+    regs = {large: np.full((g, REGISTERS), 0xFFFF, dtype=np.uint16) for large in (False, True)}
+    for large, own in ((False, few), (True, many)):
+        for i in own.tolist():
+            regs[large][i] = registers(sets[i], large)
     part = np.arange(g)
     found: list[tuple[int, int]] = []
     for i in range(g - 1):
-        js = np.arange(i + 1, g)
-        fit = (part[i + 1 :] != part[i]) & (den * np.minimum(sizes[i], sizes[i + 1 :]) >= num * np.maximum(sizes[i], sizes[i + 1 :]))
+        fit = (part[i + 1 :] != part[i]) & (DEN * np.minimum(sizes[i], sizes[i + 1 :]) >= NUM * np.maximum(sizes[i], sizes[i + 1 :]))
         if left is not None:
             fit &= left[i] | left[i + 1 :]
-        js = js[fit]
+        js = np.arange(i + 1, g)[fit]
         if not len(js):
             continue
-        est = near(i, js)
+        # Sets whose sizes allow a link are both of the few or both of the many.
+        est = np.where((sizes[js] < SPLIT_HIGH) & (sizes[i] < SPLIT_HIGH), estimate(regs[False][i], regs[False][js]), estimate(regs[True][i], regs[True][js]))
         order = np.argsort(-est, kind="stable")
         for at in order[est[order] >= LEAST_ESTIMATE].tolist():
             j = int(js[at])
             if part[j] == part[i]:
                 continue
             both = common_size(sets[i], sets[j])
-            if den * both >= num * (sizes[i] + sizes[j] - both):
+            if DEN * both >= NUM * (sizes[i] + sizes[j] - both):
                 part[part == part[j]] = part[i]
                 found.append((i, j))
     return found
@@ -401,13 +356,13 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def links(cells: DataFrame, scheme: Scheme) -> DataFrame:
+def links(cells: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
     """Confirmed links (a, b) that span the components inside each cell; cells: (cell, part, id, text, mark)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(it, 2):
             ids, marks = np.asarray(t["id"]), np.asarray(t["mark"])
-            got = confirmed([scheme.shingles(x) for x in t["text"].to_pylist()], scheme.num, scheme.den, None if marks.all() else marks)
+            got = confirmed([shingles(x) for x in t["text"].to_pylist()], None if marks.all() else marks)
             if got:
                 at = np.array(got)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
@@ -417,69 +372,97 @@ def links(cells: DataFrame, scheme: Scheme) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_components(edges: DataFrame, texts: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
-    """(node, component) of the ids that have a confirmed link, out of candidate edges (a, b).
+def near_components(edges: DataFrame, classes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """(node, component) of the nodes that have a confirmed link, out of candidate edges (a, b).
 
-    texts adds the column text to a table with the column id.
+    classes: (node, n) with the size of each node's set; texts adds the column
+    text to a table with a column id, which names a node.
 
-    Candidate components of up to CELL sets are confirmed in one task. Larger
-    ones are dealt into cells DEALS times by other hashes, which joins what is
-    dense; what is then outside the largest part of its candidate component is
-    compared with all of it, in blocks.
+    Candidate components of up to CELL sets and WEIGHT shingles are confirmed in
+    one task. Larger ones are dealt into cells DEALS times by other hashes, which
+    joins what is dense; what is then outside the largest part of its candidate
+    component is compared with all of it, in blocks.
     """
     found = components(edges)
     # The smallest member is a node of its own component.
-    cand = written(found.union(found.select("component", "component").distinct()).toDF("id", "comp"), "cand")
-    sizes = cand.groupBy("comp").agg(F.count("*").alias("c"))
-    members = written(cand.join(sizes, "comp"), "members")
+    cand = found.union(found.select("component", "component").distinct()).toDF("node", "comp")
+    cand = written(cand.join(classes.select("node", "n"), "node").select(F.col("node").alias("id"), "comp", "n"), "cand")
+    sizes = cand.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    members = written(cand.join(sizes, "comp").select("id", "comp", "n", "c", "w"), "members")
     dropped(found, cand)
     with_text = texts(members)
-    plain = with_text.where(F.col("c") <= CELL).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
-    edges = written(links(plain, scheme), "links")
-    big = members.where(F.col("c") > CELL)
-    if big.limit(1).count():
-        parts = F.ceil(F.col("c") / (CELL // 2)).cast("int")
-        texts_big = written(with_text.where(F.col("c") > CELL).select("comp", "c", "id", "text"), "big")
+    is_big = (F.col("c") > CELL) | (F.col("w") > WEIGHT)
+    plain = with_text.where(~is_big).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
+    edges = written(links(plain, shingles), "links")
+    spent = [members]
+    if members.where(is_big).limit(1).count():
+        parts = lambda c, w: F.ceil(F.greatest(c * 2 / CELL, w * 2 / WEIGHT)).cast("int")
+        texts_big = written(with_text.where(is_big).select("id", "comp", "n", "c", "w", "text"), "big")
+        spent += [texts_big, edges]
         for deal in range(DEALS):
-            cells = texts_big.select(F.col("comp").alias("cell"), F.pmod(F.xxhash64("id", F.lit(deal)), parts).cast("int").alias("part"), "id", "text", F.lit(True).alias("mark"))
-            edges = edges.union(written(links(cells, scheme), "links"))
+            cells = texts_big.select(F.col("comp").alias("cell"), F.pmod(F.xxhash64("id", F.lit(deal)), parts(F.col("c"), F.col("w"))).cast("int").alias("part"), "id", "text", F.lit(True).alias("mark"))
+            spent.append(written(links(cells, shingles), "links"))
+            edges = edges.union(spent[-1])
         so_far = components(edges.distinct())
-        placed = texts_big.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = texts_big.select("id", "comp", "n", "c", "w").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = written(placed, "placed")
-        counted = placed.groupBy("comp", "component").agg(F.count("*").alias("m"))
-        largest = counted.groupBy("comp").agg(F.max(F.struct("m", "component")).alias("z")).select("comp", F.col("z.component").alias("main"), F.col("z.m").alias("m"))
-        placed = placed.join(largest, "comp").withColumn("mark", F.col("component") != F.col("main"))
+        counted = placed.groupBy("comp", "component").agg(F.count("*").alias("m"), F.sum("n").alias("mw"))
+        largest = counted.groupBy("comp").agg(F.max(F.struct("m", "component", "mw")).alias("z")).select("comp", F.col("z.component").alias("main"), F.col("z.m").alias("m"), F.col("z.mw").alias("mw"))
         # Blocks of the outsiders (k) by blocks of everything (part): outsiders go to every part of their block, all rows to every block.
-        half = CELL // 2
-        blocks = F.ceil((F.col("c") - F.col("m")) / half).cast("int")
-        rest = placed.where("m < c")
-        width = F.ceil(F.col("c") / half).cast("int")
-        every = rest.select("comp", "id", "text", width.alias("w"), blocks.alias("k"), "mark", F.pmod(F.xxhash64("id", F.lit(98)), width).cast("int").alias("p"))
-        cell = lambda b, p: (b * F.col("w") + p).cast("int").alias("part")
-        base = every.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where(~F.col("mark") | (F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")) != F.col("b")))
-        out = every.where("mark").withColumn("b", F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-        both = base.select("comp", cell(F.col("b"), F.col("p")), "id", "text", F.lit(False).alias("mark")).union(out.select("comp", cell(F.col("b"), F.col("p")), "id", "text", F.lit(True).alias("mark")))
-        edges = edges.union(written(links(both.withColumnRenamed("comp", "cell"), scheme), "links"))
+        placed = placed.join(largest.where("m > 0"), "comp").where("m < c")
+        placed = placed.select("id", (F.col("component") != F.col("main")).alias("mark"), parts(F.col("c"), F.col("w")).alias("p_all"), parts(F.col("c") - F.col("m"), F.col("w") - F.col("mw")).alias("k"))
+        every = texts_big.select("id", "comp", "text").join(placed, "id").withColumn("p", F.pmod(F.xxhash64("id", F.lit(98)), F.col("p_all")).cast("int"))
+        cell = (F.col("b") * F.col("p_all") + F.col("p")).cast("int").alias("part")
+        own = F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int")
+        base = every.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where(~F.col("mark") | (own != F.col("b")))
+        out = every.where("mark").withColumn("b", own).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("p_all") - 1)))
+        both = base.select("comp", cell, "id", "text", F.lit(False).alias("mark")).union(out.select("comp", cell, "id", "text", F.lit(True).alias("mark")))
+        spent.append(written(links(both.withColumnRenamed("comp", "cell"), shingles), "links"))
+        edges = edges.union(spent[-1])
+        spent.append(so_far)
+    else:
+        spent.append(edges)
     out = components(edges.distinct())
-    dropped(members, edges)
+    dropped(*spent)
+    return out
+
+
+def reached(joined: DataFrame, classes: DataFrame, least: str) -> DataFrame:
+    """(node, reached) of every node in a component of two or more: the smallest value of the column `least` of classes there."""
+    every = joined.union(joined.select("component", "component").distinct()).toDF("node", "component")
+    every = written(every.join(classes.select("node", least), "node").select("node", "component", least), "every")
+    low = every.groupBy("component").agg(F.min(least).alias("reached"))
+    out = written(every.join(low, "component").select("node", "reached"), "reached")
+    dropped(every)
     return out
 
 
-def near_classes(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, n, component) for every row of (id, text): the size of its set and the smallest id that links reach.
+def near_classes(rows: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """(id, h, n, component) for every row of (id, text): its text's hash, the size of its set and the smallest id that links reach.
 
     Equal sets are one class before anything is compared, so copies cost one
-    row. Empty sets link with nothing. Where one id has several texts each row
-    follows its own text; a null id never names a component but follows one.
+    row; a class is a node with a number of its own. Empty sets link with nothing.
+    Where one id has several texts each row follows its own text; a null id
+    never names a component but follows one.
     """
-    told = signed(rows, scheme.shingles)
-    named = told.where("n > 0 and id is not null").select("k1", "k2", F.struct("id", "sketches").alias("s"))
-    classes = written(named.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("k1", "k2", "s.*"), "classes")
-    source = rows.select(F.col("id").cast("long").alias("id"), "text")
-    edges = written(candidates(classes, scheme.most_bits), "candidates")
-    joined = near_components(edges, lambda members: source.hint("merge").join(members, "id"), scheme)
-    reach = classes.select("k1", "k2", "id").join(joined, F.col("id") == F.col("node"), "left").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.coalesce("component", "id").alias("reached"))
-    reach = written(reach, "reach")
-    dropped(edges, classes, joined)
-    out = told.select("id", "n", "k1", "k2").join(reach, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")) & (F.col("n") > 0), "left")
-    return out.select("id", "n", F.coalesce("reached", "id").alias("component"))
+    told = signed(rows, shingles)
+    named = told.where("n > 0").select("k1", "k2", "id", F.struct("id", "h", "n", "sketches").alias("s"))
+    made = named.groupBy("k1", "k2").agg(F.min("s").alias("s"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = written(made.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "least", "copies", "s.*"), "classes")
+    source = rows.select(F.col("id").cast("long").alias("o"), F.xxhash64("text").alias("g"), "text")
+    edges = written(candidates(classes.select(F.col("node").alias("id"), "sketches"), REGISTERS, LEAST_BITS), "candidates")
+
+    def with_text(members: DataFrame) -> DataFrame:
+        place = classes.select("node", F.col("id").alias("at"), "h")
+        named = members.join(place, F.col("id") == F.col("node"))
+        return source.hint("merge").join(named, F.col("o").eqNullSafe(F.col("at")) & (F.col("g") == F.col("h"))).select(*members.columns, "text")
+
+    joined = near_components(edges, classes, with_text, shingles)
+    reach = reached(joined, classes, "least")
+    fate = classes.select("node", "k1", "k2", "least", "copies").join(reach, "node", "left").where("copies > 1 or reached is not null or least is null")
+    fate = written(fate.select("k1", "k2", "copies", F.coalesce("reached", "least").alias("component")), "fate")
+    dropped(edges, joined, reach, classes)
+    some = spread_join(told.where("n > 0").select("id", "h", "n", "k1", "k2"), fate, ["k1", "k2"]).select("id", "h", "n", F.coalesce("component", "id").alias("component"))
+    out = written(some.union(told.where("n = 0").select("id", "h", "n", F.col("id").alias("component"))), "near")
+    dropped(told, fate)
+    return out

@@ -17,11 +17,24 @@ def brute(edges):
     return {x: m for x, m in low.items() if x != m}
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_components(spark, monkeypatch, few):
-    monkeypatch.setattr(common, "FEW_EDGES", few)
-    rng = random.Random(few)
+@pytest.mark.parametrize("at_once", [0, 10**6])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "CONTRACT", at_once)
+    rng = random.Random(at_once)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (200, 300), (300, 200)]
-    df = spark.createDataFrame([*edges, (None, 1)], "a long, b long")
+    df = spark.createDataFrame([*edges, (None, 1)], "a long, b long").repartition(3)
     assert {r.node: r.component for r in common.components(df).collect()} == brute(edges)
     assert common.components(df.limit(0)).count() == 0
+
+
+def test_own_folder_only_in_local_mode():
+    assert common.own_dir("local[4]", "app-1") == common.own_dir("local[4]", "app-1").rstrip("/")
+    with pytest.raises(ValueError):
+        common.own_dir("spark://host:7077", "app-2")
+
+
+def test_spread_join_keeps_every_row(spark):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(50)], "k long, v long")
+    groups = spark.createDataFrame([(0, 2_000_000, "hot"), (1, 3, "light")], "k long, copies long, name string")
+    got = {(r.v, r.name) for r in common.spread_join(rows, groups, ["k"]).collect()}
+    assert got == {(v, {0: "hot", 1: "light"}.get(v % 5)) for v in range(50)}

@@ -4,8 +4,7 @@ from folioflow.llm import linededup as ld
 
 
 def shingles(line):
-    b = line.encode()
-    return {b[i : i + 10] for i in range(max(1, len(b) - 9))} if b else set()
+    return {line[i : i + 10] for i in range(max(1, len(line) - 9))} if line else set()
 
 
 def brute(rows):
@@ -53,7 +52,9 @@ def corpus(seed):
 
 def test_against_brute_force(spark):
     rows = corpus(5) + [(900, None), (901, ""), (902, "\n\n"), (903, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (904, "aaaaaaaaaaaaaaaa"), (905, "é\né"), (None, "é")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS n", "3 AS lines", "4 AS rep", "length(text) AS n_chars")
+    greek, run = "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώ", "漢字仮名交じり文章例題集成書籍目録帳簿"
+    rows += [(910, greek * 3), (911, greek * 3 + "α"), (912, run[:9]), (913, run[:9] + "\n" + run[:10]), (914, run + run[::-1]), (915, run + run[::-1] + "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS n", "3 AS lines", "4 AS rep", "5 AS gone_id", "6 AS gone_lines", "7 AS h", "8 AS c0", "length(text) AS n_chars")
     want = brute(rows)
     assert {r.doc_id: r.lines for r in ld.removed_lines(docs).collect()} == want
     got = ld.dedup_lines(docs)
@@ -67,3 +68,18 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ld.removed_lines(docs).count() == 0 and ld.dedup_lines(docs).count() == 0
+
+
+def test_ids_of_any_size_and_repeats(spark):
+    """Other texts under one doc_id keep what is theirs; ids need not be small."""
+    same, other = "one line that is the same in both", "and a line that nobody else has at all"
+    rows = [(2**40, same), (2**41 + 2**40, same), (7, "first of seven\n" + other), (7, same + "\nlast of seven is this"), (7, same + "\nlast of seven is this"), (-5, "first of seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in ld.dedup_lines(docs).collect()}
+    assert got == {(7, other), (7, same + "\nlast of seven is this"), (-5, "first of seven")}
+
+
+def test_a_line_of_every_document_stays_once(spark):
+    docs = spark.createDataFrame([(d, f"the same line in all of them\nline {d} {'x' * (d % 50)} of its own {d * 7919}") for d in range(1500)], "doc_id long, text string")
+    lost = {r.doc_id for r in ld.removed_lines(docs).collect() if 0 in r.lines}
+    assert lost == set(range(1, 1500))
