@@ -23,20 +23,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone names by (doc_id, h); a missing doc_id is a name like any other, h is xxhash64(text)."""
+    named = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    return docs.hint("merge").join(named, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_h")), "left_anti")
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
-    told = neardup.near_documents(docs, size=5)
-    gone = written(told.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    dropped(told)
-    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id.
+
+    Five words are what every stage on word shingles takes; op6's two words are the contract of that query alone.
+    Texts that repeat a doc_id are judged each for itself; a row without doc_id goes when it is a copy of one with.
+    """
+    return without(docs, neardup.near_documents(docs, size=5).where(~F.col("kept")))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of ten words of a benchmark item occurs."""
-    told = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(told.where("contaminated").select("doc_id").distinct(), "gone")
-    dropped(told)
-    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no window of ten words of a benchmark item occurs; every row is judged by its own text."""
+    return without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
