@@ -112,12 +112,11 @@ def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contracted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as stars: each node with the smallest one that the partition's edges reach."""
+    """(node, root) of the nodes of a partition's edges: the smallest node that these edges reach."""
 
     def star() -> pa.RecordBatch:
         node, label = labels(*(np.concatenate([h[i] for h in held]) for i in range(2)))
-        other = node != label
-        return pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(label[other])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["node", "root"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in it:
@@ -132,29 +131,31 @@ def contracted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of an undirected edge list by distributed union-find, at every size the same way.
 
-    Each partition first joins its own edges into stars. Then large-star and
-    small-star steps (Kiveris et al., 2014) alternate until no label changes;
-    each step is an aggregation whose table is written to the shared folder.
+    Every partition joins its own edges by union-find. A node that several
+    partitions know unites their roots; these unions are the edges of the next,
+    smaller graph, and so on until no node has two roots. The labels of the
+    levels are then put together from the last one back. Every table is written
+    to the shared folder; a node has at most a root for each partition.
     Returns (node, component) with the smallest node of each component, for
-    nodes that have an edge to another, smaller node in reach. Null ends and self
-    loops are ignored; an empty list gives an empty table.
+    nodes that are not that themselves. Null ends and self loops are ignored; an
+    empty list gives an empty table.
     """
     cur = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    cur = written(cur.mapInArrow(contracted, "u long, v long"), "cc")
-    n, before = cur.count(), None
-    while n:
-        # Large star: every larger neighbour of u points at the smallest of u and its neighbours.
-        both = cur.union(cur.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its smaller neighbours point at the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        nxt = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        nxt = written(nxt.where("u <> v").distinct(), "cc")
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(cur)
-        cur, n = nxt, state[0]
-        if tuple(state) == before:
+    levels: list[DataFrame] = []
+    spent: list[DataFrame] = []
+    while True:
+        roots = cur.mapInArrow(contracted, "node long, root long").groupBy("node").agg(F.collect_set("root").alias("roots"))
+        levels.append(written(roots.select("node", F.array_min("roots").alias("component"), "roots"), "cc"))
+        dropped(*spent)
+        unions = levels[-1].where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("component").alias("v"))
+        cur = written(unions.where("u <> v").distinct(), "cc")
+        spent = [cur]
+        if not cur.limit(1).count():
             break
-        before = tuple(state)
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = levels[-1].select("node", "component")
+    for level in reversed(levels[:-1]):
+        up = out.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        out = level.select("node", "component").join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    out = written(out.where("node <> component"), "cc")
+    dropped(*levels, *spent)
+    return out

@@ -36,7 +36,7 @@ SPLIT_LOW, SPLIT_HIGH = 512, 640
 #: A register estimate below this, seven standard deviations under NUM / DEN, is taken for certain to be no link.
 LEAST_ESTIMATE = NUM / DEN - 7 * math.sqrt(NUM / DEN * (1 - NUM / DEN) / REGISTERS)
 #: Rows of a bucket that are compared together; sets and shingles of a candidate component that one task takes together.
-BUCKET, CELL, WEIGHT = 20_000, 512, 4_000_000
+BUCKET, CELL, WEIGHT = 20_000, 4_096, 8_000_000
 DEALS = 3
 
 
