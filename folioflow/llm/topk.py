@@ -2,10 +2,12 @@
 
 Every component of the vectors of a block is a list sorted by value. A query
 reads each list from the end that its weight favours, all lists to the same
-depth. Read entries add to a candidate's sum; what is not yet read lies between
+depth. What is read adds to a candidate's sum; what is not yet read lies between
 the last value read and the far end of the list, which bounds every score from
-above and below. Candidates whose upper bound falls under the k-th lower bound
-leave; the lists are read on for the rest until their scores are exact.
+above and below. Candidates whose upper bound falls under the k-th lower bound,
+or under the k-th score that the first block gave, leave. A query stops reading
+when no more than FINALISTS times k are left, none of the others being able to
+qualify, and the scores of those are resolved in exact integers.
 """
 
 from __future__ import annotations
@@ -14,114 +16,136 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioflow.llm.common import dropped, written
 from folioflow.session import table
 
-#: Shares of a sorted list that are read before bounds are compared again.
-DEPTHS = (0.5, 0.75, 0.875, 0.94, 0.97, 1.0)
-RESULT = "query_id long, qpack int, qrow int, vec_id long, score long"
+#: Shares of a sorted list after which bounds are compared.
+DEPTHS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1.0)
+#: A query stops reading at this many times k candidates.
+FINALISTS = 4
+RESULT = "query_id long, qpack int, qrow long, vec_id long, score long"
 
 
-def no_random_access(weights: np.ndarray, own: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k best candidates of each query, as (row indexes, exact scores); ties to the smaller id.
+def no_random_access(weights: np.ndarray, own: np.ndarray, values: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, list[int]]]:
+    """The k best candidates of each query, as (indexes, exact scores); ties to the smaller id.
 
     weights: queries x dims, values: candidates x dims, both integers; own: the
-    queries' ids, which are no candidates of theirs. Nothing is dropped before
-    its upper bound is below k lower bounds.
+    queries' rows, which are no candidates of theirs; floor: scores that k other
+    candidates reach. Bounds are doubles, widened by what rounding can add.
     """
     nq, (n, d) = len(weights), values.shape
-    bound = d * int(np.abs(weights).max(initial=0)) * int(np.abs(values).max(initial=0))
-    if bound >= 2**53 or not d or not n:  # beyond exact doubles: whole lists in exact integers
-        total = weights.astype(object) @ values.astype(object).T if d and n else np.zeros((nq, n), dtype=object)
-        top = 2**63 - 1
-        return [best(np.array([max(-top, min(top, int(x))) for x in row], dtype=np.int64), np.flatnonzero(ids != own[q]), ids, k) for q, row in enumerate(total)]
+    done: list[tuple[np.ndarray, list[int]]] = [(np.zeros(0, dtype=np.int64), [])] * nq
+    if not n:
+        return done
     order = np.argsort(values, axis=0, kind="stable")
     rank = np.empty((n, d), dtype=np.int32)
     np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
     lists = np.take_along_axis(values, order, axis=0).astype(np.float64)
-    w = np.hstack([np.maximum(weights, 0), np.minimum(weights, 0)]).astype(np.float64)  # read from the top, from the bottom
-    far = np.concatenate([lists[0], lists[-1]])
-    x = np.hstack([values, values]).astype(np.float64)
-    turn = np.hstack([n - 1 - rank, rank])  # when each end of a list comes to this entry
-    alive, at = np.arange(n), 0
-    total = np.zeros((nq, n))
-    open_ = ids[None, :] != own[:, None]
+    x, w = values.astype(np.float64), weights.astype(np.float64)
+    up, down = np.maximum(w, 0), np.minimum(w, 0)  # read from the top, from the bottom
+    slack = (d + 2) * 2.0**-50 * (np.abs(w) @ np.abs(x).max(axis=0, initial=0.0))
+    least = np.full(nq, -np.inf) if floor is None else floor.astype(np.float64)
+    alive, asking = np.arange(n), np.arange(nq)
+    open_ = rows[None, :] != own[:, None]
     for share in DEPTHS:
-        to = n if share == 1.0 else min(n, max(at + 1, math.ceil(share * n)))
-        now = turn[alive]
-        total += w @ np.where((now >= at) & (now < to), x[alive], 0.0).T
-        at = to
-        if at >= n:
-            break
-        unread = (now >= at).astype(np.float64).T
-        upper = total + (w * np.concatenate([lists[n - at], lists[at - 1]])) @ unread
-        lower = np.where(open_, total + (w * far) @ unread, -np.inf)
+        at = n if share == 1.0 else min(n, math.ceil(share * n))
+        own_rank, own_x = rank[alive], x[alive]
+        top, low = own_rank >= n - at, own_rank < at
+        upper = up[asking] @ np.where(top, own_x, lists[n - at]).T + down[asking] @ np.where(low, own_x, lists[at - 1]).T
+        lower = up[asking] @ np.where(top, own_x, lists[0]).T + down[asking] @ np.where(low, own_x, lists[-1]).T
+        lower[~open_] = -np.inf
+        reach = least[asking]
         if len(alive) > k:
-            kth = np.partition(lower, len(alive) - k, axis=1)[:, len(alive) - k]
-            open_ &= upper >= kth[:, None]
-            keep = open_.any(axis=0)
-            if not keep.all():
-                alive, total, open_ = alive[keep], total[:, keep], open_[:, keep]
-    out = []
-    for q in range(nq):
-        rows = np.flatnonzero(open_[q])
-        i, s = best(total[q].astype(np.int64), rows, ids[alive], k)
-        out.append((alive[i], s))
-    return out
+            reach = np.maximum(reach, np.partition(lower, len(alive) - k, axis=1)[:, len(alive) - k])
+        open_ &= upper >= (reach - 2 * slack[asking])[:, None]
+        stop = (open_.sum(axis=1) <= FINALISTS * k) | (at == n)
+        for q in np.flatnonzero(stop).tolist():
+            left = alive[open_[q]]
+            done[asking[q]] = best(left, exact(weights[asking[q]], values[left]), ids, k)
+        asking, open_ = asking[~stop], open_[~stop]
+        if not len(asking):
+            break
+        keep = open_.any(axis=0)
+        alive, open_ = alive[keep], open_[:, keep]
+    return done
 
 
-def best(scores: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
-    return rows, scores[rows]
+def exact(weight: np.ndarray, values: np.ndarray) -> list[int]:
+    """Inner products in integers of any size."""
+    if len(weight) * int(np.abs(weight).max(initial=0)) * int(np.abs(values).max(initial=0)) < 2**63:
+        return (values @ weight).tolist()
+    return [sum(a * b for a, b in zip(row, weight.tolist(), strict=True)) for row in values.tolist()]
+
+
+def best(rows: np.ndarray, scores: list[int], ids: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    first = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
+    return rows[first], [scores[i] for i in first]
 
 
 def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     flat = column.combine_chunks()
-    return np.asarray(flat.flatten()).reshape(rows, -1)
+    return np.asarray(flat.flatten(), dtype=np.int64).reshape(rows, -1)
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, pack: int = 512) -> DataFrame:
-    """The k rows of `vectors` with the highest integer inner product for each row of `queries`.
+def exact_top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = 4096, pack: int = 512) -> DataFrame:
+    """The k rows of `vectors` with the highest integer inner product for each of its rows that `asks` holds for.
 
-    Both have vec_id long and comps array<long>. Candidates are dealt into
+    vectors has vec_id long and comps array<long>. Candidates are dealt into
     blocks of about `block` rows, queries into packs of about `pack`; every
     pack meets every block once, in a task of its own, and the winners of the
-    blocks are merged. A query never finds rows of its own vec_id; vectors of
-    another length than the query's take no part in its search. Rows with a null
-    id or null comps are ignored; repeated query rows are searched each for
-    itself; repeated candidate rows each count. Scores beyond a long are cut to its ends.
+    blocks are merged. The first block goes ahead: the k-th score that a query
+    finds there is a bound in all others. A query never finds its own row, but
+    other rows of its vec_id; vectors of another length than the query's take no
+    part in its search. Rows with a null id or null comps are ignored; repeated
+    query rows are searched each for itself; repeated candidate rows each count.
+    A score beyond a long is an error. Further columns are not read.
     Returns (query_id, rank, vec_id, score); rank breaks ties by vec_id.
     """
-    clean = lambda t: t.select("vec_id", "comps", F.size("comps").alias("dim")).where("vec_id is not null and comps is not null")
-    vectors, queries = clean(vectors), clean(queries)
-    blocks = max(1, math.ceil(vectors.count() / block))
+    clean = vectors.select("vec_id", "comps", F.size("comps").alias("dim"), F.coalesce(asks, F.lit(False)).alias("asks")).where("vec_id is not null and comps is not null")
+    rows = written(clean.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    queries = rows.where("asks").drop("asks")
+    blocks = max(1, math.ceil(rows.count() / block))
     packs = max(1, math.ceil(queries.count() / pack))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = vectors.select("vec_id", "comps", "dim", place(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("qpack"))
-    right = queries.select("vec_id", "comps", "dim", place(packs).alias("qpack"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    place = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    left = rows.select("row", "vec_id", "comps", "dim", place(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("qpack"))
     keys = ["block", "qpack", "dim"]
 
     def meet(key, cands: pa.Table, qs: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("query_id", "qpack", "qrow", "vec_id", "score")}
         if cands.num_rows and qs.num_rows:
-            by = np.lexsort((np.asarray(qs["vec_id"]),))
-            own, ids = np.asarray(qs["vec_id"])[by], np.asarray(cands["vec_id"])
-            found = no_random_access(matrix(qs["comps"], len(own))[by], own, matrix(cands["comps"], len(ids)), ids, k)
-            for q, (rows, scores) in enumerate(found):
-                out["query_id"] += [own[q]] * len(rows)
-                out["qpack"] += [key[1].as_py()] * len(rows)
-                out["qrow"] += [q] * len(rows)
-                out["vec_id"] += ids[rows].tolist()
-                out["score"] += scores.tolist()
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            own, name, ids = np.asarray(qs["row"]), qs["vec_id"].to_pylist(), np.asarray(cands["vec_id"])
+            floor = np.array([-math.inf if f is None else f for f in qs["floor"].to_pylist()])
+            found = no_random_access(matrix(qs["comps"], len(own)), own, matrix(cands["comps"], len(ids)), np.asarray(cands["row"]), ids, k, floor)
+            for q, (at, scores) in enumerate(found):
+                out["query_id"] += [name[q]] * len(at)
+                out["qpack"] += [key[1].as_py()] * len(at)
+                out["qrow"] += [int(own[q])] * len(at)
+                out["vec_id"] += ids[at].tolist()
+                out["score"] += scores
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
 
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, RESULT)
+    def met(block_ids: Column, cands: DataFrame, floors: Column) -> DataFrame:
+        right = asking.select(*[F.col(c).alias(c) for c in ("row", "vec_id", "comps", "dim")], place(packs).alias("qpack"), F.explode(block_ids).alias("block"), floors.cast("double").alias("floor"))
+        return written(cands.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, RESULT), "met")
+
+    asking = queries
+    first = met(F.array(F.lit(0)), left.where("block = 0"), F.lit(None))
+    found = [first]
+    if blocks > 1:
+        floors = first.groupBy("qrow").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+        asking = queries.join(floors.select(F.col("qrow").alias("row"), "kth"), "row", "left")
+        found.append(met(F.sequence(F.lit(1), F.lit(blocks - 1)), left.where("block > 0"), F.col("kth")))
     ranked = W.partitionBy("query_id", "qpack", "qrow").orderBy(F.desc("score"), F.asc("vec_id"))
-    return met.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = found[0] if len(found) == 1 else found[0].union(found[1])
+    out = every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = written(out, "top")
+    dropped(rows, *found)
+    return out
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
@@ -134,7 +158,7 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
-    return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
+    return exact_top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
 ORACLE = """

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import topk
 
@@ -22,18 +24,52 @@ def test_against_brute_force(spark):
     rows += [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (600, [1.0, 2.0]), (601, [3.0, 1.0]), (700, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS block", "2 AS score")
     v = topk.integer_vectors(df)
-    got = topk.exact_top_k(v, v.where("vec_id % 100 = 0"), block=64, pack=2)
+    got = topk.exact_top_k(v, F.col("vec_id") % 100 == 0, block=64, pack=2)
     assert sorted(map(tuple, got.collect())) == brute(rows, 100)
 
 
 def test_exact_integers_beyond_doubles():
     w = np.array([[2**40, 3]], dtype=np.int64)
     x = np.array([[2**20, 1], [2**20, 2], [5, 5]], dtype=np.int64)
-    rows, scores = topk.no_random_access(w, np.array([9]), x, np.arange(3), 2)[0]
+    rows, scores = topk.no_random_access(w, np.array([9]), x, np.arange(3), np.arange(3), 2)[0]
     assert list(rows) == [1, 0] and list(scores) == [2**60 + 6, 2**60 + 3]
+    rows, scores = topk.no_random_access(w << 20, np.array([9]), x, np.arange(3), np.arange(3), 2)[0]
+    assert list(scores) == [2**80 + (6 << 20), 2**80 + (3 << 20)]
+
+
+@pytest.mark.parametrize("size", [8, 2**45])
+def test_bounds_lose_nothing(size):
+    """Many seeds, both sides of what doubles hold, floors that others reach, and ties."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        n, d, k = int(rng.integers(1, 200)), int(rng.integers(1, 9)), int(rng.integers(1, 12))
+        x, w = rng.integers(-size, size, (n, d)), rng.integers(-size, size, (5, d))
+        x[rng.random(n) < 0.3] = x[0]
+        ids, own = rng.permutation(n), rng.integers(0, n, 5)
+        want = [sorted((-sum(int(a) * int(b) for a, b in zip(x[i], w[q])), int(ids[i])) for i in range(n) if i != own[q])[:k] for q in range(5)]
+        floor = np.array([-hits[-1][0] if len(hits) == k and seed % 2 else -math.inf for hits in want])
+        got = topk.no_random_access(w, own, x, np.arange(n), ids, k, floor)
+        assert [[(-s, int(ids[i])) for i, s in zip(rows.tolist(), scores)] for rows, scores in got] == want
+
+
+def test_lists_are_not_read_to_the_end_where_bounds_decide(monkeypatch):
+    """One component decides: reading stops long before the whole lists are read."""
+    rng = np.random.default_rng(5)
+    x = np.stack([np.arange(4096) ** 2, rng.integers(0, 2, 4096)], axis=1)
+    read = []
+    true = math.ceil
+    monkeypatch.setattr(topk.math, "ceil", lambda v: read.append(v) or true(v))
+    rows, _ = topk.no_random_access(np.array([[1000, 1]]), np.array([-1]), x, np.arange(4096), np.arange(4096), 10)[0]
+    assert list(rows) == list(range(4095, 4085, -1)) and max(read) <= 4096 / 8
+
+
+def test_other_rows_of_the_querys_id_are_found(spark):
+    df = spark.createDataFrame([(100, [1, 2]), (100, [3, 4]), (7, [1, 1])], "vec_id long, comps array<long>")
+    got = sorted(map(tuple, topk.exact_top_k(df, F.col("vec_id") % 100 == 0).collect()))
+    assert got == [(100, 1, 100, 11), (100, 1, 100, 11), (100, 2, 7, 3), (100, 2, 7, 7)]
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     v = topk.integer_vectors(df)
-    assert topk.exact_top_k(v, v).count() == 0
+    assert topk.exact_top_k(v, F.col("vec_id") % 100 == 0).count() == 0
