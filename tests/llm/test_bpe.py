@@ -1,12 +1,14 @@
 import hashlib
 import random
 
+import pytest
+
 from folioflow.llm import bpe
 
 
 def library():
-    enc, pieces = bpe.load(*bpe.vocabulary())
-    return enc, bpe.Tree(enc.encode_ordinary, pieces, leaf=7)
+    enc, _ = bpe.load(*bpe.vocabulary())
+    return enc, bpe.tree_of(*bpe.vocabulary(), 7)[0]
 
 
 def test_tree_equals_the_library_on_random_texts():
@@ -26,6 +28,26 @@ def test_texts_without_cuts():
         assert tree.encode(text) == enc.encode_ordinary(text)
 
 
+def test_a_long_text_without_spaces_stays_in_small_windows():
+    """1 MB of one run of letters, digits, signs, spaces or CJK: the library never sees much of it at once."""
+    enc, _ = bpe.load(*bpe.vocabulary())
+    rng = random.Random(4)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 1 << 20), ("0123456789", 60_000), ("=-_#'", 60_000), (" ", 30_000), ("\n ", 30_000), ("漢字仮名交文章例題", 60_000), ("aé", 60_000)):
+        tree, _ = bpe.tree_of(*bpe.vocabulary(), bpe.LEAF)
+        seen = []
+        tree.encode_leaf = lambda t: seen.append(len(t)) or enc.encode_ordinary(t)  # noqa: B023
+        text = "".join(rng.choice(letters) for _ in range(n))
+        ids = tree.encode(text)
+        assert ids == enc.encode_ordinary(text), letters
+        assert max(seen) <= 20_000, (letters, max(seen))
+        assert tree.decode(ids) == text.encode()
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError):
+        bpe.load(bpe.vocabulary()[0], r"\w+|\W+")
+
+
 def test_round_trip_rows(spark):
     rows = [(1, "Hello there. " * 2000), (2, None), (3, ""), (3, ""), (None, "x"), (4, "<|endoftext|>")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "text AS ids")
