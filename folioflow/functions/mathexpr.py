@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from html import escape
 from xml.etree import ElementTree
 
@@ -64,133 +66,164 @@ def fence(char: str) -> str:
     return tag("mo", text(char), stretchy="true")
 
 
-class Reader:
-    """Reads tokens from the left; every method returns MathML and leaves `at` behind what it took."""
-
-    def __init__(self, source: str):
-        self.tokens, self.at = tokenize(source), 0
-
-    def ahead(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
-
-    def take(self) -> tuple[str, str]:
-        got = self.ahead()
-        self.at += got[0] != "end"
-        return got
-
-    def whole(self) -> str:
-        body = self.sequence(None)
-        return body
-
-    def sequence(self, until: tuple[str, str] | None) -> str:
-        parts = []
-        while self.ahead()[0] != "end" and self.ahead() != until:
-            parts.append(self.scripted())
-        return tag("mrow", "".join(parts))
-
-    def scripted(self) -> str:
-        base, scripts = self.atom(), {}
-        while self.ahead()[0] in ("_", "^"):
-            mark = self.take()[0]
-            scripts[mark] = self.group()
-        if not scripts:
-            return base
-        name = {"_": "msub", "^": "msup", "_^": "msubsup"}["".join(sorted(scripts, key="_^".index))]
-        return tag(name, base + scripts.get("_", "") + scripts.get("^", ""))
-
-    def group(self) -> str:
-        if self.ahead()[0] != "{":
-            return self.atom()
-        self.take()
-        inner = self.sequence(("}", "}"))
-        if self.take()[0] != "}":
-            raise MathError("a closing } is missing")
-        return inner
-
-    def atom(self) -> str:
-        kind, value = self.ahead()
-        if kind == "{":
-            return self.group()
-        self.take()
-        if kind == "end":
-            return tag("mrow")
-        if kind == "}":
-            raise MathError("unexpected }")
-        if kind == "command":
-            return self.command(value)
-        if kind == "number":
-            return tag("mn", text(value.replace(",", ".", 1)))
-        if kind != "operator":
-            return tag("mi", text(value))
-        if value in FENCES:
-            close = ("operator", FENCES[value])
-            inner = self.sequence(close)
-            if self.take() != close:
-                raise MathError(f"a closing {close[1]} is missing")
-            return tag("mrow", fence(value) + inner + fence(close[1]))
+@dataclass
+class Row:
+    """An open sequence: its items so far as [base, subscript, superscript], what closes it, and what its MathML is put into."""
+
+    close: tuple[str, str] | None = None
+    wrap: Callable[[str], str] = str
+    items: list[list[str]] = field(default_factory=list)
+
+    def done(self) -> str:
+        return self.wrap(tag("mrow", "".join(map(marked, self.items))))
+
+
+@dataclass
+class Call:
+    """A construct that waits for operands; a script waits for one and gives it to the last item of the row below."""
+
+    arity: int
+    build: Callable[..., str] = str
+    slot: int = 0
+    operands: list[str] = field(default_factory=list)
+
+
+def marked(item: list[str]) -> str:
+    base, low, high = item
+    name = {(True, False): "msub", (False, True): "msup", (True, True): "msubsup"}.get((bool(low), bool(high)))
+    return tag(name, base + low + high) if name else base
+
+
+def fenced(first: str, last: str) -> Callable[[str], str]:
+    return lambda inner: tag("mrow", fence(first) + inner + fence(last))
+
+
+def styled(variant: str) -> Callable[[str], str]:
+    return lambda inner: tag("mstyle", inner, mathvariant=variant)
+
+
+#: What a command opens; all others are leaves.
+CALLS: dict[str, tuple[int, Callable[..., str]]] = {
+    "left": (1, str),
+    "right": (1, str),
+    "frac": (2, lambda over, under: tag("mfrac", over + under)),
+    "sqrt": (1, lambda inner: tag("msqrt", inner)),
+    "paren": (1, fenced("(", ")")),
+    "bracket": (1, fenced("[", "]")),
+} | {name: (1, styled(variant)) for name, variant in STYLES.items()}
+#: Leaves by name, in the order in which a name is looked up.
+NAMED = {k: tag("mi", v) for k, v in GREEK.items()} | {k: tag("mo", v) for k, v in OPERATORS.items()} | {k: tag("mi", k, mathvariant="normal") for k in FUNCTIONS}
+SLOTS = {"_": 1, "^": 2}
+
+
+def leaf(kind: str, value: str) -> str:
+    if kind == "command":
+        return NAMED.get(value) or tag("mi", text(value))
+    if kind == "number":
+        return tag("mn", text(value.replace(",", ".", 1)))
+    if kind == "operator":
         return fence(value) if value in ")]" else tag("mo", text(value))
+    return tag("mi", text(value))
+
 
-    def command(self, name: str) -> str:
-        if name in ("left", "right"):
-            return self.atom()
-        if name == "frac":
-            return tag("mfrac", self.group() + self.group())
-        if name == "sqrt":
-            return tag("msqrt", self.group())
-        if name in ("paren", "bracket"):
-            a, b = "()" if name == "paren" else "[]"
-            return tag("mrow", fence(a) + self.group() + fence(b))
-        if name == "text":
-            return tag("mtext", text(self.literal()))
-        if name in STYLES:
-            return tag("mstyle", self.group(), mathvariant=STYLES[name])
-        if name in FUNCTIONS:
-            return tag("mi", name, mathvariant="normal")
-        return tag("mo", OPERATORS[name]) if name in OPERATORS else tag("mi", GREEK.get(name) or text(name))
-
-    def literal(self) -> str:
-        if self.take()[0] != "{":
-            raise MathError(r"\text needs {...}")
-        depth, parts = 1, []
-        while depth:
-            kind, value = self.take()
-            if kind == "end":
-                raise MathError(r"a closing } is missing in \text")
-            depth += {"{": 1, "}": -1}.get(kind, 0)
-            if depth:
-                parts.append(value)
-        return "".join(parts)
+def literal(tokens: list[tuple[str, str]], at: int) -> tuple[str, int]:
+    """The plain text of a braced group that begins at `at`, and the place behind it."""
+    if at >= len(tokens) or tokens[at][0] != "{":
+        raise MathError(r"\text needs {...}")
+    depth = 0
+    for i in range(at, len(tokens)):
+        depth += {"{": 1, "}": -1}.get(tokens[i][0], 0)
+        if not depth:
+            return "".join(value for _, value in tokens[at + 1 : i]), i + 1
+    raise MathError(r"a closing } is missing in \text")
 
 
 def body(source: str) -> str:
-    return Reader(source).whole()
+    """MathML of one expression: tokens are shifted onto a stack of open rows and calls, and what is complete is reduced."""
+    tokens, stack, at = tokenize(source), [Row()], 0
+
+    def reduce(value: str) -> None:
+        while True:
+            top = stack[-1]
+            if isinstance(top, Row):
+                top.items.append([value, "", ""])
+                return
+            if top.slot:
+                stack.pop()
+                stack[-1].items[-1][top.slot] = value
+                return
+            top.operands.append(value)
+            if len(top.operands) < top.arity:
+                return
+            stack.pop()
+            value = top.build(*top.operands)
+
+    while at < len(tokens):
+        kind, value = tokens[at]
+        top, at = stack[-1], at + 1
+        in_row = isinstance(top, Row)
+        if in_row and top.close == (kind, value):
+            stack.pop()
+            reduce(top.done())
+        elif kind == "}":
+            raise MathError("unexpected }")
+        elif in_row and kind in SLOTS and top.items:
+            stack.append(Call(1, slot=SLOTS[kind]))
+        elif kind == "{":
+            stack.append(Row(("}", "}")))
+        elif kind == "operator" and value in FENCES:
+            stack.append(Row((kind, FENCES[value]), fenced(value, FENCES[value])))
+        elif kind == "command" and value in CALLS:
+            stack.append(Call(*CALLS[value]))
+        elif kind == "command" and value == "text":
+            plain, at = literal(tokens, at)
+            reduce(tag("mtext", text(plain)))
+        else:
+            reduce(leaf(kind, value))
+    # What still waits at the end gets empty operands; a row that waits for its end has none.
+    while len(stack) > 1:
+        if isinstance(stack[-1], Row):
+            raise MathError(f"a closing {stack[-1].close[1]} is missing")
+        reduce(tag("mrow"))
+    return stack[0].done()
+
+
+def cut(source: str, at: str) -> list[str]:
+    return [part for part in map(str.strip, source.split(at)) if part]
 
 
 def rows_of(parts: list[str]) -> str:
-    return "".join(tag("mtr", tag("mtd", body(p))) for p in parts)
+    return "".join([tag("mtr", tag("mtd", body(part))) for part in parts])
 
 
-def cut(source: str, at: str) -> list[str]:
-    return [p for p in (x.strip() for x in source.split(at)) if p]
+#: Layouts of a source by what divides it: how its parts become MathML.
+LEFT = "left"
+BRACE = tag("mo", "{", fence="true", stretchy="true")
+LAYOUTS: dict[str, Callable[[list[str]], str]] = {
+    "\n": lambda parts: tag("mtable", rows_of(parts), columnalign=LEFT),
+    "||": lambda parts: tag("mtable", tag("mtr", "".join([tag("mtd", cell(part)) for part in parts])), columnalign="left center left center left"),
+    ";": lambda parts: tag("mrow", BRACE + tag("mtable", rows_of(parts), columnalign=LEFT)),
+}
+
+
+def cell(source: str) -> str:
+    """A column's content: a system, or what is left of one without its dividers."""
+    parts = cut(source, ";")
+    return LAYOUTS[";"](parts) if len(parts) > 1 else body("".join(parts))
 
 
-def system(parts: list[str]) -> str:
-    return tag("mrow", tag("mo", "{", fence="true", stretchy="true") + tag("mtable", rows_of(parts), columnalign="left"))
+def laid_out(source: str, *dividers: str) -> str:
+    """MathML of a source by the first divider that applies to it; one expression where none does."""
+    for divider in dividers:
+        parts = cut(source, divider)
+        if len(parts) > 1 or (divider == "||" and divider in source):
+            return LAYOUTS[divider](parts)
+    return body(source)
 
 
 def to_mathml(source: str | None, display: str = "inline") -> str:
     """MathML of a source: '||' makes columns, ';' a system, lines a table. Raises MathError on unbalanced groups."""
-    lines = cut(strip_dollars(source), "\n")
-    if len(lines) == 1 and "||" in lines[0]:
-        cells = [cut(c, ";") for c in cut(lines[0], "||")]
-        inner = "".join(tag("mtd", system(c) if len(c) > 1 else body(c[0] if c else "")) for c in cells)
-        content = tag("mtable", tag("mtr", inner), columnalign="left center left center left")
-    elif len(lines) == 1 and len(cut(lines[0], ";")) > 1:
-        content = system(cut(lines[0], ";"))
-    elif len(lines) > 1:
-        content = tag("mtable", rows_of(lines), columnalign="left")
-    else:
-        content = body(source or "")
+    content = laid_out(strip_dollars(source), *LAYOUTS)
     return tag("math", content, xmlns=NS, display="block" if display == "block" else "inline")
 
 
