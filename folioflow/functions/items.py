@@ -78,8 +78,9 @@ def available_height(height: Column, top: Column, bottom: Column) -> Column:
     return F.greatest(F.lit(1.0), height - F.coalesce(top, F.lit(0.0)) - F.coalesce(bottom, F.lit(0.0)))
 
 
-def is_hard_break(type_: Column, flag: Column) -> Column:
-    return F.coalesce(flag, F.lit(False)) | type_.isin("part_title", "hero")
+def is_hard_break(flag: Column, page_break: Column) -> Column:
+    """Whether an item begins a page: its pagination flag, or the page break of its style. Its type has no say."""
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(page_break, F.lit(False))
 
 
 def clean_extra(entry: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +23,19 @@ def first_nonblank(*xs: Column) -> Column:
     return F.coalesce(*[blank_to_null(x) for x in xs])
 
 
+def _unmarked(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None else re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", v)))
+
+
+def unmarked(x: Column) -> Column:
+    """The canonical decomposition without its combining marks. Only texts beyond ASCII go to Python, in Arrow batches."""
+    wide = x.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(F.pandas_udf(_unmarked, "string")(F.when(wide, x)), x)
+
+
 def slugify(x: Column, size: int = 60, default: str = "item") -> Column:
     """Marks dropped, lower case, runs of anything but a-z, 0-9 and Greek become one hyphen, trimmed and cut."""
-    low = F.lower(F.regexp_replace(F.translate(x, MARKED, PLAIN), r"[̀-ͯ]", ""))
+    low = F.lower(unmarked(x))
     cut = F.left(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9Ͱ-Ͽ]+", "-"), r"^-+|-+$", ""), F.lit(size))
     return F.when(F.coalesce(cut, F.lit("")) == "", F.lit(default)).otherwise(cut)
 
@@ -59,9 +73,14 @@ def parse_aspect(x: Column) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """Digit runs padded to 12 places, so that text order is natural order; case and marks are ignored."""
-    runs = F.regexp_extract_all(F.lower(F.translate(x, MARKED, PLAIN)), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 12, "0")).otherwise(r)), "")
+    """Digit runs without leading zeros after their length, so that text order is natural order for runs of any size; case and marks are ignored."""
+    runs = F.regexp_extract_all(F.lower(F.translate(x, MARKED, PLAIN)), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+
+    def key(r: Column) -> Column:
+        bare = F.regexp_replace(r, "^0+(?=[0-9])", "")
+        return F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), bare)).otherwise(r)
+
+    return F.array_join(F.transform(runs, key), "")
 
 
 def valid_hex(x: Column) -> Column:
@@ -120,3 +139,52 @@ def safe_name(x: Column) -> Column:
     """The last path segment without query and fragment, odd characters as underscores."""
     base = F.regexp_extract(F.regexp_replace(x, r"[?#].*$", ""), r"([^/\\]*)$", 1)
     return F.regexp_replace(base, r"[^A-Za-z0-9._Ͱ-Ͽ-]+", "_")
+
+
+def display_label(x: Column, labels: dict[str, str]) -> Column:
+    """The label of a name in a dictionary, or the name itself."""
+    known = F.create_map(*[F.lit(y) for pair in labels.items() for y in pair]) if labels else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.try_element_at(known, x), x)
+
+
+#: How parameter values that say yes or no are shown (fixed values).
+YES_NO = {"1": "ναι", "true": "ναι", "0": "όχι", "false": "όχι"}
+
+
+def earliest(x: Column, marks: list[str]) -> Column:
+    """struct(place from 1, mark) of the mark that comes first in x; null where none does. Of marks at one place the first given wins."""
+    found = F.filter(F.array(*[F.struct(F.locate(m, x).alias("place"), F.lit(i).alias("turn"), F.lit(m).alias("mark")) for i, m in enumerate(marks)]), lambda f: f["place"] > 0)
+    best = F.array_min(found)
+    return F.when(best.isNotNull(), F.struct(best["place"].alias("place"), best["mark"].alias("mark")))
+
+
+#: Delimiters of mathematics in a text (fixed values): opening, closing, display.
+MATH_MARKS = [(r"\(", r"\)", "inline"), (r"\[", r"\]", "block"), ("$$", "$$", "block")]
+
+
+def math_spans(x: Column) -> Column:
+    """array<struct(text, display)> of a text: plain parts (display null) and the mathematics between its delimiters, in order.
+
+    An opening mark without its closing one makes the rest plain; empty plain parts go.
+    """
+    between = "|".join(re.escape(a) + "[\\s\\S]*?" + re.escape(b) for a, b, _ in MATH_MARKS)
+    opened = "|".join(re.escape(a) for a, _, _ in MATH_MARKS)
+    # What follows an opening mark that is never closed holds no mathematics, whatever stands in it.
+    pattern = rf"(?:{between})|(?:{opened})[\s\S]*|(?:(?!{opened})[\s\S])+"
+    parts = F.regexp_extract_all(x, F.lit(pattern), 0)
+
+    def span(p: Column) -> Column:
+        out = F.struct(p.alias("text"), F.lit(None).cast("string").alias("display"))
+        for a, b, display in reversed(MATH_MARKS):
+            inner = F.substring(p, F.lit(len(a) + 1), F.length(p) - len(a) - len(b))
+            whole = p.startswith(a) & p.endswith(b) & (F.length(p) >= len(a) + len(b))
+            out = F.when(whole, F.struct(inner.alias("text"), F.lit(display).alias("display"))).otherwise(out)
+        return out
+
+    return F.transform(parts, span)
+
+
+def asset_name(x: Column) -> Column:
+    """'slug.ext' of a file name; the ending in lower case, .png where there is none. identity.unique_ids() makes it free of collisions."""
+    ext = F.lower(F.regexp_extract(x, r"\.[A-Za-z0-9]+$", 0))
+    return F.concat(slugify(F.regexp_replace(x, r"\.[^.]+$", "")), F.when(ext == "", ".png").otherwise(ext))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stats_by_type(items: DataFrame, keys: list[str], type_: str = "type") -> DataFrame:
@@ -15,20 +16,57 @@ def duplicate_ids(ids: DataFrame, keys: list[str]) -> DataFrame:
     return ids.groupBy(*keys).agg((F.count("*") - 1).alias("repeats")).where(F.col("repeats") > 0)
 
 
-def reference_edges(items: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, kind, target): links of rich-text bodies, assets and scenes; one row for each reference."""
-    nodes = items.select(*keys, F.explode("body.nodes").alias("n")).where("n.type = 'link'")
-    target = F.coalesce("n.target", "n.href", F.lit(""))
-    internal = F.col("n.target").isNotNull() | F.col("n.href").startswith("#")
-    links = nodes.select(*keys, F.when(internal, "internal-link").otherwise("external-link").alias("kind"), F.regexp_replace(target, "^#", "").alias("target"))
-    src = items.where(F.coalesce(F.trim("src"), F.lit("")) != "")
-    kind = F.when(F.col("type") == "scene", "scene").otherwise("asset")
-    return links.unionByName(src.select(*keys, kind.alias("kind"), F.col("src").alias("target")))
+def nested(nodes: Column, schema: T.DataType, child: str = "children") -> list[Column]:
+    """The arrays of nodes at every depth that the schema has, the outermost first."""
+    out = [nodes]
+    kind = schema.elementType
+    while child in kind.names:
+        nodes = F.flatten(F.transform(nodes, lambda n: F.coalesce(n[child], F.array().cast(kind[child].dataType))))  # noqa: B023
+        kind = kind[child].dataType.elementType
+        out.append(nodes)
+    return out
+
+
+def field_type(df: DataFrame, path: str) -> T.DataType:
+    kind: T.DataType = df.schema
+    for part in path.split("."):
+        kind = kind[part].dataType
+    return kind
+
+
+def reference_edges(items: DataFrame, keys: list[str], body: str = "body.nodes") -> DataFrame:
+    """(keys, kind, target): links of rich-text bodies at any depth, sources of figures and scenes; one row for each reference.
+
+    A link whose href starts with '#' is an internal-link to what follows; every
+    other, an empty one too, is an external-link. target, the name of a window,
+    has no say. Links of null bodies and null hrefs of links are '' targets.
+    """
+    kind, links = field_type(items, body).elementType, []
+    for level in nested(F.col(body), field_type(items, body)):
+        if "href" in kind.names:
+            own = F.filter(level, lambda n: n["type"] == "link")
+            links.append(F.coalesce(F.transform(own, lambda n: F.coalesce(n["href"], F.lit(""))), F.array().cast("array<string>")))
+        kind = kind["children"].dataType.elementType if "children" in kind.names else kind
+    href = F.col("href")
+    found = items.select(*keys, F.explode(F.concat(*links)).alias("href"))
+    internal = href.startswith("#")
+    out = found.select(*keys, F.when(internal, "internal-link").otherwise("external-link").alias("kind"), F.when(internal, F.substring(href, 2, 1 << 30)).otherwise(href).alias("target"))
+    src = items.where(F.col("type").isin("figure", "scene") & (F.coalesce("src", F.lit("")) != ""))
+    return out.unionByName(src.select(*keys, F.when(F.col("type") == "scene", "scene").otherwise("asset").alias("kind"), F.col("src").alias("target")))
+
+
+def nav_edges(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, target) of navigation groups (target, entries: array<struct<target>>): a nav-target for each that has one."""
+    every = F.concat(F.array("target"), F.coalesce(F.transform("entries", lambda e: e["target"]), F.array().cast("array<string>")))
+    found = groups.select(*keys, F.explode(every).alias("target")).where("target <> ''")
+    return found.select(*keys, F.lit("nav-target").alias("kind"), F.regexp_replace("target", "^#", "").alias("target"))
 
 
 def broken_references(refs: DataFrame, ids: DataFrame, target: str = "target", id_: str = "id") -> DataFrame:
-    """References with a target that no id answers: a left anti join."""
+    """References with a target that no id answers: a left anti join. Of edges with a kind, internal links and navigation targets alone count."""
     named = refs.where(F.coalesce(F.trim(target), F.lit("")) != "")
+    if "kind" in refs.columns:
+        named = named.where(F.col("kind").isin("internal-link", "nav-target"))
     return named.join(ids.select(F.col(id_).alias(target)), target, "left_anti")
 
 

@@ -43,12 +43,12 @@ def nested_counts(books: DataFrame) -> DataFrame:
     return books.select("*", F.size(pages).alias("n_pages"), items.alias("n_items"))
 
 
-def metadata(books: DataFrame) -> DataFrame:
-    """Title with its fallback chain and trimmed library facets."""
+def metadata(books: DataFrame, *keys: str) -> DataFrame:
+    """Title with its fallback chain and trimmed library facets; further columns that name a book may go along."""
     lib = lambda n: F.trim(F.coalesce(F.col(f"meta.library.{n}"), F.lit("")))
     title = F.coalesce(blank_to_null(F.col("meta.title")), F.col("folder"))
     tags = F.filter(F.coalesce("meta.library.tags", F.array().cast("array<string>")), lambda t: F.trim(t) != "")
-    return books.select("folder", title.alias("title"), *[lib(n).alias(n) for n in ("discipline", "level", "category", "status")], tags.alias("tags"))
+    return books.select(*keys, "folder", title.alias("title"), *[lib(n).alias(n) for n in ("discipline", "level", "category", "status")], tags.alias("tags"))
 
 
 def hierarchical_search(pages: DataFrame, items: DataFrame, on: list[str], page_text: list[str], item_text: list[str], query: str) -> tuple[DataFrame, DataFrame]:

@@ -90,7 +90,8 @@ def toc_rows(headings: DataFrame, keys: list[str], level: str, title: str) -> Da
 
 def section_ends(rows: DataFrame, keys: list[str], order: str, level: str, levels: int = 9) -> DataFrame:
     """For headings (level not null): the ordinal before the next heading of the same or a smaller level, or the last row."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(1, W.unboundedFollowing)
+    # Read backwards the frame only grows, so each running minimum is kept instead of being taken again for every row.
+    w = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
     nxt = F.lit(None).cast("long")
     for k in range(1, levels + 1):
         nxt = F.when(F.col(level) == k, F.min(F.when(F.col(level) <= k, F.col(order))).over(w)).otherwise(nxt)

@@ -29,13 +29,16 @@ def full_query(default: Column, preset: Column, state: Column | None = None, pri
 def discover(scenes: DataFrame, labs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Presets out of scene urls: the first lab with the url's origin, the url's query, one for each canonical url.
 
-    scenes: (ord, title, src); labs: (lab_id, lab_ord, base_url); known: presets with compare_keys.
+    scenes: (ord, title, src); labs: (lab_id, lab_ord, base_url); known: presets (lab_id, compare_keys) that labs have already.
     """
     first = labs.select(url_origin(F.col("base_url")).alias("origin"), F.struct("lab_ord", "lab_id").alias("l")).groupBy("origin").agg(F.min("l").alias("l"))
     rows = scenes.where(F.coalesce(F.trim("src"), F.lit("")) != "").withColumn("origin", url_origin(F.col("src"))).join(first, "origin")
     query = query_map(F.regexp_extract("src", r"\?([^#]*)", 1))
     found = rows.select("ord", F.col("l.lab_id").alias("lab_id"), first_nonblank(F.col("title"), F.col("src")).alias("title"), query.alias("query"), canonical_url(F.col("src")).alias("url"))
-    return suppress_overlaps(found.withColumn("compare_keys", F.array("url")), "compare_keys", "ord", known)
+    offered = found.withColumn("compare_keys", F.array("url")).withColumn("_new", F.lit(True))
+    if known is not None:
+        offered = offered.unionByName(known.select("lab_id", "compare_keys", F.lit(False).alias("_new")), allowMissingColumns=True)
+    return suppress_overlaps(offered, ["lab_id"], "compare_keys", ["_new", "ord"]).where("_new").drop("_new")
 
 
 def archive(presets: DataFrame, where: Column) -> DataFrame:

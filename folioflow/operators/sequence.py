@@ -20,6 +20,25 @@ def filter_for_print(pages: DataFrame, items: DataFrame, on: list[str], page_sho
     return (shown_pages if keep_empty else shown_pages.join(shown.select(*on), on, "left_semi")), shown
 
 
+def materialized(entries: DataFrame, mode: str, flags: tuple[str, ...] = ("visibility", "printOnly", "screenOnly")) -> DataFrame:
+    """Entries of a print edition without their visibility flags, which have done their work; those of other modes as they are."""
+    return entries.drop(*flags) if mode == "print" else entries
+
+
+def located(rows: DataFrame, refs: DataFrame, keys: list[str], order: str, id_: str, ref: str) -> DataFrame:
+    """Each reference with the ordinal it means: digits are an ordinal from 0, anything else the id of the first row that bears it.
+
+    Adds found (null where there is none) and error, which then says so.
+    """
+    first = rows.groupBy(*keys, id_).agg(F.min(order).alias("_by_id"))
+    size = rows.groupBy(*keys).agg(F.max(order).alias("_last"))
+    number = F.when(F.col(ref).rlike("^[0-9]+$"), F.col(ref).try_cast("bigint"))
+    met = refs.withColumn("_n", number).withColumn("_id", F.when(number.isNull(), F.col(ref)))
+    met = met.join(first.withColumnRenamed(id_, "_id"), [*keys, "_id"], "left").join(size, keys, "left")
+    found = F.when(F.col("_n").isNotNull(), F.when(F.col("_n") <= F.col("_last"), F.col("_n"))).otherwise(F.col("_by_id"))
+    return met.select(*refs.columns, found.alias("found"), F.when(found.isNull(), F.concat(F.lit("nothing found for "), F.coalesce(ref, F.lit("null")))).alias("error"))
+
+
 def mode_counts(pages: DataFrame, items: DataFrame, page_shown: Column, item_shown: Column) -> DataFrame:
     """One row: how many pages and items are shown and hidden."""
     p = pages.agg(F.count_if(page_shown).alias("pages_shown"), F.count_if(~page_shown).alias("pages_hidden"))
@@ -37,7 +56,11 @@ def expand_print(items: DataFrame, book: list[str], page: str, order: str, id_:
     """
     wants = F.coalesce(F.size(steps) > 0, F.lit(False)) & (~opt_out if opt_out is not None else F.lit(True))
     calls = items.where(wants)
-    scenes = items.where(F.col(id_).isNotNull()).groupBy(*book, id_).agg(F.max_by(F.struct(*items.columns), F.struct(page, order)).alias("scene"))
+    # Only scenes that a callout names are looked up, and by their places; their rows are fetched once.
+    wanted = calls.select(*book, F.col(scene_ref).alias(id_)).where(F.col(id_).isNotNull()).distinct()
+    last = items.join(wanted, [*book, id_], "left_semi").groupBy(*book, id_).agg(F.max(F.struct(page, order)).alias("_place"))
+    places = last.select(*book, F.col(f"_place.{page}").alias(page), F.col(f"_place.{order}").alias(order))
+    scenes = items.join(places, [*book, page, order], "left_semi").select(*book, id_, F.struct(*items.columns).alias("scene"))
     found = calls.join(scenes.withColumnRenamed(id_, scene_ref), [*book, scene_ref])
     each = found.select(*[F.col(c) for c in items.columns], "scene", F.posexplode(steps).alias("step_ord", "_step"))
     call_rows = each.select(*items.columns, "step_ord", F.lit(0).alias("part"))

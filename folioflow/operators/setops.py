@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folioflow.operators.fold import fold_sorted
 
 
 def string_map(m: Column) -> Column:
@@ -85,17 +90,34 @@ def last_match(rows: DataFrame, lookup: DataFrame, on: list[str], order: str) ->
     return rows.join(lookup.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), on, "left")
 
 
-def suppress_overlaps(presets: DataFrame, key_set: str, order: str, known: DataFrame | None = None) -> DataFrame:
-    """Discovered presets without those that share a compare key with a known one or an earlier discovered one.
+def suppress_overlaps(presets: DataFrame, lab: list[str], key_set: str, order: list[str], id_: str | None = None) -> DataFrame:
+    """Presets that a lab takes, offered in order: one goes that shares a compare key, or its id, with one the lab has already.
 
-    A preset goes if any of its keys is first seen elsewhere; a key belongs to the preset with the smallest ordinal.
+    A preset that goes takes nothing with it: its other keys stay free. Known
+    presets are offered first, by `order`. The fold holds the keys taken by one lab; rows without a lab go.
     """
-    keys = presets.select(order, F.explode(key_set).alias("_k"))
-    first = keys.groupBy("_k").agg(F.min(order).alias("_first"))
-    late = keys.join(first, "_k").where(F.col(order) > F.col("_first")).select(order)
-    if known is not None:
-        late = late.union(keys.join(known.select(F.explode(key_set).alias("_k")).distinct(), "_k", "left_semi").select(order))
-    return presets.join(late.distinct(), order, "left_anti")
+
+    def fold(rows: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        taken = np.zeros(len(rows), dtype=bool)
+        keys = [frozenset() if k is None else frozenset(k) for k in rows[key_set]]
+        names = [str(i or "").strip() for i in rows[id_]] if id_ else [""] * len(rows)
+        for lo, hi in bounds:
+            seen_keys, seen_names = set(), set()
+            for i in range(lo, hi):
+                if keys[i] & seen_keys or (names[i] and names[i] in seen_names):
+                    continue
+                taken[i] = True
+                seen_keys |= keys[i]
+                seen_names.add(names[i])
+        return rows.assign(_taken=taken)
+
+    return fold_sorted(presets, lab, order, [T.StructField("_taken", T.BooleanType())], fold).where("_taken").drop("_taken")
+
+
+def object_diff(base: Column, applied: Column) -> Column:
+    """Entries of the map `applied` whose value, as JSON, is not that of `base`; what base alone has is no change."""
+    same = lambda k, v: F.map_contains_key(base, k) & F.try_element_at(base, k).eqNullSafe(v)
+    return F.when(base.isNull(), applied).otherwise(F.map_filter(applied, lambda k, v: ~F.coalesce(same(k, v), F.lit(False))))
 
 
 def parameter_keys(rows: DataFrame, keys: list[str], order: list[str], params: str) -> DataFrame:
@@ -113,7 +135,10 @@ def resolve_styles(styles: DataFrame) -> DataFrame:
     """
     sc = styles.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioflow-"))
+        shared = styles.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="folioflow-"))
     up = F.when(F.col("based_on") != F.col("style_id"), F.col("based_on"))
     cur = styles.select("style_id", up.alias("up"), string_map(F.col("props")).alias("props")).checkpoint()
     steps, before, left = 1, None, cur.where("up is not null").count()

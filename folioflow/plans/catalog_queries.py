@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.operators import audit, catalog, ordered
+from folioflow.operators import audit, catalog, ordered, reports
 from folioflow.plans.registry import register
 from folioflow.session import table
 
@@ -29,16 +29,9 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = "lines AS (SELECT doc_id, lang, source, unnest(range(len(l))) AS ord, unnest(l) AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))"
 
 
-@register("catalog_sort_natural", "SELECT p_partkey, p_name, p_brand, p_size, row_number() OVER (ORDER BY p_size DESC, lower(p_name) DESC, p_partkey) AS pos FROM part WHERE p_size >= 48")
+@register("catalog_sort_natural", "SELECT p_partkey, p_name, p_brand, p_size, row_number() OVER (ORDER BY p_size DESC, lower(p_name) DESC, p_partkey) AS pos FROM part")
 def catalog_sort_natural(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size").where("p_size >= 48")
-    key = X.natural_key(F.col("p_name"))
-    return part.withColumn("pos", F.row_number().over(W.orderBy(F.desc("p_size"), F.desc(key), F.asc("p_partkey"))))
-
-
-@register("catalog_sort_all", "SELECT p_partkey, p_name, p_brand, p_size, row_number() OVER (ORDER BY p_size DESC, lower(p_name) DESC, p_partkey) AS pos FROM part")
-def catalog_sort_all(spark, sf_dir):
-    """Every part; catalog_sort_natural and its SQL state the top of the catalogue."""
+    """Every part, by size and then by name, both descending."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     return ordered.positions(part, [F.desc("p_size"), F.desc(X.natural_key(F.col("p_name"))), F.asc("p_partkey")], "pos")
 
@@ -54,9 +47,10 @@ def catalog_facets(spark, sf_dir):
        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""",
 )
 def catalog_counts(spark, sf_dir):
-    per_page = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    per_page = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.col("l_partkey")).alias("items"))
     pages = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(per_page, "o_orderkey", "left")
-    return pages.groupBy(F.col("o_custkey").alias("book")).agg(F.count("*").alias("n_pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"))
+    books = pages.groupBy(F.col("o_custkey").alias("book")).agg(F.collect_list(F.struct("items")).alias("pages"))
+    return catalog.nested_counts(books).select("book", "n_pages", "n_items")
 
 
 @register(
@@ -65,8 +59,10 @@ def catalog_counts(spark, sf_dir):
        list_filter(list_transform(string_split(p_type, ' '), lambda x: trim(x)), lambda x: x <> '') AS tags FROM part""",
 )
 def catalog_metadata(spark, sf_dir):
-    tags = F.filter(F.transform(F.split("p_type", " "), lambda t: F.trim(t)), lambda t: t != "")
-    return table(spark, sf_dir, "part").select("p_partkey", X.first_nonblank(F.col("p_name"), F.col("p_brand")).alias("title"), F.trim("p_type").alias("category"), tags.alias("tags"))
+    none = F.lit("")
+    library = F.struct(none.alias("discipline"), none.alias("level"), F.col("p_type").alias("category"), none.alias("status"), F.split("p_type", " ").alias("tags"))
+    books = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("folder"), F.struct(F.col("p_name").alias("title"), library.alias("library")).alias("meta"))
+    return catalog.metadata(books, "p_partkey").select("p_partkey", "title", "category", "tags")
 
 
 @register(
@@ -119,6 +115,44 @@ def broken_refs(spark, sf_dir):
     return audit.broken_references(refs, table(spark, sf_dir, "customer").where("c_acctbal > 0"), "user_id", "c_custkey").select("event_id", "user_id")
 
 
+REF_ITEMS = """i AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'figure' WHEN 'click' THEN 'scene' ELSE 'paragraph' END AS type,
+         CASE WHEN user_id % 2 = 0 THEN 's' || user_id ELSE '' END AS src, CASE event_id % 3 WHEN 0 THEN '#c' || user_id WHEN 1 THEN 'https://x.org/#' || event_id END AS href, '#c' || (event_id % 50) AS deep FROM events),
+       e AS (SELECT event_id, CASE WHEN starts_with(coalesce(h, ''), '#') THEN 'internal-link' ELSE 'external-link' END AS kind, CASE WHEN starts_with(coalesce(h, ''), '#') THEN substr(h, 2) ELSE coalesce(h, '') END AS target
+             FROM (SELECT event_id, href AS h FROM i UNION ALL SELECT event_id, deep FROM i WHERE event_id % 5 = 0)
+             UNION ALL SELECT event_id, CASE type WHEN 'scene' THEN 'scene' ELSE 'asset' END, src FROM i WHERE type <> 'paragraph' AND src <> ''
+             UNION ALL SELECT event_id, 'nav-target', 'c' || t FROM (SELECT event_id, user_id + 1 AS t FROM i WHERE event_id % 4 = 0 UNION ALL SELECT event_id, event_id FROM i WHERE event_id % 7 = 0))"""
+
+
+def all_edges(spark, sf_dir):
+    """References of items made of events: links, links in links, sources, and navigation with entries."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    link = lambda href: [F.lit("link").alias("type"), href.alias("href"), F.lit("_blank").alias("target")]
+    href = F.when(F.col("event_id") % 3 == 0, text("#c", F.col("user_id"))).when(F.col("event_id") % 3 == 1, text("https://x.org/#", F.col("event_id")))
+    deep = F.when(F.col("event_id") % 5 == 0, F.array(F.struct(*link(text("#c", F.col("event_id") % 50)))))
+    plain = F.struct(F.lit("text_run").alias("type"), F.lit("#c1").alias("href"), F.lit(None).cast("string").alias("target"), deep.alias("children"))
+    nodes = F.array(F.struct(*link(href), F.lit(None).cast(DEEP).alias("children")), plain)
+    kind = F.when(F.col("event_type") == "view", "figure").when(F.col("event_type") == "click", "scene").otherwise("paragraph")
+    rows = e.select("event_id", kind.alias("type"), F.when(F.col("user_id") % 2 == 0, text("s", F.col("user_id"))).otherwise("").alias("src"), F.struct(nodes.alias("nodes")).alias("body"))
+    entries = F.array(F.struct(F.when(F.col("event_id") % 7 == 0, text("c", F.col("event_id"))).otherwise("").alias("target")))
+    groups = e.select("event_id", F.when(F.col("event_id") % 4 == 0, text("#c", F.col("user_id") + 1)).alias("target"), entries.alias("entries"))
+    return audit.reference_edges(rows, ["event_id"]).unionByName(audit.nav_edges(groups, ["event_id"]))
+
+
+DEEP = "array<struct<type:string,href:string,target:string>>"
+
+
+@register("reference_edges", f"WITH {REF_ITEMS} SELECT * FROM e")
+def reference_edges(spark, sf_dir):
+    return all_edges(spark, sf_dir)
+
+
+@register("broken_links", f"WITH {REF_ITEMS} SELECT * FROM e WHERE kind IN ('internal-link', 'nav-target') AND target NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0)")
+def broken_links(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"))
+    return audit.broken_references(all_edges(spark, sf_dir), ids).select("event_id", "kind", "target")
+
+
 @register("incoming_refs", "SELECT l_partkey AS target, count(*) AS incoming FROM lineitem GROUP BY 1")
 def incoming_refs(spark, sf_dir):
     return audit.incoming_references(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("target")))
@@ -334,21 +368,11 @@ def heading_semi_join(spark, sf_dir):
 
 @register(
     "dup_evidence",
-    f"""WITH {LINES}, k AS (SELECT DISTINCT line FROM lines WHERE doc_id % 2 = 0), e AS (SELECT doc_id, count(*) AS n, count(k.line) AS hits FROM lines LEFT JOIN k USING (line) WHERE doc_id % 2 = 1 GROUP BY doc_id)
-       SELECT *, hits >= greatest(2, ceil(n * 0.7)) AS duplicate FROM e""",
-)
-def dup_evidence(spark, sf_dir):
-    rows = doc_lines(spark, sf_dir).select("doc_id", "line")
-    return audit.duplicate_evidence(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"), ["doc_id"], ["line"])
-
-
-@register(
-    "dup_evidence_all",
     f"""WITH {LINES}, k AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT doc_id) > 1), e AS (SELECT doc_id, count(*) AS n, count(k.line) AS hits FROM lines LEFT JOIN k USING (line) GROUP BY doc_id)
        SELECT *, hits >= greatest(2, ceil(n * 0.7)) AS duplicate FROM e""",
 )
-def dup_evidence_all(spark, sf_dir):
-    """Every document against the lines of all others; dup_evidence and its SQL state odd ids against even ones."""
+def dup_evidence(spark, sf_dir):
+    """Every document against the lines of all others."""
     rows = doc_lines(spark, sf_dir).select("doc_id", "line")
     shared = rows.groupBy("line").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     return audit.duplicate_evidence(rows, shared, ["doc_id"], ["line"])
@@ -370,3 +394,39 @@ def row_width(spark, sf_dir):
 def header_run(spark, sf_dir):
     first = F.min(F.when(F.col("l_returnflag") != "N", F.col("ord"))) - 1
     return items(spark, sf_dir).groupBy("l_orderkey").agg(F.coalesce(first, F.max("ord")).alias("header_rows"))
+
+
+@register(
+    "range_summary",
+    f"""WITH {ITEMS} SELECT l_orderkey, count(*) AS blocks, count(*) FILTER (WHERE l_returnflag = 'A') AS headings, count(*) FILTER (WHERE l_linestatus = 'O') AS figures,
+       arg_min(l_suppkey, ord) AS first_page, arg_max(l_suppkey, ord) AS last_page FROM items GROUP BY 1""",
+)
+def range_summary(spark, sf_dir):
+    return reports.range_summary(items(spark, sf_dir), ["l_orderkey"], "ord", "l_suppkey", F.col("l_returnflag") == "A", F.col("l_linestatus") == "O")
+
+
+@register("name_union", "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS names FROM events GROUP BY 1")
+def name_union(spark, sf_dir):
+    return reports.name_union(table(spark, sf_dir, "events"), ["user_id"], "event_type").select("user_id", F.array_join("names", ",").alias("names"))
+
+
+@register(
+    "entries_to_book",
+    f"""WITH {ITEMS}, e AS (SELECT l_orderkey, ord, CASE WHEN l_returnflag <> 'N' THEN 1 + l_linenumber % 4 END AS level, CAST(l_partkey AS VARCHAR) AS title FROM items)
+       SELECT l_orderkey, 1 AS page_ord, 'document-flow' AS section, ord - 1 AS ord, CASE WHEN level IS NULL THEN 'paragraph' ELSE 'section_heading' END AS kind, title, level FROM e
+       UNION ALL SELECT l_orderkey, 0, 'toc', row_number() OVER (PARTITION BY l_orderkey ORDER BY ord), 'paragraph', title, level FROM e WHERE level <= 3
+       UNION ALL SELECT DISTINCT l_orderkey, 0, 'toc', 0, 'part_title', 'Περιεχόμενα', CAST(NULL AS INTEGER) FROM e""",
+)
+def entries_to_book(spark, sf_dir):
+    rows = items(spark, sf_dir).select("l_orderkey", "ord", F.when(F.col("l_returnflag") != "N", 1 + F.col("l_linenumber") % 4).cast("int").alias("level"), F.col("l_partkey").cast("string").alias("title"))
+    return reports.book_of_entries(rows, ["l_orderkey"], "ord", "level", "title")
+
+
+@register(
+    "list_parents",
+    f"""WITH {ITEMS}, e AS (SELECT l_orderkey, ord, l_linenumber % 4 AS level FROM items)
+       SELECT l_orderkey, ord, level, (SELECT max(b.ord) FROM e b WHERE b.l_orderkey = a.l_orderkey AND b.ord < a.ord AND b.level < a.level) AS parent FROM e a""",
+)
+def list_parents(spark, sf_dir):
+    rows = items(spark, sf_dir).select("l_orderkey", "ord", (F.col("l_linenumber") % 4).alias("level"))
+    return reports.nested_parents(rows, ["l_orderkey"], "ord", "level")

@@ -171,12 +171,86 @@ def param_summary_top6(spark, sf_dir):
 
 @register(
     "preset_dedup",
-    """WITH k AS (SELECT s_suppkey, unnest([s_nationkey, 100 + s_suppkey % 40]) AS k FROM supplier), f AS (SELECT k, min(s_suppkey) AS f FROM k GROUP BY 1)
-       SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM k JOIN f USING (k) WHERE s_suppkey > f)""",
+    """WITH RECURSIVE p AS (SELECT s_suppkey, s_nationkey, [s_suppkey % 3, 100 + s_suppkey % 5, 200 + s_suppkey % 7] AS ks, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier),
+       r AS (SELECT s_nationkey, n, s_suppkey, ks AS seen, true AS kept FROM p WHERE n = 1
+         UNION ALL SELECT p.s_nationkey, p.n, p.s_suppkey, CASE WHEN list_has_any(r.seen, p.ks) THEN r.seen ELSE list_concat(r.seen, p.ks) END, NOT list_has_any(r.seen, p.ks)
+         FROM r JOIN p ON p.s_nationkey = r.s_nationkey AND p.n = r.n + 1)
+       SELECT s_suppkey FROM r WHERE kept""",
 )
 def preset_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.col("s_nationkey").cast("long"), 100 + F.col("s_suppkey") % 40).alias("keys"))
-    return setops.suppress_overlaps(rows, "keys", "s_suppkey").select("s_suppkey")
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.array(k % 3, 100 + k % 5, 200 + k % 7).alias("keys"))
+    return setops.suppress_overlaps(rows, ["s_nationkey"], "keys", ["s_suppkey"]).select("s_suppkey")
+
+
+@register(
+    "object_diff",
+    """WITH p AS (SELECT p_partkey, p_size % 3 AS a, p_size % 2 AS b FROM part)
+       SELECT p_partkey, array_to_string(list_filter([CASE WHEN a <> b THEN 'same' END, CASE WHEN a = 1 THEN 'new' END], lambda x: x IS NOT NULL), ',') AS changed FROM p""",
+)
+def object_diff(spark, sf_dir):
+    a, b = (F.col("p_size") % 3).cast("string"), (F.col("p_size") % 2).cast("string")
+    base = F.create_map(F.lit("same"), a, F.lit("gone"), a)
+    applied = F.when(a == "1", F.create_map(F.lit("same"), b, F.lit("new"), F.lit(None).cast("string"))).otherwise(F.create_map(F.lit("same"), b))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.map_keys(setops.object_diff(base, applied)), ",").alias("changed"))
+
+
+@register("value_labels", "SELECT event_id, CASE WHEN event_id % 4 IN (0, 2) THEN CASE event_id % 4 WHEN 0 THEN 'όχι' ELSE 'ναι' END WHEN event_id % 4 = 1 THEN 'ναι' ELSE event_type END AS label FROM events")
+def value_labels(spark, sf_dir):
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, "0").when(k == 1, "1").when(k == 2, "true").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", X.display_label(raw, X.YES_NO).alias("label"))
+
+
+@register(
+    "earliest_mark",
+    f"""WITH {LINES}, f AS (SELECT doc_id, ord, list_sort(list_filter([{{'p': strpos(line, ', '), 'm': 0}}, {{'p': strpos(line, '. '), 'm': 1}}, {{'p': strpos(line, 'the '), 'm': 2}}], lambda x: x.p > 0)) AS f FROM lines)
+       SELECT doc_id, ord, f[1].p AS place, [', ', '. ', 'the '][f[1].m + 1] AS mark FROM f""",
+)
+def earliest_mark(spark, sf_dir):
+    found = doc_lines(spark, sf_dir).select("doc_id", "ord", X.earliest(F.col("line"), [", ", ". ", "the "]).alias("e"))
+    return found.select("doc_id", "ord", F.col("e.place").alias("place"), F.col("e.mark").alias("mark"))
+
+
+@register(
+    "math_spans",
+    """SELECT p_partkey, unnest(range(1, 5)) AS pos, unnest([p_name || ' ', 'x_' || p_size, ' and ', CAST(p_partkey AS VARCHAR)]) AS text, unnest([NULL, 'inline', NULL, 'block']) AS display FROM part WHERE p_partkey % 3 = 0
+       UNION ALL SELECT p_partkey, 1, p_name || ' ', NULL FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 2, '\\[open \\(x\\)', NULL FROM part WHERE p_partkey % 3 = 1
+       UNION ALL SELECT p_partkey, 1, 'a' || chr(10) || 'b', 'block' FROM part WHERE p_partkey % 3 = 2""",
+)
+def math_spans(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    whole = F.concat(F.col("p_name"), F.lit(r" \(x_"), F.col("p_size"), F.lit(r"\) and $$"), F.col("p_partkey"), F.lit("$$"))
+    src = F.when(k == 0, whole).when(k == 1, F.concat(F.col("p_name"), F.lit(r" \[open \(x\)"))).otherwise("\\[a\nb\\]")
+    spans = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(X.math_spans(src)).alias("pos", "s"))
+    return spans.select("p_partkey", (F.col("pos") + 1).alias("pos"), "s.text", "s.display")
+
+
+@register("asset_names", "SELECT p_partkey, replace(lower(p_name), ' ', '-') || CASE WHEN p_partkey % 2 = 0 THEN '.jpeg' ELSE '.png' END AS name FROM part")
+def asset_names(spark, sf_dir):
+    file = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, ".JPEG").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", X.asset_name(file).alias("name"))
+
+
+@register("print_materialized", f"WITH {ITEMS} SELECT l_orderkey, ord FROM items WHERE l_returnflag <> 'R'")
+def print_materialized(spark, sf_dir):
+    rows = items(spark, sf_dir).select("l_orderkey", "ord", (F.col("l_returnflag") == "R").alias("screenOnly"))
+    shown = rows.where(sequence.visible_in_mode("print", F.lit(None).cast("boolean"), F.col("screenOnly"), F.lit(None).cast("boolean")))
+    return sequence.materialized(shown, "print")
+
+
+@register(
+    "locate_items",
+    f"""WITH {ITEMS}, r AS (SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 9 AS VARCHAR) ELSE 'i' || (o_orderkey % 8 + 1) END AS ref FROM orders),
+       x AS (SELECT r.*, CASE WHEN starts_with(ref, 'i') THEN (SELECT min(ord) - 1 FROM items i WHERE i.l_orderkey = r.l_orderkey AND 'i' || l_linenumber = ref)
+             ELSE (SELECT CASE WHEN TRY_CAST(ref AS BIGINT) <= max(ord) - 1 THEN TRY_CAST(ref AS BIGINT) END FROM items i WHERE i.l_orderkey = r.l_orderkey) END AS found FROM r)
+       SELECT l_orderkey, ref, found, CASE WHEN found IS NULL THEN 'nothing found for ' || ref END AS error FROM x""",
+)
+def locate_items(spark, sf_dir):
+    rows = items(spark, sf_dir).select("l_orderkey", (F.col("ord") - 1).alias("ord"), F.concat(F.lit("i"), F.col("l_linenumber")).alias("id"))
+    k = F.col("o_orderkey")
+    refs = table(spark, sf_dir, "orders").select(k.alias("l_orderkey"), F.when(k % 2 == 0, (k % 9).cast("string")).otherwise(F.concat(F.lit("i"), k % 8 + 1)).alias("ref"))
+    return sequence.located(rows, refs, ["l_orderkey"], "ord", "id", "ref")
 
 
 @register("flow_coalesce", f"WITH {ITEMS} SELECT l_orderkey, l_returnflag = 'A' AS toc, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'A' ORDER BY ord) - 1 AS new_ord, ord FROM items")
@@ -195,20 +269,10 @@ def union_keys(spark, sf_dir):
 
 @register(
     "slug",
-    """SELECT doc_id, line_no, coalesce(nullif(substr(trim(regexp_replace(lower(translate(line, 'áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ', 'aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC')), '[^a-z0-9Ͱ-Ͽ]+', '-', 'g'), '-'), 1, 60), ''), 'item') AS slug
-       FROM (SELECT doc_id, 0 AS line_no, string_split(text, chr(10))[1] AS line FROM documents WHERE lang <> 'de')""",
-)
-def slug(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang <> 'de'")
-    return docs.select("doc_id", F.lit(0).alias("line_no"), X.slugify(F.split("text", "\n")[0]).alias("slug"))
-
-
-@register(
-    "slug_lines",
     f"""WITH {LINES} SELECT doc_id, ord AS line_no, coalesce(nullif(substr(trim(regexp_replace(lower(translate(line, 'áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ', 'aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC')), '[^a-z0-9Ͱ-Ͽ]+', '-', 'g'), '-'), 1, 60), ''), 'item') AS slug FROM lines""",
 )
-def slug_lines(spark, sf_dir):
-    """Every line of every document; slug and its SQL state first lines of documents that are not German."""
+def slug(spark, sf_dir):
+    """Every line of every document."""
     return doc_lines(spark, sf_dir).select("doc_id", F.col("ord").alias("line_no"), X.slugify(F.col("line")).alias("slug"))
 
 
@@ -266,22 +330,12 @@ def aspect(spark, sf_dir):
 
 @register(
     "dialogue_parse",
-    """WITH p AS (SELECT conv_id, turn, string_split_regex(trim(role || ' | ' || string_split(text, chr(10))[1]), '\\s+\\|\\s+') AS a FROM conversations)
-       SELECT conv_id, turn, CASE WHEN len(a) >= 2 THEN a[1] ELSE '' END AS speaker, CASE WHEN len(a) >= 3 THEN array_to_string(a[2:len(a) - 1], ' | ') WHEN len(a) = 2 THEN a[2] ELSE a[1] END AS "left", CASE WHEN len(a) >= 3 THEN a[-1] ELSE '' END AS "right" FROM p""",
-)
-def dialogue_parse(spark, sf_dir):
-    line = F.concat_ws(" | ", "role", F.split("text", "\n")[0])
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.dialogue_row(line).alias("d")).select("conv_id", "turn", "d.*")
-
-
-@register(
-    "dialogue_lines",
     """WITH l AS (SELECT conv_id, turn, role, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT *, string_split_regex(text, '\\r?\\n') AS a FROM conversations)),
        p AS (SELECT conv_id, turn, line_no, string_split_regex(trim(concat_ws(' | ', role, line)), '\\s+\\|\\s+') AS a FROM l WHERE regexp_matches(line, '\\S'))
        SELECT conv_id, turn, line_no, CASE WHEN len(a) >= 2 THEN a[1] ELSE '' END AS speaker, CASE WHEN len(a) >= 3 THEN array_to_string(a[2:len(a) - 1], ' | ') WHEN len(a) = 2 THEN a[2] ELSE a[1] END AS "left", CASE WHEN len(a) >= 3 THEN a[-1] ELSE '' END AS "right" FROM p""",
 )
-def dialogue_lines(spark, sf_dir):
-    """Every line of every turn that is not blank, as the reference parses them; dialogue_parse and its SQL state first lines."""
+def dialogue_parse(spark, sf_dir):
+    """Every line of every turn that is not blank."""
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
     parsed = lines.where(F.col("line").rlike(r"\S")).select("conv_id", "turn", "line_no", X.dialogue_row(F.concat_ws(" | ", "role", "line")).alias("d"))
     return parsed.select("conv_id", "turn", "line_no", "d.*")
@@ -383,16 +437,6 @@ def overflow_pages(spark, sf_dir):
     return paginate.overflow_pages(rows, ["l_orderkey"], "l_quantity", LIMIT)
 
 
-@register(
-    "style_inherit",
-    """WITH RECURSIVE s AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN -1 ELSE p_partkey // 2 END AS up, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS font, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS size FROM part WHERE p_partkey < 1000),
-       r AS (SELECT id, up, font, size FROM s UNION ALL SELECT r.id, s.up, coalesce(r.font, s.font), coalesce(r.size, s.size) FROM r JOIN s ON s.id = r.up WHERE r.up >= 0)
-       SELECT id AS style_id, max(font) AS font, max(size) AS size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY up) AS n FROM r) WHERE n = 1 GROUP BY id""",
-)
-def style_inherit(spark, sf_dir):
-    return inherited_styles(table(spark, sf_dir, "part").where("p_partkey < 1000"))
-
-
 def inherited_styles(part):
     k = F.col("p_partkey")
     props = F.create_map(F.lit("font"), F.when(k % 3 == 0, F.col("p_brand")), F.lit("size"), F.when(k % 5 == 0, F.col("p_type")))
@@ -402,13 +446,12 @@ def inherited_styles(part):
 
 
 @register(
-    "style_inherit_all",
+    "style_inherit",
     """WITH RECURSIVE s AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN -1 ELSE p_partkey // 2 END AS up, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS font, CASE WHEN p_partkey % 5 = 0 THEN p_type END AS size FROM part),
        r AS (SELECT id, up, font, size FROM s UNION ALL SELECT r.id, s.up, coalesce(r.font, s.font), coalesce(r.size, s.size) FROM r JOIN s ON s.id = r.up WHERE r.up >= 0)
        SELECT id AS style_id, max(font) AS font, max(size) AS size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY up) AS n FROM r) WHERE n = 1 GROUP BY id""",
 )
-def style_inherit_all(spark, sf_dir):
-    """Every part; style_inherit and its SQL state those below 1000."""
+def style_inherit(spark, sf_dir):
     return inherited_styles(table(spark, sf_dir, "part"))
 
 
@@ -433,3 +476,18 @@ def rich_plain(spark, sf_dir):
 def clean_html(spark, sf_dir):
     """Pages without active content; a parser's work, held against hand-made cases in the tests."""
     return table(spark, sf_dir, "pages").select("page_id", richtext.clean_html(F.col("html")).alias("cleaned"))
+
+
+@register(
+    "pagination_report",
+    """WITH u AS (SELECT l_orderkey, l_suppkey, min(l_returnflag) AS t, count(*) AS n, max(l_linenumber = 1) AS hard FROM lineitem GROUP BY ALL),
+       t AS (SELECT l_orderkey, t, sum(n - 1) AS n, count(*) AS units FROM u WHERE n > 1 GROUP BY ALL)
+       SELECT l_orderkey, (SELECT count(DISTINCT l_linenumber) FROM lineitem x WHERE x.l_orderkey = u.l_orderkey) AS pages, count(*) FILTER (WHERE hard) AS hard_breaks,
+              coalesce((SELECT sum(units) FROM t WHERE t.l_orderkey = u.l_orderkey), 0) AS split_units, coalesce((SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM t WHERE t.l_orderkey = u.l_orderkey), '') AS splits
+       FROM u GROUP BY l_orderkey""",
+)
+def pagination_report(spark, sf_dir):
+    placed = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("page"), F.min("l_returnflag").over(W.partitionBy("l_orderkey", "l_suppkey")).alias("type"))
+    out = paginate.pagination_report(placed, ["l_orderkey"], ["l_suppkey"], "type", F.col("page") == 1)
+    pairs = F.transform(F.map_entries("splits_by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return out.select("l_orderkey", "pages", "hard_breaks", "split_units", F.array_join(pairs, ",").alias("splits"))

@@ -137,6 +137,8 @@ def test_presets(spark):
     scenes = spark.createDataFrame([(0, "T", "http://h:1/s?b=2&a=1#z"), (1, "", "http://h:1/s?a=1&b=2"), (2, None, "https://k/q"), (3, "n", ""), (4, "o", "http://other/")], "ord int, title string, src string")
     got = {r.ord: (r.lab_id, r.title, r.query) for r in P.discover(scenes, labs).collect()}
     assert got == {0: ("a", "T", {"a": "1", "b": "2"}), 2: ("c", "https://k/q", {})}
+    known = spark.createDataFrame([("a", ["http://h:1/s?a=1&b=2"]), ("c", ["http://other/"])], "lab_id string, compare_keys array<string>")
+    assert [r.ord for r in P.discover(scenes, labs, known).collect()] == [2]
     df = spark.createDataFrame([("l", "p", "One", "d", "ready", {"k": "v"}, None, None), ("l", "q", "Two", "d", "archived", {}, None, "planned")], "lab_id string, preset_id string, title string, description string, status string, query map<string,string>, url string, previous_status string")
     assert rows(P.visible(df, F.col("status")), "preset_id") == [("p",)]
     assert rows(P.visible(df, F.col("status"), '"K":"V"'), "preset_id") == [("p",)]
