@@ -68,12 +68,16 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     path segments, then the longest, wins. Null and odd urls and null dates
     match nothing and are kept. Captures are joined once for each distinct (url,
     fetched_on), so repeated captures move one row. Columns of captures named
-    host, verdict, category or target are replaced.
+    host, verdict, category or target are replaced, all others go along under
+    any names. Empty captures give no rows, an empty list keeps all.
     """
     spans = written(intervals(entries), "intervals")
     told = spans.agg(F.count("*"), F.max("depth")).first()
     n, depth = told[0], told[1] or 0
-    seen = captures.select("url", "fetched_on").where("url is not null and fetched_on is not null").distinct()
+    # Columns go by place, so that none of them can be taken for one of the join's.
+    own = captures.toDF(*[f"c{i}" for i in range(len(captures.columns))])
+    url, day = (F.col(f"c{captures.columns.index(c)}") for c in ("url", "fetched_on"))
+    seen = own.select(url.alias("url"), day.alias("fetched_on")).where("url is not null and fetched_on is not null").distinct()
     parts = seen.withColumn("labels", F.split(host_of(F.col("url")), r"\.")).withColumn("seg", F.slice(segments_of(F.col("url")), 1, max(depth, 1)))
     hosts = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
     keys = hosts
@@ -85,10 +89,10 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     met = probe.join(small(spans, n), (F.col("key") == F.col("target")) & (F.col("fetched_on") >= F.col("since")) & (F.col("fetched_on") < F.col("until")))
     best = met.groupBy("url", "fetched_on").agg(F.max(F.struct("depth", F.length("target").alias("size"), "target", "category", "action")).alias("b"))
     best = best.select(F.col("url").alias("u"), F.col("fetched_on").alias("f"), F.col("b.target").alias("target"), F.col("b.category").alias("category"), F.col("b.action").alias("action"))
-    plain = captures.drop("host", "verdict", "category", "target")
-    out = plain.join(best, (F.col("url") == F.col("u")) & (F.col("fetched_on") == F.col("f")), "left")
+    out = own.join(best, (url == F.col("u")) & (day == F.col("f")), "left")
     verdict = F.when(F.col("action") == "block", "drop").otherwise("keep")
-    return out.select(*plain.columns, host_of(F.col("url")).alias("host"), verdict.alias("verdict"), "category", "target")
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(captures.columns) if c not in ("host", "verdict", "category", "target")]
+    return out.select(*kept, host_of(url).alias("host"), verdict.alias("verdict"), "category", "target")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,32 @@ def test_edges(spark):
 @pytest.mark.parametrize("text", ["a", " ", "\n", "É" * 9, "|" * 70000])
 def test_statistics_have_one_size(text):
     assert len(q.statistics(text)) == len(q.statistics(None)) == q.N_STATS
+
+
+def test_against_whole_normal_equations(spark):
+    """Weights, cross-fitted scores and calibration from one matrix and the max-min form of isotonic regression."""
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    word = lambda bad: "".join(rng.choice(list("abc$#1")) if bad else rng.choice(list("etaoin")) for _ in range(5))
+    rows = [(i, " ".join(word(i % 3 == 0 or rng.random() < 0.2) for _ in range(int(rng.integers(1, 40))))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int")
+    model = q.fit(q.statistics_table(docs), labels)
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("f")).collect()}
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    stats = np.array([q.statistics(rows[i][1]) for i in train])
+    y, f = np.array([float(i % 3 != 0) for i in train]), np.array([fold[i] for i in train])
+    x = q.features(stats, stats.mean(axis=0), np.sqrt(np.maximum(stats.var(axis=0), 1e-6)))
+    ridge = q.RIDGE * len(y) * np.eye(x.shape[1])
+    solve = lambda m: np.linalg.solve(x[m].T @ x[m] + ridge, x[m].T @ y[m])
+    assert np.allclose(model.weights, solve(f >= 0), atol=1e-6)
+    raw = np.where(f == 0, x @ solve(f == 1), x @ solve(f == 0))
+    by = np.argsort(raw, kind="stable")
+    z = y[by]
+    mean = lambda a, b: z[a : b + 1].mean()
+    fitted = [max(min(mean(a, b) for b in range(i, len(z))) for a in range(i + 1)) for i in range(0, len(z), 7)]
+    assert np.allclose(np.interp(raw[by], *model.steps)[::7], fitted, atol=1e-6)

@@ -29,3 +29,14 @@ def test_intervals_and_specificity(spark):
     assert all((r.verdict, r.category) == cases[r.id][2:] for r in got), [(r.id, r.verdict, r.category) for r in got]
     assert u.verdicts(caps, e.limit(0)).where("verdict = 'keep'").count() == len(rows)
     assert u.verdicts(caps.limit(0), e).count() == 0
+
+
+def test_columns_of_any_names(spark):
+    from pyspark.sql import functions as F
+
+    entries = spark.createDataFrame([("a.org", "spam", "block", "2024-01-01")], "target string, category string, action string, listed_on string")
+    rows = spark.createDataFrame([("http://a.org/x", 1), (None, 2)], "url string, u int").selectExpr("*", "u AS f", "u AS action", "u AS c0", "u AS key", "u AS host", "to_date('2024-02-02') AS fetched_on")
+    got = u.verdicts(rows, entries)
+    assert got.columns == ["url", "u", "f", "action", "c0", "key", "fetched_on", "host", "verdict", "category", "target"]
+    assert sorted((r.u, r.f, r.action, r.c0, r.key, r.host, r.verdict) for r in got.collect()) == [(1, 1, 1, 1, 1, "a.org", "drop"), (2, 2, 2, 2, 2, None, "keep")]
+    assert u.verdicts(rows, entries.limit(0)).where(F.col("verdict") == "drop").count() == 0
