@@ -35,7 +35,7 @@ from folioflow.llm.common import slices
 from folioflow.session import table
 
 #: Characters of a leaf of the tree, and of each side of a window at first.
-LEAF, SIDE = 64, 16
+LEAF, SIDE = 128, 16
 #: The split pattern (fixed value) that the proofs are about.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the split pattern knows it: Python also counts U+001C to U+001F.
