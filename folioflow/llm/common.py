@@ -134,22 +134,22 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     Every partition joins its own edges by union-find. A node that several
     partitions know unites their roots; these unions are the edges of the next,
     smaller graph, and so on until no node has two roots. The labels of the
-    levels are then put together from the last one back. Every table is written
-    to the shared folder; a node has at most a root for each partition.
+    levels are then put together from the last one back. Every level is written
+    to the shared folder; a node has at most a root for each partition. The
+    largest node of a level is a root in no partition, so levels come to an end.
+    Repeated edges need no removal before.
     Returns (node, component) with the smallest node of each component, for
     nodes that are not that themselves. Null ends and self loops are ignored; an
     empty list gives an empty table.
     """
     cur = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     levels: list[DataFrame] = []
-    spent: list[DataFrame] = []
     while True:
         roots = cur.mapInArrow(contracted, "node long, root long").groupBy("node").agg(F.collect_set("root").alias("roots"))
         levels.append(written(roots.select("node", F.array_min("roots").alias("component"), "roots"), "cc"))
-        dropped(*spent)
+        # Repeated unions do no harm: partitions contract them before anything is shuffled.
         unions = levels[-1].where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("component").alias("v"))
-        cur = written(unions.where("u <> v").distinct(), "cc")
-        spent = [cur]
+        cur = unions.where("u <> v")
         if not cur.limit(1).count():
             break
     out = levels[-1].select("node", "component")
@@ -157,5 +157,5 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         up = out.select(F.col("node").alias("component"), F.col("component").alias("top"))
         out = level.select("node", "component").join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     out = written(out.where("node <> component"), "cc")
-    dropped(*levels, *spent)
+    dropped(*levels)
     return out

@@ -303,7 +303,7 @@ def bucket_edges(it: Iterator[pa.RecordBatch], size: int, least: float) -> Itera
 
 
 def candidates(sketched: DataFrame, size: int, least: float) -> DataFrame:
-    """Edges (a, b) that span the groups of related sketches of each bucket; sketched: (id, sketches), each of `size` bits.
+    """Edges (a, b), some repeated, that span the groups of related sketches of each bucket; sketched: (id, sketches), each of `size` bits.
 
     A bucket streams through one task, which holds up to BUCKET rows of it.
     One that goes beyond it, a hot group of near copies, is a candidate component
@@ -311,7 +311,7 @@ def candidates(sketched: DataFrame, size: int, least: float) -> DataFrame:
     """
     rows = sketched.select("id", F.explode("sketches").alias("s")).select(F.explode("s.keys").alias("key"), "id", "s.x", "s.y")
     dealt = rows.repartition(shuffle_partitions(sketched.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda it: bucket_edges(it, size, least), "a long, b long").where("a <> b").distinct()
+    return dealt.mapInArrow(lambda it: bucket_edges(it, size, least), "a long, b long").where("a <> b")
 
 
 def confirmed(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -403,7 +403,7 @@ def near_components(edges: DataFrame, classes: DataFrame, texts: Callable[[DataF
             cells = texts_big.select(F.col("comp").alias("cell"), F.pmod(F.xxhash64("id", F.lit(deal)), parts(F.col("c"), F.col("w"))).cast("int").alias("part"), "id", "text", F.lit(True).alias("mark"))
             spent.append(written(links(cells, shingles), "links"))
             edges = edges.union(spent[-1])
-        so_far = components(edges.distinct())
+        so_far = components(edges)
         placed = texts_big.select("id", "comp", "n", "c", "w").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = written(placed, "placed")
         counted = placed.groupBy("comp", "component").agg(F.count("*").alias("m"), F.sum("n").alias("mw"))
@@ -422,7 +422,7 @@ def near_components(edges: DataFrame, classes: DataFrame, texts: Callable[[DataF
         spent.append(so_far)
     else:
         spent.append(edges)
-    out = components(edges.distinct())
+    out = components(edges)
     dropped(*spent)
     return out
 
