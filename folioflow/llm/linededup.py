@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import dropped, slices, spread_join, written
-from folioflow.llm.nearsets import BASE, LISTS, SEEDS, SKETCHES, STEPS, U, candidates, char_shingles, least_bits, mixed, near_components, powers, reached, sums
+from folioflow.llm.nearsets import BASE, LISTS, SEEDS, SKETCHES, STEPS, U, candidates, char_shingles, compared, least_bits, mixed, near_components, powers, reached, sums
 from folioflow.session import table
 
 #: Characters of a shingle; chance similarity of unrelated lines of one language is then about 0.0001.
@@ -213,7 +213,7 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
         joined = numbered(docs).hint("merge").join(lists, ["doc_id", "h"])
         return joined.select("text", "own").mapInArrow(line_texts, "id long, comp long, n long, c long, w long, text string")
 
-    joined = near_components(found, classes, with_text, partial(char_shingles, size=SHINGLE))
+    joined = near_components(found, classes, with_text, partial(char_shingles, size=SHINGLE), compared)
     reach = reached(joined, classes, "place")
     fate = classes.join(reach, "node", "left").where("copies > 1 or reached is not null")
     fate = written(fate.select("k1", "k2", "copies", F.coalesce("reached", "place").alias("stays")), "fate")

@@ -356,13 +356,58 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def links(cells: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
-    """Confirmed links (a, b) that span the components inside each cell; cells: (cell, part, id, text, mark)."""
+def compared(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """What confirmed() gives, without estimates: a set is counted against all that are not reached yet, in one pass over their hashes.
+
+    A set is taken once, so a dense group of near copies costs few passes.
+    """
+    g = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    if g == 2:
+        both = common_size(*sets)
+        return [(0, 1)] * bool(DEN * both >= NUM * (sizes.sum() - both) and (left is None or left.any()))
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    new = np.append(True, values[order][1:] != values[order][:-1])
+    code = np.empty(len(values), dtype=np.int64)
+    code[order] = np.cumsum(new) - 1
+    owner = np.repeat(np.arange(g), sizes)
+    starts = np.cumsum(sizes) - sizes
+    own = [code[lo : lo + n] for lo, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    # Hashes of one set alone are in no intersection.
+    shared = (np.bincount(code) > 1)[code]
+    code, owner = code[shared], owner[shared]
+    inside = np.zeros(int(new.sum()), dtype=bool)
+    alive = np.ones(g, dtype=bool)
+    found: list[tuple[int, int]] = []
+    for first in range(g):
+        front = [first] * bool(alive[first])
+        alive[first] = False
+        while front:
+            at = front.pop()
+            inside[own[at]] = True
+            both = np.bincount(owner[inside[code]], minlength=g)
+            inside[own[at]] = False
+            near = alive & (DEN * both >= NUM * (sizes[at] + sizes - both))
+            if left is not None and not left[at]:
+                near &= left
+            js = np.flatnonzero(near).tolist()
+            if js:
+                found += [(at, j) for j in js]
+                front += js
+                alive[js] = False
+                keep = alive[owner]
+                code, owner = code[keep], owner[keep]
+    return found
+
+
+def links(cells: DataFrame, shingles: Callable[[str | None], np.ndarray], judge: Callable[[list[np.ndarray], np.ndarray | None], list[tuple[int, int]]]) -> DataFrame:
+    """The links (a, b) that judge, confirmed() or compared(), finds inside each cell; cells: (cell, part, id, text, mark)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(it, 2):
             ids, marks = np.asarray(t["id"]), np.asarray(t["mark"])
-            got = confirmed([shingles(x) for x in t["text"].to_pylist()], None if marks.all() else marks)
+            got = judge([shingles(x) for x in t["text"].to_pylist()], None if marks.all() else marks)
             if got:
                 at = np.array(got)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
@@ -372,11 +417,17 @@ def links(cells: DataFrame, shingles: Callable[[str | None], np.ndarray]) -> Dat
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_components(edges: DataFrame, classes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Callable[[str | None], np.ndarray]) -> DataFrame:
+def near_components(
+    edges: DataFrame,
+    classes: DataFrame,
+    texts: Callable[[DataFrame], DataFrame],
+    shingles: Callable[[str | None], np.ndarray],
+    judge: Callable[[list[np.ndarray], np.ndarray | None], list[tuple[int, int]]] = confirmed,
+) -> DataFrame:
     """(node, component) of the nodes that have a confirmed link, out of candidate edges (a, b).
 
     classes: (node, n) with the size of each node's set; texts adds the column
-    text to a table with a column id, which names a node.
+    text to a table with a column id, which names a node; judge finds the links among sets.
 
     Candidate components of up to CELL sets and WEIGHT shingles are confirmed in
     one task. Larger ones are dealt into cells DEALS times by other hashes, which
@@ -393,7 +444,7 @@ def near_components(edges: DataFrame, classes: DataFrame, texts: Callable[[DataF
     with_text = texts(members)
     is_big = (F.col("c") > CELL) | (F.col("w") > WEIGHT)
     plain = with_text.where(~is_big).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
-    edges = written(links(plain, shingles), "links")
+    edges = written(links(plain, shingles, judge), "links")
     spent = [members]
     if members.where(is_big).limit(1).count():
         parts = lambda c, w: F.ceil(F.greatest(c * 2 / CELL, w * 2 / WEIGHT)).cast("int")
@@ -401,7 +452,7 @@ def near_components(edges: DataFrame, classes: DataFrame, texts: Callable[[DataF
         spent += [texts_big, edges]
         for deal in range(DEALS):
             cells = texts_big.select(F.col("comp").alias("cell"), F.pmod(F.xxhash64("id", F.lit(deal)), parts(F.col("c"), F.col("w"))).cast("int").alias("part"), "id", "text", F.lit(True).alias("mark"))
-            spent.append(written(links(cells, shingles), "links"))
+            spent.append(written(links(cells, shingles, judge), "links"))
             edges = edges.union(spent[-1])
         so_far = components(edges)
         placed = texts_big.select("id", "comp", "n", "c", "w").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -417,7 +468,7 @@ def near_components(edges: DataFrame, classes: DataFrame, texts: Callable[[DataF
         base = every.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where(~F.col("mark") | (own != F.col("b")))
         out = every.where("mark").withColumn("b", own).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("p_all") - 1)))
         both = base.select("comp", cell, "id", "text", F.lit(False).alias("mark")).union(out.select("comp", cell, "id", "text", F.lit(True).alias("mark")))
-        spent.append(written(links(both.withColumnRenamed("comp", "cell"), shingles), "links"))
+        spent.append(written(links(both.withColumnRenamed("comp", "cell"), shingles, judge), "links"))
         edges = edges.union(spent[-1])
         spent.append(so_far)
     else:

@@ -80,3 +80,24 @@ def test_shingles_and_estimates():
         assert abs(ns.estimate(full, part[None])[0] - 0.8) < 0.15
         far = ns.registers(np.sort(rng.integers(0, 2**64, 2000, dtype=np.uint64)), large)
         assert ns.estimate(full, far[None])[0] < 0.05
+
+
+def test_links_without_estimates_span_the_same_components():
+    rng = np.random.default_rng(5)
+    for trial in range(30):
+        bases = [rng.integers(0, 2**64, int(rng.integers(1, 60)), dtype=np.uint64) for _ in range(6)]
+        sets = [ns.distinct(np.where(rng.random(len(b)) < 0.08, rng.integers(0, 2**64, len(b), dtype=np.uint64), b)) for b in bases for _ in range(int(rng.integers(1, 9)))]
+        sets = sets[: 2 if trial % 5 == 0 else None]
+        left = rng.random(len(sets)) < 0.5 if trial % 2 else None
+        want = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and (left is None or left[i] or left[j]):
+                    want[want == want[i]] = want[j]
+        got = np.arange(len(sets))
+        for i, j in ns.compared(sets, left):
+            assert got[i] != got[j]
+            got[got == got[i]] = got[j]
+        same = lambda x: (x[:, None] == x[None, :]).tolist()
+        assert same(got) == same(want)
