@@ -31,7 +31,7 @@ LOW, HIGH = 64, 80
 BITS = 2 * REGS
 LEAST_BITS = least_bits(REGS, 2, 5)
 #: Bytes of text that are sketched together.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 V40 = U((1 << 40) - 1)
 
 
@@ -265,7 +265,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     gone = removed_lines(docs)
-    n = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.size(F.split("text", "\n", -1))).otherwise(0)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) > 0, breaks + 1).otherwise(0)
     out = docs.select("doc_id", F.xxhash64("text").alias("h"), n.alias("n_lines")).join(gone, ["doc_id", "h"], "left")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.size(F.coalesce("lines", none)).alias("n_removed"), F.coalesce("lines", none).alias("removed_lines"))
