@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,33 @@ def own_dir(master: str, app: str) -> str:
 
 
 KEPT = "kept-"
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside remove their shuffle files at their end; else these stay until the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
 
-    dropped() deletes such tables, but not those that are written to keep.
+    The shuffle files of the write go with its end, so the disk holds those of one query at a time. dropped() deletes such tables, but not those that are written to keep.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{KEPT if keep else ''}{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

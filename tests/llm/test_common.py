@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -38,3 +39,20 @@ def test_spread_join_keeps_every_row(spark):
     groups = spark.createDataFrame([(0, 2_000_000, "hot"), (1, 3, "light")], "k long, copies long, name string")
     got = {(r.v, r.name) for r in common.spread_join(rows, groups, ["k"]).collect()}
     assert got == {(v, {0: "hot", 1: "light"}.get(v % 5)) for v in range(50)}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def shuffle_files():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffle_files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    told = common.written(spark.range(10_000).selectExpr("id", "id % 97 AS k").repartition(5, "k").groupBy("k").count(), "told")
+    deadline = time.time() + 5
+    while (left := shuffle_files() - before) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert told.count() == 97
+    common.dropped(told)
