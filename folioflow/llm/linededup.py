@@ -62,11 +62,15 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     whole = (total[ends[1:]] - total[ends[:-1]]) * down[ends[:-1]]
     k1 = mixed(whole + size.astype(np.uint64) * STEPS[41])
     # Where characters begin: a shingle is the bytes of SHINGLE characters.
-    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-    stops = np.searchsorted(at, ends)
-    chars = np.diff(stops)
-    lo, hi = at[:-SHINGLE], at[SHINGLE:]
-    every = mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * STEPS[42])
+    if len(raw) and raw.max() < 0x80:
+        stops, chars = ends, size
+        every = mixed((total[SHINGLE:] - total[:-SHINGLE]) * down[: max(0, len(raw) - SHINGLE + 1)] + U(SHINGLE * int(STEPS[42]) % 2**64))
+    else:
+        at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        stops = np.searchsorted(at, ends)
+        chars = np.diff(stops)
+        lo, hi = at[:-SHINGLE], at[SHINGLE:]
+        every = mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * STEPS[42])
     line = np.repeat(np.arange(len(size), dtype=np.int32), chars)[: len(every)]
     inside = np.arange(len(every), dtype=np.int32) + np.int32(SHINGLE) <= stops[1:].astype(np.int32)[line]
     line, h = line[inside], every[inside]

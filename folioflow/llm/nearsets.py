@@ -126,6 +126,10 @@ def char_shingles(text: str | None, size: int) -> np.ndarray:
     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
     if not len(raw):
         return np.zeros(0, dtype=np.uint64)
+    if len(raw) == len(text):  # characters are bytes
+        k = min(size, len(raw))
+        total = sums(raw)
+        return distinct(mixed((total[k:] - total[:-k]) * powers(len(raw) + 1)[1][: len(raw) - k + 1] + U(k * int(STEPS[40]) % 2**64)))
     edge = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
     k = min(size, len(edge) - 1)
     lo, hi = edge[:-k], edge[k:]
@@ -302,16 +306,78 @@ def bucket_edges(it: Iterator[pa.RecordBatch], size: int, least: float) -> Itera
         yield from edges(held)
 
 
+#: Rows of buckets that a task packs together, and parts of all buckets for each task that reads them.
+PACK, PARTS = 1_000_000, 8
+
+
+def packed(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, width, rows) out of (id, sketches): the rows (key, id, x, y) of each part of all keys as bytes; without y where it is 0."""
+    held: list[list[np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = [np.concatenate([h[i] for h in held]) for i in range(4)]
+        part = (cols[0].view(np.uint64) % U(parts)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        part, width = part[by], 3 + bool(cols[3].any())
+        rows = np.stack([c[by] for c in cols[:width]], axis=1)
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        offsets = (np.append(starts, len(part)) * 8 * width).astype(np.int32)
+        blobs = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(np.full(len(starts), width, dtype=np.int32)), blobs], ["part", "width", "rows"])
+
+    for batch in it:
+        lists = batch.column(1)
+        keys, x, y = lists.flatten().flatten()
+        if not len(x):
+            continue
+        ids = np.repeat(np.asarray(batch.column(0)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        n = keys.value_lengths().to_numpy(zero_copy_only=False)
+        held.append([np.asarray(keys.flatten()), *(np.repeat(np.asarray(c), n) for c in (ids, x, y))])
+        if sum(len(h[0]) for h in held) >= PACK:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
+
+
+def unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """(key, id, x, y), sorted by key, of each part in batches (part, width, rows) sorted by part; a part is in memory at a time."""
+
+    def rows() -> list[np.ndarray]:
+        cols = np.concatenate(held)
+        return list(cols[np.argsort(cols[:, 0], kind="stable")].T)
+
+    held: list[np.ndarray] = []
+    last = None
+    for batch in it:
+        for part, width, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if held and part != last:
+                yield rows()
+                held = []
+            last, own = part, np.frombuffer(blob.as_buffer(), dtype=np.int64).reshape(-1, width)
+            held.append(np.pad(own, ((0, 0), (0, 4 - width))))
+    if held:
+        yield rows()
+
+
 def candidates(sketched: DataFrame, size: int, least: float) -> DataFrame:
     """Edges (a, b), some repeated, that span the groups of related sketches of each bucket; sketched: (id, sketches), each of `size` bits.
 
-    A bucket streams through one task, which holds up to BUCKET rows of it.
-    One that goes beyond it, a hot group of near copies, is a candidate component
-    as it is: more is compared in full then, and nothing is left out.
+    Keys are dealt into parts, whose rows move as bytes, 24 or 32 for each. A task
+    holds one part and up to BUCKET rows of a bucket besides. A bucket that goes
+    beyond them, a hot group of near copies, is a candidate component as it is:
+    more is compared in full then, and nothing is left out.
     """
-    rows = sketched.select("id", F.explode("sketches").alias("s")).select(F.explode("s.keys").alias("key"), "id", "s.x", "s.y")
-    dealt = rows.repartition(shuffle_partitions(sketched.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda it: bucket_edges(it, size, least), "a long, b long").where("a <> b")
+    n = shuffle_partitions(sketched.sparkSession)
+
+    def edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in unpacked(it):
+            part = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "x", "y"])
+            yield from bucket_edges((part.slice(at, 10_000) for at in range(0, part.num_rows, 10_000)), size, least)
+
+    rows = sketched.select("id", "sketches").mapInArrow(lambda it: packed(it, n * PARTS), "part int, width int, rows binary")
+    dealt = rows.repartition(n, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(edges, "a long, b long").where("a <> b")
 
 
 def confirmed(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -356,38 +422,68 @@ def common_size(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+#: Sets that are compared pair by pair rather than by the sets that hold each hash.
+FEW = 4
+
+
+def pairs_compared(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray | None) -> list[tuple[int, int]]:
+    """compared() of a few sets."""
+    part, found = list(range(len(sets))), []
+    for i in range(len(sets)):
+        for j in range(i):
+            if part[i] != part[j] and (left is None or left[i] or left[j]):
+                both = common_size(sets[i], sets[j])
+                if DEN * both >= NUM * (sizes[i] + sizes[j] - both):
+                    part = [part[j] if x == part[i] else x for x in part]
+                    found.append((i, j))
+    return found
+
+
 def compared(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """What confirmed() gives, without estimates: a set is counted against all that are not reached yet, in one pass over their hashes.
+    """What confirmed() gives, without estimates: a set is counted against all that are not reached yet, by the sets that hold each of its hashes.
 
-    A set is taken once, so a dense group of near copies costs few passes.
+    A set is taken once, so a dense group of near copies costs few passes, and
+    sets that share little cost little.
     """
     g = len(sets)
     sizes = np.array([len(s) for s in sets])
     if g == 2:
         both = common_size(*sets)
         return [(0, 1)] * bool(DEN * both >= NUM * (sizes.sum() - both) and (left is None or left.any()))
+    if g <= FEW:
+        return pairs_compared(sets, sizes, left)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     new = np.append(True, values[order][1:] != values[order][:-1])
     code = np.empty(len(values), dtype=np.int64)
     code[order] = np.cumsum(new) - 1
-    owner = np.repeat(np.arange(g), sizes)
-    starts = np.cumsum(sizes) - sizes
-    own = [code[lo : lo + n] for lo, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     # Hashes of one set alone are in no intersection.
-    shared = (np.bincount(code) > 1)[code]
-    code, owner = code[shared], owner[shared]
-    inside = np.zeros(int(new.sum()), dtype=bool)
+    shared = np.bincount(code) > 1
+    starts = np.cumsum(sizes) - sizes
+    own = [c[shared[c]] for c in (code[lo : lo + n] for lo, n in zip(starts.tolist(), sizes.tolist(), strict=True))]
+    # The owners of each hash lie together, in its order; those that are reached are taken out when they are half.
+    owner, code = np.repeat(np.arange(g, dtype=np.int32), sizes)[order], code[order]
+    owner, code = owner[shared[code]], code[shared[code]]
+    at_code = np.searchsorted(code, np.arange(len(shared) + 1))
     alive = np.ones(g, dtype=bool)
+    gone, held = 0, np.array([len(x) for x in own])
     found: list[tuple[int, int]] = []
     for first in range(g):
         front = [first] * bool(alive[first])
+        gone += int(held[first]) * bool(alive[first])
         alive[first] = False
         while front:
             at = front.pop()
-            inside[own[at]] = True
-            both = np.bincount(owner[inside[code]], minlength=g)
-            inside[own[at]] = False
+            if 2 * gone > len(owner):
+                keep = alive[owner]
+                owner, code, gone = owner[keep], code[keep], 0
+                at_code = np.searchsorted(code, np.arange(len(shared) + 1))
+            lo, n = at_code[own[at]], at_code[own[at] + 1] - at_code[own[at]]
+            total = int(n.sum())
+            if not total:
+                continue
+            place = np.arange(total) + np.repeat(lo - (np.cumsum(n) - n), n)
+            both = np.bincount(owner[place], minlength=g)
             near = alive & (DEN * both >= NUM * (sizes[at] + sizes - both))
             if left is not None and not left[at]:
                 near &= left
@@ -396,8 +492,7 @@ def compared(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tup
                 found += [(at, j) for j in js]
                 front += js
                 alive[js] = False
-                keep = alive[owner]
-                code, owner = code[keep], owner[keep]
+                gone += int(held[js].sum())
     return found
 
 
@@ -443,13 +538,16 @@ def near_components(
     dropped(found, cand)
     with_text = texts(members)
     is_big = (F.col("c") > CELL) | (F.col("w") > WEIGHT)
+    spent, any_big = [members], members.where(is_big).limit(1).count() > 0
+    if any_big:  # both kinds are read then, but the corpus moves once
+        with_text = written(with_text, "texts")
+        spent.append(with_text)
     plain = with_text.where(~is_big).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
     edges = written(links(plain, shingles, judge), "links")
-    spent = [members]
-    if members.where(is_big).limit(1).count():
+    if any_big:
         parts = lambda c, w: F.ceil(F.greatest(c * 2 / CELL, w * 2 / WEIGHT)).cast("int")
-        texts_big = written(with_text.where(is_big).select("id", "comp", "n", "c", "w", "text"), "big")
-        spent += [texts_big, edges]
+        texts_big = with_text.where(is_big).select("id", "comp", "n", "c", "w", "text")
+        spent.append(edges)
         for deal in range(DEALS):
             cells = texts_big.select(F.col("comp").alias("cell"), F.pmod(F.xxhash64("id", F.lit(deal)), parts(F.col("c"), F.col("w"))).cast("int").alias("part"), "id", "text", F.lit(True).alias("mark"))
             spent.append(written(links(cells, shingles, judge), "links"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from folioflow.llm import nearsets as ns
 from folioflow.llm.neardup import near_documents
@@ -101,3 +102,22 @@ def test_links_without_estimates_span_the_same_components():
             got[got == got[i]] = got[j]
         same = lambda x: (x[:, None] == x[None, :]).tolist()
         assert same(got) == same(want)
+
+
+def test_buckets_move_as_packed_parts():
+    """Rows of a part come back whole, sorted by key, with and without y; they are far fewer than one for each key."""
+    rng = np.random.default_rng(3)
+    for wide in (0, 7):
+        rows = [(i, [{"keys": rng.integers(-(2**63), 2**63, 10).tolist(), "x": i * 3, "y": i * wide} for _ in range(i % 3)]) for i in range(300)]
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], ns.LISTS)], ["id", "sketches"])
+        moved = list(ns.packed(iter([batch.slice(0, 7), batch.slice(7)]), 5))
+        assert sum(b.num_rows for b in moved) <= 5
+        got = []
+        for cols in ns.unpacked(iter(moved)):
+            assert (np.diff(cols[0]) >= 0).all()
+            got += list(zip(*(c.tolist() for c in cols), strict=True))
+        assert sorted(got) == sorted((k, i, s["x"], s["y"]) for i, own in rows for s in own for k in s["keys"])
+
+
+def test_shingles_of_plain_and_other_text_agree():
+    assert set(ns.char_shingles("abcdefgh", 5)) <= set(ns.char_shingles("é abcdefgh", 5))
