@@ -209,7 +209,7 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     classes = written(made.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "copies", "p.n", F.struct(*[f"p.{c}" for c in PLACE]).alias("place")), "classes")
     first = classes.select("node", *[F.col(f"place.{c}") for c in PLACE])
     drawn = told.where(F.size("sketches") > 0).select(*PLACE, "sketches").join(first, PLACE).select(F.col("node").alias("id"), "sketches")
-    found = written(candidates(drawn, BITS, LEAST_BITS), "candidates")
+    found = written(candidates(drawn, classes.count() * BANDS, BITS, LEAST_BITS), "candidates")
 
     def with_text(members: DataFrame) -> DataFrame:
         placed = members.join(first, F.col("id") == F.col("node"))

@@ -306,8 +306,16 @@ def bucket_edges(it: Iterator[pa.RecordBatch], size: int, least: float) -> Itera
         yield from edges(held)
 
 
-#: Rows of buckets that a task packs together, and parts of all buckets for each task that reads them.
-PACK, PARTS = 1_000_000, 8
+#: Rows of buckets that a task packs together, and those that a part of all buckets holds on average.
+PACK, PART = 1_000_000, 1_000_000
+
+
+def parts_for(rows: int, tasks: int) -> int:
+    """Parts into which `rows` rows of buckets are cut for `tasks` tasks: one for each, more only where it would hold over PART rows.
+
+    Every task that packs makes a row for each part, so parts beyond need multiply the rows that move.
+    """
+    return tasks * max(1, math.ceil(rows / (tasks * PART)))
 
 
 def packed(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -345,7 +353,7 @@ def unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
     def rows() -> list[np.ndarray]:
         cols = np.concatenate(held)
-        return list(cols[np.argsort(cols[:, 0], kind="stable")].T)
+        return list(cols[np.argsort(cols[:, 0])].T)
 
     held: list[np.ndarray] = []
     last = None
@@ -360,24 +368,31 @@ def unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rows()
 
 
-def candidates(sketched: DataFrame, size: int, least: float) -> DataFrame:
+def dealt(sketched: DataFrame, rows: int) -> DataFrame:
+    """(part, width, rows) of packed(), each part whole in one partition and sorted by part; rows: about how many keys (id, sketches) has."""
+    n = shuffle_partitions(sketched.sparkSession)
+    parts = parts_for(rows, n)
+    moved = sketched.select("id", "sketches").mapInArrow(lambda it: packed(it, parts), "part int, width int, rows binary")
+    # By number and not by hash, which would leave a third of the tasks without a part and give others several.
+    return moved.repartitionById(n, F.col("part") % n).sortWithinPartitions("part")
+
+
+def candidates(sketched: DataFrame, rows: int, size: int, least: float) -> DataFrame:
     """Edges (a, b), some repeated, that span the groups of related sketches of each bucket; sketched: (id, sketches), each of `size` bits.
 
-    Keys are dealt into parts, whose rows move as bytes, 24 or 32 for each. A task
-    holds one part and up to BUCKET rows of a bucket besides. A bucket that goes
-    beyond them, a hot group of near copies, is a candidate component as it is:
-    more is compared in full then, and nothing is left out.
+    Keys, about `rows` in all, are dealt into parts, whose rows move as bytes, 24
+    or 32 for each. A task holds one part and up to BUCKET rows of a bucket
+    besides. A bucket that goes beyond them, a hot group of near copies, is a
+    candidate component as it is: more is compared in full then, and nothing is
+    left out.
     """
-    n = shuffle_partitions(sketched.sparkSession)
 
     def edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in unpacked(it):
             part = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "x", "y"])
             yield from bucket_edges((part.slice(at, 10_000) for at in range(0, part.num_rows, 10_000)), size, least)
 
-    rows = sketched.select("id", "sketches").mapInArrow(lambda it: packed(it, n * PARTS), "part int, width int, rows binary")
-    dealt = rows.repartition(n, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(edges, "a long, b long").where("a <> b")
+    return dealt(sketched, rows).mapInArrow(edges, "a long, b long").where("a <> b")
 
 
 def confirmed(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -599,7 +614,7 @@ def near_classes(rows: DataFrame, shingles: Callable[[str | None], np.ndarray])
     made = named.groupBy("k1", "k2").agg(F.min("s").alias("s"), F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = written(made.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "least", "copies", "s.*"), "classes")
     source = rows.select(F.col("id").cast("long").alias("o"), F.xxhash64("text").alias("g"), "text")
-    edges = written(candidates(classes.select(F.col("node").alias("id"), "sketches"), REGISTERS, LEAST_BITS), "candidates")
+    edges = written(candidates(classes.select(F.col("node").alias("id"), "sketches"), classes.count() * BANDS, REGISTERS, LEAST_BITS), "candidates")
 
     def with_text(members: DataFrame) -> DataFrame:
         place = classes.select("node", F.col("id").alias("at"), "h")

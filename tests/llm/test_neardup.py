@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from folioflow.llm import nearsets as ns
 from folioflow.llm.neardup import near_documents
@@ -119,5 +121,27 @@ def test_buckets_move_as_packed_parts():
         assert sorted(got) == sorted((k, i, s["x"], s["y"]) for i, own in rows for s in own for k in s["keys"])
 
 
+def test_packed_rows_do_not_multiply_with_parts(spark, monkeypatch):
+    """A task packs a row for each task that reads, more only where parts would grow too large; a part is whole in one of as many tasks."""
+    rng = random.Random(4)
+    n = ns.shuffle_partitions(spark)
+    sets = [(i, [{"keys": [rng.randrange(-(2**63), 2**63) for _ in range(10)], "x": i, "y": 0}]) for i in range(2000)]
+    df = spark.createDataFrame(sets, f"id long, sketches {ns.SKETCHES}").repartition(8).localCheckpoint()
+
+    def moved():
+        rows = ns.dealt(df, 20_000).select("part", (F.length("rows") / 8 / F.col("width")).alias("held"), F.spark_partition_id().alias("task")).collect()
+        places, held = {(r.part, r.task) for r in rows}, Counter()
+        for r in rows:
+            held[r.part] += int(r.held)
+        assert held.total() == 20_000 and len(places) == len(held) and len({task for _, task in places}) == n
+        return len(rows), held
+
+    count, held = moved()
+    assert len(held) == n and count <= 8 * n
+    monkeypatch.setattr(ns, "PART", 1000)
+    count, held = moved()
+    assert len(held) == 5 * n == 20 and count <= 8 * 20 and max(held.values()) < 1300
+
+
 def test_shingles_of_plain_and_other_text_agree():
     assert set(ns.char_shingles("abcdefgh", 5)) <= set(ns.char_shingles("é abcdefgh", 5))
