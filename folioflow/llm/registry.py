@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bpe, decontaminate, licenses, linededup, neardup, quality, suffixdedup, topk, urlfilter, warc
+from folioflow.llm import bpe, centroids, decontaminate, licenses, linededup, neardup, quality, suffixdedup, tokencounts, topk, turnrepair, urlfilter, warc
 
 _QUERIES = {
     "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
@@ -19,6 +19,9 @@ _QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_token_counts": tokencounts.op11_token_counts,
+    "op12_delta_lloyd": centroids.op12_delta_lloyd,
+    "op13_turn_repair": turnrepair.op13_turn_repair,
 }
 _SQL = {
     "op3_url_filter": urlfilter.ORACLE,
@@ -26,6 +29,8 @@ _SQL = {
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
     "op10_license_scan": licenses.ORACLE,
+    "op12_delta_lloyd": centroids.ORACLE,
+    "op13_turn_repair": turnrepair.ORACLE,
 }
 
 
