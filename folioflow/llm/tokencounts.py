@@ -28,6 +28,10 @@ CACHE = "folioflow.llm.tokenCache"
 STORED = "digest binary, n_tokens long, tokenizer string"
 #: Texts go to the library in groups of about so many characters.
 GROUP = 1 << 20
+#: Split patterns no match of which can hold white space, which goes (fixed values): texts may be encoded in pieces between spaces.
+APART = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
+#: Distinct pieces whose counts a task keeps, and the length up to which it keeps one.
+PIECES, PIECE = 1 << 19, 64
 
 
 class Counter:
@@ -55,17 +59,42 @@ class Counter:
         runs = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps)
         return runs and not any(any(x.isspace() for x in t["content"]) for t in told.get("added_tokens", []))
 
+    def divides(self) -> bool:
+        """Whether a text has the tokens of its pieces between spaces: white space is dropped and no token spans it."""
+        if not self.collapses():
+            return False
+        pre = json.loads(self.content).get("pre_tokenizer") or {}
+        steps = pre.get("pretokenizers", [pre])
+        first = steps[0] if steps else {}
+        return first.get("type") == "Split" and first.get("pattern", {}).get("Regex") in APART and first.get("behavior") == "Removed" and first.get("invert") is True
+
     def normalised(self, text: Column) -> Column:
         """The content that a digest names: equal contents have equal counts. Runs of ASCII white space are one space where the tokenizer takes them so; null is empty."""
         text = F.coalesce(text, F.lit(""))
         return F.regexp_replace(text, "[\\t-\\r ]+", " ") if self.collapses() else text
 
     def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text as the library counts them."""
         found = library(self.kind, self.content)
         if self.kind == ".model":
             return [len(x) for x in found.encode(texts, num_threads=1)]
         return [len(x) for x in found.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def counts_by_piece(self, texts: list[str], known: dict[str, int]) -> list[int]:
+        """counts() of normalised contents of a tokenizer that divides(): every distinct piece between spaces is encoded once."""
+        split = [text.split(" ") for text in texts]
+        new = list({piece for pieces in split for piece in pieces if piece not in known})
+        own = dict(zip(new, self.counts(new), strict=True)) if new else {}
+        if len(known) + len(own) > PIECES:
+            own = {p: known[p] if p in known else own[p] for pieces in split for p in pieces}
+            known.clear()
+        known.update(own)
+        out = [sum(map(known.__getitem__, pieces)) for pieces in split]
+        for piece in new:
+            if len(piece) > PIECE:
+                del known[piece]
+        return out
+
 
 @lru_cache(maxsize=2)
 def library(kind: str, content: bytes):
@@ -96,10 +125,12 @@ def grouped(rows: Iterator[tuple[bytes, str]]) -> Iterator[list[tuple[bytes, str
 
 
 def encoded(texts: DataFrame, counter: Counter) -> DataFrame:
-    """(digest, n_tokens) of (digest, content): each digest of a partition is encoded once."""
+    """(digest, n_tokens) of (digest, content): each digest of a partition is encoded once, in pieces where the tokenizer divides()."""
+    pieces = counter.divides()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        known: dict[str, int] = {}
 
         def fresh() -> Iterator[tuple[bytes, str]]:
             for batch in it:
@@ -111,7 +142,8 @@ def encoded(texts: DataFrame, counter: Counter) -> DataFrame:
                             yield digest, text
 
         for group in grouped(fresh()):
-            n = counter.counts([text for _, text in group])
+            texts = [text for _, text in group]
+            n = counter.counts_by_piece(texts, known) if pieces else counter.counts(texts)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in group], pa.binary()), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     return texts.mapInArrow(run, "digest binary, n_tokens long")

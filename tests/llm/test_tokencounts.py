@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.llm import tokencounts
 
 JSON = public_tokenizers.path("word_bpe_49k.json")
+COUNTER = tokencounts.Counter(JSON)
 SCHEMA = "doc_id long, text string, digest string, copies int, n_tokens int, content int"
 TEXTS = ["", " ", "Plain words, and more.", "Plain  words,\tand\n\nmore.", "a<|endoftext|>b", "a <|ENDOFTEXT|> b", "<|startoftext|>", "é É ΑΣ", "x" * 5000, "a  b\x1c c", None]
 
@@ -99,10 +100,19 @@ def test_normalised_content_keeps_the_count(text):
     """Every run of ASCII white space is one space to the tokenizer."""
     import re
 
-    counter = tokencounts.Counter(JSON) if not _held else _held[0]
-    _held[:] = [counter]
-    a, b = counter.counts([text, re.sub("[\t-\r ]+", " ", text)])
-    assert a == b
+    bare = re.sub("[\t-\r ]+", " ", text)
+    whole, again = COUNTER.counts([text, bare])
+    assert whole == again and COUNTER.counts_by_piece([bare, "other words", bare], {}) == [whole, 2, whole]
 
 
-_held = []
+def test_pieces_of_a_full_memory(monkeypatch):
+    monkeypatch.setattr(tokencounts, "PIECES", 5)
+    texts, known = ["one two three", "four five six seven", "one eight " + "long" * 40, "", " one  one ", "nine ten eleven one two"], {}
+    for at in range(len(texts)):
+        group = texts[at : at + 2]
+        assert COUNTER.counts_by_piece(group, known) == COUNTER.counts(group)
+        assert all(len(p) <= tokencounts.PIECE for p in known)
+
+
+def test_only_known_patterns_divide():
+    assert COUNTER.divides() and not tokencounts.Counter(public_tokenizers.path("byte_bpe_50k.json")).divides() and not tokencounts.Counter(public_tokenizers.path("piece_bpe_32k.model")).divides()
