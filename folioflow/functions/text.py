@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin and Greek letters with marks, and what NFD without marks leaves of them (fixed values).
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñçάέήίόύώϊϋΐΰÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇΆΈΉΊΌΎΏΪΫ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncαεηιουωιυιυAAAAAAEEEEIIIIOOOOOUUUUYNCΑΕΗΙΟΥΩΙΥ"
+#: The order of texts: Greek first, then Latin, whatever their case and marks.
+COLLATION = "el_CI_AI"
 
 
 def blank_to_null(x: Column) -> Column:
@@ -73,14 +72,17 @@ def parse_aspect(x: Column) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """Digit runs without leading zeros after their length, so that text order is natural order for runs of any size; case and marks are ignored."""
-    runs = F.regexp_extract_all(F.lower(F.translate(x, MARKED, PLAIN)), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    """A collated text whose order is natural: digit runs, of any size and without leading zeros, stand behind their length; case and marks have no say.
+
+    The rest is left to Spark's Greek collation, so every letter with marks sorts by its base letter.
+    """
+    runs = F.regexp_extract_all(x, F.lit(r"([0-9]+|[^0-9]+)"), 1)
 
     def key(r: Column) -> Column:
         bare = F.regexp_replace(r, "^0+(?=[0-9])", "")
         return F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), bare)).otherwise(r)
 
-    return F.array_join(F.transform(runs, key), "")
+    return F.collate(F.array_join(F.transform(runs, key), ""), COLLATION)
 
 
 def valid_hex(x: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.operators.setops import spread_join
+
 
 def stats_by_type(items: DataFrame, keys: list[str], type_: str = "type") -> DataFrame:
     return items.groupBy(*keys, type_).agg(F.count("*").alias("n"))
@@ -101,8 +103,8 @@ def headings_for_entries(headings: DataFrame, entries: DataFrame, depth: int) ->
 
 
 def duplicate_evidence(entries: DataFrame, existing: DataFrame, keys: list[str], signature: list[str]) -> DataFrame:
-    """Import evidence: hits among existing signatures, and whether they reach max(2, ceil(0.7 n))."""
+    """Import evidence: hits among existing signatures, and whether they reach max(2, ceil(0.7 n)). A signature that many entries share is no hot key."""
     known = existing.select(*signature).distinct().withColumn("_hit", F.lit(1))
-    met = entries.join(known, signature, "left")
+    met = spread_join(entries, known, signature)
     out = met.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_hit").alias("hits"))
     return out.withColumn("duplicate", F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.7)))

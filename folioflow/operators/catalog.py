@@ -43,6 +43,12 @@ def nested_counts(books: DataFrame) -> DataFrame:
     return books.select("*", F.size(pages).alias("n_pages"), items.alias("n_items"))
 
 
+def counts(pages: DataFrame, items: DataFrame, book: str, page: str) -> DataFrame:
+    """(book, n_pages, n_items) of pages (book, page) and items (page): the counts of nested_counts() for books in rows. Nothing is gathered; books without pages do not show."""
+    on_page = items.groupBy(page).agg(F.count("*").alias("_n"))
+    return pages.select(book, page).distinct().join(on_page, page, "left").groupBy(book).agg(F.count("*").alias("n_pages"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_items"))
+
+
 def metadata(books: DataFrame, *keys: str) -> DataFrame:
     """Title with its fallback chain and trimmed library facets; further columns that name a book may go along."""
     lib = lambda n: F.trim(F.coalesce(F.col(f"meta.library.{n}"), F.lit("")))

@@ -18,17 +18,21 @@ def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], fields: list
             starts = np.flatnonzero((part[keys] != part[keys].shift()).any(axis=1).to_numpy()).tolist()
             return fold(part, list(zip(starts, [*starts[1:], len(part)], strict=True)))
 
-        held: pd.DataFrame | None = None
+        # Batches of the open book are put together once, when it ends.
+        held: list[pd.DataFrame] = []
         for batch in it:
-            part = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(part):
+            if not len(batch):
                 continue
-            open_at = int(len(part) - (part[keys] == part[keys].iloc[-1]).all(axis=1).sum())
+            if held and not (batch[keys].iloc[0] == held[-1][keys].iloc[-1]).all():
+                yield done(pd.concat(held, ignore_index=True))
+                held = []
+            open_at = int(len(batch) - (batch[keys] == batch[keys].iloc[-1]).all(axis=1).sum())
             if open_at:
-                yield done(part.iloc[:open_at].reset_index(drop=True))
-            held = part.iloc[open_at:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield done(held)
+                yield done(pd.concat([*held, batch.iloc[:open_at]], ignore_index=True))
+                held = []
+            held.append(batch.iloc[open_at:])
+        if held:
+            yield done(pd.concat(held, ignore_index=True))
 
     schema = T.StructType([*rows.schema.fields, *fields])
     return rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -39,3 +39,19 @@ def insertion_draft(items: DataFrame, new: DataFrame, keys: list[str], order: st
     draft = insert_after(items.withColumn("insertion_id", F.lit(None).cast("string")), marked, keys, order, at)
     evidence = duplicate_evidence(new, items, keys, signature).withColumn("insertion_id", F.lit(insertion_id))
     return draft, evidence
+
+
+def import_evidence(entries: DataFrame, insertions: DataFrame, existing: DataFrame, keys: list[str], order: str, key: str, file: str, signature: list[str]) -> DataFrame:
+    """(keys, kind, insertion_id, hits, n) of imports that are made already; others do not show.
+
+    entries: the rows of each import (keys, order, key, file, signature); insertions: the record of former ones (insertion_id, source_file,
+    start_key, end_key); existing: signatures of what the book holds. An import of the same file, whatever its case, from the same
+    first to the same last entry is of kind 'manifest' and names the earliest such insertion, whatever else is found. Of the others, one with hits
+    for most of its entries (duplicate_evidence()) is of kind 'sourceRef'.
+    """
+    ends = entries.groupBy(*keys).agg(F.lower(F.first(file)).alias("_file"), F.min_by(key, order).alias("_start"), F.max_by(key, order).alias("_end"))
+    known = insertions.groupBy(F.lower("source_file").alias("_file"), F.col("start_key").alias("_start"), F.col("end_key").alias("_end")).agg(F.min("insertion_id").alias("insertion_id"))
+    found = ends.join(known, ["_file", "_start", "_end"], "left").select(*keys, "insertion_id")
+    hits = duplicate_evidence(entries.select(*keys, *signature), existing, keys, signature)
+    kind = F.when(F.col("insertion_id").isNotNull(), "manifest").when(F.col("duplicate"), "sourceRef")
+    return hits.join(found, keys).withColumn("kind", kind).where("kind IS NOT NULL").select(*keys, "kind", "insertion_id", "hits", "n")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.session import checkpointed
+
 ROWS_SO_FAR = (W.unboundedPreceding, W.currentRow)
 
 
@@ -162,11 +162,8 @@ def positions(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
 
     The ranges are checkpointed, since another run would sample other bounds.
     """
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioflow-"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = checkpointed(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     begins, n = [], 0
     for r in dealt.groupBy("_part").count().orderBy("_part").collect():
         begins.append((r["_part"], n))

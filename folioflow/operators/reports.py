@@ -50,3 +50,38 @@ def nested_parents(rows: DataFrame, keys: list[str], order: str, level: str) ->
     for depth, at in enumerate(last):
         parent = F.when((F.col(level) > depth) & at.isNotNull(), F.greatest(parent, at)).otherwise(parent)
     return rows.withColumn("parent", parent)
+
+
+def nested_list_html(rows: DataFrame, keys: list[str], order: str, level: str, text: str, css: str = "callout-list") -> DataFrame:
+    """(keys, html) of lists whose rows have levels: an ul for each level that occurs, nested in the item above it.
+
+    Levels may skip: one that lies several deeper opens one list, and one that comes back to a level between opens a list
+    beside it. The least level of a list is its outermost; a list that begins deeper begins with a list in the list. text is HTML already; null
+    text is empty, null levels are 0. Tags come from windows over the rows: which levels an earlier row has open is the running
+    maximum of its places, so nothing is walked. A list, as the HTML that is made of it, is one row.
+    """
+    place, own = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
+    raw = F.coalesce(F.col(level), F.lit(0)).cast("int")
+    rows = rows.select(*keys, order, (raw - F.min(raw).over(own)).alias("_l"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    rows = rows.withColumn("_next", F.lead("_l").over(place)).withColumn("_first", F.row_number().over(place) == 1)
+    deepest = int(rows.agg(F.max("_l")).first()[0] or 0)
+    # A level has an open item when its last row stands behind the last row of every smaller level.
+    so_far, before = place.rowsBetween(W.unboundedPreceding, 0), place.rowsBetween(W.unboundedPreceding, -1)
+
+    def open_items(frame) -> list[Column]:
+        at = [F.max(F.when(F.col("_l") == d, F.col(order))).over(frame) for d in range(deepest + 1)]
+        lower = [F.greatest(*[F.coalesce(x, F.lit(-1)) for x in at[:d]], F.lit(-1)) if d else F.lit(-1) for d in range(deepest + 1)]
+        return [F.coalesce(x > low, F.lit(False)) for x, low in zip(at, lower, strict=True)]
+
+    rows = rows.withColumn("_was", F.array(*open_items(before))).withColumn("_open", F.array(*open_items(so_far)))
+    begin = F.lit(f'<ul class="{css}">')
+    head = F.when(F.col("_first"), begin).otherwise("")
+    deeper = F.when((F.col("_l") > 0) & ~F.get("_was", F.col("_l")), begin).otherwise("")
+    then = F.coalesce("_next", F.lit(0))
+    closed = F.size(F.filter(F.transform("_open", lambda o, d: o & (d > then)), lambda x: x))
+    item = F.when(F.get("_open", then) & (F.col("_next").isNull() | (then <= F.col("_l"))), "</li>").otherwise("")
+    end = F.when(F.col("_next").isNull(), "</ul>").otherwise("")
+    line = F.concat(head, deeper, F.lit("<li>"), F.col("_t"), F.when(then < F.col("_l"), F.repeat(F.lit("</li></ul>"), closed)).otherwise(""), item, end)
+    lines = rows.select(*keys, order, line.alias("_h"))
+    parts = F.array_sort(F.collect_list(F.struct(order, "_h")))
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["_h"]), "").alias("html"))

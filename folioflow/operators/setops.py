@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.operators.fold import fold_sorted
+from folioflow.session import checkpointed
 
 
 def string_map(m: Column) -> Column:
@@ -78,16 +77,35 @@ def priority_top(m: Column, order: list[str], n: int = 6) -> Column:
     return F.array_join(F.transform(F.slice(ranked, 1, n), lambda e: F.concat_ws(": ", e["k"], e["v"])), " · ")
 
 
+def _matched(rows: DataFrame, lookup: DataFrame, on: list[str], pick) -> DataFrame:
+    rest = [c for c in lookup.columns if c not in on]
+    found = lookup.groupBy(*on).agg(pick(F.struct(*rest)).alias("_m"))
+    return rows.join(found, on, "left").select("*", *[F.col(f"_m.{c}").alias(c) for c in rest]).drop("_m")
+
+
 def first_match(rows: DataFrame, lookup: DataFrame, on: list[str], order: str) -> DataFrame:
-    """Left join with the first lookup row of each key."""
-    w = W.partitionBy(*on).orderBy(order)
-    return rows.join(lookup.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), on, "left")
+    """Left join with the first lookup row of each key, null orders before all; a key's rows are reduced before they are shuffled."""
+    return _matched(rows, lookup, on, lambda row: F.min_by(row, F.struct(order)))
 
 
 def last_match(rows: DataFrame, lookup: DataFrame, on: list[str], order: str) -> DataFrame:
     """Left join with the last lookup row of each key: what a map built in order would answer."""
-    w = W.partitionBy(*on).orderBy(F.desc(order))
-    return rows.join(lookup.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"), on, "left")
+    return _matched(rows, lookup, on, lambda row: F.max_by(row, F.struct(order)))
+
+
+def spread_join(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """rows left-joined with found, one row for each key of rows; no task gets all rows of a key that many have.
+
+    Keys that more than a thousandth of rows have are at most a thousand; they are broadcast, the others are shuffled.
+    Null keys find nothing.
+    """
+    rest = [c for c in found.columns if c not in on]
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_n")).join(found, on, "left")
+    total = rows.count()
+    hot = F.col("_n") * 1000 > max(total, 1_000_000)
+    heavy = F.broadcast(counts.where(hot).select(*on, *rest))
+    light = counts.where(~hot).select(*on, *rest)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on, "left"))
 
 
 def suppress_overlaps(presets: DataFrame, lab: list[str], key_set: str, order: list[str], id_: str | None = None) -> DataFrame:
@@ -127,27 +145,27 @@ def parameter_keys(rows: DataFrame, keys: list[str], order: list[str], params: s
 
 
 def resolve_styles(styles: DataFrame) -> DataFrame:
-    """Style inheritance along based_on: the nearest ancestor's value of each property wins, at any depth.
+    """Style inheritance along based_on: the nearest ancestor's value of each property wins, at any depth. See inherited()."""
+    return inherited(styles.withColumn("props", string_map(F.col("props"))))
+
+
+def inherited(styles: DataFrame) -> DataFrame:
+    """(style_id, props): maps completed along based_on by the nearest ancestor that has the key; values may be of any type.
 
     styles: (style_id, based_on, props map). Each round doubles the length of the chains that are followed and is
     checkpointed. A style that is based on itself has no parent. Once a round closes no chain, those left run into cycles;
     they hold no more ids than there are such rows, so after as many steps an id would repeat.
     """
-    sc = styles.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        shared = styles.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="folioflow-"))
     up = F.when(F.col("based_on") != F.col("style_id"), F.col("based_on"))
-    cur = styles.select("style_id", up.alias("up"), string_map(F.col("props")).alias("props")).checkpoint()
+    kind = styles.schema["props"].dataType
+    cur = checkpointed(styles.select("style_id", up.alias("up"), "props"))
     steps, before, left = 1, None, cur.where("up is not null").count()
     while left and not (left == before and steps >= left):
         parent = cur.select(F.col("style_id").alias("up"), F.col("up").alias("_next"), F.col("props").alias("_props"))
         joined = cur.where("up is not null").join(parent, "up", "left")
-        own = F.coalesce("_props", F.create_map().cast("map<string,string>"))
+        own = F.coalesce("_props", F.create_map().cast(kind))
         rest = F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys("props"), k))
         grown = joined.select("style_id", F.col("_next").alias("up"), F.map_concat("props", rest).alias("props"))
-        cur = cur.where("up is null").union(grown).checkpoint()
+        cur = checkpointed(cur.where("up is null").union(grown))
         steps, before, left = steps * 2, left, cur.where("up is not null").count()
     return cur.select("style_id", "props")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,19 @@ def build_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder of the session, so its lineage ends here.
+
+    The folder is the context's, else the one of spark.checkpoint.dir, else in local mode (tests) a temporary one; a cluster
+    without the setting is refused, since its machines share no temporary folder.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="folioflow-"))
+    return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import escape
 from xml.etree import ElementTree as ET
 
@@ -18,9 +18,16 @@ M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+PIC = "{http://schemas.openxmlformats.org/drawingml/2006/picture}"
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 
-BLOCK = "struct<type:string,level:int,text:string,html:string,style:string,num_id:string,num_fmt:string,start:int,page:int,source_paragraph:int,n_rows:int,columns:int,src:string,width:double,height:double,n_math:int>"
+BLOCK = "struct<type:string,level:int,text:string,html:string,style:string,num_id:string,num_fmt:string,start:int,page:int,source_paragraph:int,n_rows:int,columns:int,src:string,width:double,height:double,n_math:int,placement:string,caption:string,label:string,text_labels:array<string>>"
 FIELDS = [f.split(":")[0] for f in BLOCK[7:-1].split(",")]
+#: Pixels are 9525 of a drawing's units; a text box of so many characters, or with such a beginning, is content and no label (fixed values).
+EMU = 9525
+SUBSTANTIVE = 170
+NOTE = re.compile(r"(?i)(Πυκνότητα!|Σχόλιο|Παρατήρηση|Θυμήσου|Να πάρεις υπόψη|Η εξίσωση Schrödinger)")
+CAPTION = re.compile(r"(?i)(Εικόνα|Σχήμα|Γράφημα|Figure|Fig\.|Graph)\s*\d*")
 MARKS = [("b", "strong"), ("i", "em"), ("u", "u")]
 
 
@@ -151,6 +158,54 @@ class Package:
         return None
 
 
+def within(node: ET.Element, *without: str) -> Iterator[ET.Element]:
+    """A node and what lies in it, but not inside elements of the given tags and not in the fallbacks of newer content."""
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        yield at
+        stack += reversed([k for k in at if k.tag != MC + "Fallback" and k.tag not in without])
+
+
+def extent(node: ET.Element | None) -> tuple[float, float] | None:
+    """Width and height in pixels; None where either is missing or nothing."""
+    size = [] if node is None else [round(float(node.get(k) or 0) / EMU, 4) for k in ("cx", "cy")]
+    return (size[0], size[1]) if size and min(size) > 0 else None
+
+
+def pictures(run: ET.Element, pack: Package) -> list[dict]:
+    """The images of a run. In a group the drawing's extent is that of the whole group, so a picture's own transform comes first."""
+    out = []
+    for drawing in (d for d in within(run) if d.tag in (W + "drawing", W + "pict")):
+        around = extent(next((e for e in within(drawing, W + "txbxContent") if e.tag == WP + "extent"), None))
+        anchor = next((e for e in within(drawing, W + "txbxContent") if e.tag == WP + "anchor"), None)
+        side = (anchor.findtext(f"{WP}positionH/{WP}align") or "").strip().lower() if anchor is not None else ""
+        placement = "wide" if anchor is None else "float-left" if side in ("left", "inside") else "float-right"
+        held = [(pic, e) for pic in within(drawing, W + "txbxContent") if pic.tag == PIC + "pic" for e in within(pic) if e.tag == A + "blip"]
+        own = {id(e) for _, e in held}
+        held += [(None, e) for e in within(drawing, W + "txbxContent") if e.tag == A + "blip" and id(e) not in own]
+        for pic, blip in held:
+            size = (extent(pic.find(f"{PIC}spPr/{A}xfrm/{A}ext")) if pic is not None else None) or around or (None, None)
+            if target := pack.rels.get(blip.get(R + "embed")):
+                out.append({"src": target, "width": size[0], "height": size[1], "placement": placement})
+    return out
+
+
+def text_boxes(p: ET.Element, pack: Package) -> list[dict]:
+    """The text boxes that lie in a paragraph, boxes in boxes too, each text once: (text, html, caption?, substantive?, label)."""
+    out, seen = [], set()
+    for box in (b for b in within(p) if b.tag == W + "txbxContent"):
+        own = [paragraph(k, pack) for k in within(box, W + "txbxContent") if k.tag == W + "p"]
+        text = re.sub(r"\s+", " ", " ".join(t for t, *_ in own)).strip()
+        if not text or text.casefold() in seen:
+            continue
+        seen.add(text.casefold())
+        caption = bool(CAPTION.match(text))
+        label = re.match(r"([^.!?]{2,45}[!?:])\s+", text)
+        out.append({"text": text, "html": "<br>".join(h for _, h, *_ in own if h), "caption": caption, "substantive": not caption and (len(text) >= SUBSTANTIVE or bool(NOTE.match(text))), "label": label[1] if label else None, "n_math": sum(n for _, _, n, *_ in own)})
+    return out
+
+
 def paragraph(p: ET.Element, pack: Package) -> tuple[str, str, int, bool, list[dict]]:
     """(text, html, math objects, a page break before or in it, images)."""
     text, html, images, n_math, broke = [], [], [], 0, on(p.find(W + "pPr"), "pageBreakBefore")
@@ -168,11 +223,7 @@ def paragraph(p: ET.Element, pack: Package) -> tuple[str, str, int, bool, list[d
             out = TAG({"superscript": "sup", "subscript": "sub"}[vert], out) if out and vert in ("superscript", "subscript") else out
             text.append(part_)
             html.append(out)
-            for blip in node.iter(A + "blip"):
-                extent = next(node.iter(WP + "extent"), None)
-                size = [float(extent.get(k)) / 9525 for k in ("cx", "cy")] if extent is not None else [None, None]
-                if target := pack.rels.get(blip.get(R + "embed")):
-                    images.append({"src": target, "width": size[0], "height": size[1]})
+            images += pictures(node, pack)
         elif node.tag in (M + "oMath", M + "oMathPara"):
             n_math += 1 if node.tag == M + "oMath" else len(node.findall(M + "oMath"))
             html.append(f'<math xmlns="http://www.w3.org/1998/Math/MathML">{math(node)}</math>')
@@ -207,7 +258,13 @@ def blocks(content: bytes | None) -> list[dict]:
                     out.append(base | {"type": "list_item", "level": int(lv), "text": text, "html": html, "num_id": num, "num_fmt": fmt, "start": start})
                 else:
                     out.append(base | {"type": "equation" if n_math == 1 and not text else "paragraph", "text": text, "html": html})
-            out += [base | {"type": "figure"} | i for i in images]
+            boxes = text_boxes(node, pack)
+            captions = [b["html"] or b["text"] for b in boxes if b["caption"]]
+            labels = [b["text"] for b in boxes if not b["caption"] and not b["substantive"]]
+            for k, image in enumerate(images):
+                # Captions go to the images in their order; labels of a drawing go to its first image.
+                out.append(base | {"type": "figure", "caption": captions[k] if k < len(captions) else None, "text_labels": labels if k == 0 else []} | image)
+            out += [{"page": page, "source_paragraph": at, "type": "textbox", **{k: b[k] for k in ("text", "html", "label", "n_math")}} for b in boxes if b["substantive"]]
         elif node.tag == W + "tbl":
             rows = [[(" ".join(paragraph(p, pack)[0] for p in tc.iter(W + "p")).strip(), int(val(tc, f"{W}tcPr/{W}gridSpan") or 1)) for tc in tr.findall(W + "tc")] for tr in node.findall(W + "tr")]
             text = " · ".join(" | ".join(t for t, _ in r) for r in rows)

@@ -2,7 +2,7 @@ import zipfile
 
 from folioflow.sources import docx
 
-NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:wps="urn:wps" xmlns:wpg="urn:wpg"'
 P = lambda inner, props="": f"<w:p><w:pPr>{props}</w:pPr>{inner}</w:p>"
 T = lambda t, props="": f"<w:r><w:rPr>{props}</w:rPr><w:t>{t}</w:t></w:r>"
 BODY = (
@@ -34,3 +34,28 @@ def test_docx(spark, tmp_path):
     assert (rows[6].n_rows, rows[6].columns) == (1, 3)
     m = docx.import_metrics(docx.read_docx(spark, str(tmp_path))).first()
     assert (m.blocks, m.headings, m.list_items, m.tables, m.figures, m.math, m.pages) == (7, 1, 1, 1, 1, 1, 2)
+
+
+def picture(rid, size=""):
+    return f'<pic:pic><pic:blipFill><a:blip r:embed="{rid}"/></pic:blipFill><pic:spPr><a:xfrm>{size}</a:xfrm></pic:spPr></pic:pic>'
+
+
+def box(*texts):
+    return "<wps:txbx><w:txbxContent>" + "".join(P(T(t)) for t in texts) + "</w:txbxContent></wps:txbx>"
+
+
+def test_groups_and_text_boxes(spark, tmp_path):
+    """A group of two pictures and boxes, an anchored picture, a box in a box; what a fallback repeats is not read."""
+    group = f'<wp:anchor><wp:positionH><wp:align>left</wp:align></wp:positionH><wp:extent cx="9525000" cy="4762500"/><wpg:wgp>{picture("r1", """<a:ext cx="952500" cy="476250"/>""")}{picture("r2")}{box("Figure 3 two parts")}{box("axis x")}{box("axis x")}</wpg:wgp></wp:anchor>'
+    long = "A long remark. " * 12
+    boxed = f'<mc:AlternateContent><mc:Choice><w:drawing><wp:inline>{box("Σχόλιο: short", "and more")}</wp:inline></w:drawing></mc:Choice><mc:Fallback><w:pict>{box("Σχόλιο: other")}</w:pict></mc:Fallback></mc:AlternateContent>'
+    nested = f"<w:drawing><wp:inline><wps:txbx><w:txbxContent>{P(T(long) + f'<w:r><w:drawing>{box(chr(72) + chr(105) * 200)}</w:drawing></w:r>')}</w:txbxContent></wps:txbx></wp:inline></w:drawing>"
+    body = f"<w:p><w:r><w:t>Text.</w:t></w:r><w:r><w:drawing>{group}</w:drawing></w:r></w:p><w:p><w:r>{boxed}</w:r></w:p><w:p><w:r>{nested}</w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {NS}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="r1" Target="m/1.png"/><Relationship Id="r2" Target="m/2.png"/></Relationships>')
+    rows = docx.read_docx(spark, str(tmp_path)).orderBy("block_ord").collect()
+    assert [(r.type, r.text) for r in rows] == [("paragraph", "Text."), ("figure", None), ("figure", None), ("textbox", "Σχόλιο: short and more"), ("textbox", long.strip()), ("textbox", "H" + "i" * 200)]
+    assert [(r.src, r.width, r.height, r.placement) for r in rows[1:3]] == [("m/1.png", 100.0, 50.0, "float-left"), ("m/2.png", 1000.0, 500.0, "float-left")]
+    assert [(r.caption, r.text_labels) for r in rows[1:3]] == [("Figure 3 two parts", ["axis x"]), (None, [])]
+    assert rows[3].html == "Σχόλιο: short<br>and more" and rows[3].label == "Σχόλιο:"

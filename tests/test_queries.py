@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from folioflow.plans import catalog_queries, content_queries, registry  # noqa: F401
+from folioflow.plans import book_queries, catalog_queries, content_queries, editing_queries, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
