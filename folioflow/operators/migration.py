@@ -111,7 +111,9 @@ def migrated_items(items: DataFrame, value: str = "value") -> DataFrame:
     english = F.filter("_keys", lambda k: k.endswith("_en"))
     applied = {m.name: type_.isin(*m.types) & F.col(f"_new{n}").isNull() & F.col(f"_old{n}").isNotNull() for n, m in enumerate(MOVES)}
     applied |= {"html-body": prose & ~rich & F.array_contains("_keys", "html"), "type-unknown": ~known, "id-normalised": (given_id != "") & (normalize_id(given_id) != given_id), "translation-dropped": F.size(english) > 0}
-    rules = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in applied.items()]), lambda r: r.isNotNull())
+    # Joined and split again: a lambda over the rules would have them interpreted, not compiled.
+    names = F.concat_ws(",", *[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in applied.items()])
+    rules = F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ","))
     return items.select(*own, F.struct(*fields).alias("item"), rules.alias("rules"), english.alias("dropped"))
 
 

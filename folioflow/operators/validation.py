@@ -154,7 +154,7 @@ RULES = [
     Rule("node", "error", "children-not-array", of(("link",), given("$.children", isnt("$.children", "array"))), ".children"),
     Rule("deep", "error", "links-too-deep", of(("link",), lambda v: is_kind(v, "$.children", "array")), ".children"),
 ]
-ELEMENT = "struct<level:string,path:string,item:int,value:variant>"
+NODES = "array<struct<path:string,value:variant>>"
 
 
 def array_at(v: Column, path: str) -> Column:
@@ -162,41 +162,36 @@ def array_at(v: Column, path: str) -> Column:
     return F.coalesce(F.when(is_kind(v, path, "array"), F.try_variant_get(v, path, "array<variant>")), F.array().cast("array<variant>"))
 
 
-def element(level: str, path: Column, item: Column, value: Column) -> Column:
-    return F.struct(F.lit(level).alias("level"), path.alias("path"), item.cast("int").alias("item"), value.alias("value"))
-
-
-def item_elements(path: Column, item: Column, value: Column) -> Column:
-    """An item and the nodes of its rich text; nodes of links are walked to DEPTH levels below the first."""
-
-    def numbered(values: Column, level: str, at: Column) -> Column:
-        return F.transform(values, lambda n, k: element(level, F.concat(at, F.lit("["), k.cast("string"), F.lit("]")), item, n))
-
-    prose = F.coalesce(text(value, "$.type").isin(*PROSE), F.lit(False)) & ~no_rich_text("$.body")(value)
-    nodes = F.when(prose, array_at(value, "$.body.nodes")).otherwise(F.array().cast("array<variant>"))
-    found = numbered(nodes, "node", F.concat(path, F.lit(".body.nodes")))
-    out = [F.array(element("item", path, item, value)), found]
-    for _ in range(DEPTH):
-        links = F.filter(found, lambda e: F.coalesce(text(e["value"], "$.type") == "link", F.lit(False)))
-        found = F.flatten(F.transform(links, lambda e: numbered(array_at(e["value"], "$.children"), "node", F.concat(e["path"], F.lit(".children")))))
-        out.append(found)
-    deepest = F.transform(found, lambda e: element("deep", e["path"], e["item"], e["value"]))
-    return F.concat(*out, deepest)
-
-
 def page_elements(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:
-    """(keys, page, level, path, item, value) of pages, each the JSON of one page with its ordinal (from 0); JSON that cannot be read is an element without value."""
-    at = F.concat(F.lit("pages["), F.col("_page").cast("string"), F.lit("]"))
-    read = pages.select(*keys, F.col(page).cast("int").alias("_page"), F.try_parse_json(json).alias("_value"))
-    own = F.array(element("page", at, F.lit(-1), F.col("_value")))
-    below = F.flatten(F.transform(array_at(F.col("_value"), "$.items"), lambda v, k: item_elements(F.concat(at, F.lit(".items["), k.cast("string"), F.lit("]")), k, v)))
-    each = read.select(*keys, F.col("_page").alias("page"), F.explode(F.concat(own, below)).alias("_e"))
-    return each.select(*keys, "page", "_e.*")
+    """(keys, page, level, path, item, value) of pages, each the JSON of one page with its ordinal (from 0); JSON that cannot be read is an element without value.
+
+    Nodes of links are walked to DEPTH levels below the first; the links that are left then show once more, at level 'deep'.
+    """
+    read = pages.select(*keys, F.col(page).cast("int").alias("page"), F.try_parse_json(json).alias("_v"))
+    numbered = F.transform(array_at(F.col("_v"), "$.items"), lambda v, k: F.struct(k.cast("int").alias("item"), v.alias("value")))
+    # The page itself stands among its items, as number -1.
+    rows = read.select(*keys, "page", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("item"), F.col("_v").alias("value"))), numbered)).alias("_e")).select(*keys, "page", "_e.*")
+    v, is_item = F.col("value"), F.col("item") >= 0
+    at = F.concat(F.lit("pages["), F.col("page").cast("string"), F.lit("]"))
+    rows = rows.withColumn("path", F.when(is_item, F.concat(at, F.lit(".items["), F.col("item").cast("string"), F.lit("]"))).otherwise(at))
+    none = F.array().cast(NODES)
+    nodes = lambda values, path: F.transform(values, lambda n, k: F.struct(F.concat(path, F.lit("["), k.cast("string"), F.lit("]")).alias("path"), n.alias("value")))
+    prose = is_item & F.coalesce(text(v, "$.type").isin(*PROSE), F.lit(False)) & ~no_rich_text("$.body")(v)
+    rows = rows.withColumn("_n0", F.when(prose, nodes(array_at(v, "$.body.nodes"), F.concat("path", F.lit(".body.nodes")))).otherwise(none))
+    # A column for each level, so that every level is taken from the one above it once.
+    for depth in range(DEPTH):
+        links = F.filter(f"_n{depth}", lambda e: F.coalesce(text(e["value"], "$.type") == "link", F.lit(False)))
+        below = F.flatten(F.transform(links, lambda e: nodes(array_at(e["value"], "$.children"), F.concat(e["path"], F.lit(".children")))))
+        rows = rows.withColumn(f"_n{depth + 1}", F.when(F.size(f"_n{depth}") > 0, below).otherwise(none))
+    named = lambda level, found: F.transform(found, lambda e: F.struct(F.lit(level).alias("level"), e["path"].alias("path"), e["value"].alias("value")))
+    own = F.array(F.struct(F.when(is_item, "item").otherwise("page").alias("level"), F.col("path"), v.alias("value")))
+    every = F.concat(own, *[named("node", F.col(f"_n{d}")) for d in range(DEPTH + 1)], named("deep", F.col(f"_n{DEPTH}")))
+    return rows.select(*keys, "page", "item", F.explode(every).alias("_e")).select(*keys, "page", "_e.level", "_e.path", "item", "_e.value")
 
 
 def head_elements(heads: DataFrame, keys: list[str], json: str = "json") -> DataFrame:
     """The elements of books' heads: JSON of a book, whose pages are not looked at."""
-    return heads.select(*keys, F.lit(-1).alias("page"), F.explode(F.array(element("book", F.lit(""), F.lit(-1), F.try_parse_json(json)))).alias("_e")).select(*keys, "page", "_e.*")
+    return heads.select(*keys, F.lit(-1).alias("page"), F.lit("book").alias("level"), F.lit("").alias("path"), F.lit(-1).alias("item"), F.try_parse_json(json).alias("value"))
 
 
 def split_books(books: DataFrame, keys: list[str], json: str = "json") -> DataFrame:
@@ -205,29 +200,26 @@ def split_books(books: DataFrame, keys: list[str], json: str = "json") -> DataFr
     return read.select(*keys, F.posexplode(array_at(F.col("_value"), "$.pages")).alias("page", "_page")).select(*keys, "page", F.to_json("_page").alias("json"))
 
 
-TOLD = "array<struct<severity:string,at:string,code:string>>"
-
-
-def facts(elements: DataFrame, keys: list[str], rules: list[Rule] | None = None) -> DataFrame:
+def facts(elements: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page, item, level, path, id, targets, failed) of the elements that matter to a message: what one pass over the documents finds.
 
-    id: of pages and items; targets: (path, code, target) of links within the book and of navigation; failed: (severity, at, code) of
-    the rules that an element fails. Nodes that have neither are left out.
+    id: of pages and items; targets: (path, code, target) of links within the book and of navigation; failed: the numbers of
+    the rules that an element fails, joined by commas. Nodes that have neither are left out.
     """
     v, level = F.col("value"), F.col("level")
     typed = elements.withColumn("_type", F.when(level.isin("item", "node", "deep"), text(v, "$.type")))
-    by_level = F.array().cast(TOLD)
+    # Joined text and no array that is filtered: a lambda would have all rules interpreted, not compiled.
+    failed = F.lit("")
     for name in ("book", "page", "item", "node", "deep"):
-        told = [F.when(F.coalesce(r.fails(v), F.lit(False)), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.at).alias("at"), F.lit(r.code).alias("code"))) for r in rules or RULES if r.level == name]
-        if told:
-            by_level = F.when(level == name, F.filter(F.array(*told), lambda m: m.isNotNull())).otherwise(by_level)
+        own = [F.when(F.coalesce(r.fails(v), F.lit(False)), F.lit(str(n))) for n, r in enumerate(RULES) if r.level == name]
+        failed = F.when(level == name, F.concat_ws(",", *own)).otherwise(failed)
     href = text(v, "$.href")
     link = F.when(F.coalesce(href.startswith("#"), F.lit(False)), F.array(F.struct(F.concat("path", F.lit(".href")).alias("path"), F.lit("link-broken").alias("code"), F.expr("substring(try_variant_get(value, '$.href', 'string'), 2)").alias("target"))))
     aim = lambda at, x: F.struct(F.concat(at, F.lit("].target")).alias("path"), F.lit("nav-broken").alias("code"), F.regexp_replace(text(x, "$.target"), "^#", "").alias("target"))
     groups = F.transform(array_at(v, "$.nav.groups"), lambda g, i: F.concat(F.array(aim(F.concat(F.lit("nav.groups["), i.cast("string")), g)), F.transform(array_at(g, "$.entries"), lambda e, j: aim(F.concat(F.lit("nav.groups["), i.cast("string"), F.lit("].entries["), j.cast("string")), e))))
     targets = F.when((level == "node") & (F.col("_type") == "link"), link).when(level == "book", F.flatten(groups))
-    found = typed.select(*keys, "page", "item", "level", "path", F.when(level.isin("page", "item"), text(v, "$.id")).alias("id"), targets.alias("targets"), by_level.alias("failed"))
-    return found.where(level.isin("book", "page", "item") | (F.size("failed") > 0) | (F.coalesce(F.size("targets"), F.lit(0)) > 0))
+    found = typed.select(*keys, "page", "item", "level", "path", F.when(level.isin("page", "item"), text(v, "$.id")).alias("id"), targets.alias("targets"), failed.alias("failed"))
+    return found.where(level.isin("book", "page", "item") | (F.col("failed") != "") | (F.coalesce(F.size("targets"), F.lit(0)) > 0))
 
 
 def told(rows: DataFrame, keys: list[str], messages: Column, path: Column) -> DataFrame:
@@ -238,7 +230,9 @@ def told(rows: DataFrame, keys: list[str], messages: Column, path: Column) -> Da
 
 def rule_messages(found: DataFrame, keys: list[str]) -> DataFrame:
     """What the rules say about facts()."""
-    return told(found, keys, F.col("failed"), F.col("path"))
+    table = F.array(*[F.struct(F.lit(r.severity).alias("severity"), F.lit(r.at).alias("at"), F.lit(r.code).alias("code")) for r in RULES])
+    each = found.where("failed <> ''").select(*keys, "page", "item", "path", F.explode(F.split("failed", ",")).alias("_n"))
+    return told(each, keys, F.array(F.element_at(table, F.col("_n").cast("int") + 1)), F.col("path"))
 
 
 def id_messages(found: DataFrame, keys: list[str]) -> DataFrame:
