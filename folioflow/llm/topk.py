@@ -27,7 +27,9 @@ from folioflow.session import table
 DEPTHS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1.0)
 #: A query stops reading at this many times k candidates.
 FINALISTS = 4
-RESULT = "query_id long, qpack int, qrow long, vec_id long, score long"
+#: Scores cross the shuffle as digits to this power of two, the first one signed, so that any size has its place in the order.
+DIGIT, DIGITS = 60, 5
+RESULT = "query_id long, qpack int, qrow long, vec_id long, digits array<long>, near double"
 
 
 def no_random_access(weights: np.ndarray, own: np.ndarray, values: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, list[int]]]:
@@ -87,14 +89,23 @@ def best(rows: np.ndarray, scores: list[int], ids: np.ndarray, k: int) -> tuple[
 
 
 def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    return np.asarray(flat.flatten(), dtype=np.int64).reshape(rows, -1)
+    """Whole numbers of any size: 64-bit integers where all fit, else Python's."""
+    flat = np.asarray(column.combine_chunks().flatten()).reshape(rows, -1)
+    if flat.dtype != np.float64 or np.abs(flat).max(initial=0) < 2.0**62:
+        return flat.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in flat.tolist()], dtype=object).reshape(flat.shape)
+
+
+def digits(score: int) -> list[int]:
+    """A score as DIGITS digits whose order is that of the scores."""
+    low = [score >> DIGIT * n & (1 << DIGIT) - 1 for n in range(DIGITS - 1)]
+    return [score >> DIGIT * (DIGITS - 1), *reversed(low)]
 
 
 def exact_top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = 4096, pack: int = 512) -> DataFrame:
     """The k rows of `vectors` with the highest integer inner product for each of its rows that `asks` holds for.
 
-    vectors has vec_id long and comps array<long>. Candidates are dealt into
+    vectors has vec_id long and comps array<long>, or array<double> of whole numbers below 2**138. Candidates are dealt into
     blocks of about `block` rows, queries into packs of about `pack`; every
     pack meets every block once, in a task of its own, and the winners of the
     blocks are merged. The first block goes ahead: the k-th score that a query
@@ -102,7 +113,7 @@ def exact_top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = 4096
     other rows of its vec_id; vectors of another length than the query's take no
     part in its search. Rows with a null id or null comps are ignored; repeated
     query rows are searched each for itself; repeated candidate rows each count.
-    A score beyond a long is an error. Further columns are not read.
+    A score beyond a long has its right rank and is null. Further columns are not read.
     Returns (query_id, rank, vec_id, score); rank breaks ties by vec_id.
     """
     clean = vectors.select("vec_id", "comps", F.size("comps").alias("dim"), F.coalesce(asks, F.lit(False)).alias("asks")).where("vec_id is not null and comps is not null")
@@ -115,7 +126,7 @@ def exact_top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = 4096
     keys = ["block", "qpack", "dim"]
 
     def meet(key, cands: pa.Table, qs: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("query_id", "qpack", "qrow", "vec_id", "score")}
+        out: dict[str, list] = {c: [] for c in ("query_id", "qpack", "qrow", "vec_id", "digits", "near")}
         if cands.num_rows and qs.num_rows:
             own, name, ids = np.asarray(qs["row"]), qs["vec_id"].to_pylist(), np.asarray(cands["vec_id"])
             floor = np.array([-math.inf if f is None else f for f in qs["floor"].to_pylist()])
@@ -125,8 +136,9 @@ def exact_top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = 4096
                 out["qpack"] += [key[1].as_py()] * len(at)
                 out["qrow"] += [int(own[q])] * len(at)
                 out["vec_id"] += ids[at].tolist()
-                out["score"] += scores
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                out["digits"] += map(digits, scores)
+                out["near"] += map(float, scores)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
 
     def met(block_ids: Column, cands: DataFrame, floors: Column) -> DataFrame:
@@ -137,12 +149,17 @@ def exact_top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = 4096
     first = met(F.array(F.lit(0)), left.where("block = 0"), F.lit(None))
     found = [first]
     if blocks > 1:
-        floors = first.groupBy("qrow").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+        floors = first.groupBy("qrow").agg(F.min("near").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
         asking = queries.join(floors.select(F.col("qrow").alias("row"), "kth"), "row", "left")
         found.append(met(F.sequence(F.lit(1), F.lit(blocks - 1)), left.where("block > 0"), F.col("kth")))
-    ranked = W.partitionBy("query_id", "qpack", "qrow").orderBy(F.desc("score"), F.asc("vec_id"))
+    ranked = W.partitionBy("query_id", "qpack", "qrow").orderBy(F.desc("digits"), F.asc("vec_id"))
+    # In a long are those whose digits but the last two are all sign, and whose last but one is a few bits.
+    high, mid = F.slice("digits", 1, DIGITS - 2), F.element_at("digits", -2)
+    sign = F.when(F.element_at("digits", 1) < 0, F.array(F.lit(-1).cast("long"), *[F.lit((1 << DIGIT) - 1)] * (DIGITS - 3))).otherwise(F.array(*[F.lit(0).cast("long")] * (DIGITS - 2)))
+    top = F.when(F.element_at("digits", 1) < 0, mid - (1 << DIGIT)).otherwise(mid)
+    score = F.when((high == sign) & top.between(-8, 7), top * (1 << DIGIT) + F.element_at("digits", -1))
     every = found[0] if len(found) == 1 else found[0].union(found[1])
-    out = every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
     out = written(out, "top")
     dropped(rows, *found)
     return out
@@ -153,10 +170,13 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     whole = embeddings.select("vec_id", "embedding").where(x.isNotNull() & ~bad)
-    return whole.select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * 1024)).alias("comps"))
+    # Spark's floor() gives longs and would cut off what is larger; such components have no fraction.
+    scaled = lambda v: v.cast("double") * 1024
+    return whole.select("vec_id", F.transform(x, lambda v: F.when(F.abs(scaled(v)) < 2.0**52, F.floor(scaled(v)).cast("double")).otherwise(scaled(v))).alias("comps"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best rows of the whole `embeddings` for each whose vec_id is divisible by 100; see exact_top_k() and integer_vectors() for odd rows."""
     vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors, F.col("vec_id") % 100 == 0)
 

@@ -73,3 +73,25 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     v = topk.integer_vectors(df)
     assert topk.exact_top_k(v, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_huge_components_rank_right(spark):
+    """Components beyond longs, and scores beyond them: ranks are exact, such scores are null."""
+    huge = 2.0**100
+    rows = [(100, [huge, 1.0]), (200, [1.0, 2.0]), (1, [huge, 5.0]), (2, [huge, 6.0]), (3, [-huge, 7.0]), (4, [2.0**50, 1.0]), (5, [1.0, 3.0]), (6, [3.0, 1.0]), (7, [1e30, -1e30])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.exact_top_k(topk.integer_vectors(df), F.col("vec_id") % 100 == 0, k=9, block=3).collect()
+    want = [(q, n, i, s if -(2**63) <= s < 2**63 else None) for q, n, i, s in brute(rows, 100, 9)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert any(r.score is None for r in got) and any(r.score is not None for r in got)
+
+
+def test_digits_order_scores():
+    scores = sorted([0, 1, -1, 2**63 - 1, -(2**63), 2**63, -(2**63) - 1, 2**270, -(2**270), 2**60, 2**60 - 1, -(2**60), 2**120 + 5])
+    assert [topk.digits(s) for s in scores] == sorted(topk.digits(s) for s in scores)
+
+
+@pytest.mark.parametrize("score", [0, -1, 2**63 - 1, -(2**63), 2**60, -(2**60) - 1])
+def test_scores_of_longs_come_back(spark, score):
+    df = spark.createDataFrame([(100, [score, 0]), (1, [1, 0])], "vec_id long, comps array<long>")
+    assert [r.score for r in topk.exact_top_k(df, F.col("vec_id") % 100 == 0).collect()] == [score]
