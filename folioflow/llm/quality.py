@@ -159,8 +159,9 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
     """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
     stats: (doc_id, stats); labels: (doc_id, quality). A doc_id with several
-    labels counts as 1 only if all are; null labels and ids are left out. If more
-    than `most` rows are labelled, a hash of doc_id keeps about that many.
+    labels counts as 1 only if all are; null labels and ids are left out. Rows with equal doc_id and statistics
+    count once. If more than `most` labels or labelled rows are there, hashes keep about that many,
+    so what reaches the driver is bounded however often a doc_id repeats.
     Without labels every score is 0.5; with one class every score is that class.
     """
     marks = labels.select(F.col("doc_id").cast("long"), "quality").dropna().groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
@@ -168,7 +169,9 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
     share = min(1.0, most / max(1, marks.count()))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = stats.join(chosen, "doc_id").select("doc_id", "stats", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"))
-    train = written(rows, "train").coalesce(SUMS)
+    joined = written(rows.dropDuplicates(["doc_id", "stats"]), "train")
+    kept = min(1.0, most / max(1, joined.count()))
+    train = joined.where(F.pmod(F.xxhash64("doc_id", "stats"), F.lit(1 << 30)) < int(kept * (1 << 30))).coalesce(SUMS)
 
     moments = summed(train, lambda s, y, f: (np.array([len(y), y.sum()]), s.sum(axis=0), (s * s).sum(axis=0)))
     if not moments:
@@ -193,7 +196,7 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(f == 0, x @ by[0], x @ by[1])), batch.column(1)], ["x", "y"])
 
     pairs = train.select("stats", "label", "fold").mapInArrow(crossed, "x double, y double").toPandas()  # at most about `most` rows
-    dropped(marks, train)
+    dropped(marks, joined)
     return Model(mean, scale, both, isotonic(pairs["x"].to_numpy(), pairs["y"].to_numpy()))
 
 

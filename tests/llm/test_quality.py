@@ -66,3 +66,17 @@ def test_against_whole_normal_equations(spark):
     mean = lambda a, b: z[a : b + 1].mean()
     fitted = [max(min(mean(a, b) for b in range(i, len(z))) for a in range(i + 1)) for i in range(0, len(z), 7)]
     assert np.allclose(np.interp(raw[by], *model.steps)[::7], fitted, atol=1e-6)
+
+
+def test_what_reaches_the_driver_is_bounded_by_rows(spark, monkeypatch):
+    """One labelled doc_id with many rows: about `most` of them are learnt from; equal rows count once."""
+    rng, seen = np.random.default_rng(1), []
+    true = q.isotonic
+    monkeypatch.setattr(q, "isotonic", lambda x, y: seen.append(len(x)) or true(x, y))
+    rows = [(1, [float(v) for v in rng.normal(size=q.N_STATS)]) for _ in range(500)]
+    stats = spark.createDataFrame(rows + [rows[0]] * 300, "doc_id long, stats array<double>")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    q.fit(stats, labels, most=20)
+    assert 5 <= seen[-1] <= 60
+    q.fit(spark.createDataFrame([rows[0]] * 400 + [rows[1]], "doc_id long, stats array<double>"), labels)
+    assert seen[-1] == 2
