@@ -28,6 +28,10 @@ DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 #: Records of an archive that its dictionary is built from: every n-th, so that about this many bytes are seen.
 TRAINING_BYTES = 4 << 20
+#: Records from which a dictionary can be learnt, and the bytes of each that a raw one takes where they are fewer.
+LEARNT_FROM, RAW_BYTES = 8, 1024
+#: Bytes that a reader hands to the library at a time.
+PIECE = 16 << 10
 #: Equal payloads shorter than this stay whole.
 LEAST_REVISIT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -64,29 +68,41 @@ def parse_record(raw: bytes) -> tuple:
     return of("WARC-Record-ID"), fields.get("WARC-Target-URI"), size, digest, kind, of("WARC-Refers-To") if kind == "revisit" else None, payload.decode() if kind == "response" else None
 
 
-def archive(records: list[bytes]) -> bytes:
-    """A whole archive: the dictionary's skippable frame, then one frame for each record."""
+def dictionary(records: list[bytes]) -> bytes:
+    """A dictionary of what records share: learnt from them, or where they are too few to learn from, the beginnings of them as raw content."""
     every = max(1, sum(map(len, records)) // TRAINING_BYTES)
     picked = records[::every]
     try:
-        plain = zstandard.train_dictionary(DICTIONARY_BYTES, picked).as_bytes() if len(picked) >= 8 else b""
-    except zstandard.ZstdError:  # too little to learn from
-        plain = b""
+        if len(picked) >= LEARNT_FROM:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, picked).as_bytes()
+    except zstandard.ZstdError:  # too little, or too much alike, to learn from
+        pass
+    return b"".join(r[:RAW_BYTES] for r in picked)[:DICTIONARY_BYTES]
+
+
+def archive(records: list[bytes]) -> bytes:
+    """A whole archive: the dictionary's skippable frame, then one frame for each record."""
+    plain = dictionary(records)
     comp = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(plain) if plain else None)
     return struct.pack("<II", DICTIONARY_MAGIC, len(plain)) + plain + b"".join([comp.compress(r) for r in records])
 
 
 def read_archive(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one at a time."""
+    """The records of an archive, one at a time. Input goes to the library in pieces, so what lies behind a record is not copied for it."""
     magic, n = struct.unpack_from("<II", data)
     if magic != DICTIONARY_MAGIC:
         raise ValueError("no dictionary frame")
     plain, at, view = data[8 : 8 + n], 8 + n, memoryview(data)
     decomp = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(plain) if plain else None)
     while at < len(data):
-        one = decomp.decompressobj()
-        yield one.decompress(view[at:])
-        at = len(data) - len(one.unused_data)
+        one, out = decomp.decompressobj(), []
+        while not one.eof:
+            piece = view[at : at + PIECE]
+            if not piece:
+                raise ValueError("an archive cut short")
+            out.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
+        yield b"".join(out)
 
 
 def put(uri: str, name: str, data: bytes) -> str:

@@ -101,7 +101,7 @@ def test_against_brute_force_and_sql(spark, rows, monkeypatch, tmp_path):
 
 
 def test_layers_against_least_paths():
-    """Every conversation of up to five turns over all codes: cost and least audit."""
+    """Every conversation of up to four turns over all codes: cost and least audit."""
     texts = {0: "s", 1: "u", 2: "a", 3: "x"}
     for n in range(5):
         for codes in itertools.product([*range(8), turnrepair.Layers.DOOMED], repeat=n):
