@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.operators.setops import spread_join
+from folioflow.operators.setops import spread_join, url_origin
 
 
 def stats_by_type(items: DataFrame, keys: list[str], type_: str = "type") -> DataFrame:
@@ -108,3 +108,9 @@ def duplicate_evidence(entries: DataFrame, existing: DataFrame, keys: list[str],
     met = spread_join(entries, known, signature)
     out = met.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_hit").alias("hits"))
     return out.withColumn("duplicate", F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.7)))
+
+
+def local_scenes(items: DataFrame, keys: list[str], origin: str, type_: str = "type", src: str = "src") -> DataFrame:
+    """(keys, src) of the distinct scenes that the given server delivers: those to be asked for before a book is printed."""
+    named = items.where((F.col(type_) == "scene") & (url_origin(F.trim(src)) == origin.lower()))
+    return named.select(*keys, F.trim(src).alias("src")).distinct()

@@ -117,3 +117,25 @@ def root_styled(html: Column, text: Column) -> Column:
     own = F.concat(F.lit("<"), tag, F.lit(' style="'), quoted, F.lit('">'), F.substr(trimmed, F.length(tag) + 3))
     block = F.concat(F.lit('<span class="docx-paragraph-format" style="display:block;'), quoted, F.lit('">'), F.coalesce(html, F.lit("")), F.lit("</span>"))
     return F.when(tag != "", own).otherwise(block)
+
+
+#: Properties of a paragraph's own style (fixed values), and those that a list leaves to its levels.
+CANONICAL = (
+    "fontFamily", "fontSizePx", "lineHeight", "lineHeightPx", "marginTopPx", "marginBottomPx", "marginLeftPx", "marginRightPx", "textIndentPx",
+    "backgroundColor", "keepWithNext", "keepTogether", "pageBreakBefore", "contextualSpacing",
+)
+OF_LEVELS = ("marginLeftPx", "textIndentPx")
+
+
+def canonical_style(props: Column, in_list: Column | bool = False, hyphenate: Column | bool = True) -> Column:
+    """The style that an item keeps: align (left if it has none), hyphenate, the canonical properties that are set, and color.
+
+    Word writes a list's indent into its paragraphs too; items of lists leave it out, since their level says it.
+    """
+    listed = in_list if isinstance(in_list, Column) else F.lit(in_list)
+    hyphens = hyphenate if isinstance(hyphenate, Column) else F.lit(hyphenate)
+    props = string_map(F.coalesce(props, F.create_map().cast(VISUAL)))
+    kept = F.map_filter(props, lambda k, v: k.isin(*CANONICAL) & ~(listed & k.isin(*OF_LEVELS)))
+    color = F.try_element_at(props, F.lit("textColor"))
+    always = F.create_map(F.lit("align"), css_align(F.try_element_at(props, F.lit("align"))), F.lit("hyphenate"), F.when(F.coalesce(hyphens, F.lit(True)), "true").otherwise("false"))
+    return F.map_concat(always, kept, F.when(color.isNotNull(), F.create_map(F.lit("color"), color)).otherwise(F.create_map().cast(VISUAL)))

@@ -52,27 +52,34 @@ def expand_print(items: DataFrame, book: list[str], page: str, order: str, id_:
     The callout goes, and so does its scene if that is on the same page and either
     stands directly before the callout or comes after it; an earlier scene that is
     not adjacent stays. Of scenes with one id the last in the book counts.
-    Adds step_ord (null for rows that stay) and part (0 callout, 1 scene); `order` is renumbered from 0.
+    Adds step_ord (null for rows that stay) and part (0 callout, 1 scene); `order` is renumbered from 0. The items are read once and
+    moved twice, by the names that connect them and by page; a task holds the rows of one name at a time.
     """
-    wants = F.coalesce(F.size(steps) > 0, F.lit(False)) & (~opt_out if opt_out is not None else F.lit(True))
-    calls = items.where(wants)
-    # Only scenes that a callout names are looked up, and by their places; their rows are fetched once.
-    wanted = calls.select(*book, F.col(scene_ref).alias(id_)).where(F.col(id_).isNotNull()).distinct()
-    last = items.join(wanted, [*book, id_], "left_semi").groupBy(*book, id_).agg(F.max(F.struct(page, order)).alias("_place"))
-    places = last.select(*book, F.col(f"_place.{page}").alias(page), F.col(f"_place.{order}").alias(order))
-    scenes = items.join(places, [*book, page, order], "left_semi").select(*book, id_, F.struct(*items.columns).alias("scene"))
-    found = calls.join(scenes.withColumnRenamed(id_, scene_ref), [*book, scene_ref])
-    each = found.select(*[F.col(c) for c in items.columns], "scene", F.posexplode(steps).alias("step_ord", "_step"))
-    call_rows = each.select(*items.columns, "step_ord", F.lit(0).alias("part"))
-    scene_cols = [F.col(c) if c in (*book, page, order) else F.col(f"scene.{c}").alias(c) for c in items.columns]
-    scene_rows = each.select(*scene_cols, "step_ord", F.lit(1).alias("part"))
-    used = found.select(*book, F.col(page).alias("_p"), F.col(order).alias("_o"), F.col(f"scene.{page}").alias(page), F.col(f"scene.{order}").alias(order))
-    used = used.where((F.col("_p") == F.col(page)) & (F.col(order) >= F.col("_o") - 1))
-    gone = used.select(*book, page, order).unionByName(found.select(*book, page, order)).distinct()
-    rest = items.join(gone, [*book, page, order], "left_anti").select(*items.columns, F.lit(None).cast("int").alias("step_ord"), F.lit(0).alias("part"))
-    out = rest.unionByName(call_rows).unionByName(scene_rows)
-    w = W.partitionBy(*book, page).orderBy(order, "step_ord", "part")
-    return out.withColumn("_new", F.row_number().over(w) - 1).withColumn(order, F.col("_new").cast(items.schema[order].dataType)).drop("_new")
+    # Every row stands under its id, and a callout once more under the scene it names: one window over both finds the scenes.
+    wants = F.coalesce(F.size(steps) > 0, F.lit(False)) & (~opt_out if opt_out is not None else F.lit(True)) & F.col(scene_ref).isNotNull()
+    whole = F.struct(*[F.col(c) for c in items.columns]).alias("_row")
+    place = [F.col(page).alias("_page"), F.col(order).alias("_order")]
+    under = F.filter(F.array(F.struct(F.lit(False).alias("call"), F.col(id_).cast("string").alias("key")), F.when(wants, F.struct(F.lit(True).alias("call"), F.col(scene_ref).cast("string").alias("key")))), lambda u: u.isNotNull())
+    both = items.select(*book, *place, whole, F.explode(under).alias("_u")).select(*book, "_page", "_order", "_row", F.col("_u.call").alias("_call"), F.col("_u.key").alias("_key"))
+    named, here = W.partitionBy(*book, "_key"), W.partitionBy(*book, "_key", "_page")
+    own = F.struct("_page", "_order")
+    scene = F.max_by(F.when(~F.col("_call"), F.col("_row")), F.when(~F.col("_call"), own)).over(named)
+    last = F.max(F.when(~F.col("_call"), own)).over(named)
+    first_call = F.min(F.when(F.col("_call"), F.col("_order"))).over(here)
+    met = both.withColumns({"_scene": scene, "_last": last, "_first": first_call})
+    found = F.col("_call") & F.col("_scene").isNotNull() & F.col("_key").isNotNull()
+    taken = ~F.col("_call") & F.col("_key").isNotNull() & (F.col("_last") == own) & F.coalesce(F.col("_first") <= F.col("_order") + 1, F.lit(False))
+    met = met.select(*book, "_page", "_order", "_row", "_call", F.when(found, F.col("_scene")).alias("_scene"), (found | taken).alias("_gone"))
+    # The rest is done page by page, which is also how the rows are numbered.
+    gone = F.max("_gone").over(W.partitionBy(*book, "_page", "_order"))
+    met = met.repartition(*book, "_page").withColumn("_any", gone).where((~F.col("_call") & ~F.col("_any")) | (F.col("_call") & F.col("_scene").isNotNull()))
+    stays = F.array(F.struct(F.col("_row"), F.lit(None).cast("int").alias("step_ord"), F.lit(0).alias("part")))
+    pair = lambda k: F.array(F.struct(F.col("_row"), k.cast("int").alias("step_ord"), F.lit(0).alias("part")), F.struct(F.col("_scene").alias("_row"), k.cast("int").alias("step_ord"), F.lit(1).alias("part")))
+    pairs = F.flatten(F.transform(F.col(f"_row.{steps}"), lambda _, k: pair(k)))
+    each = met.select(*book, "_page", "_order", F.explode(F.when(F.col("_call"), pairs).otherwise(stays)).alias("_e"))
+    w = W.partitionBy(*book, "_page").orderBy("_order", "_e.step_ord", "_e.part")
+    kept = {page: F.col("_page"), order: (F.row_number().over(w) - 1).cast(items.schema[order].dataType)}
+    return each.select(*[F.col(c) if c in book else kept.get(c, F.col(f"_e._row.{c}")).alias(c) for c in items.columns], F.col("_e.step_ord").alias("step_ord"), F.col("_e.part").alias("part"))
 
 
 def screen_flags(pages: DataFrame, book: list[str], order: str, has_steps: Column) -> DataFrame:

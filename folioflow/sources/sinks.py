@@ -136,13 +136,46 @@ def recover(spark: SparkSession, path: str) -> str:
     return "dropped"
 
 
+def save_candidate(df: DataFrame, report: DataFrame, folder: str, validate: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, str | None]:
+    """Writes a migrated book beside the one that is there, with its report, and a copy of the old one; the book itself stays as it is.
+
+    Errors that validate finds refuse it. Each of the three is written beside its place and renamed, and replaces the one of an earlier
+    try; names of what was written are returned, the backup's is None where there is no book yet.
+    """
+    spark = df.sparkSession
+    if validate is not None and validate(df).where("severity = 'error'").limit(1).count():
+        raise ValueError("the candidate has errors and is not saved")
+    names = {"candidate": "book_v4_candidate", "report": "migration_report", "backup": "book_old_backup"}
+    fs, book = hadoop(spark, f"{folder}/book")
+    parts = {"candidate": df, "report": report}
+    if fs.exists(book):
+        parts["backup"] = spark.read.parquet(f"{folder}/book")
+    for what, table in parts.items():
+        place = f"{folder}/{names[what]}"
+        draft = f"{place}.draft"
+        writer = table.write.mode("overwrite")
+        writer.json(draft) if what == "report" else writer.parquet(draft)
+        _, new = hadoop(spark, draft)
+        _, old = hadoop(spark, place)
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"cannot write {place}")
+    return {what: f"{folder}/{name}" if what in parts else None for what, name in names.items()}
+
+
+def restore(spark: SparkSession, backup: str, path: str, at: datetime, label: str = "registry") -> str | None:
+    """Puts a backup's rows in place of a table by a journaled save; the backup stays, and what was there becomes one. Returns that one's path."""
+    return save_journaled(spark.read.parquet(backup), path, at, label=label)
+
+
 def save_new(df: DataFrame, path: str) -> None:
     """Refuses an existing target."""
     df.write.mode("errorifexists").parquet(path)
 
 
 def save_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A report as JSON lines, in as many files as it has partitions."""
+    df.write.mode("overwrite").json(path)
 
 
 def launcher(title: str, book_id: str) -> str:

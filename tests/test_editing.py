@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import jsonpath as J
-from folioflow.operators import cascade, catalog, extent, history, insertion, provenance, reflow, repair, reports, setops
+from folioflow.operators import audit, cascade, catalog, extent, history, insertion, provenance, reflow, repair, reports, sequence, setops
 from folioflow.operators.fold import fold_sorted
 from folioflow.operators.paginate import greedy
 from folioflow.sources import listing, sinks
@@ -390,3 +390,45 @@ def test_manifest_outranks_hits(spark):
     known = spark.createDataFrame([("s0",), ("s1",), ("s2",), ("s2",)], "sig string")
     got = sorted(map(tuple, insertion.import_evidence(entries, done, known, ["d"], "o", "key", "file", ["sig"]).collect()))
     assert got == [(1, "manifest", "x1", 3, 3), (2, "manifest", "x1", 0, 3), (3, "sourceRef", None, 3, 3), (4, "sourceRef", None, 3, 3)]
+
+
+def test_canonical_styles(spark):
+    props = F.create_map(*[F.lit(x) for x in ("align", "both", "marginLeftPx", "20", "textIndentPx", "-5", "textColor", "#FF0000", "bold", "true", "fontSizePx", "16", "lineHeight", "")])
+    df = spark.range(1)
+    assert df.select(cascade.canonical_style(props)).first()[0] == {"align": "justify", "hyphenate": "true", "marginLeftPx": "20", "textIndentPx": "-5", "fontSizePx": "16", "color": "#FF0000"}
+    assert df.select(cascade.canonical_style(props, True, False)).first()[0] == {"align": "justify", "hyphenate": "false", "fontSizePx": "16", "color": "#FF0000"}
+    assert df.select(cascade.canonical_style(F.lit(None).cast("map<string,string>"))).first()[0] == {"align": "left", "hyphenate": "true"}
+
+
+def test_candidate_report_and_restore(spark, tmp_path):
+    folder = str(tmp_path)
+    first = sinks.save_candidate(spark.range(2), spark.range(1), folder)
+    assert first["backup"] is None and spark.read.parquet(first["candidate"]).count() == 2
+    sinks.save_journaled(spark.range(5), f"{folder}/book", datetime(2024, 1, 1))
+    again = sinks.save_candidate(spark.range(3), spark.range(2), folder)
+    assert [spark.read.parquet(again[k]).count() for k in ("candidate", "backup")] == [3, 5] and spark.read.json(again["report"]).count() == 2
+    assert spark.read.parquet(f"{folder}/book").count() == 5
+    with pytest.raises(ValueError, match="errors"):
+        sinks.save_candidate(spark.range(9), spark.range(1), folder, validate=lambda df: df.selectExpr("'error' AS severity"))
+    kept = sinks.restore(spark, again["candidate"], f"{folder}/book", datetime(2024, 1, 2))
+    assert spark.read.parquet(f"{folder}/book").count() == 3 and spark.read.parquet(kept).count() == 5 and spark.read.parquet(again["candidate"]).count() == 3
+
+
+def test_local_scenes(spark):
+    rows = [(1, "scene", " http://H:80/a "), (1, "scene", "http://h:80/a"), (1, "scene", "https://x/a"), (1, "figure", "http://h:80/f"), (2, "scene", None)]
+    got = audit.local_scenes(spark.createDataFrame(rows, "book int, type string, src string"), ["book"], "http://h:80")
+    assert sorted(map(tuple, got.collect())) == [(1, "http://H:80/a"), (1, "http://h:80/a")]
+
+
+def test_scene_lookup_in_print_expansion(spark):
+    """Scenes after, right before and long before their callout, on another page, named twice, and a callout that is a scene itself."""
+    rows = [
+        (1, 0, 0, "early", None, 0), (1, 0, 1, "x", None, 0), (1, 0, 2, "c1", "early", 2), (1, 0, 3, "s", None, 0), (1, 0, 4, "c2", "s", 1), (1, 0, 5, "c3", "late", 1), (1, 0, 6, "late", None, 0),
+        (1, 1, 0, "c4", "early", 1), (1, 1, 1, "late2", None, 0), (1, 1, 2, None, None, 0), (1, 1, 3, "c5", "gone", 1), (1, 1, 4, "c6", "c5", 1), (1, 1, 5, "c7", None, 1),
+    ]
+    df = spark.createDataFrame(rows, "b int, p int, o int, id string, scene_id string, n int").selectExpr("b", "p", "o", "id", "scene_id", "CASE WHEN n > 0 THEN sequence(1, n) END AS steps")
+    got = [(r.p, r.o, r.id, r.step_ord, r.part) for r in sequence.expand_print(df, ["b"], "p", "o").orderBy("p", "o").collect()]
+    assert got == [
+        (0, 0, "early", None, 0), (0, 1, "x", None, 0), (0, 2, "c1", 0, 0), (0, 3, "early", 0, 1), (0, 4, "c1", 1, 0), (0, 5, "early", 1, 1), (0, 6, "c2", 0, 0), (0, 7, "s", 0, 1), (0, 8, "c3", 0, 0), (0, 9, "late", 0, 1),
+        (1, 0, "c4", 0, 0), (1, 1, "early", 0, 1), (1, 2, "late2", None, 0), (1, 3, None, None, 0), (1, 4, "c6", 0, 0), (1, 5, "c5", 0, 1), (1, 6, "c7", None, 0),
+    ]
