@@ -221,4 +221,5 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` encoded and decoded again; see round_trip() for null, empty and very long texts."""
     return round_trip(table(spark, sf_dir, "documents"), *vocabulary())

@@ -128,6 +128,7 @@ def proximity(forward: DataFrame, phrases: DataFrame, within: int = 20) -> DataF
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` against the windows of all `benchmark` items; see contamination() for null, empty and repeated rows."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
 

@@ -28,4 +28,5 @@ def near_documents(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among the whole `documents` by shingles of two words, as the contract of this query has it; see near_documents() for odd rows."""
     return near_documents(table(spark, sf_dir, "documents"), size=2).drop("h")

@@ -234,4 +234,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every whole text of `documents`, learnt from `labels`; see classify(), fit() and score() for null, empty and repeated rows."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -528,4 +528,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Tru
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text of `documents` that a 100-byte string covers which also starts earlier; see remove_repeats() for null, empty and repeated rows."""
     return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)

@@ -210,6 +210,7 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `pages` written to archives in the shared folder and read back; see round_trip() for null and repeated rows."""
     back = round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
