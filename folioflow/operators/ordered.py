@@ -171,3 +171,22 @@ def positions(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
     begun = rows.sparkSession.createDataFrame(begins, "_part int, _begun long")
     own = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     return own.join(F.broadcast(begun), "_part").withColumn(out, F.col("_begun") + F.col("_n")).drop("_part", "_begun", "_n")
+
+
+def leading_run(rows: DataFrame, keys: list[str], order: str, flag: Column, out: str = "leading") -> DataFrame:
+    """(keys, out) how many rows of each key stand before the first whose flag does not hold, such as the header rows of a table; order counts from 1 without gaps."""
+    return rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(~F.coalesce(flag, F.lit(False)), F.col(order))) - 1, F.max(order)).alias(out))
+
+
+def list_formats(paragraphs: DataFrame, nums: DataFrame, levels: DataFrame, overrides: DataFrame, num: str = "num_id", level: str = "level") -> DataFrame:
+    """Paragraphs with the format and the start of their list level: numbering instance, its definition's level, its own override.
+
+    nums: (num_id, abstract_id); levels: (abstract_id, level, num_fmt, start); overrides: (num_id, level, start). An instance without
+    a definition, or a definition without the level, is decimal from 1; an override's start comes first. Paragraphs outside lists (null num_id)
+    stay, with nulls. Definitions are put together before paragraphs meet them, in one join on (num_id, level).
+    """
+    own = nums.join(levels, "abstract_id").select(num, level, "num_fmt", "start")
+    said = own.join(overrides.select(num, level, F.col("start").alias("_over")), [num, level], "full").select(num, level, "num_fmt", F.coalesce("_over", "start").alias("start"))
+    met = paragraphs.join(said, [num, level], "left")
+    listed = F.col(num).isNotNull()
+    return met.withColumn("num_fmt", F.when(listed, F.coalesce("num_fmt", F.lit("decimal")))).withColumn("start", F.when(listed, F.coalesce("start", F.lit(1))))

@@ -85,3 +85,9 @@ def nested_list_html(rows: DataFrame, keys: list[str], order: str, level: str, t
     lines = rows.select(*keys, order, line.alias("_h"))
     parts = F.array_sort(F.collect_list(F.struct(order, "_h")))
     return lines.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["_h"]), "").alias("html"))
+
+
+def widest_row(cells: DataFrame, table: list[str], row: list[str], span: str, out: str = "columns") -> DataFrame:
+    """(table, out) of tables whose cells span columns: the columns of the widest row; a span that is missing or less is one."""
+    own = F.sum(F.greatest(F.lit(1), F.coalesce(span, F.lit(1))))
+    return cells.groupBy(*table, *row).agg(own.alias("_w")).groupBy(*table).agg(F.max("_w").alias(out))

@@ -93,6 +93,13 @@ def last_match(rows: DataFrame, lookup: DataFrame, on: list[str], order: str) ->
     return _matched(rows, lookup, on, lambda row: F.max_by(row, F.struct(order)))
 
 
+def with_default(rows: DataFrame, registry: DataFrame, on: str, key: str, out: str) -> DataFrame:
+    """rows with the registry entry that column `on` names as `out`, else the registry's first key; null in an empty registry. One key goes through the driver."""
+    first = registry.agg(F.min(key).alias("_k")).first()["_k"]
+    known = registry.select(F.col(key).alias("_key")).distinct()
+    return rows.join(known, F.col(on) == F.col("_key"), "left").withColumn(out, F.coalesce("_key", F.lit(first))).drop("_key")
+
+
 def spread_join(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """rows left-joined with found, one row for each key of rows; no task gets all rows of a key that many have.
 

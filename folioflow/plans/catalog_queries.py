@@ -388,14 +388,15 @@ def import_metrics(spark, sf_dir):
 
 @register("row_width", "SELECT o_custkey, max(w) AS columns FROM (SELECT o_custkey, o_orderkey, sum(l_linenumber) AS w FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY 1")
 def row_width(spark, sf_dir):
-    per_row = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_linenumber").alias("w"))
-    return per_row.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("o_custkey").agg(F.max("w").alias("columns"))
+    """A customer's line items as the cells of a table, an order a row; line numbers are spans."""
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    cells = cells.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return reports.widest_row(cells, ["o_custkey"], ["o_orderkey"], "l_linenumber")
 
 
 @register("header_run", f"WITH {ITEMS} SELECT l_orderkey, coalesce(min(CASE WHEN l_returnflag <> 'N' THEN ord END) - 1, max(ord)) AS header_rows FROM items GROUP BY 1")
 def header_run(spark, sf_dir):
-    first = F.min(F.when(F.col("l_returnflag") != "N", F.col("ord"))) - 1
-    return items(spark, sf_dir).groupBy("l_orderkey").agg(F.coalesce(first, F.max("ord")).alias("header_rows"))
+    return ordered.leading_run(items(spark, sf_dir), ["l_orderkey"], "ord", F.col("l_returnflag") == "N", "header_rows")
 
 
 @register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import mathexpr, richtext
 from folioflow.functions import text as X
-from folioflow.operators import identity, paginate, sequence, setops
+from folioflow.operators import identity, paginate, reflow, sequence, setops
 from folioflow.plans.catalog_queries import ITEMS, LINES, doc_lines, items
 from folioflow.plans.registry import register
 from folioflow.session import table
@@ -117,9 +117,7 @@ def lab_lookup_first(spark, sf_dir):
 )
 def registry_default(spark, sf_dir):
     labs = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    first = labs.agg(F.min("c_custkey").alias("k")).first()["k"]
-    met = table(spark, sf_dir, "events").select("event_id", "user_id").join(labs, F.col("user_id") == F.col("c_custkey"), "left")
-    return met.select("event_id", F.coalesce("c_custkey", F.lit(first)).alias("customer"))
+    return setops.with_default(table(spark, sf_dir, "events").select("event_id", "user_id"), labs, "user_id", "c_custkey", "customer").drop("user_id")
 
 
 @register(
@@ -255,8 +253,10 @@ def locate_items(spark, sf_dir):
 
 @register("flow_coalesce", f"WITH {ITEMS} SELECT l_orderkey, l_returnflag = 'A' AS toc, row_number() OVER (PARTITION BY l_orderkey, l_returnflag = 'A' ORDER BY ord) - 1 AS new_ord, ord FROM items")
 def flow_coalesce(spark, sf_dir):
-    rows = items(spark, sf_dir).select("l_orderkey", (F.col("l_returnflag") == "A").alias("toc"), "ord")
-    return rows.withColumn("new_ord", F.row_number().over(W.partitionBy("l_orderkey", "toc").orderBy("ord")) - 1)
+    """Every line item is a page of its own; those flagged are contents."""
+    rows = items(spark, sf_dir).select("l_orderkey", "ord", (F.col("l_returnflag") == "A").alias("flag"))
+    flow = reflow.coalesced(rows.withColumn("page", F.col("ord")), ["l_orderkey"], "page", "ord", F.col("flag"))
+    return flow.select("l_orderkey", (F.col("section") == reflow.CONTENTS).alias("toc"), F.col("place").alias("new_ord"), "ord")
 
 
 @register("union_keys", "SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders")
@@ -455,13 +455,22 @@ def style_inherit(spark, sf_dir):
     return inherited_styles(table(spark, sf_dir, "part"))
 
 
+#: Ids of line items, of which two in three look like what a repeat would be called.
+PROBED_ID = "concat('i', l_returnflag, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '-2' ELSE '-3' END)"
+
+
 @register(
     "unique_ids",
-    f"""WITH {ITEMS}, n AS (SELECT l_orderkey, ord, 'i' || l_returnflag AS base, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY ord) AS n FROM items)
-       SELECT l_orderkey, ord, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS unique_id FROM n""",
+    f"""WITH RECURSIVE {ITEMS}, b AS (SELECT l_orderkey, ord, {PROBED_ID} AS base FROM items),
+       r AS (SELECT l_orderkey, CAST(0 AS BIGINT) AS ord, '' AS unique_id, CAST([] AS VARCHAR[]) AS used FROM b WHERE ord = 1
+         UNION ALL SELECT l_orderkey, ord, name, list_append(used, name)
+         FROM (SELECT b.l_orderkey, b.ord, r.used, list_filter(list_prepend(b.base, list_transform(range(2, 100), lambda k: b.base || '-' || k)), lambda c: NOT list_contains(r.used, c))[1] AS name
+               FROM r JOIN b ON b.l_orderkey = r.l_orderkey AND b.ord = r.ord + 1))
+       SELECT l_orderkey, ord, unique_id FROM r WHERE ord > 0""",
 )
 def unique_ids(spark, sf_dir):
-    rows = items(spark, sf_dir).select("l_orderkey", "ord", F.concat(F.lit("i"), F.col("l_returnflag")).alias("id"))
+    """Ids made unique by probing: a literal 'x-2' that stands earlier is respected, one that stands later is renamed."""
+    rows = items(spark, sf_dir).select("l_orderkey", "ord", F.expr(PROBED_ID).alias("id"))
     return identity.ensure_unique(rows, ["l_orderkey"], ["ord"], "id").drop("id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import jsonpath as J
-from folioflow.operators import cascade, extent, history, insertion, provenance, reflow, repair, reports
+from folioflow.operators import cascade, extent, history, insertion, ordered, provenance, reflow, repair, reports
 from folioflow.plans.catalog_queries import ITEMS, LINES, doc_lines, items
 from folioflow.plans.registry import register
 from folioflow.session import table
@@ -347,3 +347,23 @@ def import_evidence(spark, sf_dir):
     done = docs.select(F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias("insertion_id"), F.upper("source").alias("source_file"), F.lit("0").alias("start_key"), last.cast("string").alias("end_key"))
     known = rows.groupBy("line").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("line")
     return insertion.import_evidence(rows, done, known, ["doc_id"], "ord", "key", "file", ["line"])
+
+
+@register(
+    "list_formats",
+    f"""WITH {ITEMS}, l AS (SELECT n_nationkey AS abstract_id, v AS level, CASE (n_nationkey + v) % 3 WHEN 0 THEN 'lowerLetter' WHEN 1 THEN 'bullet' ELSE 'decimal' END AS num_fmt, 1 + (n_nationkey + v) % 4 AS start FROM nation, range(2) r(v)),
+       o AS (SELECT s_suppkey AS num_id, 0 AS level, 10 + s_suppkey % 7 AS start FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 2, 5 FROM supplier WHERE s_suppkey % 9 = 0),
+       p AS (SELECT l_orderkey, ord, CASE WHEN l_returnflag <> 'N' THEN l_suppkey END AS num_id, l_linenumber % 3 AS level FROM items)
+       SELECT l_orderkey, ord, p.num_id, p.level, CASE WHEN p.num_id IS NOT NULL THEN coalesce(l.num_fmt, 'decimal') END AS num_fmt, CASE WHEN p.num_id IS NOT NULL THEN coalesce(o.start, l.start, 1) END AS start
+       FROM p LEFT JOIN supplier ON s_suppkey = p.num_id AND s_suppkey % 5 <> 0 LEFT JOIN l ON l.abstract_id = s_nationkey AND l.level = p.level LEFT JOIN o ON o.num_id = p.num_id AND o.level = p.level""",
+)
+def list_formats(spark, sf_dir):
+    """Line items as list paragraphs: suppliers are numbering instances, every fifth without a definition; nations define two of three levels."""
+    nation, supplier, k = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), F.col("n_nationkey") + F.col("level")
+    levels = nation.select("n_nationkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("level"))
+    levels = levels.select(F.col("n_nationkey").cast("long").alias("abstract_id"), "level", F.when(k % 3 == 0, "lowerLetter").when(k % 3 == 1, "bullet").otherwise("decimal").alias("num_fmt"), (1 + k % 4).cast("long").alias("start"))
+    nums = supplier.where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("num_id"), F.col("s_nationkey").cast("long").alias("abstract_id"))
+    first = supplier.where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("num_id"), F.lit(0).alias("level"), (10 + F.col("s_suppkey") % 7).alias("start"))
+    third = supplier.where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("num_id"), F.lit(2).alias("level"), F.lit(5).cast("long").alias("start"))
+    rows = items(spark, sf_dir).select("l_orderkey", "ord", F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("num_id"), (F.col("l_linenumber") % 3).alias("level"))
+    return ordered.list_formats(rows, nums, levels, first.unionByName(third))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import jsonpath as J
-from folioflow.operators import audit, cascade, catalog, extent, history, insertion, provenance, reflow, repair, reports, sequence, setops
+from folioflow.operators import audit, cascade, catalog, extent, history, insertion, ordered, provenance, reflow, repair, reports, sequence, setops
 from folioflow.operators.fold import fold_sorted
 from folioflow.operators.paginate import greedy
 from folioflow.sources import listing, sinks
@@ -432,3 +432,20 @@ def test_scene_lookup_in_print_expansion(spark):
         (0, 0, "early", None, 0), (0, 1, "x", None, 0), (0, 2, "c1", 0, 0), (0, 3, "early", 0, 1), (0, 4, "c1", 1, 0), (0, 5, "early", 1, 1), (0, 6, "c2", 0, 0), (0, 7, "s", 0, 1), (0, 8, "c3", 0, 0), (0, 9, "late", 0, 1),
         (1, 0, "c4", 0, 0), (1, 1, "early", 0, 1), (1, 2, "late2", None, 0), (1, 3, None, None, 0), (1, 4, "c6", 0, 0), (1, 5, "c5", 0, 1), (1, 6, "c7", None, 0),
     ]
+
+
+def test_list_formats_runs_widths_and_defaults(spark):
+    nums = spark.createDataFrame([(1, 10), (2, 10), (3, 99)], "num_id int, abstract_id int")
+    levels = spark.createDataFrame([(10, 0, "lowerLetter", 4), (10, 1, "bullet", None)], "abstract_id int, level int, num_fmt string, start int")
+    overrides = spark.createDataFrame([(2, 0, 7), (9, 0, 3)], "num_id int, level int, start int")
+    rows = spark.createDataFrame([(n, num, level) for n, (num, level) in enumerate([(1, 0), (2, 0), (2, 1), (3, 0), (9, 0), (None, 0), (1, 5)])], "n int, num_id int, level int")
+    got = sorted((r.n, r.num_fmt, r.start) for r in ordered.list_formats(rows, nums, levels, overrides).collect())
+    assert got == [(0, "lowerLetter", 4), (1, "lowerLetter", 7), (2, "bullet", 1), (3, "decimal", 1), (4, "decimal", 3), (5, None, None), (6, "decimal", 1)]
+    flags = spark.createDataFrame([(1, 1, True), (1, 2, True), (1, 3, None), (1, 4, True), (2, 1, True), (3, 1, False)], "t int, o int, f boolean")
+    assert sorted(map(tuple, ordered.leading_run(flags, ["t"], "o", F.col("f")).collect())) == [(1, 2), (2, 1), (3, 0)]
+    cells = spark.createDataFrame([(1, 1, 2), (1, 1, None), (1, 2, 0), (2, 1, 5)], "t int, r int, s int")
+    assert sorted(map(tuple, reports.widest_row(cells, ["t"], ["r"], "s").collect())) == [(1, 3), (2, 5)]
+    labs = spark.createDataFrame([("b",), ("a",), ("b",)], "k string")
+    asked = spark.createDataFrame([("b",), ("z",), (None,)], "x string")
+    assert sorted(((r.x, r.y) for r in setops.with_default(asked, labs, "x", "k", "y").collect()), key=str) == [("b", "b"), ("z", "a"), (None, "a")]
+    assert [r.y for r in setops.with_default(asked, labs.limit(0), "x", "k", "y").collect()] == [None] * 3
