@@ -104,11 +104,11 @@ def spread_join(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     """rows left-joined with found, one row for each key of rows; no task gets all rows of a key that many have.
 
     Keys that more than a thousandth of rows have are at most a thousand; they are broadcast, the others are shuffled.
-    Null keys find nothing.
+    The keys with what they find are checkpointed, so they are counted once. Null keys find nothing.
     """
     rest = [c for c in found.columns if c not in on]
-    counts = rows.groupBy(*on).agg(F.count("*").alias("_n")).join(found, on, "left")
-    total = rows.count()
+    counts = checkpointed(rows.groupBy(*on).agg(F.count("*").alias("_n")).join(found, on, "left"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = F.col("_n") * 1000 > max(total, 1_000_000)
     heavy = F.broadcast(counts.where(hot).select(*on, *rest))
     light = counts.where(~hot).select(*on, *rest)
