@@ -11,7 +11,11 @@ from folioflow.session import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.3 or more), learnt from the labels of these documents."""
+    """Documents that the quality classifier accepts (score of 0.3 or more), learnt from the labels of these documents.
+
+    Null and empty texts are scored like any other, by statistics that are then zero, and very long ones whole. Every row is judged by its own
+    text; rows without doc_id are not learnt from. Without labels every document scores 0.5 and stays; no documents, no rows.
+    """
     stats = quality.statistics_table(docs)
     model = quality.fit(stats, table(spark, sf_dir, "labels"))
     dropped(stats)
@@ -34,17 +38,24 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Five words are what every stage on word shingles takes; op6's two words are the contract of that query alone.
     Texts that repeat a doc_id are judged each for itself; a row without doc_id goes when it is a copy of one with.
+    Null and empty texts link with nothing and stay; very long ones are compared whole; no documents, no rows.
     """
     return without(docs, neardup.near_documents(docs, size=5).where(~F.col("kept")))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of ten words of a benchmark item occurs; every row is judged by its own text."""
+    """Documents in which no window of ten words of a benchmark item occurs; every row is judged by its own text.
+
+    Null and empty texts have no words and stay; very long ones are read whole. No items, nothing goes; no documents, no rows.
+    """
     return without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): the byte-level BPE ids of every text, and the digest of what they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256): the byte-level BPE ids of every text, and the digest of what they decode to.
+
+    Null texts are empty: no ids, the digest of nothing. Repeated rows each give one; very long texts are encoded whole.
+    """
     ranks, pattern = bpe.vocabulary()
     ids = written(bpe.encode(docs, ranks, pattern), "ids")
     back = bpe.decoded_digests(ids, ranks, pattern)
