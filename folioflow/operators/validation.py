@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.model import ITEM_TYPES
 from folioflow.operators.paginate import PROSE
-from folioflow.session import checkpointed
+from folioflow.session import stored
 
 SCHEMA_VERSION = "bookwriter-v4"
 SCHEMAS = (SCHEMA_VERSION, "pages-v1")
@@ -35,7 +35,16 @@ KINDS = {"object": "OBJ", "array": "ARR", "string": "STR", "boolean": "BOO", "nu
 
 
 def is_kind(v: Column, path: str, *kinds: str) -> Column:
-    """Whether the value at a path is an 'object', 'array', 'string', 'boolean', 'number', 'null', or 'missing'."""
+    """Whether the value at a path is an 'object', 'array', 'string', 'boolean', 'number', 'null', or 'missing'.
+
+    Kinds that a cast tells are not asked by schema, which would be derived from everything that stands below the path.
+    """
+    tests = {
+        "object": lambda: F.try_variant_get(v, path, "map<string,variant>").isNotNull(), "array": lambda: F.try_variant_get(v, path, "array<variant>").isNotNull(),
+        "missing": lambda: F.variant_get(v, path, "variant").isNull(),
+    }
+    if all(k in tests for k in kinds):
+        return reduce(Column.__or__, [tests[k]() for k in kinds])
     begin = F.coalesce(F.left(F.schema_of_variant(F.variant_get(v, path, "variant")), F.lit(3)), F.lit("non"))
     if "number" in kinds:
         return ~begin.isin(*[code for name, code in KINDS.items() if name not in kinds])
@@ -47,6 +56,18 @@ def text(v: Column, path: str) -> Column:
     return F.when(is_kind(v, path, "string"), F.try_variant_get(v, path, "string"))
 
 
+def loose(v: Column, path: str) -> Column:
+    """What stands at a path as text, numbers and booleans too; null for null, objects and arrays."""
+    return F.when(is_kind(v, path, "string", "number", "boolean"), F.try_variant_get(v, path, "string"))
+
+
+def scalars(v: Column, path: str) -> Column:
+    """The fields of the object at a path that are texts, numbers or booleans, as a map to texts: loose() of every field there is, in one go. Empty where there is no object."""
+    fields = F.map_entries(F.coalesce(F.try_variant_get(v, path, "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    said = F.transform(fields, lambda e: F.struct(e["key"].alias("key"), loose(e["value"], "$").alias("value")))
+    return F.map_from_entries(said)
+
+
 def blank(path: str) -> Test:
     return lambda v: F.coalesce(F.trim(text(v, path)), F.lit("")) == ""
 
@@ -169,8 +190,8 @@ def page_elements(pages: DataFrame, keys: list[str], page: str = "page", json: s
     """
     read = pages.select(*keys, F.col(page).cast("int").alias("page"), F.try_parse_json(json).alias("_v"))
     numbered = F.transform(array_at(F.col("_v"), "$.items"), lambda v, k: F.struct(k.cast("int").alias("item"), v.alias("value")))
-    # The page itself stands among its items, as number -1.
-    rows = read.select(*keys, "page", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("item"), F.col("_v").alias("value"))), numbered)).alias("_e")).select(*keys, "page", "_e.*")
+    # The page itself stands among its items, as number -1. No array is empty here; the outer form keeps Spark from making each twice, once to filter by its size.
+    rows = read.select(*keys, "page", F.explode_outer(F.concat(F.array(F.struct(F.lit(-1).alias("item"), F.col("_v").alias("value"))), numbered)).alias("_e")).select(*keys, "page", "_e.*")
     v, is_item = F.col("value"), F.col("item") >= 0
     at = F.concat(F.lit("pages["), F.col("page").cast("string"), F.lit("]"))
     rows = rows.withColumn("path", F.when(is_item, F.concat(at, F.lit(".items["), F.col("item").cast("string"), F.lit("]"))).otherwise(at))
@@ -186,7 +207,7 @@ def page_elements(pages: DataFrame, keys: list[str], page: str = "page", json: s
     named = lambda level, found: F.transform(found, lambda e: F.struct(F.lit(level).alias("level"), e["path"].alias("path"), e["value"].alias("value")))
     own = F.array(F.struct(F.when(is_item, "item").otherwise("page").alias("level"), F.col("path"), v.alias("value")))
     every = F.concat(own, *[named("node", F.col(f"_n{d}")) for d in range(DEPTH + 1)], named("deep", F.col(f"_n{DEPTH}")))
-    return rows.select(*keys, "page", "item", F.explode(every).alias("_e")).select(*keys, "page", "_e.level", "_e.path", "item", "_e.value")
+    return rows.select(*keys, "page", "item", F.explode_outer(every).alias("_e")).select(*keys, "page", "_e.level", "_e.path", "item", "_e.value")
 
 
 def head_elements(heads: DataFrame, keys: list[str], json: str = "json") -> DataFrame:
@@ -219,6 +240,8 @@ def facts(elements: DataFrame, keys: list[str]) -> DataFrame:
     groups = F.transform(array_at(v, "$.nav.groups"), lambda g, i: F.concat(F.array(aim(F.concat(F.lit("nav.groups["), i.cast("string")), g)), F.transform(array_at(g, "$.entries"), lambda e, j: aim(F.concat(F.lit("nav.groups["), i.cast("string"), F.lit("].entries["), j.cast("string")), e))))
     targets = F.when((level == "node") & (F.col("_type") == "link"), link).when(level == "book", F.flatten(groups))
     found = typed.select(*keys, "page", "item", "level", "path", F.when(level.isin("page", "item"), text(v, "$.id")).alias("id"), targets.alias("targets"), failed.alias("failed"))
+    # Through an array of one, below which Spark cannot move the filter: it would run every rule twice.
+    found = found.withColumn("failed", F.explode_outer(F.array("failed")))
     return found.where(level.isin("book", "page", "item") | (F.col("failed") != "") | (F.coalesce(F.size("targets"), F.lit(0)) > 0))
 
 
@@ -266,11 +289,11 @@ def validate(heads: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """All messages about books: (keys, page, item, severity, path, code); ordinals are -1 where a message is not about a page or an item.
 
     heads: (keys, json) of a book without its pages, pages: (keys, page, json); split_books() makes both out of whole books.
-    The documents are read once: what that finds is checkpointed without them, and messages are drawn from it.
+    The documents are read once: what that finds is stored without them, and messages are drawn from it.
     A book, page or item that is no JSON object has the message that says so and those of a lack of everything.
     Equal messages of repeated rows stay. Keys of null are a book of their own, but link to nothing. Empty tables give no message.
     """
-    found = checkpointed(facts(head_elements(heads, keys).unionByName(page_elements(pages, keys)), keys))
+    found = stored(facts(head_elements(heads, keys).unionByName(page_elements(pages, keys)), keys))
     return reduce(DataFrame.unionByName, [f(found, keys) for f in (rule_messages, id_messages, reference_messages, page_count_messages)])
 
 
