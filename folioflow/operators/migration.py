@@ -16,7 +16,8 @@ from folioflow.functions.text import html_text, normalize_id, slugify
 from folioflow.model import ITEM_TYPES, NAV_DEFAULT_TYPES
 from folioflow.operators.identity import ensure_unique
 from folioflow.operators.paginate import PROSE
-from folioflow.operators.validation import RICH_TEXT, SCHEMA_VERSION, array_at, is_kind, text
+from folioflow.operators.validation import RICH_TEXT, SCHEMA_VERSION, array_at, is_kind, loose, scalars, text
+from folioflow.session import stored
 
 MEDIA = ("figure", "scene")
 
@@ -57,11 +58,6 @@ TEXTS = {
 WHOLE = {"rows": ("table", "dialogue"), "items": ("list",), "columns": ("table",), "ordered": ("list",), "start": ("list",), "sequenceSteps": ("interactive_callout",), "style": tuple(ITEM_TYPES), "sourceRef": tuple(ITEM_TYPES), "provenance": tuple(ITEM_TYPES), "extensions": tuple(ITEM_TYPES)}
 
 
-def loose(v: Column, path: str) -> Column:
-    """What stands at a path as text, numbers and booleans too; null for null, objects and arrays."""
-    return F.when(is_kind(v, path, "string", "number", "boolean"), F.try_variant_get(v, path, "string"))
-
-
 def migrated_items(items: DataFrame, value: str = "value") -> DataFrame:
     """Adds item (struct of the current schema, without an id that is unique yet) and rules (names of those applied) to rows of legacy items (variants).
 
@@ -70,13 +66,21 @@ def migrated_items(items: DataFrame, value: str = "value") -> DataFrame:
     Keys that end in _en are dropped. Values that are no objects, and null, become empty paragraphs.
     """
     v = F.col(value)
-    # What is read of an item, once; the rules then look at columns.
-    read = {"_type": text(v, "$.type"), "_id": F.coalesce(loose(v, "$.id"), F.lit("")), "_html": text(v, "$.html"), "_keys": F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))}
-    read["_rich"] = is_kind(v, "$.body", "object") & F.coalesce(text(v, "$.body.format") == RICH_TEXT, F.lit(False)) & is_kind(v, "$.body.nodes", "array")
-    for n, m in enumerate(MOVES):
-        read |= {f"_new{n}": loose(v, f"$.{m.to}"), f"_old{n}": F.coalesce(*[loose(v, f"$.{p}") for p in m.legacy])}
+    # What is read of an item, once: the scalars that it and two of its objects hold. The rules then look fields up by name.
     own = items.columns
-    items = items.withColumns(read)
+    parts = {"_own": scalars(v, "$"), "_layout": scalars(v, "$.layout"), "_nav": scalars(v, "$.nav")}
+    read = {"_type": text(v, "$.type"), "_html": text(v, "$.html"), "_keys": F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))}
+    read["_rich"] = F.coalesce(text(v, "$.body.format") == RICH_TEXT, F.lit(False)) & is_kind(v, "$.body.nodes", "array")
+    items = items.withColumns(parts | read)
+
+    def held(path: str) -> Column:
+        *above, name = path.split(".")
+        return F.try_element_at(F.col(f"_{above[0]}" if above else "_own"), F.lit(name))
+
+    moved = {"_id": F.coalesce(held("id"), F.lit(""))}
+    for n, m in enumerate(MOVES):
+        moved |= {f"_new{n}": held(m.to), f"_old{n}": F.coalesce(*[held(p) for p in m.legacy])}
+    items = items.withColumns(moved)
     raw_type, given_id, rich = F.col("_type"), F.col("_id"), F.col("_rich")
     known = F.coalesce(raw_type.isin(*ITEM_TYPES), F.lit(False))
     type_ = F.when(known, raw_type).otherwise("paragraph")
@@ -101,12 +105,12 @@ def migrated_items(items: DataFrame, value: str = "value") -> DataFrame:
         normalize_id(given_id).alias("id"), type_.alias("type"),
         F.struct(F.coalesce(at["nav.show"].try_cast("boolean"), type_.isin(*NAV_DEFAULT_TYPES)).alias("show"), F.coalesce(at["nav.label"], F.lit("")).alias("label")).alias("nav"),
         F.struct(shown("screen").alias("screen"), shown("print").alias("print")).alias("visibility"),
-        *[F.when(type_.isin(*types), loose(v, f"$.{name}")).alias(name) for name, types in TEXTS.items()],
-        F.when(media, F.coalesce(F.when(type_ == "scene", at["src"]).otherwise(loose(v, "$.src")), F.lit(""))).alias("src"),
+        *[F.when(type_.isin(*types), held(name)).alias(name) for name, types in TEXTS.items()],
+        F.when(media, F.coalesce(F.when(type_ == "scene", at["src"]).otherwise(held("src")), F.lit(""))).alias("src"),
         F.when(type_ == "section_heading", F.coalesce(F.when(level != 0, level), F.lit(2.0)).cast("int")).alias("level"),
         F.when(laid, layout).alias("layout"), body.alias("body"),
         F.when(prose, F.coalesce(text(v, "$.legacySourceHtml"), F.col("_html"))).alias("legacySourceHtml"),
-        *[F.when(type_.isin(*types) & ~is_kind(v, f"$.{name}", "missing"), F.variant_get(v, f"$.{name}", "variant")).alias(name) for name, types in WHOLE.items()],
+        *[F.when(type_.isin(*types), F.variant_get(v, f"$.{name}", "variant")).alias(name) for name, types in WHOLE.items()],
     ]
     english = F.filter("_keys", lambda k: k.endswith("_en"))
     applied = {m.name: type_.isin(*m.types) & F.col(f"_new{n}").isNull() & F.col(f"_old{n}").isNotNull() for n, m in enumerate(MOVES)}
@@ -120,18 +124,23 @@ def migrated_items(items: DataFrame, value: str = "value") -> DataFrame:
 def exploded(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:
     """(keys, page, item_ord, value) of the items of legacy pages."""
     read = pages.select(*keys, F.col(page).cast("int").alias("page"), array_at(F.try_parse_json(json), "$.items").alias("_items"))
-    return read.select(*keys, "page", F.posexplode("_items").alias("item_ord", "value"))
+    # The outer form, filtered behind: for the inner one Spark filters by the size of the array, and so reads every page's JSON twice.
+    return read.select(*keys, "page", F.posexplode_outer("_items").alias("item_ord", "value")).where("item_ord IS NOT NULL")
 
 
-def page_heads(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:
-    """(keys, page, id, sourcePage, header, footer, pageNumbering, visibility) of legacy pages: headers and footers no longer inherit."""
-    v = F.col("_v")
-    read = pages.select(*keys, F.col(page).cast("int").alias("page"), F.try_parse_json(json).alias("_v"))
+def _head(v: Column, page: Column) -> list[Column]:
+    """What a legacy page keeps besides its items: headers and footers no longer inherit."""
     three = lambda side: F.struct(F.coalesce(F.try_variant_get(v, f"$.{side}.inherit", "boolean"), F.lit(False)).alias("inherit"), *[F.coalesce(loose(v, f"$.{side}.{c}"), F.lit("")).alias(c) for c in ("left", "center", "right")]).alias(side)
     number = F.struct(F.lit(True).alias("inherit"), F.lit(True).alias("enabled"), F.lit(0).alias("offset"), F.lit(False).alias("hide")).alias("pageNumbering")
     source = F.coalesce(*[loose(v, f"$.{c}") for c in ("sourcePage", "sourceDocxPage", "pdfPage")]).try_cast("int").alias("sourcePage")
-    id_ = F.coalesce(F.when(loose(v, "$.id") != "", normalize_id(loose(v, "$.id"))), F.concat(F.lit("page-"), (F.col("page") + 1).cast("string"))).alias("id")
-    return read.select(*keys, "page", id_, source, three("header"), three("footer"), number, F.struct(F.lit(True).alias("screen"), F.lit(True).alias("print")).alias("visibility"))
+    id_ = F.coalesce(F.when(loose(v, "$.id") != "", normalize_id(loose(v, "$.id"))), F.concat(F.lit("page-"), (page + 1).cast("string"))).alias("id")
+    return [id_, source, three("header"), three("footer"), number, F.struct(F.lit(True).alias("screen"), F.lit(True).alias("print")).alias("visibility")]
+
+
+def page_heads(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:
+    """(keys, page, id, sourcePage, header, footer, pageNumbering, visibility) of legacy pages: headers and footers no longer inherit."""
+    read = pages.select(*keys, F.col(page).cast("int").alias("page"), F.try_parse_json(json).alias("_v"))
+    return read.select(*keys, "page", *_head(F.col("_v"), F.col("page")))
 
 
 def summary(item: Column) -> Column:
@@ -140,38 +149,58 @@ def summary(item: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (item["title"], item["nav"]["label"], item["label"], item["caption"], said, item["src"], item["type"])], F.lit(""))
 
 
+def _opening(id_: Column) -> Column:
+    """JSON of an object that begins with an id, up to where its other fields follow."""
+    made = F.to_json(F.struct(id_.alias("id")))
+    return F.left(made, F.length(made) - 1)
+
+
+def _following(json: Column) -> Column:
+    """The fields of a JSON object that is not empty, and its end, to stand behind _opening()."""
+    return F.concat(F.lit(","), F.substring(json, F.lit(2), F.length(json)))
+
+
 def migrate(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:
     """(keys, page, json, rules, dropped, assigned) of legacy pages: JSON of the current schema with ids that are unique in each book.
 
     rules: the names of the rules applied to the page's items, one for each item and rule; dropped: keys of translations; assigned:
-    the number of ids that were made up or changed to be unique. Ids are probed in document order by a fold over each book's ids
-    alone; a page's items meet in one row, as they did before. Pages whose JSON cannot be read become empty ones.
+    the number of ids that were made up or changed to be unique. A page is read and rewritten once, in one place, and stored without
+    its ids; these are probed in document order by a fold over each book's ids alone. Pages whose JSON cannot be read become
+    empty ones; pages without a book or a number go.
     """
-    rows = migrated_items(exploded(pages, keys, page, json))
-    heads = page_heads(pages, keys, page, json)
-    named = rows.select(*keys, "page", "item_ord", F.col("item.id").alias("id"), slugify(summary(F.col("item")), 24).alias("slug"), F.col("item.type").alias("type"))
-    places = heads.select(*keys, "page", F.lit(-1).alias("item_ord"), "id", F.lit("").alias("slug"), F.lit("").alias("type"))
-    ids = places.unionByName(named).join(heads.select(*keys, "page", F.col("id").alias("page_id")), [*keys, "page"])
-    base = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws("-", "page_id", "type", "slug", (F.col("item_ord") + 1).cast("string")))
-    ids = ensure_unique(ids.select(*keys, "page", "item_ord", "id", base.alias("base")), keys, ["page", "item_ord"], "base")
-    ids = ids.select(*keys, "page", "item_ord", "unique_id", (F.col("unique_id") != F.col("id")).alias("changed"))
-    own = rows.join(ids, [*keys, "page", "item_ord"]).withColumn("item", F.col("item").withField("id", F.col("unique_id")))
-    parts = own.groupBy(*keys, "page").agg(
-        F.array_sort(F.collect_list(F.struct("item_ord", F.to_json("item").alias("json")))).alias("_items"), F.flatten(F.collect_list("rules")).alias("rules"),
-        F.flatten(F.collect_list("dropped")).alias("dropped"), F.count_if("changed").alias("assigned"),
+    given = pages.select(*keys, F.col(page).cast("int").alias("page"), F.col(json).alias("_json")).where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "page"]))
+    read = given.withColumn("_v", F.try_parse_json("_json"))
+    id_, *rest = _head(F.col("_v"), F.col("page"))
+    read = read.select(*keys, "page", id_.alias("page_id"), F.to_json(F.struct(*rest)).alias("_head"), array_at(F.col("_v"), "$.items").alias("_items"))
+    rows = migrated_items(read.select(*keys, "page", "page_id", "_head", F.posexplode_outer("_items").alias("item_ord", "value")))
+    flat = rows.select(*keys, "page", "page_id", "_head", "item_ord", F.col("item.id").alias("id"), F.col("item.type").alias("_type"), slugify(summary(F.col("item")), 24).alias("_slug"), F.to_json(F.col("item").dropFields("id")).alias("json"), "rules", "dropped")
+    # Moved before they are gathered: what an aggregate collects is not compiled, so it gets finished columns.
+    flat = flat.repartition(*keys, "page")
+    named = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws("-", "page_id", "_type", "_slug", (F.col("item_ord") + 1).cast("string")))
+    mine = lambda x: F.when(F.col("item_ord").isNotNull(), x)
+    whole = flat.groupBy(*keys, "page").agg(
+        F.first("page_id").alias("page_id"), F.first("_head").alias("_head"), F.array_sort(F.collect_list(mine(F.struct("item_ord", "id", named.alias("base"))))).alias("_ids"),
+        F.array_sort(F.collect_list(mine(F.struct("item_ord", "json")))).alias("_items"), F.flatten(F.collect_list(mine(F.col("rules")))).alias("rules"), F.flatten(F.collect_list(mine(F.col("dropped")))).alias("dropped"),
     )
-    top = heads.join(ids.where("item_ord = -1").select(*keys, "page", "unique_id", F.col("changed").cast("long").alias("_page_changed")), [*keys, "page"])
-    top = top.withColumn("id", F.col("unique_id")).join(parts, [*keys, "page"], "left")
-    head = F.to_json(F.struct("id", "sourcePage", "header", "footer", "pageNumbering", "visibility"))
-    items = F.array_join(F.transform(F.coalesce("_items", F.array().cast("array<struct<item_ord:int,json:string>>")), lambda i: i["json"]), ",")
-    whole = F.concat(F.left(head, F.length(head) - 1), F.lit(',"items":['), items, F.lit("]}"))
-    none = F.array().cast("array<string>")
-    return top.select(*keys, "page", whole.alias("json"), F.coalesce("rules", none).alias("rules"), F.coalesce("dropped", none).alias("dropped"), (F.coalesce("assigned", F.lit(0)) + F.col("_page_changed")).alias("assigned"))
+    whole = stored(whole)
+    own = F.array(F.struct(F.lit(-1).alias("item_ord"), F.col("page_id").alias("id"), F.col("page_id").alias("base")))
+    ids = ensure_unique(whole.select(*keys, "page", F.inline(F.concat(own, "_ids"))), keys, ["page", "item_ord"], "base")
+    found = ids.select(*keys, "page", "item_ord", _opening(F.col("unique_id")).alias("opening"), (F.col("unique_id") != F.col("id")).alias("changed"))
+    found = found.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct("item_ord", "opening"))).alias("_openings"), F.count_if("changed").alias("assigned"))
+    items = F.array_join(F.zip_with(F.slice("_openings", 2, F.size("_items")), "_items", lambda o, i: F.concat(o["opening"], _following(i["json"]))), ",")
+    head = F.concat(F.col("_openings")[0]["opening"], _following(F.col("_head")))
+    made = F.concat(F.left(head, F.length(head) - 1), F.lit(',"items":['), items, F.lit("]}"))
+    return whole.join(found, [*keys, "page"]).select(*keys, "page", made.alias("json"), "rules", "dropped", "assigned")
+
+
+def applied_rules(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:
+    """(keys, rules) of every item of the pages that migrate() keeps: for a report alone, which needs no ids and no new pages."""
+    return migrated_items(exploded(pages, keys, page, json)).where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "page"])).select(*keys, "rules")
 
 
 def report(migrated: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule, n): how often each rule of migrate() was applied in a book; rules that were not do not show."""
-    return migrated.select(*keys, F.explode("rules").alias("rule")).groupBy(*keys, "rule").agg(F.count("*").alias("n"))
+    """(keys, rule, n): how often each rule of migrate() or applied_rules() was applied in a book; rules that were not do not show."""
+    return migrated.select(*keys, F.explode_outer("rules").alias("rule")).where("rule IS NOT NULL").groupBy(*keys, "rule").agg(F.count("*").alias("n"))
 
 
 def observed(migrated: DataFrame, name: str = "migration") -> tuple[DataFrame, Observation]:
