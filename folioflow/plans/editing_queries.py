@@ -300,7 +300,9 @@ def style_cascade(spark, sf_dir):
          'line-height:' || m['lineHeight'], 'margin-top:' || m['marginTopPx'] || 'px', 'text-indent:' || m['textIndentPx'] || 'px') AS css FROM w""",
 )
 def style_css(spark, sf_dir):
-    return formatted(spark, sf_dir).select("l_orderkey", "ord", cascade.css(cascade.values(F.col("resolved"))).alias("css"))
+    # A column of their own, or each of the rules of CSS would resolve the paragraph again.
+    rows = formatted(spark, sf_dir).select("l_orderkey", "ord", cascade.values(F.col("resolved")).alias("_values"))
+    return rows.select("l_orderkey", "ord", cascade.css(F.col("_values")).alias("css"))
 
 
 #: Orders whose first line item is flagged hold the contents of their customer's book.
