@@ -23,7 +23,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    return docs.select("doc_id", "lang", "source", F.posexplode_outer(F.split("text", "\n")).alias("ord", "line")).where("ord IS NOT NULL")
 
 
 LINES = "lines AS (SELECT doc_id, lang, source, unnest(range(len(l))) AS ord, unnest(l) AS line FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))"
