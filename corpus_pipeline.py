@@ -75,8 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir; what a stage has read goes when its own table stands, the input aside."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
+        if read is not None:
+            dropped(read, kept=True)
+        read = docs
     return docs

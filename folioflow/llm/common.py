@@ -67,15 +67,18 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more; the shared folder holds only what is still needed."""
+def dropped(*tables: DataFrame, kept: bool = False) -> None:
+    """Deletes tables of written() that nothing reads any more; the shared folder holds only what is still needed.
+
+    Those that were written to keep go only where `kept` says so.
+    """
     root = None
     for df in tables:
         spark = df.sparkSession
         root = root or shared_dir(spark).split(":", 1)[-1].lstrip("/")
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if root in path and not path.rsplit("/", 1)[-1].startswith(KEPT):
+            if root in path and (kept or not path.rsplit("/", 1)[-1].startswith(KEPT)):
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(conf).delete(at, True)
 

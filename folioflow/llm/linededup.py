@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import dropped, slices, spread_join, written
@@ -25,6 +26,8 @@ SHINGLE = 10
 #: Ten bands of three registers: a pair with similarity 0.8 is missed with probability 0.0008, one with 0.9 with 0.000002.
 BANDS, ROWS = 10, 3
 REGS = BANDS * ROWS
+#: Bands are dealt out in so many waves, so that only a share of their rows is on disk at a time.
+WAVES = 2
 #: Lines of fewer distinct shingles use a hash function for each register, lines of LOW or more ROWS functions over BANDS buckets.
 LOW, HIGH = 64, 80
 #: Two bits of each register, and the least estimate of linked lines: five standard deviations under their similarity.
@@ -71,9 +74,11 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         chars = np.diff(stops)
         lo, hi = at[:-SHINGLE], at[SHINGLE:]
         every = mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * STEPS[42])
-    line = np.repeat(np.arange(len(size), dtype=np.int32), chars)[: len(every)]
-    inside = np.arange(len(every), dtype=np.int32) + np.int32(SHINGLE) <= stops[1:].astype(np.int32)[line]
-    line, h = line[inside], every[inside]
+    # No shingle begins at a line's last characters, which are fewer than SHINGLE.
+    inside = np.ones(len(raw) if stops is ends else len(at) - 1, dtype=bool)
+    for back in range(1, SHINGLE):
+        inside[stops[1:][chars >= back] - back] = False
+    h = every[inside[: len(every)]]
     # Lines shorter than a shingle are one shingle.
     short = np.flatnonzero((size > 0) & (chars < SHINGLE))
     count = np.maximum(chars - SHINGLE + 1, 0)
@@ -81,23 +86,29 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     full = np.flatnonzero(count > 0)
     if len(full):
         k2[full] = np.add.reduceat(h, (np.cumsum(count) - count)[full]) ^ STEPS[43]
-    key = np.sort(np.concatenate([(line.astype(np.uint64) << U(40)) | (h >> U(24)), (short.astype(np.uint64) << U(40)) | (mixed(whole[short]) >> U(24))]))
+    lines = np.arange(len(size), dtype=np.uint64) << U(40)
+    key = np.repeat(lines, count)
+    key |= h >> U(24)
+    if len(short):
+        key = np.concatenate([key, lines[short] | (mixed(whole[short]) >> U(24))])
+    key.sort()
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    line, value = (key >> U(40)).astype(np.int32), key & V40
-    n = np.bincount(line, minlength=len(size))
+    n = np.diff(np.searchsorted(key, np.append(lines, U(len(size) << 40))))
+    value = key & V40
     tiers = []
     small = (n > 0) & (n < HIGH)
     if small.any():
         own = np.flatnonzero(small)
-        v, starts = value[small[line]] + U(BASE), np.concatenate([[0], np.cumsum(n[own])[:-1]])
+        v, starts = value[np.repeat(small, n)] + U(BASE), np.concatenate([[0], np.cumsum(n[own])[:-1]])
         low = np.stack([np.minimum.reduceat(v * SEEDS[f], starts) for f in range(REGS)], axis=1)
         tiers.append((own, *keyed(compressed(low).reshape(-1, BANDS, ROWS), 0)))
     large = n >= LOW
     if large.any():
-        own, mine = np.flatnonzero(large), large[line]
-        v = value[mine]
-        slot = (np.cumsum(large) - 1).astype(np.int32)[line[mine]] * np.int32(BANDS) + ((v * U(BANDS)) >> U(40)).astype(np.int32)
+        own = np.flatnonzero(large)
+        v = value[np.repeat(large, n)]
+        slot = ((v * U(BANDS)) >> U(40)).astype(np.int32)
+        slot += np.repeat(np.arange(len(own), dtype=np.int32) * np.int32(BANDS), n[own])
         starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         low = np.full((ROWS, len(own) * BANDS), np.iinfo(np.uint64).max, dtype=np.uint64)
         v += U(BASE)
@@ -193,6 +204,28 @@ def line_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PLACE = ["doc_id", "h", "line"]
 
 
+def class_of(salt: int) -> Column:
+    """The number of a line's class of equal lines, of k1 and k2."""
+    return F.xxhash64("k1", "k2", F.lit(salt))
+
+
+def line_classes(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """(node, copies, n, place) of each class of equal lines, the salt of class_of() by which node names it, and how many there are.
+
+    place is that of the first line. No two classes have one node: a salt by which two would is passed over.
+    """
+    for salt in count():
+        told = rows.select(class_of(salt).alias("node"), "k1", "k2", F.struct(*PLACE, "n").alias("p"))
+        ends = [f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)]
+        made = told.groupBy("node").agg(F.min("p").alias("p"), F.count("*").alias("copies"), *ends)
+        shared = (F.col("min_k1") < F.col("max_k1")) | (F.col("min_k2") < F.col("max_k2"))
+        classes = written(made.select("node", "copies", "p.n", F.struct(*[f"p.{c}" for c in PLACE]).alias("place"), shared.alias("shared")), "classes")
+        n, clash = classes.agg(F.count("*"), F.count_if("shared")).first()
+        if not clash:
+            return classes.drop("shared"), salt, n
+        dropped(classes)
+
+
 def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, h, lines): the numbers of the lines of each document that go; documents that lose nothing have no row.
 
@@ -203,13 +236,15 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     rows of docs are one document. Lines of fewer than `least` shingles, empty ones among them, always stay.
     """
     told = sketched_lines(docs)
-    rows = told.select(*PLACE, "n", "k1", "k2").where(F.col("n") >= least)
-    made = rows.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "n")).alias("p"), F.count("*").alias("copies"))
-    # A class is a node with a number of its own; its first line is the first of its chunk too, and so has sketches.
-    classes = written(made.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "copies", "p.n", F.struct(*[f"p.{c}" for c in PLACE]).alias("place")), "classes")
+    classes, salt, n = line_classes(told.where(F.col("n") >= least))
+    node = class_of(salt)
+    # Sketches name their class themselves, so they are dealt out without a join before.
+    drawn = told.where((F.size("sketches") > 0) & (F.col("n") >= least)).select(node.alias("id"), "sketches")
+    found = candidates(drawn, n * BANDS, BITS, LEAST_BITS, WAVES)
+    # Sketches leave the disk before the texts move.
+    rows = written(told.where(F.col("n") >= least).select(*PLACE, node.alias("node")), "rows")
+    dropped(told)
     first = classes.select("node", *[F.col(f"place.{c}") for c in PLACE])
-    drawn = told.where(F.size("sketches") > 0).select(*PLACE, "sketches").join(first, PLACE).select(F.col("node").alias("id"), "sketches")
-    found = written(candidates(drawn, classes.count() * BANDS, BITS, LEAST_BITS), "candidates")
 
     def with_text(members: DataFrame) -> DataFrame:
         placed = members.join(first, F.col("id") == F.col("node"))
@@ -220,11 +255,11 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     joined = near_components(found, classes, with_text, partial(char_shingles, size=SHINGLE), compared)
     reach = reached(joined, classes, "place")
     fate = classes.join(reach, "node", "left").where("copies > 1 or reached is not null")
-    fate = written(fate.select("k1", "k2", "copies", F.coalesce("reached", "place").alias("stays")), "fate")
+    fate = written(fate.select("node", "copies", F.coalesce("reached", "place").alias("stays")), "fate")
     dropped(found, joined, reach, classes)
-    gone = spread_join(rows, fate, ["k1", "k2"]).where(F.struct(*PLACE) != F.col("stays"))
+    gone = spread_join(rows, fate, ["node"]).where(F.struct(*PLACE) != F.col("stays"))
     out = written(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("lines")), "gone")
-    dropped(told, fate)
+    dropped(rows, fate)
     return out
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -318,12 +319,21 @@ def parts_for(rows: int, tasks: int) -> int:
     return tasks * max(1, math.ceil(rows / (tasks * PART)))
 
 
-def packed(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, width, rows) out of (id, sketches): the rows (key, id, x, y) of each part of all keys as bytes; without y where it is 0."""
+def packed(it: Iterator[pa.RecordBatch], parts: int, wave: int = 0, waves: int = 1) -> Iterator[pa.RecordBatch]:
+    """(part, width, rows) out of (id, sketches): the rows (key, id, x, y) of each part of all keys as bytes; without y where it is 0.
+
+    An id that comes again among the rows that are packed together is passed over. Of each sketch's keys, every one in `waves` goes, from number `wave` on.
+    """
     held: list[list[np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        cols = [np.concatenate([h[i] for h in held]) for i in range(4)]
+        *cols, ids, n = (np.concatenate([h[i] for h in held]) for i in range(6))
+        first = np.unique(ids, return_index=True)[1]
+        if len(first) < len(ids):
+            keep = np.zeros(len(ids), dtype=bool)
+            keep[first] = True
+            keep = np.repeat(keep, n)
+            cols = [c[keep] for c in cols]
         part = (cols[0].view(np.uint64) % U(parts)).astype(np.int32)
         by = np.argsort(part, kind="stable")
         part, width = part[by], 3 + bool(cols[3].any())
@@ -338,9 +348,14 @@ def packed(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]
         keys, x, y = lists.flatten().flatten()
         if not len(x):
             continue
-        ids = np.repeat(np.asarray(batch.column(0)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        own, m = np.asarray(batch.column(0)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         n = keys.value_lengths().to_numpy(zero_copy_only=False)
-        held.append([np.asarray(keys.flatten()), *(np.repeat(np.asarray(c), n) for c in (ids, x, y))])
+        key = np.asarray(keys.flatten())
+        if waves > 1:
+            turn = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            key, n = key[turn % waves == wave], (n - wave + waves - 1) // waves
+        all_n = np.diff(np.append(0, np.cumsum(n))[np.append(0, np.cumsum(m))])
+        held.append([key, *(np.repeat(np.asarray(c), n) for c in (np.repeat(own, m), x, y)), own[m > 0], all_n[m > 0]])
         if sum(len(h[0]) for h in held) >= PACK:
             yield flush()
             held = []
@@ -368,23 +383,25 @@ def unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rows()
 
 
-def dealt(sketched: DataFrame, rows: int) -> DataFrame:
-    """(part, width, rows) of packed(), each part whole in one partition and sorted by part; rows: about how many keys (id, sketches) has."""
+def dealt(sketched: DataFrame, rows: int, wave: int = 0, waves: int = 1) -> DataFrame:
+    """(part, width, rows) of packed(), each part whole in one partition and sorted by part; rows: about how many keys (id, sketches) has in the wave."""
     n = shuffle_partitions(sketched.sparkSession)
     parts = parts_for(rows, n)
-    moved = sketched.select("id", "sketches").mapInArrow(lambda it: packed(it, parts), "part int, width int, rows binary")
+    moved = sketched.select("id", "sketches").mapInArrow(lambda it: packed(it, parts, wave, waves), "part int, width int, rows binary")
     # By number and not by hash, which would leave a third of the tasks without a part and give others several.
     return moved.repartitionById(n, F.col("part") % n).sortWithinPartitions("part")
 
 
-def candidates(sketched: DataFrame, rows: int, size: int, least: float) -> DataFrame:
+def candidates(sketched: DataFrame, rows: int, size: int, least: float, waves: int = 1) -> DataFrame:
     """Edges (a, b), some repeated, that span the groups of related sketches of each bucket; sketched: (id, sketches), each of `size` bits.
 
     Keys, about `rows` in all, are dealt into parts, whose rows move as bytes, 24
     or 32 for each. A task holds one part and up to BUCKET rows of a bucket
     besides. A bucket that goes beyond them, a hot group of near copies, is a
     candidate component as it is: more is compared in full then, and nothing is
-    left out.
+    left out. Bands meet only in themselves, so they can be dealt in `waves`, one
+    after the other, each of which has its share of the rows on disk; the edges of
+    more than one are written to the shared folder.
     """
 
     def edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +409,8 @@ def candidates(sketched: DataFrame, rows: int, size: int, least: float) -> DataF
             part = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "x", "y"])
             yield from bucket_edges((part.slice(at, 10_000) for at in range(0, part.num_rows, 10_000)), size, least)
 
-    return dealt(sketched, rows).mapInArrow(edges, "a long, b long").where("a <> b")
+    out = [dealt(sketched, rows // waves, w, waves).mapInArrow(edges, "a long, b long").where("a <> b") for w in range(waves)]
+    return out[0] if waves == 1 else reduce(DataFrame.union, [written(df, "candidates") for df in out])
 
 
 def confirmed(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:

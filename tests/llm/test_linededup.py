@@ -1,5 +1,9 @@
 import random
+from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from folioflow.llm import common
 from folioflow.llm import linededup as ld
 
 
@@ -83,3 +87,34 @@ def test_a_line_of_every_document_stays_once(spark):
     docs = spark.createDataFrame([(d, f"the same line in all of them\nline {d} {'x' * (d % 50)} of its own {d * 7919}") for d in range(1500)], "doc_id long, text string")
     lost = {r.doc_id for r in ld.removed_lines(docs).collect() if 0 in r.lines}
     assert lost == set(range(1, 1500))
+
+
+def test_sketches_leave_the_disk_before_texts_move(spark, monkeypatch):
+    """Sketches are dealt out without a join of their own, and their table is gone when members get their texts."""
+    seen, root = {}, Path(common.shared_dir(spark).removeprefix("file://"))
+    monkeypatch.setattr(ld, "sketched_lines", lambda docs, f=ld.sketched_lines: seen.setdefault("told", f(docs)))
+    monkeypatch.setattr(ld, "candidates", lambda drawn, *a, f=ld.candidates: f(seen.setdefault("drawn", drawn), *a))
+
+    def near(*a, f=ld.near_components):
+        seen["there"] = [p for p in seen["told"].inputFiles() if Path(p.removeprefix("file://")).exists()] if list(root.glob("lines-*")) == [] else ["lines"]
+        return f(*a)
+
+    before = list(root.glob("lines-*"))
+    assert not before
+    monkeypatch.setattr(ld, "near_components", near)
+    docs = spark.createDataFrame([(d, f"a line that all have\nthe line of {d % 7} here") for d in range(20)], "doc_id long, text string")
+    assert ld.removed_lines(docs).count() == 19
+    assert seen["there"] == [] and "Join" not in seen["drawn"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classes_that_would_share_a_number_get_others(spark, monkeypatch):
+    """Numbers of classes are hashes; where two classes have one, another salt names them."""
+    rows, salts = corpus(8), []
+
+    def few(salt, f=ld.class_of):
+        salts.append(salt)
+        return F.pmod(f(salt), F.lit(3)) if salt < 2 else f(salt)
+
+    monkeypatch.setattr(ld, "class_of", few)
+    got = ld.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.lines for r in got} == brute(rows) and max(salts) == 2

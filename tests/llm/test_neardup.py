@@ -145,3 +145,13 @@ def test_packed_rows_do_not_multiply_with_parts(spark, monkeypatch):
 
 def test_shingles_of_plain_and_other_text_agree():
     assert set(ns.char_shingles("abcdefgh", 5)) <= set(ns.char_shingles("é abcdefgh", 5))
+
+
+def test_an_id_is_packed_once():
+    """Copies of a line each bring the sketch of their class; a task moves one of them."""
+    lists = pa.array([[{"keys": [5, 6], "x": 1, "y": 0}], None, [{"keys": [5, 6], "x": 1, "y": 0}], [{"keys": [5, 7], "x": 2, "y": 0}]], ns.LISTS)
+    batch = pa.RecordBatch.from_arrays([pa.array([9, 8, 9, 8]), lists], ["id", "sketches"])
+    got = [cols[:2] for cols in ns.unpacked(iter(list(ns.packed(iter([batch, batch]), 1))))]
+    assert sorted(zip(*(c.tolist() for c in got[0]), strict=True)) == [(5, 8), (5, 9), (6, 9), (7, 8)]
+    waves = [[cols[:2] for cols in ns.unpacked(iter(list(ns.packed(iter([batch]), 1, w, 2))))][0] for w in range(2)]
+    assert [sorted(zip(*(c.tolist() for c in x), strict=True)) for x in waves] == [[(5, 8), (5, 9)], [(6, 9), (7, 8)]]
