@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import shuffle_partitions, slices, written
+from folioflow.llm.common import dropped, shuffle_partitions, slices, written
 from folioflow.llm.nearsets import U, mixed, powers, sums
 from folioflow.session import table
 
@@ -40,6 +41,8 @@ BLOCKS = 8_000
 SHARDS = 4
 #: Tasks that first meet the equal windows of a hot anchor, each a share of them.
 SALTS = 32
+#: Anchors are dealt out in so many waves, and documents whose blocks are cut out in so many, so that only a share of either is on disk at a time.
+WAVES, DEALS = 2, 2
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -97,8 +100,8 @@ def after(place: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return (d > d2) | ((d == d2) & ((h > h2) | ((h == h2) & (s > s2))))
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """PLACES of every block; docs: (doc_id, h, text).
+def anchor_rows(docs: DataFrame, length: int, wave: int = 0, waves: int = 1) -> DataFrame:
+    """PLACES of every block whose anchor is of this wave; docs: (doc_id, h, text).
 
     A block that an equal one of the same chunk precedes is covered already: its
     start is given as -1 - start and its anchor is any number, so that copies of
@@ -109,7 +112,9 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             data = b"".join([p[3] for p in pieces])
             ends = np.concatenate([[0], np.cumsum([len(p[3]) for p in pieces])])
-            piece, at, count, anchor = anchors(np.frombuffer(data, dtype=np.uint8), ends, length)
+            found = anchors(np.frombuffer(data, dtype=np.uint8), ends, length)
+            mine = found[3] % U(waves) == wave
+            piece, at, count, anchor = (c[mine] for c in found)
             digest = block_digests(data, at, count + length - 1)
             one, two = ((digest[:, 0] >> U(8)) << U(8)) | count.astype(np.uint64), digest[:, 1]
             ids, hs, base = (np.array([p[i] for p in pieces], dtype=np.int64)[piece] for i in range(3))
@@ -470,17 +475,26 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be a multiple of {SYMBOL}, from {K + 9} to 250")
     n = shuffle_partitions(docs.sparkSession)
     rows = numbered(docs)
-    apart = written(told_apart(anchor_rows(rows, length).repartition(n, "anchor").sortWithinPartitions(*NAMES)), "blocks")
-    texts = block_texts(apart.where("anchor is not null and not hot"), rows, length)
-    hot = apart.where("anchor is not null and hot")
-    if hot.limit(1).count():
-        # Equal windows of a hot anchor meet in shares first, so that the merge gets a few of each.
-        share = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS))
-        dealt = block_texts(hot, rows, length).withColumn("share", share).repartition(n, "key", "share")
-        dealt = dealt.sortWithinPartitions("key", "share", "text", "doc_id", "h", "start").drop("share")
-        texts = texts.union(first_windows(dealt))
-    runs = merged_blocks(texts.repartition(n, "key").sortWithinPartitions("key", "doc_id", "h", "start"), length)
-    return apart.where("anchor is null").select("doc_id", "h", "start", "count").union(written(runs, "runs"))
+    told = [told_apart(anchor_rows(rows, length, w, WAVES).repartition(n, "anchor").sortWithinPartitions(*NAMES)) for w in range(WAVES)]
+    apart = reduce(DataFrame.union, [written(df, "blocks") for df in told])
+    any_hot = apart.where("anchor is not null and hot").limit(1).count() > 0
+    # Each document moves once; what is cut out of it goes to the shared folder, and on from there.
+    deal, wanted = F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)), apart.where("anchor is not null")
+    cut = [block_texts(wanted.where(deal == d), rows.where(deal == d), length) for d in range(DEALS)]
+    cut = reduce(DataFrame.union, [written(df, "texts") for df in cut])
+    runs = []
+    for w in range(WAVES):
+        own = cut.where(F.pmod(F.xxhash64("key"), F.lit(WAVES)) == w)
+        texts = own.where("not hot")
+        if any_hot:
+            # Equal windows of a hot anchor meet in shares first, so that the merge gets a few of each.
+            share = F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS))
+            dealt = own.where("hot").withColumn("share", share).repartition(n, "key", "share")
+            dealt = dealt.sortWithinPartitions("key", "share", "text", "doc_id", "h", "start").drop("share")
+            texts = texts.union(first_windows(dealt))
+        runs.append(written(merged_blocks(texts.repartition(n, "key").sortWithinPartitions("key", "doc_id", "h", "start"), length), "runs"))
+    dropped(cut)
+    return reduce(DataFrame.union, [apart.where("anchor is null").select("doc_id", "h", "start", "count"), *runs])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -164,3 +165,32 @@ def test_ids_of_any_size(spark):
     a = "".join(rng.choice("abcdef") for _ in range(250))
     docs = spark.createDataFrame([(2**62, a), (-(2**62), a), (0, "z" + a)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in sd.remove_repeats(docs).collect()} == {-(2**62): 0, 0: 250, 2**62: 250}
+
+
+def test_a_wave_moves_a_share_of_the_blocks(spark, monkeypatch):
+    """Anchors are dealt out wave by wave, together all of them; the bytes cut out of documents leave the disk after the merge."""
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(d, "".join(rng.choice("abcdefgh ") for _ in range(2000)) + shared[d * 100 : d * 100 + 400]) for d in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = sd.numbered(docs).coalesce(1)
+    every = sorted(tuple(r) for r in sd.anchor_rows(told, 100).collect())
+    waves = [sorted(tuple(r) for r in sd.anchor_rows(told, 100, w, 2).collect()) for w in range(2)]
+    assert sorted(waves[0] + waves[1]) == every and all(len(w) < 0.7 * len(every) for w in waves)
+    made = []
+    monkeypatch.setattr(sd, "written", lambda df, name, f=sd.written: made.append((name, f(df, name))) or made[-1][1])
+    assert {r.doc_id: r.n_removed for r in sd.remove_repeats(docs).collect()} == brute_removed(rows)
+    assert [n for n, _ in made].count("blocks") == sd.WAVES == 2 and [n for n, _ in made].count("texts") == sd.DEALS == 2
+    assert not [p for n, df in made if n == "texts" for p in df.inputFiles() if os.path.exists(p.removeprefix("file://").removeprefix("file:"))]
+
+
+def brute_removed(rows):
+    first, out = {}, {}
+    for d, text in sorted(rows):
+        data, gone = text.encode(), set()
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in first:
+                gone.update(range(i, i + 100))
+            first.setdefault(data[i : i + 100], (d, i))
+        out[d] = len(gone)
+    return out
