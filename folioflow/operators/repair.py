@@ -7,17 +7,19 @@ set wider. A page measures the sum of what stands on it and a gap between neighb
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.operators.fold import fold_sorted
+from folioflow.operators.fold import fold_sorted_arrow
 from folioflow.operators.paginate import PROSE, PROSE_LEAST, greedy
 
 #: How much wider a captioned figure may be set, tried in this order (fixed values).
@@ -32,7 +34,7 @@ def figure_widths(current: Column, content: Column) -> Column:
     return F.array_distinct(F.filter(tried, lambda w: w > now))
 
 
-@dataclass
+@dataclass(slots=True)
 class Unit:
     """What a fold knows of one unit; ends are running sums of its parts' heights."""
 
@@ -43,7 +45,7 @@ class Unit:
     widths: list[tuple[float, float]]
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Piece:
     """Parts first..last of a unit; width is the number of the chosen width, or None."""
 
@@ -74,7 +76,7 @@ class Mending:
     def widened(self, piece: Piece) -> Piece | None:
         unit = self.units[piece.unit]
         if piece.width is None:
-            return next((replace(piece, width=k) for k, (_, h) in enumerate(unit.widths) if h <= self.room), None)
+            return next((Piece(piece.unit, piece.first, piece.last, k) for k, (_, h) in enumerate(unit.widths) if h <= self.room), None)
         return None
 
     def cut(self, piece: Piece, above: float) -> tuple[Piece, Piece] | None:
@@ -82,10 +84,10 @@ class Mending:
         unit, parts = self.units[piece.unit], piece.last - piece.first
         if unit.pair or parts < 2:
             return None
-        fits = int(np.searchsorted(unit.ends[piece.first + 1 : piece.last], unit.ends[piece.first] + self.room - above, side="right"))
+        fits = bisect_right(unit.ends, unit.ends[piece.first] + self.room - above, piece.first + 1, piece.last) - piece.first - 1
         least = min(PROSE_LEAST, parts - 1) if unit.type in PROSE else 1
         at = piece.first + fits
-        return (replace(piece, last=at), replace(piece, first=at)) if fits >= least else None
+        return (Piece(piece.unit, piece.first, at, piece.width), Piece(piece.unit, at, piece.last, piece.width)) if fits >= least else None
 
     def shed(self, page: list[Piece]) -> tuple[list[Piece], list[Piece]] | None:
         """(page, what goes on to the next one) after one step, or None where nothing can be done."""
@@ -116,6 +118,14 @@ class Mending:
         return self.pages
 
 
+def listed(column: pa.ChunkedArray, values: Callable[[pa.Array], list]) -> list[list]:
+    """A list for each row of a column of arrays, all elements made by one call of `values`; null is empty."""
+    own = column.combine_chunks()
+    flat = values(own.flatten())
+    ends = [0, *accumulate(own.value_lengths().fill_null(0).to_pylist())]
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def paginate_repaired(
     units: DataFrame, keys: list[str], order: list[str], available: float, gap: float = 0.0, tolerance: float = 1.0,
     parts: str = "parts", type_: str = "type", heading: str = "heading", hard_break: str = "hard_break", pair: str = "pair", widths: str = "widths",
@@ -137,11 +147,11 @@ def paginate_repaired(
     prose. An empty table gives an empty one. One book is one fold: its units' heights are in a task's memory, its texts are not.
     """
 
-    def fold(rows: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
-        flags = {c: rows[c].fillna(False).astype(bool).tolist() for c in (heading, hard_break, pair)}
-        types = rows[type_].tolist()
-        heights = [[max(0.0, 0.0 if h is None or h != h else float(h)) for h in x] if x is not None and len(x) else [1.0] for x in rows[parts]]
-        wider = [[(float(w["width"]), float(w["height"])) for w in x] if x is not None else [] for x in rows[widths]]
+    def fold(rows: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
+        flags = {c: rows[c].fill_null(False).to_pylist() for c in (heading, hard_break, pair)}
+        types = rows[type_].to_pylist()
+        heights = [h or [1.0] for h in listed(rows[parts], lambda own: np.fmax(np.nan_to_num(own.cast(pa.float64()).fill_null(0.0).to_numpy(), nan=0.0, posinf=np.inf), 0.0).tolist())]
+        wider = listed(rows[widths], lambda own: list(zip(*(c.cast(pa.float64()).to_pylist() for c in own.flatten()[:2]), strict=True)))
         out: list[tuple] = []
         for lo, hi in bounds:
             book = [Unit(types[i], flags[heading][i], flags[pair][i], [0.0, *accumulate(heights[i])], wider[i]) for i in range(lo, hi)]
@@ -154,14 +164,14 @@ def paginate_repaired(
                     width = book[p.unit].widths[p.width][0] if p.width is not None else None
                     out.append((lo + p.unit, page, p.first, p.last, width, over + tolerance if over else None))
         at, *columns = zip(*out, strict=True)
-        placed = rows.iloc[list(at)].reset_index(drop=True)
+        placed = rows.take(pa.array(at, pa.int64()))
         for f, values in zip(fields, columns, strict=True):
-            placed[f.name] = pd.Series(values, dtype="float64" if f.dataType == T.DoubleType() else "int32")
+            placed = placed.append_column(f.name, pa.array(values, pa.float64() if f.dataType == T.DoubleType() else pa.int32()))
         return placed
 
     fields = [T.StructField(n, T.IntegerType()) for n in ("page", "from_part", "to_part")]
     fields += [T.StructField(n, T.DoubleType()) for n in ("width", "overflow")]
-    return fold_sorted(units, keys, order, fields, fold)
+    return fold_sorted_arrow(units, keys, order, fields, fold)
 
 
 def repair_report(placed: DataFrame, keys: list[str], unit: list[str], type_: str = "type") -> DataFrame:
@@ -170,12 +180,12 @@ def repair_report(placed: DataFrame, keys: list[str], unit: list[str], type_: st
     unit: columns that name a unit in its book; a unit on n pages was cut n - 1 times. A page that is too high
     counts once. Counts are added up by book and type first, so a book is one short row for each type.
     """
-    pieces = placed.groupBy(*keys, *unit).agg(F.first(type_).alias("_type"), (F.count("*") - 1).alias("_cuts"), F.count("width").alias("_wide"), F.max("page").alias("_page"))
-    by_type = pieces.groupBy(*keys, "_type").agg(F.sum("_cuts").alias("cuts"), F.sum("_wide").alias("wide"), F.max("_page").alias("page"))
+    high = F.collect_set(F.when(F.col("overflow").isNotNull(), F.col("page"))).alias("_high")  # in the same pass: placed is a fold, which a second one would repeat
+    pieces = placed.groupBy(*keys, *unit).agg(F.first(type_).alias("_type"), (F.count("*") - 1).alias("_cuts"), F.count("width").alias("_wide"), F.max("page").alias("_page"), high)
+    by_type = pieces.groupBy(*keys, "_type").agg(F.sum("_cuts").alias("cuts"), F.sum("_wide").alias("wide"), F.max("_page").alias("page"), F.array_distinct(F.flatten(F.collect_list("_high"))).alias("_high"))
     splits = F.array_sort(F.filter(F.collect_list(F.struct(F.col("_type").alias("type"), F.col("cuts"))), lambda s: s["cuts"] > 0))
-    counts = by_type.groupBy(*keys).agg((F.max("page") + 1).cast("long").alias("pages"), F.sum("cuts").alias("split_items"), F.sum("wide").alias("resized_figures"), splits.alias("splits_by_type"))
-    high = placed.where("overflow IS NOT NULL").select(*keys, "page").distinct().groupBy(*keys).agg(F.count("*").alias("_high"))
-    return counts.join(high, keys, "left").select(*keys, "pages", "split_items", "resized_figures", F.coalesce("_high", F.lit(0)).alias("oversize_items"), "splits_by_type")
+    over = F.size(F.array_distinct(F.flatten(F.collect_list("_high")))).cast("long").alias("oversize_items")
+    return by_type.groupBy(*keys).agg((F.max("page") + 1).cast("long").alias("pages"), F.sum("cuts").alias("split_items"), F.sum("wide").alias("resized_figures"), over, splits.alias("splits_by_type"))
 
 
 def oversize(placed: DataFrame, keys: list[str], unit: list[str], pair: str = "pair", type_: str = "type") -> DataFrame:
