@@ -38,9 +38,8 @@ def reflow(items: DataFrame, keys: list[str], page: str, order: str, contents: C
     """
     flow = coalesced(items, keys, page, order, contents)
     placed = paginate_repaired(flow.withColumnRenamed(page, "_old_page"), [*keys, "section"], ["place"], available, gap, **columns).withColumnRenamed("page", "_p")
-    # Pages of the contents stand first: one short row for each book says how many they are.
-    ahead = placed.where(F.col("section") == CONTENTS).groupBy(*keys).agg((F.max("_p") + 1).alias("_ahead"))
-    out = placed.join(ahead, keys, "left")
+    # Pages of the contents stand first. A window, since a join with their number would fold every book again.
+    out = placed.withColumn("_ahead", F.max(F.when(F.col("section") == CONTENTS, F.col("_p") + 1)).over(W.partitionBy(*keys)))
     first = F.when(F.col("section") == BODY, F.coalesce("_ahead", F.lit(0))).otherwise(0)
     return out.withColumn("new_page", (F.col("_p") + first).cast("int")).drop("_p", "_ahead").withColumnRenamed("_old_page", page)
 

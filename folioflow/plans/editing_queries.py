@@ -25,7 +25,8 @@ WIDTH = "80.0 + l_linenumber * 20"
 HEIGHT = "CASE WHEN k = 0 THEN 30 WHEN k <= 2 THEN {image} + 18 * ceil({caption} * 7 / ({width})) WHEN k = 3 THEN l_quantity * 12 ELSE 10 + l_linenumber END".format(image=IMAGE, caption=CAPTION, width=WIDTH)
 
 
-def units(spark, sf_dir):
+def units(spark, sf_dir, *more):
+    """Line items as units of their books, with columns `more` of theirs."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.expr(VOLUME).alias("book"))
     rows = items(spark, sf_dir).join(orders, "l_orderkey").withColumn("k", (F.col("l_partkey") * 7 + F.col("l_suppkey") + F.col("l_linenumber")) % 10)
     height, n = F.expr(HEIGHT).cast("double"), F.when(F.col("k") > 3, F.col("l_quantity").cast("int")).otherwise(1)
@@ -33,7 +34,7 @@ def units(spark, sf_dir):
     wider = F.transform(repair.figure_widths(F.expr(WIDTH).cast("double"), F.lit(CONTENT)), lambda w: F.struct(w.alias("width"), (F.expr(IMAGE) + 18 * F.ceil(caption * 7 / w)).cast("double").alias("height")))
     return rows.select(
         "book", "l_orderkey", "ord", F.expr(KIND).alias("type"), (F.col("k") == 0).alias("heading"), (F.col("l_partkey") % 37 == 0).alias("hard_break"), (F.col("k") == 3).alias("pair"),
-        F.array_repeat(height, n).alias("parts"), F.when(F.col("k").between(1, 2) & (caption > 0), wider).alias("widths"),
+        F.array_repeat(height, n).alias("parts"), F.when(F.col("k").between(1, 2) & (caption > 0), wider).alias("widths"), *more,
     )
 
 
@@ -316,8 +317,7 @@ IN_CONTENTS = "(SELECT count(*) FROM lineitem c WHERE c.l_orderkey = o_orderkey
 )
 def reflow_book(spark, sf_dir):
     """Customers' books reflowed: orders with a flagged first line item are contents."""
-    flags = items(spark, sf_dir).select("l_orderkey", "ord", ((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1)).alias("toc"))
-    rows = units(spark, sf_dir).join(flags, ["l_orderkey", "ord"])
+    rows = units(spark, sf_dir, ((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1)).alias("toc"))
     return reflow.reflow(rows, ["book"], "l_orderkey", "ord", F.col("toc"), ROOM, GAP).select("book", "l_orderkey", "ord", "section", "new_page", "from_part", "to_part")
 
 

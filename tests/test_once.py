@@ -40,3 +40,8 @@ def test_odd_pages_migrate(spark):
     assert out[0].json.count('"type":') >= 2 and '"label":"7"' in out[0].json and sorted(out[0].rules) == ["html-body", "type-unknown"][-1:]
     counts = migration.report(migration.applied_rules(pages, ["book"]), ["book"]).collect()
     assert [(r.book, r.rule, r.n) for r in counts] == [(1, "type-unknown", 1)]
+
+
+@pytest.mark.parametrize("name", ["reflow_book", "repair_report"])
+def test_books_are_folded_once(spark, name):
+    assert len([line for line in plan(e.queries()[name](spark, SF)).splitlines() if "MapInArrow" in line or "MapInPandas" in line]) == 1
