@@ -5,7 +5,8 @@ its K-byte grams with the smallest hash. Equal windows have equal anchors, so
 anchors deal the windows to tasks that never need each other. The windows of one
 anchor occurrence form a block of text. Copies of a block (one anchor and one
 BLAKE2b digest of 120 bits of its bytes) are one string with many places and
-are counted before any text moves; anchors with different blocks go on.
+are counted before any text moves; anchors with different blocks go on, and of these
+the blocks that may share a window with another.
 
 In a task the blocks are cut into shards. Each shard's suffixes are sorted by
 themselves once, which gives its transform over SYMBOL-byte letters: the letter
@@ -34,8 +35,12 @@ from folioflow.llm.nearsets import U, mixed, powers, sums
 from folioflow.session import table
 
 LENGTH, K, SYMBOL = 100, 16, 10
-#: Bytes of text that are searched for anchors, and bytes of blocks that are merged, together.
-CHUNK, MERGE = 1 << 20, 60_000
+#: Bytes of text that are searched for anchors, bytes of blocks that are held to see which may share a window, and of those that are merged, together.
+CHUNK, HELD, MERGE = 1 << 20, 600_000, 60_000
+#: Windows whose anchors are found together, few enough to stay in a processor's cache, and the bits that number their places.
+STEP, PLACE_BITS = 1 << 14, 16
+#: Strings of each block of which one must occur in another block of its anchor.
+PROBES = 4
 #: Different blocks of one anchor that a task merges together; an anchor with more is dealt out by window.
 BLOCKS = 8_000
 SHARDS = 4
@@ -45,33 +50,47 @@ SALTS = 32
 WAVES, DEALS = 2, 2
 
 
+def grams(raw: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each of the first n strings of K bytes."""
+    word = np.ndarray(len(raw) - 7, "<u8", np.ascontiguousarray(raw), strides=(1,))
+    return mixed(word[:n] * U(0x9E3779B97F4A7C15) + word[K - 8 : K - 8 + n])
+
+
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(piece, start in raw, count, anchor hash) of every block of the pieces raw[ends[i]:ends[i+1]].
 
     A block owns `count` windows from `start` on; it is `count + length - 1` bytes long.
     """
-    n, reach = len(raw) - K + 1, length - K + 1
-    if len(raw) < length:
+    n, reach = len(raw) - length + 1, length - K + 1
+    if n <= 0:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    total, inverse = sums(raw), powers(len(raw) + 1)[1]
-    h = mixed((total[K:] - total[:-K]) * inverse[:n])
-    bits = U(int(n).bit_length())
-    low = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
-    span = 1
-    while span * 2 <= reach:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if reach > span:
-        low = np.minimum(low[: span - reach], low[reach - span :])
-    at = (low & ((U(1) << bits) - U(1))).astype(np.int64)
+    # A hash gives its low bits to its place; how many, depends on nothing, so equal windows agree wherever they stand.
+    places, mask = np.arange(STEP + reach, dtype=np.uint64), U((1 << PLACE_BITS) - 1)
+    found = []
+    for lo in range(0, n, STEP):
+        hi = min(lo + STEP, n)
+        h = grams(raw[lo : hi + length - 1], hi - lo + reach - 1)
+        low = (h & ~mask) | places[: len(h)]
+        span = 1
+        while span * 2 <= reach:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if reach > span:
+            low = np.minimum(low[: span - reach], low[reach - span :])
+        first = np.flatnonzero(runs_of([low]))
+        at = (low[first] & mask).astype(np.int64)
+        found.append((first + lo, at + lo, h[at]))
+    start, at, anchor = (np.concatenate(c) for c in zip(*found, strict=True))
+    # Blocks end where the anchor changes and where pieces begin or have no whole window left.
     sizes = np.maximum(np.diff(ends) - length + 1, 0)
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    window = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + ends[:-1][piece]
-    at = at[window]
-    new = np.ones(len(window), dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])
-    first = np.flatnonzero(new)
-    return piece[first], window[first], np.diff(np.append(first, len(window))), h[at[first]]
+    own = np.flatnonzero(sizes)
+    begin, stop = ends[:-1][own], (ends[:-1] + sizes)[own]
+    cut = np.unique(np.concatenate([start[runs_of([at])], begin, stop, [n]]))
+    count, cut = np.diff(cut), cut[:-1]
+    of = np.searchsorted(begin, cut, side="right") - 1
+    inside = cut < np.append(stop, 0)[of]  # `of` is -1 before the first piece
+    cut, count, of = cut[inside], count[inside], of[inside]
+    return own[of], cut, count, anchor[np.searchsorted(start, cut, side="right") - 1]
 
 
 def block_digests(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -403,6 +422,37 @@ def covered_windows(place: list[np.ndarray], data: np.ndarray, ends: np.ndarray,
     return [c[later] for c in found]
 
 
+def sharing(keys: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Marks the blocks that may share a window with another block of their key; every one that does is marked.
+
+    Equal windows hold their anchor at one offset. Cut into PROBES, the offsets
+    leave each window a string, less than a window by one such part, that begins
+    a fixed number of bytes before the anchor: who shares a window shares that.
+    A block without its key among its grams (a window of a hot anchor) is marked.
+    """
+    marked = np.zeros(len(keys), dtype=bool)
+    sizes = np.diff(ends)
+    if not len(data):
+        return marked
+    h = np.append(grams(data, len(data) - K + 1), np.zeros(K - 1, dtype=np.uint64)) if len(data) >= K else np.zeros(len(data), dtype=np.uint64)
+    hit = np.flatnonzero(h == np.repeat(keys.view(np.uint64), sizes))
+    own, first = np.unique(np.searchsorted(ends, hit, side="right") - 1, return_index=True)
+    at = np.full(len(keys), -1)
+    at[own] = hit[first]
+    marked |= at < 0
+    step = -(-(length - K) // PROBES)
+    total, inverse = sums(data), powers(len(data) + 1)[1]
+    for j in range(PROBES):
+        start = at - step * j
+        ok = np.flatnonzero((start >= ends[:-1]) & (start + length - step <= ends[1:]))
+        probe = (total[start[ok] + length - step] - total[start[ok]]) * inverse[start[ok]]
+        by = np.lexsort((probe, keys[ok]))
+        alike = ~runs_of([keys[ok][by], probe[by]])
+        alike[:-1] |= alike[1:]
+        marked[ok[by[alike]]] = True
+    return marked
+
+
 RUNS = "doc_id long, h long, start long, count int"
 
 
@@ -429,10 +479,15 @@ def merged_blocks(texts: DataFrame, length: int) -> DataFrame:
             keys, *place = (np.concatenate([h[i] for h in held]) for i in range(4))
             data = np.concatenate([h[4] for h in held])
             ends = np.concatenate([[0], np.cumsum(np.concatenate([h[5] for h in held]))])
-            stops = np.append(np.flatnonzero(runs_of([keys]))[1:], len(keys))
+            whole = len(keys) if final else int(np.flatnonzero(runs_of([keys]))[-1])  # the last key may go on
+            held = [(keys[whole:], *(c[whole:] for c in place), data[ends[whole] :], np.diff(ends[whole:]))] if whole < len(keys) else []
+            keys, data, ends = keys[:whole], data[: ends[whole]], ends[: whole + 1]
+            may = sharing(keys, data, ends, length)
+            data = data[np.repeat(may, np.diff(ends))]
+            ends = np.concatenate([[0], np.cumsum(np.diff(ends)[may])])
+            keys, place = keys[may], [c[:whole][may] for c in place]
+            stops = np.append(np.flatnonzero(runs_of([keys]))[1:], len(keys)) if len(keys) else keys
             lo = 0
-            if not final:
-                stops = stops[:-1]  # the last key may go on
             while len(stops):
                 fit = stops[ends[stops] - ends[lo] <= MERGE]
                 hi = int(fit[-1] if len(fit) else stops[0])
@@ -440,7 +495,6 @@ def merged_blocks(texts: DataFrame, length: int) -> DataFrame:
                 if len(got[0]):
                     yield spans_of(got)
                 lo, stops = hi, stops[stops > hi]
-            held = [(keys[lo:], *(c[lo:] for c in place), data[ends[lo] :], np.diff(ends[lo:]))] if lo < len(keys) else []
 
         for batch in it:
             cols = [np.asarray(batch.column(i)) for i in range(4)]
@@ -455,7 +509,7 @@ def merged_blocks(texts: DataFrame, length: int) -> DataFrame:
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
             held.append((*cols, data, np.diff(offsets)))
-            if sum(len(h[4]) for h in held) > 4 * MERGE:
+            if sum(len(h[4]) for h in held) > HELD:
                 yield from merge(False)
         if held:
             yield from merge(True)

@@ -184,6 +184,85 @@ def test_a_wave_moves_a_share_of_the_blocks(spark, monkeypatch):
     assert not [p for n, df in made if n == "texts" for p in df.inputFiles() if os.path.exists(p.removeprefix("file://").removeprefix("file:"))]
 
 
+def test_the_merge_gets_blocks_that_may_share_a_window(monkeypatch):
+    """Of blocks with one anchor, those go on that have a longer string around it in common with another; the rest is not sorted."""
+    rng = random.Random(9)
+    text = lambda k: bytes(rng.choice(b"abcdefgh ") for _ in range(k))
+    gram = next(g for g in iter(lambda: text(sd.K), None) if sd.grams(np.frombuffer(g, dtype=np.uint8), 1)[0] < 1 << 54)
+    alone = [text(90) + gram + text(90) for _ in range(40)]
+    # Two have all that stands before the anchor in common, two what follows, two some of both, by one byte more than a window and less.
+    left, right = text(90), text(90)
+    pairs = [left + gram + text(90), left + gram + text(90), text(90) + gram + right, text(90) + gram + right]
+    pairs += [text(50) + left[50:] + gram + right[:44] + text(46) for _ in range(2)] + [text(60) + left[60:] + gram + right[:43] + text(47) for _ in range(2)]
+    texts = alone + pairs
+    rng.shuffle(texts)
+    raw, ends = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    piece, start, count, anchor = sd.anchors(raw, ends, 100)
+    own = anchor == sd.grams(np.frombuffer(gram, dtype=np.uint8), 1)[0]
+    assert own.sum() == len(texts)
+    blocks = [raw[a : a + c + 99].tobytes() for a, c in zip(start[own], count[own], strict=True)]
+    data, at = np.frombuffer(b"".join(blocks), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+    marked = sd.sharing(anchor[own].view(np.int64), data, at, 100)
+    windows = [{b[i : i + 100] for i in range(len(b) - 99)} for b in blocks]
+    shares = [any(w & v for v in windows[:i] + windows[i + 1 :]) for i, w in enumerate(windows)]
+    assert sum(shares) >= 4 and not [i for i, s in enumerate(shares) if s and not marked[i]] and marked.sum() <= len(pairs)
+    merged = []
+    monkeypatch.setattr(sd, "covered_windows", lambda place, d, e, n, f=sd.covered_windows: merged.append(len(d)) or f(place, d, e, n))
+    n = len(blocks)
+    cols = [sd.pa.array(anchor[own].view(np.int64)), sd.pa.array(range(n)), *[sd.pa.array([0] * n, sd.pa.int64())] * 2, sd.pa.array(blocks, sd.pa.binary()), sd.pa.array([False] * n)]
+    batch = sd.pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in sd.TEXTS.split(", ")])
+
+    class Rows:  # the task's function runs here, on the rows themselves
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    found = sum(sum(b.column(3).to_pylist()) for b in sd.merged_blocks(Rows(), 100))
+    want = sum(len(w) for w in windows) - len(set().union(*windows))
+    assert found == want and sum(merged) <= sum(len(b) for i, b in enumerate(blocks) if marked[i]) < len(data) / 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sharing_marks_all_that_share(monkeypatch, seed):
+    """Few letters, so that strings repeat at many offsets: no block that shares a window is left out, whatever the length."""
+    rng = random.Random(seed)
+    length = (30, 100, 250)[seed % 3]
+    base = [bytes(rng.choice(b"abc") for _ in range(3 * length)) for _ in range(4)]
+    texts = [b"".join(rng.choice(base)[rng.randrange(length) : length + rng.randrange(2 * length)] for _ in range(2)) for _ in range(60)]
+    raw, ends = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    monkeypatch.setattr(sd, "STEP", 64)
+    _, start, count, anchor = sd.anchors(raw, ends, length)
+    assert count.sum() == sum(max(0, len(t) - length + 1) for t in texts)
+    by = np.argsort(anchor, kind="stable")
+    blocks = [raw[a : a + c + length - 1].tobytes() for a, c in zip(start[by], count[by], strict=True)]
+    at = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+    marked = sd.sharing(anchor[by].view(np.int64), np.frombuffer(b"".join(blocks), dtype=np.uint8), at, length)
+    owners = {}
+    for i, b in enumerate(blocks):
+        for k in range(len(b) - length + 1):
+            owners.setdefault(b[k : k + length], {})[i] = anchor[by][i]
+    assert all(len(set(o.values())) == 1 for o in owners.values())  # equal windows have one anchor
+    assert not [i for o in owners.values() if len(o) > 1 for i in o if not marked[i]]
+
+
+def test_anchors_are_the_leftmost_smallest_grams(monkeypatch):
+    """Windows that are searched in steps get the anchors that each of them has alone, and pieces never share a block."""
+    monkeypatch.setattr(sd, "STEP", 50)
+    rng = np.random.default_rng(3)
+    for sizes in ([], [99, 15], [0, 230, 100, 99, 400], [163, 164, 165]):
+        raw, ends = rng.integers(97, 99, sum(sizes), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        want = []
+        for p, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            last = None
+            for w in range(lo, hi - 99):
+                h = sd.grams(raw[w : w + 100], 85)
+                at = w + int(np.argmin(h >> np.uint64(sd.PLACE_BITS)))
+                if at != last:
+                    want.append([p, w, 0, int(h[at - w])])
+                    last = at
+                want[-1][2] += 1
+        assert [list(map(int, r)) for r in zip(*sd.anchors(raw, ends, 100), strict=True)] == want
+
+
 def brute_removed(rows):
     first, out = {}, {}
     for d, text in sorted(rows):
