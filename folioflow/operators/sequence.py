@@ -13,11 +13,21 @@ def visible_in_mode(mode: str, print_only: Column, screen_only: Column, flag: Co
     return F.when(p, F.lit(mode == "print")).when(s, F.lit(mode == "screen")).otherwise(F.coalesce(flag, F.lit(True)))
 
 
-def filter_for_print(pages: DataFrame, items: DataFrame, on: list[str], page_shown: Column, item_shown: Column, keep_empty: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pages, items) of the print edition: hidden pages and items go, then pages without items unless keep_empty."""
+#: Rows that a task joins at most, when keys are even.
+PART_ROWS = 2_000_000
+
+
+def filter_for_print(pages: DataFrame, items: DataFrame, on: list[str], page_shown: Column, item_shown: Column, keep_empty: bool = False, rows: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(pages, items) of the print edition: hidden pages and items go, then pages without items unless keep_empty.
+
+    `rows`, the number of pages and items if it is known, sets the number of tasks. Keys in a row compress so well that Spark,
+    which counts compressed bytes, would put many millions of them into one task or broadcast them.
+    """
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
     shown_pages = pages.where(page_shown)
-    shown = items.where(item_shown).join(shown_pages.select(*on), on, "left_semi")
-    return (shown_pages if keep_empty else shown_pages.join(shown.select(*on), on, "left_semi")), shown
+    # A join takes the partitions of its right side, and those of a repartition by number are not put together.
+    shown = items.where(item_shown).join(shown_pages.select(*on).repartition(n, *on).hint("merge"), on, "left_semi")
+    return (shown_pages if keep_empty else shown_pages.join(shown.select(*on).hint("merge"), on, "left_semi")), shown
 
 
 def materialized(entries: DataFrame, mode: str, flags: tuple[str, ...] = ("visibility", "printOnly", "screenOnly")) -> DataFrame:

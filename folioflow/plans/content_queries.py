@@ -22,11 +22,12 @@ from folioflow.sources.html_blocks import block_rows
        SELECT o_orderkey, (SELECT count(*) FROM s WHERE l_orderkey = o_orderkey) AS shown FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey IN (SELECT l_orderkey FROM s)""",
 )
 def mode_filter(spark, sf_dir):
+    rows = sum(table(spark, sf_dir, name).count() for name in ("orders", "lineitem"))
     pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
     page_shown = sequence.visible_in_mode("print", F.lit(False), F.col("o_orderstatus") == "P", F.lit(None).cast("boolean"))
     item_shown = sequence.visible_in_mode("print", F.lit(None).cast("boolean"), F.lit(False), F.col("l_returnflag") != "R")
-    shown_pages, shown = sequence.filter_for_print(pages, items(spark, sf_dir).select("l_orderkey", "ord", "l_returnflag"), ["l_orderkey"], page_shown, item_shown)
-    counts = shown.groupBy("l_orderkey").agg(F.count("*").alias("shown"))
+    shown_pages, shown = sequence.filter_for_print(pages, items(spark, sf_dir).select("l_orderkey", "ord", "l_returnflag"), ["l_orderkey"], page_shown, item_shown, rows=rows)
+    counts = shown.groupBy("l_orderkey").agg(F.count("*").alias("shown")).hint("merge")
     return shown_pages.join(counts, "l_orderkey").select(F.col("l_orderkey").alias("o_orderkey"), "shown")
 
 

@@ -64,6 +64,24 @@ def test_print_filter(spark):
     assert sequence.filter_for_print(pages, items, ["p"], F.lit(True), shown, keep_empty=True)[0].count() == 3
 
 
+@pytest.mark.parametrize("many", [0, 11])
+def test_print_filter_deals_rows_out(spark, many):
+    """Keys go to as many tasks as their rows ask for: they are not broadcast, nor put together because they compress well."""
+    pages = spark.range(1000).selectExpr("id AS p", "id % 3 = 0 AS gone")
+    items = spark.range(4000).selectExpr("id % 1100 AS p", "id AS o", "id % 7 = 0 AS gone")
+    p, i = sequence.filter_for_print(pages, items, ["p"], ~F.col("gone"), ~F.col("gone"), rows=many * sequence.PART_ROWS)
+    both = p.join(i.groupBy("p").agg(F.count("*").alias("n")).hint("merge"), "p")
+    want = {}
+    for k in range(4000):
+        if k % 7 and k % 1100 < 1000 and k % 1100 % 3:
+            want[k % 1100] = want.get(k % 1100, 0) + 1
+    assert {r.p: r.n for r in both.collect()} == want and p.count() == len(want)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and p.columns == pages.columns and i.columns == items.columns
+    n = max(many, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert [x.rdd.getNumPartitions() for x in (p, i, both)] == [n] * 3
+
+
 def test_styles_with_cycle(spark):
     s = spark.createDataFrame([("a", None, {"f": "1", "g": "2"}), ("b", "a", {"f": "3"}), ("c", "b", {"h": ""}), ("x", "y", {"f": "x"}), ("y", "x", {"g": "y"})], "style_id string, based_on string, props map<string,string>")
     got = {r.style_id: r.props for r in setops.resolve_styles(s).collect()}
