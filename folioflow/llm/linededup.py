@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import dropped, slices, spread_join, written
-from folioflow.llm.nearsets import BASE, LISTS, SEEDS, SKETCHES, STEPS, U, candidates, char_shingles, compared, least_bits, mixed, near_components, powers, reached, sums
+from folioflow.llm.nearsets import BASE, LISTS, SEEDS, SKETCHES, STEPS, U, candidates, char_sets, compared, least_bits, mixed, near_components, powers, reached, size_class, sums
 from folioflow.session import table
 
 #: Characters of a shingle; chance similarity of unrelated lines of one language is then about 0.0001.
@@ -48,12 +48,12 @@ def compressed(low: np.ndarray) -> np.ndarray:
 _BUCKET = (np.arange(BANDS)[:, None] + 3 * np.arange(ROWS)[None, :]) % BANDS
 
 
-def keyed(regs: np.ndarray, tier: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and sketch bits of registers shaped lines x BANDS x ROWS."""
+def keyed(regs: np.ndarray, tier: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and sketch bits, with the size class above them, of registers shaped lines x BANDS x ROWS and the sizes of their sets."""
     place = np.arange(BANDS, dtype=np.uint64) + U(BANDS * tier + 1)
     keys = mixed((regs * STEPS[:ROWS]).sum(axis=2, dtype=np.uint64) + place * STEPS[40])
     bits = ((regs & U(3)).reshape(len(regs), REGS) << (U(2) * np.arange(REGS, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
-    return keys, bits
+    return keys, bits | size_class(n) << U(BITS)
 
 
 def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -102,7 +102,7 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         own = np.flatnonzero(small)
         v, starts = value[np.repeat(small, n)] + U(BASE), np.concatenate([[0], np.cumsum(n[own])[:-1]])
         low = np.stack([np.minimum.reduceat(v * SEEDS[f], starts) for f in range(REGS)], axis=1)
-        tiers.append((own, *keyed(compressed(low).reshape(-1, BANDS, ROWS), 0)))
+        tiers.append((own, *keyed(compressed(low).reshape(-1, BANDS, ROWS), 0, n[own])))
     large = n >= LOW
     if large.any():
         own = np.flatnonzero(large)
@@ -116,7 +116,7 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
             low[f, slot[starts]] = np.minimum.reduceat(v * SEEDS[REGS + f], starts)
         regs = compressed(low).reshape(ROWS, len(own), BANDS)
         picked = np.stack([regs[f][:, _BUCKET[:, f]] for f in range(ROWS)], axis=2)
-        tiers.append((own, *keyed(picked, 1)))
+        tiers.append((own, *keyed(picked, 1, n[own])))
     return n, k1.view(np.int64), k2.view(np.int64), tiers
 
 
@@ -252,7 +252,7 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
         joined = numbered(docs).hint("merge").join(lists, ["doc_id", "h"])
         return joined.select("text", "own").mapInArrow(line_texts, "id long, comp long, n long, c long, w long, text string")
 
-    joined = near_components(found, classes, with_text, partial(char_shingles, size=SHINGLE), compared)
+    joined = near_components(found, classes, with_text, partial(char_sets, size=SHINGLE), compared)
     reach = reached(joined, classes, "place")
     fate = classes.join(reach, "node", "left").where("copies > 1 or reached is not null")
     fate = written(fate.select("node", "copies", F.coalesce("reached", "place").alias("stays")), "fate")

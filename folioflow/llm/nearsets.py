@@ -19,13 +19,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import components, dropped, shuffle_partitions, slices, spread_join, written
+from folioflow.llm.common import components, dropped, shuffle_partitions, slices, small, spread_join, written
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
@@ -53,6 +55,15 @@ def bit_estimate(differ: np.ndarray, bits: int) -> np.ndarray:
     return 1 - 2 * differ / bits
 
 
+#: Steps of the logarithm of sizes, a little longer than the largest ratio of linked sets, so that neither rounding nor a size that misses a few hashes can part them.
+STEP = math.log(DEN / NUM) + 1e-3
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Four bits of the logarithm of a set's size: those of sets that may link differ by one at most, modulo 16."""
+    return np.floor(np.log(np.maximum(n, 1)) / STEP).astype(np.uint64) & np.uint64(15)
+
+
 #: The sketch of a set in a bucket: one bit of each register.
 LEAST_BITS = least_bits(REGISTERS, 1, 6)
 
@@ -228,15 +239,25 @@ def groups(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def alike(bits: np.ndarray, other: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Which sketches may link with `other`, one for all or one for each: by the estimate, and by size_class() in the last four bits of x where `size` leaves these free."""
+    differ = bits ^ other
+    if size > 60:
+        return bit_estimate(np.bitwise_count(differ).sum(axis=1), size) >= least
+    differ[:, 0] &= U((1 << 60) - 1)
+    apart = ((bits[:, 0] >> U(60)) - (other[..., 0] >> U(60)) + U(1)) & U(15)
+    return (apart <= 2) & (bit_estimate(np.bitwise_count(differ).sum(axis=1), size) >= least)
+
+
 def related(bits: np.ndarray, size: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Connected groups of sketches of `size` bits whose estimate is at least `least`, as (first row, the other rows)."""
+    """Groups of sketches of `size` bits that alike() connects, as (first row, the other rows)."""
     rest = np.arange(len(bits))
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         first, found = front[0], []
         while front and len(rest):
             at = front.pop()
-            near = bit_estimate(np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1), size) >= least
+            near = alike(bits[rest], bits[at], size, least)
             if near.any():
                 found.append(rest[near])
                 front += rest[near].tolist()
@@ -253,7 +274,7 @@ def run_edges(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, size: int,
     """
     sizes = np.diff(np.append(starts, len(ids)))
     first = np.repeat(starts, sizes)
-    near = bit_estimate(np.bitwise_count(bits ^ bits[first]).sum(axis=1), size) >= least
+    near = alike(bits, bits[first], size, least)
     near[starts] = False
     a, b = [ids[first[near]]], [ids[near]]
     far = np.add.reduceat(near, starts, dtype=np.int64) + 1 < sizes
@@ -529,13 +550,65 @@ def compared(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tup
     return found
 
 
-def links(cells: DataFrame, shingles: Callable[[str | None], np.ndarray], judge: Callable[[list[np.ndarray], np.ndarray | None], list[tuple[int, int]]]) -> DataFrame:
+#: What gives the sorted distinct hashes of each text of a column, one after the other, and how many each has.
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: Bytes of text of which sets are made together.
+TEXTS = 1 << 18
+
+
+def one_by_one(shingles: Callable[[str | None], np.ndarray]) -> Sets:
+    """Sets out of a function of one text."""
+
+    def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [shingles(x) for x in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *found]), np.array([len(x) for x in found])
+
+    return sets
+
+
+def char_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """char_shingles() of every text of a column."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters begin
+    stops = np.searchsorted(at, ends - ends[0])
+    chars = np.diff(stops)
+    k = np.minimum(chars, size)
+    count = np.where(chars > 0, chars - k + 1, 0)
+    starts = np.cumsum(count) - count
+    first = np.arange(int(count.sum())) + np.repeat(stops[:-1] - starts, count)
+    lo, hi = at[first], at[first + np.repeat(k, count)]
+    total = sums(raw)
+    h = mixed((total[hi] - total[lo]) * powers(len(raw) + 1)[1][lo] + (hi - lo).astype(np.uint64) * STEPS[40])
+    for a, b in zip(starts.tolist(), (starts + count).tolist(), strict=True):
+        h[a:b].sort()
+    keep = np.append(True, h[1:] != h[:-1])[: len(h)]
+    keep[starts[count > 0]] = True
+    return h[keep], np.diff(np.append(0, np.cumsum(keep))[np.append(starts, len(h))])
+
+
+def links(cells: DataFrame, sets: Sets, judge: Callable[[list[np.ndarray], np.ndarray | None], list[tuple[int, int]]]) -> DataFrame:
     """The links (a, b) that judge, confirmed() or compared(), finds inside each cell; cells: (cell, part, id, text, mark)."""
 
+    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ends = np.cumsum(pc.binary_length(batch.column(3)).fill_null(0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TEXTS, side="right")))
+                values, n = sets(batch.column(3).slice(lo, hi - lo))
+                own = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int64()), pa.array(values))
+                cut = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(cut.column(i) for i in (0, 1, 2, 4)), own], ["cell", "part", "id", "mark", "set"])
+                lo = hi
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(it, 2):
+        for t in groups(hashed(it), 2):
             ids, marks = np.asarray(t["id"]), np.asarray(t["mark"])
-            got = judge([shingles(x) for x in t["text"].to_pylist()], None if marks.all() else marks)
+            cut = [(x.values.to_numpy(), x.offsets.to_pylist()) for x in t["set"].chunks]
+            own = [values[a:b] for values, ends in cut for a, b in pairwise(ends)]
+            got = judge(own, None if marks.all() else marks)
             if got:
                 at = np.array(got)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(ids[at[:, 0]], pa.int64()), "b": pa.array(ids[at[:, 1]], pa.int64())})
@@ -545,22 +618,33 @@ def links(cells: DataFrame, shingles: Callable[[str | None], np.ndarray], judge:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def windowed(members: DataFrame) -> DataFrame:
+    """Rows with a column comp, twice: for the two windows of sizes of its candidate component that each belongs to, of which comp becomes the number.
+
+    A window holds two steps of sizes, so sets of one step or of two neighbours, all that may link, are in one window together.
+    """
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / STEP)
+    return members.withColumn("window", F.explode(F.array(step - 1, step))).withColumn("comp", F.xxhash64("comp", "window")).drop("window")
+
+
 def near_components(
     edges: DataFrame,
     classes: DataFrame,
     texts: Callable[[DataFrame], DataFrame],
-    shingles: Callable[[str | None], np.ndarray],
+    sets: Sets,
     judge: Callable[[list[np.ndarray], np.ndarray | None], list[tuple[int, int]]] = confirmed,
 ) -> DataFrame:
     """(node, component) of the nodes that have a confirmed link, out of candidate edges (a, b).
 
     classes: (node, n) with the size of each node's set; texts adds the column
-    text to a table with a column id, which names a node; judge finds the links among sets.
+    text to a table with a column id, which names a node; sets makes the sets of texts and judge finds the links among them.
 
     Candidate components of up to CELL sets and WEIGHT shingles are confirmed in
-    one task. Larger ones are dealt into cells DEALS times by other hashes, which
-    joins what is dense; what is then outside the largest part of its candidate
-    component is compared with all of it, in blocks.
+    one task. Larger ones are cut into windows of sizes, in which every two sets
+    that may link meet, and a window that fits is confirmed in one task. Larger
+    windows are dealt into cells DEALS times by other hashes, which joins what is
+    dense; what is then outside the largest part of its window is compared with
+    all of it, in blocks.
     """
     found = components(edges)
     # The smallest member is a node of its own component.
@@ -575,15 +659,23 @@ def near_components(
     if any_big:  # both kinds are read then, but the corpus moves once
         with_text = written(with_text, "texts")
         spent.append(with_text)
-    plain = with_text.where(~is_big).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
-    edges = written(links(plain, shingles, judge), "links")
+    whole = lambda rows: rows.where(~is_big).select(F.col("comp").alias("cell"), F.lit(0).alias("part"), "id", "text", F.lit(True).alias("mark"))
+    plain, texts_big = whole(with_text), None
+    if any_big:
+        counts = windowed(members.where(is_big).select("id", "comp", "n")).groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
+        counts = written(counts, "windows")
+        spent.append(counts)
+        rows, any_big = counts.agg(F.count("*"), F.count_if(is_big)).first()
+        texts_big = windowed(with_text.where(is_big).select("id", "comp", "n", "text")).join(small(counts, rows), "comp")
+        plain = plain.union(whole(texts_big))
+    edges = written(links(plain, sets, judge), "links")
     if any_big:
         parts = lambda c, w: F.ceil(F.greatest(c * 2 / CELL, w * 2 / WEIGHT)).cast("int")
-        texts_big = with_text.where(is_big).select("id", "comp", "n", "c", "w", "text")
+        texts_big = texts_big.where(is_big).select("id", "comp", "n", "c", "w", "text")
         spent.append(edges)
         for deal in range(DEALS):
             cells = texts_big.select(F.col("comp").alias("cell"), F.pmod(F.xxhash64("id", F.lit(deal)), parts(F.col("c"), F.col("w"))).cast("int").alias("part"), "id", "text", F.lit(True).alias("mark"))
-            spent.append(written(links(cells, shingles, judge), "links"))
+            spent.append(written(links(cells, sets, judge), "links"))
             edges = edges.union(spent[-1])
         so_far = components(edges)
         placed = texts_big.select("id", "comp", "n", "c", "w").join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -592,14 +684,14 @@ def near_components(
         largest = counted.groupBy("comp").agg(F.max(F.struct("m", "component", "mw")).alias("z")).select("comp", F.col("z.component").alias("main"), F.col("z.m").alias("m"), F.col("z.mw").alias("mw"))
         # Blocks of the outsiders (k) by blocks of everything (part): outsiders go to every part of their block, all rows to every block.
         placed = placed.join(largest.where("m > 0"), "comp").where("m < c")
-        placed = placed.select("id", (F.col("component") != F.col("main")).alias("mark"), parts(F.col("c"), F.col("w")).alias("p_all"), parts(F.col("c") - F.col("m"), F.col("w") - F.col("mw")).alias("k"))
-        every = texts_big.select("id", "comp", "text").join(placed, "id").withColumn("p", F.pmod(F.xxhash64("id", F.lit(98)), F.col("p_all")).cast("int"))
+        placed = placed.select("id", "comp", (F.col("component") != F.col("main")).alias("mark"), parts(F.col("c"), F.col("w")).alias("p_all"), parts(F.col("c") - F.col("m"), F.col("w") - F.col("mw")).alias("k"))
+        every = texts_big.select("id", "comp", "text").join(placed, ["id", "comp"]).withColumn("p", F.pmod(F.xxhash64("id", F.lit(98)), F.col("p_all")).cast("int"))
         cell = (F.col("b") * F.col("p_all") + F.col("p")).cast("int").alias("part")
         own = F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int")
         base = every.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where(~F.col("mark") | (own != F.col("b")))
         out = every.where("mark").withColumn("b", own).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("p_all") - 1)))
         both = base.select("comp", cell, "id", "text", F.lit(False).alias("mark")).union(out.select("comp", cell, "id", "text", F.lit(True).alias("mark")))
-        spent.append(written(links(both.withColumnRenamed("comp", "cell"), shingles, judge), "links"))
+        spent.append(written(links(both.withColumnRenamed("comp", "cell"), sets, judge), "links"))
         edges = edges.union(spent[-1])
         spent.append(so_far)
     else:
@@ -639,7 +731,7 @@ def near_classes(rows: DataFrame, shingles: Callable[[str | None], np.ndarray])
         named = members.join(place, F.col("id") == F.col("node"))
         return source.hint("merge").join(named, F.col("o").eqNullSafe(F.col("at")) & (F.col("g") == F.col("h"))).select(*members.columns, "text")
 
-    joined = near_components(edges, classes, with_text, shingles)
+    joined = near_components(edges, classes, with_text, one_by_one(shingles))
     reach = reached(joined, classes, "least")
     fate = classes.select("node", "k1", "k2", "least", "copies").join(reach, "node", "left").where("copies > 1 or reached is not null or least is null")
     fate = written(fate.select("k1", "k2", "copies", F.coalesce("reached", "least").alias("component")), "fate")

@@ -1,10 +1,13 @@
 import random
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.llm import common
 from folioflow.llm import linededup as ld
+from folioflow.llm import nearsets as ns
 
 
 def shingles(line):
@@ -118,3 +121,43 @@ def test_classes_that_would_share_a_number_get_others(spark, monkeypatch):
     monkeypatch.setattr(ld, "class_of", few)
     got = ld.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.lines for r in got} == brute(rows) and max(salts) == 2
+
+
+def test_sizes_part_what_cannot_link():
+    """Sketches with equal bits are no candidates when their sets' sizes allow no link; sizes that allow one are never parted."""
+    n = np.arange(1, 3000)
+    for a in (1, 4, 5, 9, 64, 80, 1000, 2400):
+        apart = (ns.size_class(n) - ns.size_class(np.array([a])) + np.uint64(1)) & np.uint64(15)
+        assert (apart[100 * np.minimum(n, a) >= 80 * np.maximum(n, a)] <= 2).all()
+    x = ns.size_class(np.array([100, 110, 300])) << np.uint64(60)
+    bits = np.stack([x, np.zeros(3, dtype=np.uint64)], axis=1)
+    a, b = ns.run_edges(np.array([7, 8, 9]), bits, np.array([0]), ld.BITS, ld.LEAST_BITS)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(7, 8)}
+
+
+def test_large_components_meet_in_windows_of_sizes(spark, monkeypatch):
+    """A candidate component over CELL is confirmed by windows that fit, without deals and blocks, and with them where a window is too large."""
+    rng, tables = random.Random(3), []
+    text = "".join(rng.choice("abcdefghij ") for _ in range(4000))
+    # Each prefix links with its neighbours only, so all of them are one component of many sizes.
+    docs = spark.createDataFrame([(d, text[: int(40 * 1.09**d)]) for d in range(50)], "doc_id long, text string")
+    edges = lambda *a: docs.selectExpr("doc_id - 1 AS a", "doc_id AS b").where("b > 0")
+    monkeypatch.setattr(ns, "written", lambda df, name, f=ns.written: (tables.append(name), f(df, name))[1])
+    classes = docs.selectExpr("doc_id AS node", "length(text) - 9 AS n")
+    with_text = lambda m: m.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    for cell, deals in ((10, False), (3, True)):
+        monkeypatch.setattr(ns, "CELL", cell)
+        tables.clear()
+        got = ns.near_components(edges(), classes, with_text, lambda t: ns.char_sets(t, 10), ns.compared)
+        assert {tuple(r) for r in got.collect()} == {(d, 0) for d in range(1, 50)}
+        assert ("placed" in tables) == deals and "windows" in tables
+
+
+def test_sets_of_a_column():
+    """Sets of a column are those of each text by itself."""
+    texts = ["", "abc", None, "é", "漢字" * 9, "a" * 40, "abcdefghij", "ab é " * 7, "\U0001f600" * 12 + "x"]
+    for column in (pa.array(texts), pa.array(["skipped é", *texts])[1:], pa.array(texts[:1]), pa.array(texts[:0], pa.string())):
+        values, n = ns.char_sets(column, 10)
+        own = np.split(values, np.cumsum(n)[:-1]) if len(n) else []
+        assert len(own) == len(column)
+        assert all(x.tolist() == ns.char_shingles(t, 10).tolist() for x, t in zip(own, column.to_pylist(), strict=True))
