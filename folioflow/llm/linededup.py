@@ -34,7 +34,7 @@ LOW, HIGH = 64, 80
 BITS = 2 * REGS
 LEAST_BITS = least_bits(REGS, 2, 5)
 #: Bytes of text that are sketched together.
-CHUNK = 1 << 16
+CHUNK = 1 << 18
 V40 = U((1 << 40) - 1)
 
 
@@ -72,8 +72,12 @@ def sketch_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
         stops = np.searchsorted(at, ends)
         chars = np.diff(stops)
-        lo, hi = at[:-SHINGLE], at[SHINGLE:]
-        every = mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * STEPS[42])
+        # Of places, prefix sums and powers what is at a character and SHINGLE further on are slices of one gathering.
+        here, places = total[at], at.view(np.uint64)
+        every = here[SHINGLE:] - here[:-SHINGLE]
+        every *= down[at[:-SHINGLE]]
+        every += (places[SHINGLE:] - places[:-SHINGLE]) * STEPS[42]
+        every = mixed(every)
     # No shingle begins at a line's last characters, which are fewer than SHINGLE.
     inside = np.ones(len(raw) if stops is ends else len(at) - 1, dtype=bool)
     for back in range(1, SHINGLE):
