@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.text import html_text, normalize_id, slugify
 from folioflow.model import ITEM_TYPES, NAV_DEFAULT_TYPES
-from folioflow.operators.identity import ensure_unique
+from folioflow.operators import plainpages
+from folioflow.operators.fold import fold_sorted_arrow
+from folioflow.operators.identity import unique_ids
 from folioflow.operators.paginate import PROSE
 from folioflow.operators.validation import RICH_TEXT, SCHEMA_VERSION, array_at, is_kind, loose, scalars, text
 from folioflow.session import stored
@@ -149,48 +154,82 @@ def summary(item: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (item["title"], item["nav"]["label"], item["label"], item["caption"], said, item["src"], item["type"])], F.lit(""))
 
 
-def _opening(id_: Column) -> Column:
-    """JSON of an object that begins with an id, up to where its other fields follow."""
-    made = F.to_json(F.struct(id_.alias("id")))
-    return F.left(made, F.length(made) - 1)
-
-
 def _following(json: Column) -> Column:
-    """The fields of a JSON object that is not empty, and its end, to stand behind _opening()."""
+    """The fields of a JSON object that is not empty, and its end, to stand behind an id."""
     return F.concat(F.lit(","), F.substring(json, F.lit(2), F.length(json)))
 
 
+def rewritten(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, page, _row, page_id, _head, _ids, _bases, _items, rules, dropped) of (keys, page, _row, _json): pages rewritten by expressions, whatever they hold.
+
+    _ids: given ids of items, _bases: what theirs are to be if free, _items: JSON of items behind the id.
+    """
+    read = pages.withColumn("_v", F.try_parse_json("_json"))
+    id_, *rest = _head(F.col("_v"), F.col("page"))
+    own = [*keys, "page", "_row", "page_id", "_head"]
+    read = read.select(*keys, "page", "_row", id_.alias("page_id"), F.to_json(F.struct(*rest)).alias("_head"), array_at(F.col("_v"), "$.items").alias("_items"))
+    rows = migrated_items(read.select(*own, F.posexplode_outer("_items").alias("item_ord", "value")))
+    flat = rows.select(*own, "item_ord", F.col("item.id").alias("id"), F.col("item.type").alias("_type"), slugify(summary(F.col("item")), 24).alias("_slug"), _following(F.to_json(F.col("item").dropFields("id"))).alias("json"), "rules", "dropped")
+    # Moved before they are gathered: what an aggregate collects is not compiled, so it gets finished columns.
+    flat = flat.repartition("_row")
+    named = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws("-", "page_id", "_type", "_slug", (F.col("item_ord") + 1).cast("string")))
+    mine = lambda x: F.when(F.col("item_ord").isNotNull(), x)
+    whole = flat.groupBy(*keys, "page", "_row").agg(
+        F.first("page_id").alias("page_id"), F.first("_head").alias("_head"), F.array_sort(F.collect_list(mine(F.struct("item_ord", "id", named.alias("base"), "json")))).alias("_all"),
+        F.flatten(F.collect_list(mine(F.col("rules")))).alias("rules"), F.flatten(F.collect_list(mine(F.col("dropped")))).alias("dropped"),
+    )
+    return whole.select(*own, F.col("_all.id").alias("_ids"), F.col("_all.base").alias("_bases"), F.col("_all.json").alias("_items"), "rules", "dropped")
+
+
+REWRITTEN = "page_id string, _head string, _ids array<string>, _bases array<string>, _items array<string>, rules array<string>, dropped array<string>, _odd string"
+
+
+def _all_rewritten(given: DataFrame, keys: list[str]) -> DataFrame:
+    """rewritten() of (keys, page, _json), stored: plain pages in Arrow batches, the others by expressions."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*keys, "page").schema.fields), REWRITTEN])
+    made = stored(given.mapInArrow(lambda it: plainpages.rewritten_batches(it, plainpages.rewriter(MOVES, TEXTS, WHOLE), keys), schema).withColumn("_row", F.monotonically_increasing_id()))
+    plain = made.where("_odd IS NULL").drop("_odd")
+    odd = made.where("_odd IS NOT NULL").select(*keys, "page", "_row", F.col("_odd").alias("_json"))
+    return plain.unionByName(stored(rewritten(odd, keys))) if odd.limit(1).count() else plain
+
+
+def _unique(whole: DataFrame, keys: list[str]) -> DataFrame:
+    """(_row, _unique, assigned) of rewritten(): the ids of a page and its items, probed in document order within each book; how many are not as given."""
+
+    def fold(part: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
+        pages, ids = part.column("page_id").to_pylist(), part.column("_ids").combine_chunks()
+        given, bases = ids.flatten().to_pylist(), part.column("_bases").combine_chunks().flatten().to_pylist()
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+        found: list[list[str]] = []
+        changed: list[int] = []
+        for lo, hi in bounds:
+            new = iter(unique_ids(x for i in range(lo, hi) for x in (pages[i], *bases[ends[i] : ends[i + 1]])))
+            for i in range(lo, hi):
+                was = (pages[i], *given[ends[i] : ends[i + 1]])
+                found.append([next(new) for _ in was])
+                changed.append(sum(x != y for x, y in zip(found[-1], was, strict=True)))
+        return part.append_column("_unique", pa.array(found, pa.list_(pa.string()))).append_column("assigned", pa.array(changed, pa.int64()))
+
+    fields = [T.StructField("_unique", T.ArrayType(T.StringType())), T.StructField("assigned", T.LongType())]
+    return fold_sorted_arrow(whole.select(*keys, "page", "_row", "page_id", "_ids", "_bases"), keys, ["page", "page_id", "_row"], fields, fold).select("_row", "_unique", "assigned")
+
+
 def migrate(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:
     """(keys, page, json, rules, dropped, assigned) of legacy pages: JSON of the current schema with ids that are unique in each book.
 
     rules: the names of the rules applied to the page's items, one for each item and rule; dropped: keys of translations; assigned:
     the number of ids that were made up or changed to be unique. A page is read and rewritten once, in one place, and stored without
     its ids; these are probed in document order by a fold over each book's ids alone. Pages whose JSON cannot be read become
-    empty ones; pages without a book or a number go.
+    empty ones; pages without a book or a number go; of rows with one number each is a page.
     """
     given = pages.select(*keys, F.col(page).cast("int").alias("page"), F.col(json).alias("_json")).where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "page"]))
-    read = given.withColumn("_v", F.try_parse_json("_json"))
-    id_, *rest = _head(F.col("_v"), F.col("page"))
-    read = read.select(*keys, "page", id_.alias("page_id"), F.to_json(F.struct(*rest)).alias("_head"), array_at(F.col("_v"), "$.items").alias("_items"))
-    rows = migrated_items(read.select(*keys, "page", "page_id", "_head", F.posexplode_outer("_items").alias("item_ord", "value")))
-    flat = rows.select(*keys, "page", "page_id", "_head", "item_ord", F.col("item.id").alias("id"), F.col("item.type").alias("_type"), slugify(summary(F.col("item")), 24).alias("_slug"), F.to_json(F.col("item").dropFields("id")).alias("json"), "rules", "dropped")
-    # Moved before they are gathered: what an aggregate collects is not compiled, so it gets finished columns.
-    flat = flat.repartition(*keys, "page")
-    named = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws("-", "page_id", "_type", "_slug", (F.col("item_ord") + 1).cast("string")))
-    mine = lambda x: F.when(F.col("item_ord").isNotNull(), x)
-    whole = flat.groupBy(*keys, "page").agg(
-        F.first("page_id").alias("page_id"), F.first("_head").alias("_head"), F.array_sort(F.collect_list(mine(F.struct("item_ord", "id", named.alias("base"))))).alias("_ids"),
-        F.array_sort(F.collect_list(mine(F.struct("item_ord", "json")))).alias("_items"), F.flatten(F.collect_list(mine(F.col("rules")))).alias("rules"), F.flatten(F.collect_list(mine(F.col("dropped")))).alias("dropped"),
-    )
-    whole = stored(whole)
-    own = F.array(F.struct(F.lit(-1).alias("item_ord"), F.col("page_id").alias("id"), F.col("page_id").alias("base")))
-    ids = ensure_unique(whole.select(*keys, "page", F.inline(F.concat(own, "_ids"))), keys, ["page", "item_ord"], "base")
-    found = ids.select(*keys, "page", "item_ord", _opening(F.col("unique_id")).alias("opening"), (F.col("unique_id") != F.col("id")).alias("changed"))
-    found = found.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct("item_ord", "opening"))).alias("_openings"), F.count_if("changed").alias("assigned"))
-    items = F.array_join(F.zip_with(F.slice("_openings", 2, F.size("_items")), "_items", lambda o, i: F.concat(o["opening"], _following(i["json"]))), ",")
-    head = F.concat(F.col("_openings")[0]["opening"], _following(F.col("_head")))
+    whole = _all_rewritten(given, keys)
+    # An id holds nothing that JSON would escape.
+    opening = lambda x: F.concat(F.lit('{"id":"'), x, F.lit('"'))
+    items = F.array_join(F.zip_with(F.slice("_unique", 2, F.size("_items")), "_items", lambda o, i: F.concat(opening(o), i)), ",")
+    head = F.concat(opening(F.col("_unique")[0]), _following(F.col("_head")))
     made = F.concat(F.left(head, F.length(head) - 1), F.lit(',"items":['), items, F.lit("]}"))
-    return whole.join(found, [*keys, "page"]).select(*keys, "page", made.alias("json"), "rules", "dropped", "assigned")
+    return whole.join(_unique(whole, keys), "_row").select(*keys, "page", made.alias("json"), "rules", "dropped", "assigned")
 
 
 def applied_rules(pages: DataFrame, keys: list[str], page: str = "page", json: str = "json") -> DataFrame:

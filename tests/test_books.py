@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import migration, validation
+from folioflow.operators import migration, plainpages, validation
 from folioflow.plans import book_queries as Q
 
 
@@ -81,3 +81,46 @@ def test_observed_counts_come_with_the_write(spark, tmp_path):
     table.write.parquet(str(tmp_path / "new"))
     counts = seen.get
     assert counts["pages"] == 3 and counts["html-body"] == 2 and counts["scene-source"] == 1 and counts["nav-label"] == 1 and counts["type-unknown"] == 2 and counts["dropped"] == 1
+
+
+def varied_pages():
+    """JSON of pages of every legacy item and of fields that are cast, escaped, missing or of another kind, some plain and some not."""
+    run = {"type": "text_run", "text": 'k "q" \\ é'}
+    items = [json.loads(x.replace("{n}", n)) for x in Q.LEGACY for n in ("7", "12345678", "0", "")]
+    items += [None, 7, "x", [], {}, {"type": 5, "id": True}, {"type": "paragraph", "body": {"format": "rich-text-v1", "nodes": []}, "html_en": None, "a_en": 1}]
+    items += [{"type": "note", "body": {"nodes": [{"z": 1, "type": "text_run", "text": t, "a": None}], "format": "rich-text-v1"}, "style": None, "label": 3} for t in ("ΑΒΓ Ωμέγα", 5, True, None, {"x": 1})]
+    items += [{"type": "paragraph", "html": h, "legacySourceHtml": s} for h, s in (("a<BR/>b &AMP;lt; c\n\t d", 1), (" <i>Σοφός</i> ", "kept"), ("é  &nbsp;x", None), (5, None), ("  <b", ""))]
+    items += [{"type": "figure", "frameWidth": w, "wrapTight": t, "placement": p, "layout": o} for w, t, p, o in (("", "Yes", "", None), (10_000_000, "0", "float-x", {}), (-5, "what", 4, {"widthPx": None}), ("1e3", " true", "wide", {"wrap": 1}), (0.5, False, None, [1]))]
+    items += [{"type": "interactive_callout", "aspect": "1/2", "sequenceSteps": [{"b": 1, "a": [None, True, "é/"]}], "visibility": {"screen": False, "print": "no"}}, {"type": "interactive_callout", "title": "  "}, {"type": "section_heading", "level": "", "title": "É é — x"}]
+    items += [{"type": "section_heading", "sourceHeadingLevel": n} for n in (0, "3", 123456789, "x", -2)] + [{"type": "hero", "title": "\x01", "eyebrow": "\U0001f600"}, {"type": "list", "items": [1.50, 12345678901234567890]}, {"type": "table", "rows": {"b": 1, "a": 2}, "columns": None, "nav": {"show": "maybe", "label": 1}}]
+    items += [{"type": "scene", "src": None, "singleSrc": 3, "id": "--Ω x--"}, {"type": "side_note", "id": "9", "title": " Title ", "navLabel": "nav", "showInNav": "t"}]
+    heads = [{}, {"id": "!!"}, {"id": 4, "sourcePage": "12", "header": {"inherit": True, "left": 1, "center": None, "right": [1]}}, {"sourcePage": None, "pdfPage": "x"}, {"header": {"inherit": "true"}}]
+    texts = [json.dumps({**h, "items": [i]}, ensure_ascii=False) for n, i in enumerate(items) for h in (heads[0], heads[n % len(heads)])]
+    return [*texts, json.dumps({"items": items[:12]}), json.dumps({"items": items}), "[]", "7", '{"a":1,"a":2}', '{"items":[{"id":-0,"id_en":NaN}]}', "{", "", '{"items":{"a":1}}', None]
+
+
+def test_plain_pages_become_what_expressions_make_of_them(spark):
+    rows = [(n % 3, n, text) for n, text in enumerate(varied_pages())]
+    given = spark.createDataFrame(rows, "book int, page int, _json string")
+    names = ["page", "book", "page_id", "_head", "_ids", "_bases", "_items", "rules", "dropped"]
+    kept = lambda df: {r.page: tuple(sorted(x) if c == "rules" else x for c, x in zip(names, r, strict=True)) for r in df.select(names).collect()}
+    wanted = kept(migration.rewritten(given.withColumn("_row", F.col("page").cast("long")), ["book"]))
+    got = kept(migration._all_rewritten(given, ["book"]))
+    assert len(wanted) == len(rows)
+    assert {p: (got[p], wanted[p], rows[p][2]) for p in wanted if got.get(p) != wanted[p]} == {}
+    plain = [rewrites(text) for _, _, text in rows]
+    assert 60 < sum(plain) < len(rows) - 5
+    assert all(rewrites(json.dumps({"items": [json.loads(x.replace("{n}", "7"))]})) for x in Q.LEGACY)
+
+
+def rewrites(text):
+    try:
+        return bool(plainpages.rewriter(migration.MOVES, migration.TEXTS, migration.WHOLE)(text or "", 0))
+    except plainpages.Odd:
+        return False
+
+
+def test_rows_that_repeat_a_page_stay_pages(spark):
+    pages = spark.createDataFrame([(1, 0, '{"items":[{"type":"clear","id":"a"}]}'), (1, 0, '{"items":[{"type":"clear","id":"a"}, 1.5]}')], "book int, page int, json string")
+    made = [json.loads(r.json) for r in migration.migrate(pages, ["book"]).collect()]
+    assert sorted(len(m["items"]) for m in made) == [1, 2] and len({i["id"] for m in made for i in [m, *m["items"]]}) == 5
