@@ -6,7 +6,8 @@ anchors deal the windows to tasks that never need each other. The windows of one
 anchor occurrence form a block of text. Copies of a block (one anchor and one
 BLAKE2b digest of 120 bits of its bytes) are one string with many places and
 are counted before any text moves; anchors with different blocks go on, and of these
-the blocks that may share a window with another.
+the blocks that may share a window with another: so say hashes of a few strings around
+the anchor, which stand beside the block's name.
 
 In a task the blocks are cut into shards. Each shard's suffixes are sorted by
 themselves once, which gives its transform over SYMBOL-byte letters: the letter
@@ -43,6 +44,8 @@ STEP, PLACE_BITS = 1 << 14, 16
 PROBES = 4
 #: Different blocks of one anchor that a task merges together; an anchor with more is dealt out by window.
 BLOCKS = 8_000
+#: So many times as many are held by name, to see which may share a window, before an anchor is dealt out unseen.
+WIDE = 16
 SHARDS = 4
 #: Tasks that first meet the equal windows of a hot anchor, each a share of them.
 SALTS = 32
@@ -61,9 +64,14 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
 
     A block owns `count` windows from `start` on; it is `count + length - 1` bytes long.
     """
+    return placed_anchors(raw, ends, length)[:4]
+
+
+def placed_anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """anchors() and the place of each block's anchor in raw."""
     n, reach = len(raw) - length + 1, length - K + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     # A hash gives its low bits to its place; how many, depends on nothing, so equal windows agree wherever they stand.
     places, mask = np.arange(STEP + reach, dtype=np.uint64), U((1 << PLACE_BITS) - 1)
     found = []
@@ -90,7 +98,48 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     of = np.searchsorted(begin, cut, side="right") - 1
     inside = cut < np.append(stop, 0)[of]  # `of` is -1 before the first piece
     cut, count, of = cut[inside], count[inside], of[inside]
-    return own[of], cut, count, anchor[np.searchsorted(start, cut, side="right") - 1]
+    by = np.searchsorted(start, cut, side="right") - 1
+    return own[of], cut, count, anchor[by], at[by]
+
+
+def probes(at: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, hashes) for each of PROBES strings around the anchors at `at`; rows: blocks data[begin:end] that hold the string.
+
+    Equal windows hold their anchor at one offset. Cut into PROBES, the offsets
+    leave each window a string, less than a window by one such part, that begins
+    a fixed number of bytes before the anchor: who shares a window shares that.
+    """
+    step = -(-(length - K) // PROBES)
+    total, inverse = sums(data), powers(len(data) + 1)[1]
+    for j in range(PROBES):
+        start = at - step * j
+        ok = np.flatnonzero((start >= begin) & (start + length - step <= end))
+        yield ok, (total[start[ok] + length - step] - total[start[ok]]) * inverse[start[ok]]
+
+
+def packed_probes(at: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """The probes of each block in 64 bits, an equal share for each; 0 where the block lacks the string."""
+    bits = 64 // PROBES
+    out = np.zeros(len(at), dtype=np.uint64)
+    for j, (rows, probe) in enumerate(probes(at, begin, end, data, length)):
+        out[rows] |= np.maximum(mixed(probe) >> U(64 - bits), U(1)) << U(bits * j)
+    return out
+
+
+def may_share(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Marks the blocks that have a probe in common with another of their key; equal keys stand together. All that share a window are marked."""
+    bits = 64 // PROBES
+    marked = np.zeros(len(keys), dtype=bool)
+    group = np.cumsum(runs_of([keys])).astype(np.uint64) << U(bits)
+    for j in range(PROBES):
+        code = (packed >> U(bits * j)) & U((1 << bits) - 1)
+        rows = np.flatnonzero(code)
+        name = group[rows] | code[rows]
+        by = np.argsort(name)
+        alike = ~runs_of([name[by]])
+        alike[:-1] |= alike[1:]
+        marked[rows[by[alike]]] = True
+    return marked
 
 
 def block_digests(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -100,8 +149,8 @@ def block_digests(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return np.frombuffer(found, dtype=np.uint64).reshape(-1, 2)
 
 
-#: A block by name: its anchor, its digest (the low byte of b1 is its count of windows), and its place.
-PLACES = "anchor long, b1 long, b2 long, doc_id long, h long, start long"
+#: A block by name: its anchor, its digest (the low byte of b1 is its count of windows), its place, and its packed_probes().
+PLACES = "anchor long, b1 long, b2 long, doc_id long, h long, start long, probes long"
 NAMES = [f.split()[0] for f in PLACES.split(", ")]
 
 
@@ -131,9 +180,11 @@ def anchor_rows(docs: DataFrame, length: int, wave: int = 0, waves: int = 1) ->
         def flush() -> pa.RecordBatch:
             data = b"".join([p[3] for p in pieces])
             ends = np.concatenate([[0], np.cumsum([len(p[3]) for p in pieces])])
-            found = anchors(np.frombuffer(data, dtype=np.uint8), ends, length)
+            raw = np.frombuffer(data, dtype=np.uint8)
+            found = placed_anchors(raw, ends, length)
             mine = found[3] % U(waves) == wave
-            piece, at, count, anchor = (c[mine] for c in found)
+            piece, at, count, anchor, middle = (c[mine] for c in found)
+            packed = packed_probes(middle, at, at + count + length - 1, raw, length)
             digest = block_digests(data, at, count + length - 1)
             one, two = ((digest[:, 0] >> U(8)) << U(8)) | count.astype(np.uint64), digest[:, 1]
             ids, hs, base = (np.array([p[i] for p in pieces], dtype=np.int64)[piece] for i in range(3))
@@ -145,7 +196,7 @@ def anchor_rows(docs: DataFrame, length: int, wave: int = 0, waves: int = 1) ->
                 later = by[after([c[by] for c in place], [c[first] for c in place])]
                 anchor[later] = mixed(anchor[later] + place[2][later].astype(np.uint64) * U(3) + place[0][later].astype(np.uint64))
                 place[2][later] = -1 - place[2][later]
-            cols = [anchor.view(np.int64), one.view(np.int64), two.view(np.int64), *place]
+            cols = [anchor.view(np.int64), one.view(np.int64), two.view(np.int64), *place, packed.view(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], NAMES)
 
         pieces: list[tuple[int, int, int, bytes]] = []
@@ -170,26 +221,37 @@ APART = "doc_id long, h long, start long, count int, anchor long, hot boolean"
 
 
 def told_apart(blocks: DataFrame) -> DataFrame:
-    """APART rows: blocks that an equal earlier block covers (anchor is null), and blocks whose anchor has others.
+    """APART rows: blocks that an equal earlier block covers (anchor is null), and blocks that may share a window with others of their anchor.
 
-    blocks: anchor_rows(), sorted by all columns within partitions by anchor.
-    An anchor without a second block is passed over. hot marks those with more than BLOCKS different ones.
+    blocks: anchor_rows(), sorted by all columns but the last within partitions by anchor.
+    An anchor without a second such block is passed over. hot marks those with more than BLOCKS different ones.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: list[np.ndarray], named: bool, hot: np.ndarray | bool) -> pa.RecordBatch:
-            a, b, _, d, h, s = cols
+            a, b, _, d, h, s = cols[:6]
             name = pa.array(a) if named else pa.nulls(len(a), pa.int64())
             arrays = [pa.array(d), pa.array(h), pa.array(s), pa.array((b & 0xFF).astype(np.int32)), name, pa.array(np.broadcast_to(hot, len(a)).astype(bool))]
             return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in APART.split(", ")])
 
-        open_ = [np.zeros(0, dtype=np.int64)] * 6  # the first rows of each block of the last anchor
+        def apart(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Whole anchors, or the last rows of the one that has gone on before."""
+            keep = may_share(cols[0], cols[6].view(np.uint64))
+            if hot_anchor is not None:
+                keep |= cols[0] == hot_anchor
+            cols = [c[keep] for c in cols]
+            if len(cols[0]):
+                sizes = np.diff(np.append(np.flatnonzero(runs_of(cols[:1])), len(cols[0])))
+                hot = np.repeat(sizes, sizes) > BLOCKS
+                yield out(cols, True, hot if hot_anchor is None else hot | (cols[0] == hot_anchor))
+
+        open_ = [np.zeros(0, dtype=np.int64)] * 7  # the first rows of each block of the last anchor
         hot_anchor = None
         for batch in it:
-            cols = [np.asarray(batch.column(i)) for i in range(6)]
+            cols = [np.asarray(batch.column(i)) for i in range(7)]
             known = cols[5] < 0
             if known.any():
-                yield out([c[known] for c in cols[:5]] + [-1 - cols[5][known]], False, False)
+                yield out([*(c[known] for c in cols[:5]), -1 - cols[5][known]], False, False)
                 cols = [c[~known] for c in cols]
             if not len(cols[0]):
                 continue
@@ -200,32 +262,21 @@ def told_apart(blocks: DataFrame) -> DataFrame:
                 carried = [x[:-1] for x in open_]
             new = runs_of(cols[:3])
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            later = after(cols[3:], [c[first] for c in cols[3:]])
+            later = after(cols[3:6], [c[first] for c in cols[3:6]])
             if later.any():
                 yield out([c[later] for c in cols], False, False)
             cols = [np.concatenate([x, y[new]]) for x, y in zip(carried, cols, strict=True)]
             a = cols[0]
             done = a != a[-1]
             if done.any():
-                own = a[done]
-                starts = np.flatnonzero(runs_of([own]))
-                sizes = np.diff(np.append(starts, len(own)))
-                size = np.repeat(sizes, sizes)
-                hot = size > BLOCKS
-                if hot_anchor is not None:
-                    hot |= own == hot_anchor
-                keep = (size > 1) | hot
-                if keep.any():
-                    yield out([c[done][keep] for c in cols], True, hot[keep])
+                yield from apart([c[done] for c in cols])
             open_ = [c[~done] for c in cols]
-            if len(open_[0]) > 2 * BLOCKS:
+            if len(open_[0]) > WIDE * BLOCKS:
                 hot_anchor = int(open_[0][0])
                 yield out([c[:-1] for c in open_], True, True)
                 open_ = [c[-1:] for c in open_]
-        n = len(open_[0])
-        hot = n > 0 and int(open_[0][0]) == hot_anchor
-        if n > 1 or hot:
-            yield out(open_, True, hot or n > BLOCKS)
+        if len(open_[0]):
+            yield from apart(open_)
 
     return blocks.mapInArrow(run, APART)
 
@@ -425,9 +476,7 @@ def covered_windows(place: list[np.ndarray], data: np.ndarray, ends: np.ndarray,
 def sharing(keys: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """Marks the blocks that may share a window with another block of their key; every one that does is marked.
 
-    Equal windows hold their anchor at one offset. Cut into PROBES, the offsets
-    leave each window a string, less than a window by one such part, that begins
-    a fixed number of bytes before the anchor: who shares a window shares that.
+    Who shares a window shares one of its probes(), here by a hash of 64 bits.
     A block without its key among its grams (a window of a hot anchor) is marked.
     """
     marked = np.zeros(len(keys), dtype=bool)
@@ -440,12 +489,7 @@ def sharing(keys: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int) -
     at = np.full(len(keys), -1)
     at[own] = hit[first]
     marked |= at < 0
-    step = -(-(length - K) // PROBES)
-    total, inverse = sums(data), powers(len(data) + 1)[1]
-    for j in range(PROBES):
-        start = at - step * j
-        ok = np.flatnonzero((start >= ends[:-1]) & (start + length - step <= ends[1:]))
-        probe = (total[start[ok] + length - step] - total[start[ok]]) * inverse[start[ok]]
+    for ok, probe in probes(at, ends[:-1], ends[1:], data, length):
         by = np.lexsort((probe, keys[ok]))
         alike = ~runs_of([keys[ok][by], probe[by]])
         alike[:-1] |= alike[1:]
@@ -529,7 +573,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be a multiple of {SYMBOL}, from {K + 9} to 250")
     n = shuffle_partitions(docs.sparkSession)
     rows = numbered(docs)
-    told = [told_apart(anchor_rows(rows, length, w, WAVES).repartition(n, "anchor").sortWithinPartitions(*NAMES)) for w in range(WAVES)]
+    told = [told_apart(anchor_rows(rows, length, w, WAVES).repartition(n, "anchor").sortWithinPartitions(*NAMES[:-1])) for w in range(WAVES)]
     apart = reduce(DataFrame.union, [written(df, "blocks") for df in told])
     any_hot = apart.where("anchor is not null and hot").limit(1).count() > 0
     # Each document moves once; what is cut out of it goes to the shared folder, and on from there.

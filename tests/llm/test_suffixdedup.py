@@ -273,3 +273,31 @@ def brute_removed(rows):
             first.setdefault(data[i : i + 100], (d, i))
         out[d] = len(gone)
     return out
+
+
+def test_only_blocks_that_may_share_a_window_are_cut_out(spark):
+    """Blocks of one anchor with nothing else in common stay where they are; those that share a window go on."""
+    rng = random.Random(9)
+    text = lambda k: bytes(rng.choice(b"abcdefgh ") for _ in range(k))
+    gram = next(g for g in iter(lambda: text(sd.K), None) if sd.grams(np.frombuffer(g, dtype=np.uint8), 1)[0] < 1 << 54)
+    left = text(90)
+    texts = [text(90) + gram + text(90) for _ in range(40)] + [left + gram + text(90) for _ in range(2)]
+    docs = spark.createDataFrame([(d, t.decode()) for d, t in enumerate(texts)], "doc_id long, text string")
+    blocks = sd.anchor_rows(sd.numbered(docs), 100).repartition(1)
+    assert blocks.where(f"anchor = {int(sd.grams(np.frombuffer(gram, dtype=np.uint8), 1)[0])}").count() == 42
+    went = sd.told_apart(blocks.sortWithinPartitions(*sd.NAMES[:6])).where("anchor is not null").collect()
+    assert {40, 41} <= {r.doc_id for r in went} and len({r.doc_id for r in went}) < 5
+    assert {r.doc_id: r.n_removed for r in sd.remove_repeats(docs).collect()} == brute_removed([(d, t.decode()) for d, t in enumerate(texts)])
+
+
+@pytest.mark.parametrize("wide", [1, 3])
+def test_anchors_with_more_blocks_than_are_held(spark, monkeypatch, wide):
+    monkeypatch.setattr(sd, "BLOCKS", 2)
+    monkeypatch.setattr(sd, "WIDE", wide)
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert {r.doc_id: r.n_removed for r in sd.remove_repeats(docs).collect()} == brute_removed(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
