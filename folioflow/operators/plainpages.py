@@ -68,7 +68,7 @@ def _text(x: object) -> str | None:
 
 
 def _scalars(x: object) -> dict[str, str]:
-    return {k: s for k, v in x.items() if (s := _text(v)) is not None} if isinstance(x, dict) else {}
+    return {k: s for k, v in x.items() if (s := v if type(v) is str else _text(v)) is not None} if isinstance(x, dict) else {}
 
 
 def _boolean(x: str | None) -> bool | None:
@@ -128,11 +128,11 @@ def rewriter(moves: list, texts: dict[str, tuple[str, ...]], whole: dict[str, tu
     texts_of = {t: [n for n, types in texts.items() if t in types] for t in known}
     whole_of = {t: [n for n, types in whole.items() if t in types] for t in known}
 
-    def item(v: object, place: int, page_id: str, rules: list[str], dropped: list[str]) -> tuple[str, str, str]:
+    def item(v: object, place: int, page_id: str, translated: bool, rules: list[str], dropped: list[str]) -> tuple[str, str, str]:
         """(given id, its base, JSON behind the id) of an item; the names of its rules and its dropped keys are appended."""
         it = v if isinstance(v, dict) else {}
         own = _scalars(it)
-        levels = {"": own, "layout": _scalars(it.get("layout")), "nav": _scalars(it.get("nav"))}
+        levels = {"": own, "layout": _scalars(it["layout"]) if "layout" in it else {}, "nav": _scalars(it["nav"]) if "nav" in it else {}}
         raw = it.get("type")
         type_ = raw if isinstance(raw, str) and raw in known else "paragraph"
         at: dict[str, str | None] = {}
@@ -145,11 +145,13 @@ def rewriter(moves: list, texts: dict[str, tuple[str, ...]], whole: dict[str, tu
                         rules.append(name)
                         break
             at[to] = x
-        body, html, given = it.get("body"), it.get("html"), own.get("id", "")
-        html = html if isinstance(html, str) else None
-        prose, media = type_ in prose_types, type_ in media_types
-        rich = isinstance(body, dict) and body.get("format") == RICH_TEXT and isinstance(body.get("nodes"), list)
-        id_, english = given and _id(given), sorted([k for k in it if k.endswith("_en")])
+        given, prose, media = own.get("id", ""), type_ in prose_types, type_ in media_types
+        rich = False
+        if prose:
+            body, html = it.get("body"), it.get("html")
+            html = html if isinstance(html, str) else None
+            rich = isinstance(body, dict) and body.get("format") == RICH_TEXT and isinstance(body.get("nodes"), list)
+        id_, english = given and _id(given), sorted([k for k in it if k.endswith("_en")]) if translated else []
         if prose and not rich and "html" in it:
             rules.append("html-body")
         if not (isinstance(raw, str) and raw in known):
@@ -162,9 +164,13 @@ def rewriter(moves: list, texts: dict[str, tuple[str, ...]], whole: dict[str, tu
 
         shown = _boolean(at["nav.show"])
         shown, label = type_ in nav_default if shown is None else shown, at["nav.label"] or ""
-        visible = it.get("visibility") if isinstance(it.get("visibility"), dict) else {}
-        hidden = [visible.get(c) is False for c in ("screen", "print")]
-        out = [f',"type":"{type_}","nav":{{"show":{"true" if shown else "false"},"label":{_quoted(label)}}},"visibility":{{"screen":{"false" if hidden[0] else "true"},"print":{"false" if hidden[1] else "true"}}}']
+        visible = it.get("visibility")
+        if isinstance(visible, dict):
+            screen, print_ = ("false" if visible.get(c) is False else "true" for c in ("screen", "print"))
+            seen = f'{{"screen":{screen},"print":{print_}}}'
+        else:
+            seen = '{"screen":true,"print":true}'
+        out = [f',"type":"{type_}","nav":{{"show":{"true" if shown else "false"},"label":{_quoted(label)}}},"visibility":{seen}']
         called = {"label": None, "title": None, "caption": None}
         for name in texts_of[type_]:
             if name in own:
@@ -225,7 +231,10 @@ def rewriter(moves: list, texts: dict[str, tuple[str, ...]], whole: dict[str, tu
         source = _number(next((own[c] for c in ("sourcePage", "sourceDocxPage", "pdfPage") if c in own), None), 9)
         sides = []
         for side in ("header", "footer"):
-            held = v.get(side) if isinstance(v.get(side), dict) else {}
+            held = v.get(side)
+            if not isinstance(held, dict):
+                sides.append(f'"{side}":{{"inherit":false,"left":"","center":"","right":""}}')
+                continue
             inherit = held.get("inherit")
             if inherit is not None and not isinstance(inherit, bool):
                 raise Odd
@@ -236,7 +245,8 @@ def rewriter(moves: list, texts: dict[str, tuple[str, ...]], whole: dict[str, tu
         rules: list[str] = []
         dropped: list[str] = []
         items = v.get("items") if isinstance(v.get("items"), list) else []
-        made = [item(x, n, page_id, rules, dropped) for n, x in enumerate(items)]
+        translated = '_en"' in text
+        made = [item(x, n, page_id, translated, rules, dropped) for n, x in enumerate(items)]
         return page_id, head, *([m[i] for m in made] for i in range(3)), rules, dropped
 
     return rewrite
